@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, ranking, splitting, tokens
+from millrace.llm import mixing, ranking, site_lines, splitting, tokens
 from millrace.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,31 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+# Problem 3
+
+_SPACE = r"[\s\x1c-\x1f\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_P3 = rf"""WITH one AS (SELECT page_id, max_by(content, last_crawled_at) AS content,
+    regexp_extract(rtrim(lower(regexp_extract(max_by(url, last_crawled_at), '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@\\]*@)?([^/?#:\\]+)', 1)), '.'), '([^.]+(?:\.[^.]+)?)$', 1) AS site
+  FROM web_pages WHERE page_id IS NOT NULL GROUP BY page_id),
+sites AS (SELECT site, count(*) AS n FROM one WHERE site <> '' GROUP BY site),
+parts AS (SELECT page_id, site, string_split(content, chr(10)) AS l FROM one WHERE site <> '' AND content IS NOT NULL),
+lines AS (SELECT page_id, site, unnest(range(1, len(l) + 1)) AS line_no, lower(trim(regexp_replace(unnest(l), '{_SPACE}', ' ', 'g'))) AS line FROM parts),
+often AS (SELECT site, line FROM (SELECT site, line, count(DISTINCT page_id) AS k FROM lines WHERE line <> '' GROUP BY site, line) JOIN sites USING (site) WHERE k >= 5 AND k * 5 >= n)
+"""
+
+
+@query(_P3 + "SELECT page_id, CAST(line_no AS INT) AS line_no FROM lines JOIN often USING (site, line)")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The lines repeated across their site."""
+    return site_lines.find_repeated_lines(table(spark, d, "web_pages")).select("page_id", "line_no")
+
+
+@query()
+def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's content without the lines repeated across its site."""
+    return site_lines.without_repeated_lines(table(spark, d, "web_pages"))
+
+
 # Problem 7
 
 _SCORES = ["bm25", "trust_tier", "freshness", "deadline_urgency"]
