@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space of every kind, as a class of Java's regular expressions.
-SPACE = r"[\s\x1c-\x1f\u0085   -     　]"
+SPACE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def squeezed(text: Column) -> Column:
