@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, ranking, site_lines, splitting, tokens
+from millrace.llm import canonical, mixing, ranking, site_lines, splitting, tokens
 from millrace.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,20 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of every document that is larger than a limit."""
     return splitting.split_oversized(table(spark, d, "documents"), _limits(spark, d))
+
+
+# Problem 2
+
+
+@query()
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The canonical entry of each freely typed value of the web pages, -1 for none."""
+    found = canonical.map_values(canonical.page_values(table(spark, d, "web_pages")), table(spark, d, "canon_values"))
+    return found.select("page_id", "field", "value_pos", "canon_id")
+
+
+@query()
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The values that mean no entry, with the number of their occurrences."""
+    found = canonical.map_values(canonical.page_values(table(spark, d, "web_pages")), table(spark, d, "canon_values"))
+    return found.filter("canon_id = -1").groupBy("field", "value").count().withColumnRenamed("count", "occurrences")
