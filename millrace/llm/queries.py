@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import canonical, mixing, ranking, site_lines, splitting, tokens
+from millrace.llm import canonical, mixing, ranking, residue, site_lines, splitting, tokens
 from millrace.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+# Problem 1
+
+
+@query()
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The titles and contents that hold residue."""
+    return residue.find_residue(table(spark, d, "web_pages"))
+
+
 # Problem 3
 
 _SPACE = r"[\s\x1c-\x1f\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
