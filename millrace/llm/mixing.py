@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.tokens import count_tokens
+from millrace.session import durable
 
 #: Rows of a block, within which documents are sorted; a large source has many blocks, so no task holds all of it.
 BLOCK_ROWS = 50_000
@@ -119,7 +120,7 @@ def mix_documents(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text
     with zero tokens; other columns are not read. The report has one row for each row of `targets`: mix_name, source, target_share,
     max_repeats, available_tokens, planned_tokens, actual_tokens, actual_share (of the mix's actual total), documents, most_repeats.
     """
-    sized = count_tokens(docs, [key, "source"], text) if sized is None else sized
+    sized = durable(count_tokens(docs, [key, "source"], text), "sized") if sized is None else sized
     sizes = source_sizes(sized)
     plan = plan_mix(sizes, targets, total_tokens)
     mixed = realise(permuted(sized, sizes, key, seed), plan, key)
