@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import canonical, mixing, ranking, residue, site_lines, splitting, tokens
+from millrace.llm import canonical, mixing, ranking, residue, site_lines, spam, splitting, tokens
 from millrace.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,15 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_repeated_lines(table(spark, d, "web_pages"))
 
 
+# Problem 5
+
+
+@query()
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of repeated keywords, tags or links instead of sentences."""
+    return spam.find_spam(table(spark, d, "web_pages"))
+
+
 # Problem 7
 
 _SCORES = ["bm25", "trust_tier", "freshness", "deadline_urgency"]

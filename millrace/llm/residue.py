@@ -127,6 +127,7 @@ RESIDUE_WITHIN = re.compile(  # anywhere
         r"\b(?:text|title|content|heading|headline|description|name) goes here\b",
         r"\breplace before publishing\b",
         r"\bblindtext\b",
+        r"\b(?:headline|body copy|copy|text|title|content|details|description) to come\b",
         r"\bplatzhalter\b",
         r"\basdf(?:gh)?\b",
         r"\bqwerty\b",
@@ -150,7 +151,7 @@ def latin_filler(s: str) -> bool:
 _FIRST = frozenset(
     "http error status code server bad unauthorized unauthorised forbidden file page not gone internal gateway service too access sorry the this that seite página you your please an a unexpected unknown database could invalid fatal parse syntax runtime uncaught warning: notice: stack oops whoops uh uh-oh hmm hmm, it something nothing enable activate turn switch allow javascript java noscript noscript: checking verify verifying just robot security browser attention are complete completing sample dummy filler example add enter click insert coming under bald bientôt test undefined null nan none n.a. [object new untitled title home homepage loading fehler erreur at".split()
 )
-_PHRASES = ["existiert", "demandée", "upstream", "maintenance", "be back s", "followed", "script", "does not support", "lorem ipsum", "placeholder", "goes here", "replace before", "blindtext", "platzhalter", "asdf", "qwerty", "habilit"]
+_PHRASES = ["existiert", "demandée", "upstream", "maintenance", "be back s", "followed", "script", "does not support", "lorem ipsum", "placeholder", "goes here", "replace before", "blindtext", "to come", "platzhalter", "asdf", "qwerty", "habilit"]
 _MARKS = "{$<[#@%_"
 
 
