@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.session import durable
 from millrace.sources.lines import SPACE
 from millrace.sources.tables import newest
 
@@ -106,8 +107,8 @@ def _segment(length: Column, k: Column, i: Column) -> tuple[Column, Column]:
 
 def match_values(values: DataFrame, canon: DataFrame) -> DataFrame:
     """The entry of each distinct value: field, value, canon_id, edits. Values that mean no entry have no row."""
-    forms = _forms(values)
-    entries = _entries(canon)
+    forms = durable(_forms(values), "forms")
+    entries = durable(_entries(canon), "entries")
     exact = forms.join(entries.select("field", "name", "canon_id", F.col("region").alias("_r")), (forms["form"] == F.col("name")) & (forms["field"] == entries["field"])).select(
         forms["field"], "value", "form", "region", "_r", "canon_id", "preference", F.lit(0).alias("edits")
     )
@@ -126,7 +127,7 @@ def match_values(values: DataFrame, canon: DataFrame) -> DataFrame:
     probe = probe.select("field", "value", "form", "region", "preference", "_len", "_i", F.substring(F.col("form"), F.col("_at") + 1, F.col("_size")).alias("_part"))
     near = probe.join(cut, ["field", "_len", "_i", "_part"]).select("field", "value", "form", "region", "_r", "canon_id", "preference", "name", "_k").distinct()
     near = near.withColumn("edits", F.expr("levenshtein(form, name, _k)")).filter("edits >= 0").drop("name", "_k")
-    found = exact.unionByName(near)
+    found = durable(exact.unionByName(near), "matches")
     # A place with a region is an entry of that region; one without, the only entry of that name.
     regions = entries.filter("region IS NOT NULL").select(F.col("region").alias("_known")).distinct()
     found = found.join(regions, found["region"] == regions["_known"], "left").filter("_known IS NULL OR _r IS NULL OR region = _r")
@@ -144,9 +145,9 @@ def map_values(occurrences: DataFrame, canon: DataFrame) -> DataFrame:
     to the smaller canon_id, but a place of two regions that names none is unmatched. Other columns of `occurrences` stay unless
     named canon_id; an empty table gives an empty table.
     """
-    values = occurrences.select("field", "value").filter(F.col("value").isNotNull() & (F.regexp_replace("value", SPACE + "+", "") != "")).distinct()
+    values = durable(occurrences.select("field", "value").filter(F.col("value").isNotNull() & (F.regexp_replace("value", SPACE + "+", "") != "")).distinct(), "values")
     entries = canon.select("field", F.col("canon_id").cast("bigint").alias("canon_id"), "label").filter("canon_id IS NOT NULL AND label IS NOT NULL").distinct()
-    matched = match_values(values, entries).select("field", "value", "canon_id")
+    matched = durable(match_values(values, entries).select("field", "value", "canon_id"), "matched")
     unmatched = values.join(matched, ["field", "value"], "left_anti").withColumn("canon_id", F.lit(-1).cast("bigint"))
     keys = matched.unionByName(unmatched)
     out = occurrences.drop("canon_id").join(keys, ["field", "value"], "left")
