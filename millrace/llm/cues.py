@@ -37,6 +37,8 @@ OUTSIDE_RE = re.compile("|".join(f"(?:{p})" for p in OUTSIDE))
 # Words of menus; a line of nothing else and separators is a menu.
 _MENU = r"(?:home|about(?: us)?|contact|help|faq|search|news|press|events|blog|map|library|donate|staff|students|alumni|partners|employers|funding|calendar|listings|programmes|sign in|log in|register|my account|saved searches|post a listing|menu|close|privacy|imprint|terms|stellen|anmelden|impressum|offres|connexion|mentions légales|confidentialité|kontakt|barrierefreiheit|[a-z]+s? in [^|>/·]+|internships|placements|traineeships|fellowships|scholarships|vacancies|research posts|summer schools)"
 MENU_RE = re.compile(rf"^(?:{_MENU}|[^|>»/·•\t]{{2,40}})(?:\s*[|>»/·•\t]\s*(?:{_MENU}|[^|>»/·•\t]{{2,40}}))+\s*[|>»/·•]?$|^{_MENU}(?: +{_MENU})*$|^{_MENU}(?: - {_MENU})+$")
+MENU_WORDS_RE = re.compile(rf"^{_MENU}(?:(?:\s*[|>»/·•\t-]\s*| +){_MENU})+$")
+_SPOKEN_RE = re.compile(r"(?:you|we|our|they|the (?:team|group|course|post)) (?:will|have|are|can|also|often)\b")
 INSIDE_RE = re.compile(
     r"^[•*–-] |^(?:start|stipend|salary|pay|key facts|deadline|location|duration|hours|fee)\b ?[:,]|^(?:timetable|eligibility|requirements|how to|what you will do|about)\b .{6,}"
 )
@@ -58,6 +60,10 @@ def label(line: str) -> bool | None:
     s = squeezed(line)
     if not s:
         return None
+    if MENU_WORDS_RE.match(s):
+        return False
+    if _SPOKEN_RE.match(s) and is_prose(s):
+        return True
     if len(s) < 260 and OUTSIDE_RE.search(s):
         return False
     if INSIDE_RE.search(s) or is_prose(s):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import canonical, mixing, ranking, residue, site_lines, spam, splitting, tokens
+from millrace.llm import body, canonical, mixing, ranking, residue, site_lines, spam, splitting, tokens
 from millrace.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,23 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.find_spam(table(spark, d, "web_pages"))
 
 
+# Problem 6
+
+
+@query()
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """What stands outside the main body of the pages that are neither spam nor residue."""
+    pages = table(spark, d, "web_pages")
+    other = spam.find_spam(pages).union(residue.find_residue(pages).filter("field = 'content'").select("page_id")).distinct()
+    return body.find_outside(pages).join(other, "page_id", "left_anti")
+
+
+@query()
+def p6_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """The main body of every page."""
+    return body.main_bodies(table(spark, d, "web_pages"))
+
+
 # Problem 7
 
 _SCORES = ["bm25", "trust_tier", "freshness", "deadline_urgency"]
