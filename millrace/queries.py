@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.operators import time_normalise
-from millrace.sources.tables import table
+from millrace.functions import fields as listing
+from millrace.functions import text, urls
+from millrace.functions.html import read_pages
+from millrace.operators import fuzzy, index, rank, search, time_normalise
+from millrace.plans import crawl
+from millrace.session import shared_folder
+from millrace.sources.tables import newest, table
+from millrace.streaming import increment
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,3 +44,425 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_times(spark: SparkSession, d: str) -> DataFrame:
     """Every time of a web page with the way it was resolved, also where it stands for no instant."""
     return time_normalise.page_times(table(spark, d, "web_pages"))
+
+# Indexing and search. The SQL is written apart from the plans, for DuckDB.
+
+NOW = "2026-07-01 00:00:00"
+_SP = r"[\s\x1c-\x1f\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_STOP = ["the", "and", "of", "to", "in", "for", "on", "at", "with", "is"]
+
+
+def _now() -> Column:
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
+def _sql_words(text: str, keep: str = "") -> str:
+    return f"list_filter(list_transform(regexp_split_to_array({text}, '{_SP}'), lambda w: lower(regexp_replace(w, '[^a-zA-Z0-9{keep}]+', '', 'g'))), lambda w: w <> '')"
+
+
+def _sql_terms(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({text}), '{_SP}'), lambda w: w <> '')"
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text IS NOT NULL")
+
+
+@query(f"SELECT doc_id, CAST(unnest(range(len(t))) AS INT) AS position, unnest(t) AS token FROM (SELECT doc_id, {_sql_words('text')} AS t FROM documents WHERE text IS NOT NULL)")
+def tokenize_sanitize(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens of every document with their positions."""
+    return _documents(spark, d).select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("position", "token"))
+
+
+@query(f"SELECT doc_id, list_filter({_sql_words('text')}, lambda w: NOT list_contains({_STOP!r}, w)) AS tokens FROM documents WHERE text IS NOT NULL")
+def stopword_filter(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens of every document without those of a stop list."""
+    return _documents(spark, d).select("doc_id", text.tokens(F.col("text"), stop=_STOP).alias("tokens"))
+
+
+@query("SELECT doc_id, CASE lang " + " ".join(f"WHEN '{c}' THEN {_sql_words('text', text.LETTERS[n])}" for c, n in text.LANGUAGE_OF_CODE.items() if c in ("de", "fr", "es", "it", "pt")) + f" ELSE {_sql_words('text')} END AS tokens FROM documents WHERE text IS NOT NULL AND lang IN ('de', 'fr', 'es', 'en')")
+def sanitize_multilang(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens cleaned by each document's language."""
+    docs = _documents(spark, d).filter(F.col("lang").isin("de", "fr", "es", "en"))
+    language = F.element_at(F.create_map(*[F.lit(x) for kv in text.LANGUAGE_OF_CODE.items() for x in kv]), F.col("lang"))
+    return docs.select("doc_id", text.sanitised_by(text.fields(F.col("text")), language).alias("tokens"))
+
+
+@query()
+def stem_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """The stem of each distinct token of the documents."""
+    words = _documents(spark, d).select(F.explode(text.tokens(F.col("text"))).alias("word")).distinct()
+    return words.withColumn("stem", text.stem(F.col("word")))
+
+
+@query()
+def detect_language(spark: SparkSession, d: str) -> DataFrame:
+    """The language of each document."""
+    return _documents(spark, d).select("doc_id", text.detected(F.col("text")).alias("language"))
+
+
+_ELEMENTS = "SELECT doc_id AS page_id, 0 AS elem_idx, 20 AS score, coalesce(title, '') AS text FROM documents UNION ALL SELECT doc_id, 1, 1, coalesce(text, '') FROM documents"
+_WORDS = f"""WITH e AS ({_ELEMENTS}), t AS (SELECT *, {_sql_words('text')} AS toks FROM e),
+b AS (SELECT *, coalesce(sum(len(toks)) OVER (PARTITION BY page_id ORDER BY elem_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
+o AS (SELECT page_id, elem_idx, score, before + unnest(range(len(toks))) AS position, unnest(toks) AS word FROM b),
+words AS (SELECT page_id, elem_idx, word, max(score) AS score, CAST(max(position) AS INT) AS position FROM o GROUP BY page_id, elem_idx, word) """
+
+
+def _document_words(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    parts = [F.struct(F.lit(i).alias("elem_idx"), F.lit(s).alias("score"), F.coalesce(c, F.lit("")).alias("text")) for i, s, c in ((0, 20, F.col("title")), (1, 1, F.col("text")))]
+    e = docs.select(F.col("doc_id").alias("page_id"), F.explode(F.array(*parts)).alias("e")).select("page_id", "e.*")
+    return index.place_words(e.withColumn("_t", text.tokens(F.col("text"))), "_t")
+
+
+@query(_WORDS + "SELECT * FROM words")
+def weighted_words(spark: SparkSession, d: str) -> DataFrame:
+    """The words of the documents' titles and texts with weights and positions."""
+    return _document_words(spark, d)
+
+
+@query(_WORDS + "SELECT word, page_id, arg_max(score, position) AS score, max(position) AS position FROM words GROUP BY word, page_id")
+def index_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted index of the documents."""
+    return index.postings(_document_words(spark, d))
+
+
+@query(_WORDS + "SELECT word, count(*) AS frequency FROM words GROUP BY word")
+def dictionary_frequency(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary of the documents."""
+    return index.dictionary(_document_words(spark, d))
+
+
+# Search over the tables of the project's domain
+
+_CLEAN = "post AS (SELECT word, page_id, arg_max(score, position * 1000 + score) AS score, max(position) AS position FROM postings WHERE word IS NOT NULL AND page_id IS NOT NULL AND position IS NOT NULL GROUP BY word, page_id)"
+_DICT = "dict AS (SELECT word, count(*) AS frequency FROM post GROUP BY word)"
+_TRIM = lambda c: f"regexp_replace({c}, '^{_SP}|{_SP}$', '', 'g')"
+_Q = f"""q AS (SELECT query_id, any_value({_TRIM('q')}) AS q, any_value(coalesce(page, 1)) AS page, any_value(coalesce(size, 10)) AS size, any_value({_TRIM("coalesce(major, '')")}) AS major
+  FROM queries WHERE {_TRIM('q')} <> '' AND length({_TRIM('q')}) <= 200 AND coalesce(page, 1) >= 1 AND coalesce(size, 10) BETWEEN 1 AND 50 GROUP BY query_id)"""
+_TOK = f"tok AS (SELECT DISTINCT query_id, unnest({_sql_words('q')}) AS token FROM q)"
+_NEAR = """miss AS (SELECT * FROM tok WHERE token NOT IN (SELECT word FROM dict)),
+pairs AS (SELECT m.token, d.word, d.frequency, levenshtein(m.token, lower(d.word)) AS distance FROM (SELECT DISTINCT token FROM miss) m, dict d WHERE levenshtein(m.token, lower(d.word)) <= 2),
+near AS (SELECT * FROM pairs QUALIFY distance = min(distance) OVER (PARTITION BY token)),
+fix AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY token ORDER BY distance, frequency DESC, word) = 1)"""
+_HITS = """hits AS (SELECT query_id, token, page_id, score, position FROM tok JOIN post ON token = word
+  UNION ALL SELECT query_id, m.token, page_id, score, position FROM miss m JOIN fix USING (token) JOIN post ON fix.word = post.word)"""
+_MERGED = "merged AS (SELECT query_id, page_id, count(*) AS hits_count, sum(score) AS hits_sum, sum(position) AS positional_distance FROM hits GROUP BY query_id, page_id)"
+_STAMP = lambda c: f"CASE WHEN regexp_matches({c}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}Z$') THEN try_cast(replace({c}[1:19], 'T', ' ') AS TIMESTAMP) END"
+_PAGES = f"""pg AS (SELECT page_id, {', '.join(f'arg_max({c}, last_crawled_at) AS {c}' for c in ('title', 'organization', 'trust_tier', 'location', 'remote', 'abstract', 'url'))},
+  max(last_crawled_at) AS crawled, arg_max({_STAMP('posted_at')}, last_crawled_at) AS posted, arg_max({_STAMP('deadline_at')}, last_crawled_at) AS closes,
+  arg_max(struct_pack(f := fields_of_study), last_crawled_at).f AS studies, arg_max(struct_pack(f := degree_levels), last_crawled_at).f AS levels FROM (SELECT * FROM web_pages) WHERE page_id IS NOT NULL GROUP BY page_id)"""
+_BASE = f"WITH {_CLEAN}, {_DICT}, {_Q}, {_TOK}, {_NEAR}, {_HITS}, {_MERGED} "
+_SHARE = lambda words: f"len(list_filter(terms, lambda t: list_contains({words}, t))) / len(terms)"
+_FLAT = lambda a: f"flatten(list_transform(coalesce({a}, []), lambda x: {_sql_terms('coalesce(x, chr(32))')}))"
+_SIGNALS = f""", cand AS (SELECT merged.*, q.q, q.major, q.page, q.size, pg.*, 100 * hits_count + hits_sum AS raw, {_sql_terms('q.q')} AS terms FROM merged JOIN q USING (query_id) JOIN pg ON pg.page_id = merged.page_id),
+sig AS (SELECT query_id, page_id, page, size, title, url, abstract, raw, CAST(CASE WHEN max(raw) OVER w = min(raw) OVER w THEN 1 ELSE (raw - min(raw) OVER w) / CAST(max(raw) OVER w - min(raw) OVER w AS DOUBLE) END AS DOUBLE) AS relevance,
+  CASE WHEN len(terms) = 0 THEN 0 ELSE least(1.0, 0.6 * {_SHARE(_sql_terms("coalesce(title, '')"))} + 0.25 * {_SHARE(_FLAT("list_concat(coalesce(studies, []), coalesce(levels, []))"))} + 0.15 * {_SHARE(_sql_terms("coalesce(organization, '')"))}) END AS field_match,
+  CASE WHEN major = '' OR studies IS NULL OR len(studies) = 0 THEN 0.5 WHEN list_has_any({_sql_terms('major')}, {_FLAT('studies')}) THEN 1.0 ELSE 0.15 END AS study,
+  1 - (greatest(1, least(3, coalesce(trust_tier, 3))) - 1) / 2.0 AS trust,
+  CASE WHEN coalesce(posted, crawled) IS NULL THEN 0.5 ELSE pow(0.5, greatest(0, date_diff('microsecond', coalesce(posted, crawled), TIMESTAMP '{NOW}') / 3.6e9) / 336.0) END AS freshness,
+  CASE WHEN closes IS NULL THEN 0.5 WHEN date_diff('microsecond', TIMESTAMP '{NOW}', closes) < 0 OR date_diff('microsecond', TIMESTAMP '{NOW}', closes) / 3.6e9 >= 1440 THEN 0 ELSE 1 - date_diff('microsecond', TIMESTAMP '{NOW}', closes) / 3.6e9 / 1440.0 END AS urgency
+  FROM cand WINDOW w AS (PARTITION BY query_id)),
+ranked AS (SELECT *, round(0.35 * relevance + 0.15 * field_match + 0.15 * study + 0.10 * trust + 0.15 * freshness + 0.10 * urgency, 9) AS final FROM sig) """
+_ROUND = lambda *names: ", ".join(f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in names)
+
+
+def _search_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    post = search.clean_postings(table(spark, d, "postings"))
+    return search.valid_queries(table(spark, d, "queries")), post, search.word_frequencies(post)
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    _, post, words = _search_tables(spark, d)
+    ranked = search.rank_queries(table(spark, d, "queries"), post, words, search.listings(table(spark, d, "web_pages"), times=False), _now())
+    return ranked.withColumn("final", F.round("final", 9))
+
+
+@query(_BASE + "SELECT query_id, token, page_id, score, position FROM tok JOIN post ON token = word")
+def postings_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The postings of every query's tokens, without corrections."""
+    q, post, words = _search_tables(spark, d)
+    return search.find_hits(search.query_tokens(q), post, words, tolerance=0)
+
+
+@query(_BASE + "SELECT * FROM hits")
+def search_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """The hits of every query's tokens, unknown tokens corrected."""
+    q, post, words = _search_tables(spark, d)
+    return search.find_hits(search.query_tokens(q), post, words)
+
+
+@query(_BASE + "SELECT query_id, page_id, hits_count, CAST(hits_sum AS BIGINT) AS hits_sum, CAST(positional_distance AS BIGINT) AS positional_distance FROM merged")
+def merge_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The hits merged by query and page."""
+    q, post, words = _search_tables(spark, d)
+    return search.merge_hits(search.find_hits(search.query_tokens(q), post, words))
+
+
+@query(_BASE + ", r AS (SELECT query_id, page_id, CAST(100 * hits_count + hits_sum AS BIGINT) AS raw FROM merged) SELECT query_id, page_id, raw, round(CAST(CASE WHEN max(raw) OVER w = min(raw) OVER w THEN 1 ELSE (raw - min(raw) OVER w) / CAST(max(raw) OVER w - min(raw) OVER w AS DOUBLE) END AS DOUBLE), 6) AS relevance FROM r WINDOW w AS (PARTITION BY query_id)")
+def relevance_minmax(spark: SparkSession, d: str) -> DataFrame:
+    """Raw and scaled relevance of every hit page."""
+    merged = merge_hits(spark, d).withColumn("raw", rank.raw_relevance(F.col("hits_count"), F.col("hits_sum")))
+    return rank.min_max(merged, ["query_id"], "raw", "relevance").select("query_id", "page_id", "raw", F.round("relevance", 6).alias("relevance"))
+
+
+@query(_BASE + f", {_PAGES}" + _SIGNALS + "SELECT query_id, page_id, " + _ROUND("relevance", "field_match", "study", "trust", "freshness", "urgency", "final") + " FROM ranked")
+def score_signals(spark: SparkSession, d: str) -> DataFrame:
+    """The six signals and the composite score of every candidate."""
+    names = ("relevance", "field_match", "study", "trust", "freshness", "urgency", "final")
+    return _ranked(spark, d).select("query_id", "page_id", *[F.round(n, 6).alias(n) for n in names])
+
+
+_PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, page_id) AS place FROM ranked) "
+
+
+@query(_BASE + f", {_PAGES}" + _SIGNALS + ", " + _PLACED + "SELECT query_id, page_id, CAST(place AS INT) AS place, title, url, round(final, 6) AS final FROM placed WHERE place > (page - 1) * size AND place <= page * size")
+def search_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: every query answered with its page of results."""
+    return search.result_page(_ranked(spark, d)).select("query_id", "page_id", "place", "title", "url", F.round("final", 6).alias("final"))
+
+
+@query(_BASE + f", {_PAGES}" + _SIGNALS + "SELECT query_id, count(*) AS total_results, CAST(ceil(count(*) / any_value(size)) AS BIGINT) AS pages_count FROM ranked GROUP BY query_id")
+def search_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The number of results and pages of every query."""
+    return search.counts(_ranked(spark, d))
+
+
+@query()
+def search_normalised_times(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of results with freshness and urgency from times normalised to UTC."""
+    _, post, words = _search_tables(spark, d)
+    ranked = search.rank_queries(table(spark, d, "queries"), post, words, search.listings(table(spark, d, "web_pages")), _now())
+    return search.result_page(ranked).select("query_id", "page_id", "place", "title", F.round("final", 6).alias("final"))
+
+
+@query(_BASE + "SELECT token, word, frequency, CAST(distance AS INT) AS distance FROM near")
+def fuzzy_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest dictionary words of unknown tokens."""
+    q, post, words = _search_tables(spark, d)
+    missing = search.query_tokens(q).join(words.select(F.col("word").alias("token")), "token", "left_anti")
+    return fuzzy.near_words(missing, words).select("token", "word", "frequency", "distance")
+
+
+@query(_BASE + ", s AS (SELECT token, list(word ORDER BY place) AS suggestions FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, frequency DESC, word) AS place FROM near) WHERE place <= 5 GROUP BY token) SELECT query_id, token, suggestions FROM miss JOIN s USING (token)")
+def suggest_topn(spark: SparkSession, d: str) -> DataFrame:
+    """Suggestions for the unknown tokens of every query."""
+    _, post, words = _search_tables(spark, d)
+    return search.suggest(table(spark, d, "queries"), words)
+
+
+@query(f"WITH {_CLEAN}, {_DICT}, w AS (SELECT word FROM dict) SELECT a.word AS a, b.word AS b, CAST(levenshtein(lower(a.word), lower(b.word)) AS INT) AS distance FROM w a JOIN w b ON a.word[1:3] = b.word[1:3] AND a.word < b.word")
+def edit_distance_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Edit distances between dictionary words that begin alike."""
+    words = search.word_frequencies(search.clean_postings(table(spark, d, "postings"))).select("word")
+    a, b = words.select(F.col("word").alias("a"), F.substring("word", 1, 3).alias("_k")), words.select(F.col("word").alias("b"), F.substring("word", 1, 3).alias("_k"))
+    return a.join(b, "_k").filter("a < b").select("a", "b", text.byte_distance(F.col("a"), F.col("b")).alias("distance"))
+
+
+# Fields of listings
+
+_ONE = "one AS (SELECT page_id, arg_max(struct_pack(t := title, a := abstract, c := content), last_crawled_at) AS s FROM web_pages WHERE page_id IS NOT NULL GROUP BY page_id), txt AS (SELECT page_id, concat(coalesce(s.t, ''), ' . ', coalesce(s.a, ''), ' . ', coalesce(s.c, '')) AS text FROM one)"
+
+
+def _sql_mentions(word: str) -> str:
+    quoted = "".join("\\" + c if not c.isalnum() and c not in " '" else c for c in word).replace("'", "''")
+    return f"regexp_matches(text, '(?i)\\b{quoted}s?\\b')"
+
+
+def _page_text(spark: SparkSession, d: str) -> DataFrame:
+    one = newest(table(spark, d, "web_pages"), "page_id", "last_crawled_at", ["title", "abstract", "content"])
+    return one.select("page_id", listing.combined_text(F.col("title"), F.col("abstract"), F.col("content")).alias("text"))
+
+
+@query(f"WITH {_ONE} SELECT page_id, list_filter([" + ", ".join(f"CASE WHEN {_sql_mentions(k)} THEN '{k}' END" for k in listing.FIELDS_OF_STUDY) + "], lambda x: x IS NOT NULL) AS fields_of_study, list_filter(["
+       + ", ".join(f"CASE WHEN {' OR '.join(map(_sql_mentions, ws))} THEN '{k}' END" for k, ws in listing.DEGREE_LEVELS.items()) + "], lambda x: x IS NOT NULL) AS degree_levels, (" + " OR ".join(map(_sql_mentions, listing.REMOTE)) + ") AS remote FROM txt")
+def extract_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of study, degree levels and remote work that the pages' texts name."""
+    t = F.col("text")
+    return _page_text(spark, d).select("page_id", listing.fields_of_study(t).alias("fields_of_study"), listing.degree_levels(t).alias("degree_levels"), listing.is_remote(t).alias("remote"))
+
+
+_ORDER_TEXT = "SELECT o_orderkey, o_orderdate, CASE o_orderkey % 3 WHEN 0 THEN concat('Apply by ', strftime(o_orderdate, '%B %-d, %Y'), ' please') WHEN 1 THEN concat('The deadline: ', strftime(o_orderdate, '%-m/%-d/%Y')) ELSE concat('Founded ', strftime(o_orderdate, '%B %-d, %Y')) END AS text FROM orders"
+
+
+def _order_texts(spark: SparkSession, d: str) -> DataFrame:
+    o, day = table(spark, d, "orders"), F.col("o_orderdate")
+    long, short = F.date_format(day, "MMMM d, yyyy"), F.date_format(day, "M/d/yyyy")
+    kind = F.col("o_orderkey") % 3
+    return o.select("o_orderkey", day.alias("o_orderdate"), F.when(kind == 0, F.concat(F.lit("Apply by "), long, F.lit(" please"))).when(kind == 1, F.concat(F.lit("The deadline: "), short)).otherwise(F.concat(F.lit("Founded "), long)).alias("text"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS deadline FROM orders")
+def extract_deadline(spark: SparkSession, d: str) -> DataFrame:
+    """Deadlines in texts made of the orders' dates: written in two ways, or without a phrase."""
+    return _order_texts(spark, d).select("o_orderkey", listing.deadline(F.col("text")).alias("deadline"))
+
+
+@query("SELECT o_orderkey, CAST(make_date(CAST(year(o_orderdate) AS BIGINT), CAST(month(o_orderdate) AS BIGINT), 1) + INTERVAL 30 DAY AS DATE) AS rolled FROM orders")
+def date_rollover(spark: SparkSession, d: str) -> DataFrame:
+    """The 31st of each order's month, which rolls over where there is none."""
+    return table(spark, d, "orders").select("o_orderkey", listing.free_date(F.date_format("o_orderdate", "'on 'M'/31/'yyyy")).alias("rolled"))
+
+
+def _json_rows(spark: SparkSession, d: str) -> DataFrame:
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    place = F.concat(F.lit('{"address":{"addressLocality":"Town '), (key % 7).cast("string"), F.lit('"'), F.when(key % 2 == 0, F.lit(',"addressRegion":"R"')).otherwise(""), F.lit("}}"))
+    places = F.when(key % 5 == 0, F.concat(F.lit('[{"address":{}},'), place, F.lit("]"))).otherwise(place)
+    taught = F.when(key % 3 == 0, F.lit('"PhD in progress"')).when(key % 3 == 1, F.lit('{"credentialCategory":"bachelor degree"}')).otherwise(F.lit('{"name":"any"}'))
+    body = F.concat(F.lit('{"@type":"'), F.when(key % 11 == 0, "Person").otherwise("JobPosting"), F.lit('","datePosted":"'), day, F.lit('","jobLocationType":"'), F.when(key % 4 == 0, "telecommute").otherwise("onsite"), F.lit('","hiringOrganization":{"name":"Org '), (key % 13).cast("string"), F.lit('"},"jobLocation":'), places, F.lit(',"educationRequirements":'), taught, F.lit("}"))
+    return o.select("o_orderkey", F.when(key % 6 == 0, F.concat(F.lit("["), body, F.lit("]"))).when(key % 17 == 0, F.lit("{broken")).otherwise(body).alias("block"))
+
+
+@query("""SELECT o_orderkey, o_orderkey % 11 <> 0 AND (o_orderkey % 6 = 0 OR o_orderkey % 17 <> 0) AS is_posting,
+  CASE WHEN o_orderkey % 11 <> 0 AND (o_orderkey % 6 = 0 OR o_orderkey % 17 <> 0) THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS posted_at,
+  CASE WHEN o_orderkey % 11 <> 0 AND (o_orderkey % 6 = 0 OR o_orderkey % 17 <> 0) THEN concat('Town ', o_orderkey % 7, CASE WHEN o_orderkey % 2 = 0 THEN ', R' ELSE '' END) ELSE '' END AS location,
+  CASE WHEN o_orderkey % 11 <> 0 AND (o_orderkey % 6 = 0 OR o_orderkey % 17 <> 0) THEN CASE o_orderkey % 3 WHEN 0 THEN 'PhD in progress' WHEN 1 THEN 'bachelor degree' ELSE 'any' END ELSE '' END AS education,
+  CASE WHEN o_orderkey % 11 <> 0 AND (o_orderkey % 6 = 0 OR o_orderkey % 17 <> 0) THEN concat('Org ', o_orderkey % 13) ELSE '' END AS organization,
+  o_orderkey % 11 <> 0 AND (o_orderkey % 6 = 0 OR o_orderkey % 17 <> 0) AND o_orderkey % 4 = 0 AS remote FROM orders""")
+def jsonld_posting(spark: SparkSession, d: str) -> DataFrame:
+    """The fields of JSON-LD postings made of the orders: objects, arrays, other types and broken ones."""
+    p = F.col("p")
+    return _json_rows(spark, d).withColumn("p", listing.job_posting(F.col("block"))).select(
+        "o_orderkey", p.isNotNull().alias("is_posting"), listing.json_date(F.try_variant_get(p, "$.datePosted", "string")).alias("posted_at"), listing.job_location(p).alias("location"),
+        listing.education(p).alias("education"), listing.organization(p).alias("organization"), listing.telecommute(p).alias("remote"),
+    )
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN ['phd'] WHEN 1 THEN ['undergraduate'] ELSE ['graduate'] END AS degree_levels, o_orderkey % 4 = 0 OR o_orderkey % 10 = 0 AS remote
+  FROM orders WHERE o_orderkey % 11 <> 0 AND (o_orderkey % 6 = 0 OR o_orderkey % 17 <> 0)""")
+def field_precedence(spark: SparkSession, d: str) -> DataFrame:
+    """A posting's own values before those of the text, for the same postings with a text for master's students."""
+    rows = _json_rows(spark, d).filter(listing.job_posting(F.col("block")).isNotNull())
+    pages = rows.select("o_orderkey", F.lit("A place").alias("title"), F.when(F.col("o_orderkey") % 10 == 0, "work from home").otherwise("").alias("abstract"), F.lit("For a master's student").alias("content"), F.array("block").alias("json_ld"))
+    return listing.with_listing_fields(pages).select("o_orderkey", "degree_levels", "remote")
+
+
+# Web pages, links and the crawl
+
+
+def _raw_pages(spark: SparkSession, d: str) -> DataFrame:
+    one = newest(table(spark, d, "web_pages"), "page_id", "last_crawled_at", ["url", "title", "abstract", "content", "links"])
+    esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    anchors = F.array_join(F.transform(F.coalesce("links", F.array().cast("array<string>")), lambda x: F.concat(F.lit('<a href="'), x, F.lit('#part">x</a>'))), "")
+    body = F.array_join(F.transform(F.split(F.coalesce("content", F.lit("")), "\n", -1), lambda x: F.concat(F.lit("<p>"), esc(x))), "")
+    html = F.concat(F.lit("<html><head><title> </title><title>"), esc(F.col("title")), F.lit('</title><meta property="og:description" content="'), F.replace(esc(F.col("abstract")), F.lit('"'), F.lit("&quot;")), F.lit('"><script>"</p><b>"</script></head><body><h1>'), esc(F.col("title")), F.lit("</h1>"), body, F.lit("<div>"), anchors, F.lit("</div></body></html>"))
+    return one.select("page_id", "url", html.alias("html"))
+
+
+@query(f"WITH one AS (SELECT page_id, arg_max(struct_pack(t := title), last_crawled_at).t AS title FROM web_pages WHERE page_id IS NOT NULL GROUP BY page_id) SELECT page_id, {_TRIM('title')} AS title FROM one")
+def html_title(spark: SparkSession, d: str) -> DataFrame:
+    """The titles read from the pages written as HTML."""
+    return read_pages(_raw_pages(spark, d), ["page_id"]).select("page_id", "title")
+
+
+@query("WITH one AS (SELECT page_id, arg_max(struct_pack(l := links), last_crawled_at).l AS links FROM web_pages WHERE page_id IS NOT NULL GROUP BY page_id) SELECT page_id, unnest(links) AS link FROM one WHERE len(links) > 0")
+def html_links(spark: SparkSession, d: str) -> DataFrame:
+    """The links read from the pages written as HTML, resolved, without fragments."""
+    return read_pages(_raw_pages(spark, d), ["page_id"]).select("page_id", F.explode("links").alias("link"))
+
+
+@query()
+def html_elements(spark: SparkSession, d: str) -> DataFrame:
+    """The elements read from the pages written as HTML."""
+    return read_pages(_raw_pages(spark, d), ["page_id"]).select("page_id", F.explode("elements").alias("e")).select("page_id", "e.*")
+
+
+@query()
+def crawl_index(spark: SparkSession, d: str) -> DataFrame:
+    """The postings of the pages written as HTML: each element's language found, English words stemmed."""
+    return crawl.build_index(crawl.extract(_raw_pages(spark, d), _now(), table(spark, d, "allowlist")))["postings"]
+
+
+_HOST = "nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '')"
+_DOMAIN = f"nullif(CASE WHEN regexp_extract(h, '([^.]+\\.[^.]+)$', 1) IN ({', '.join(repr(x) for x in urls.TWO_LABEL_SUFFIXES)}) THEN regexp_extract(h, '([^.]+\\.[^.]+\\.[^.]+)$', 1) ELSE regexp_extract(h, '([^.]+\\.[^.]+)$', 1) END, '')"
+
+
+@query(f"SELECT url, h AS host, {_DOMAIN} AS domain FROM (SELECT DISTINCT url, {_HOST} AS h FROM web_pages)")
+def url_domains(spark: SparkSession, d: str) -> DataFrame:
+    """Host and registrable domain of every url."""
+    return table(spark, d, "web_pages").select("url").distinct().select("url", urls.host(F.col("url")).alias("host"), urls.registrable_domain(F.col("url")).alias("domain"))
+
+
+@query(f"WITH u AS (SELECT DISTINCT page_id, url, {_HOST} AS h FROM web_pages), e AS (SELECT page_id, url, {_DOMAIN} AS domain FROM u) SELECT page_id, url, CAST(coalesce(tier, 3) AS INT) AS trust_tier FROM e LEFT JOIN (SELECT lower(domain) AS domain, max(tier) AS tier FROM allowlist GROUP BY 1) USING (domain)")
+def allowlist_tier(spark: SparkSession, d: str) -> DataFrame:
+    """The trust tier of every page by its domain."""
+    return crawl.with_tier(table(spark, d, "web_pages").select("page_id", "url").distinct(), table(spark, d, "allowlist")).select("page_id", "url", "trust_tier")
+
+
+@query(f"WITH l AS (SELECT DISTINCT page_id, unnest(links) AS url FROM web_pages), u AS (SELECT *, {_HOST} AS h FROM l), e AS (SELECT page_id, url, {_DOMAIN} AS domain FROM u) SELECT page_id, url FROM e WHERE domain IN (SELECT lower(domain) FROM allowlist WHERE tier <= 2)")
+def allowlist_semi(spark: SparkSession, d: str) -> DataFrame:
+    """The links of all pages to domains of the first two tiers."""
+    links = table(spark, d, "web_pages").select("page_id", F.explode("links").alias("url")).distinct()
+    return crawl.allowed(links, table(spark, d, "allowlist").filter("tier <= 2")).select("page_id", "url")
+
+
+_FIRST = "SELECT page_id, url FROM (SELECT DISTINCT page_id, url FROM web_pages WHERE url IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1"
+
+
+@query(f"SELECT * FROM ({_FIRST}) WHERE url NOT IN (SELECT url FROM web_pages WHERE url IS NOT NULL AND trust_tier = 1)")
+def page_insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
+    """The pages that are new to a store of the first tier's, each url once."""
+    pages = table(spark, d, "web_pages").select("page_id", "url", "trust_tier").distinct()
+    return index.insert_if_absent(pages.select("page_id", "url").distinct(), pages.filter("trust_tier = 1")).select("page_id", "url")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT url) AS urls, 1 AS least, count(*) AS most FROM (SELECT DISTINCT url FROM (SELECT url FROM web_pages UNION ALL SELECT unnest(links) FROM web_pages) WHERE url IS NOT NULL)")
+def page_ids(spark: SparkSession, d: str) -> DataFrame:
+    """That the ids of all urls and link targets are dense and distinct."""
+    w = table(spark, d, "web_pages")
+    ids = index.assign_ids(w.select("url").union(w.select(F.explode("links"))))
+    return ids.agg(F.count_distinct("page_id").alias("n"), F.count_distinct("url").alias("urls"), F.min("page_id").cast("int").alias("least"), F.max("page_id").alias("most"))
+
+
+@query("WITH t AS (SELECT url, min(page_id) AS dst_id FROM web_pages WHERE url IS NOT NULL GROUP BY url), l AS (SELECT DISTINCT page_id AS src_id, unnest(links) AS url FROM web_pages) SELECT DISTINCT src_id, dst_id FROM l JOIN t USING (url)")
+def outbound_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The links between stored pages."""
+    w = table(spark, d, "web_pages")
+    return index.outbound_edges(w.select("page_id", "links"), w.filter("url IS NOT NULL").groupBy("url").agg(F.min("page_id").alias("page_id")))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT src_id, dst_id FROM link_edges WHERE src_id <> dst_id), r(node, depth) AS (SELECT DISTINCT src_id, 0 FROM link_edges WHERE src_id <= 5 UNION SELECT e.dst_id, r.depth + 1 FROM r JOIN e ON e.src_id = r.node WHERE r.depth < 3)
+  SELECT node, min(depth) AS depth FROM r GROUP BY node""")
+def frontier_bfs(spark: SparkSession, d: str) -> DataFrame:
+    """The pages within three links of the first five."""
+    e = table(spark, d, "link_edges")
+    return crawl.breadth_first(e.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")), e.filter("src_id <= 5").select(F.col("src_id").alias("node")), 3)
+
+
+@query("SELECT count(*) AS pages FROM (SELECT DISTINCT page_id FROM web_pages WHERE page_id IS NOT NULL)")
+def page_count(spark: SparkSession, d: str) -> DataFrame:
+    """The number of stored pages."""
+    return table(spark, d, "web_pages").agg(F.count_distinct("page_id").alias("pages"))
+
+
+@query("SELECT DISTINCT src_id AS page_id, dst_id FROM link_edges WHERE src_id = (SELECT min(src_id) FROM link_edges)")
+def outbound_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The outbound links of the first page that has any."""
+    e = table(spark, d, "link_edges")
+    return e.join(e.agg(F.min("src_id").alias("src_id")), "src_id", "left_semi").select(F.col("src_id").alias("page_id"), "dst_id").distinct()
+
+
+@query()
+def link_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """The rank of each page of the link graph."""
+    return index.page_rank(table(spark, d, "link_edges"))
+
+
+@query("""WITH one AS (SELECT page_id, arg_max(struct_pack(f := fields_of_study, g := degree_levels, r := remote), last_crawled_at) AS s FROM web_pages WHERE page_id IS NOT NULL GROUP BY page_id)
+  SELECT page_id, coalesce(s.f[1], s.g[1], CASE WHEN s.r THEN 'Remote' END, 'Opportunity') AS badge FROM one""")
+def result_badge(spark: SparkSession, d: str) -> DataFrame:
+    """The badge of every page."""
+    one = newest(table(spark, d, "web_pages"), "page_id", "last_crawled_at", ["fields_of_study", "degree_levels", "remote"])
+    return one.select("page_id", search.badge(one).alias("badge"))
+
+
+@query("SELECT DISTINCT url FROM web_pages WHERE url IS NOT NULL")
+def stream_increment(spark: SparkSession, d: str) -> DataFrame:
+    """The urls of a store to which the pages were streamed."""
+    folder = f"{shared_folder(spark).rstrip('/')}/millrace-stream-{uuid.uuid4().hex}"
+    pages = table(spark, d, "web_pages").select("page_id", "url")
+    pages.repartition(4).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    increment.follow(stream, f"{folder}/store", f"{folder}/state").awaitTermination()
+    return spark.read.schema(pages.schema).parquet(f"{folder}/store").select("url")
