@@ -328,8 +328,10 @@ def similar_pairs(some: DataFrame, units: DataFrame, texts: DataFrame) -> DataFr
     left = tables(some.select(F.col("unit").alias("a"), F.col("simhash"))).withColumnRenamed("simhash", "_sa")
     right = tables(units.select(F.col("unit").alias("b"), F.col("simhash"))).withColumnRenamed("simhash", "_sb")
     near = left.join(right, "key").filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("_sa").bitwiseXOR(F.col("_sb"))) <= MOST_BITS)).select("a", "b").distinct()
-    ta = texts.select(F.col("unit").alias("a"), _shingles(F.col("text")).alias("_ta"))
-    tb = texts.select(F.col("unit").alias("b"), _shingles(F.col("text")).alias("_tb"))
+    near = durable(near, "near")
+    wanted = near.select(F.col("a").alias("unit")).union(near.select("b")).distinct()
+    some = durable(texts.join(wanted, "unit", "left_semi").dropDuplicates(["unit"]), "texts").withColumn("_t", _shingles(F.col("text")))
+    ta, tb = (some.select(F.col("unit").alias(c), F.col("_t").alias(f"_t{c}")) for c in ("a", "b"))
     both = near.join(ta, "a").join(tb, "b")
     shared = F.size(F.array_intersect("_ta", "_tb"))
     return both.filter(shared >= LEAST_SIMILARITY * (F.size("_ta") + F.size("_tb") - shared)).select("a", "b")
