@@ -292,16 +292,16 @@ def _order_texts(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", day.alias("o_orderdate"), F.when(kind == 0, F.concat(F.lit("Apply by "), long, F.lit(" please"))).when(kind == 1, F.concat(F.lit("The deadline: "), short)).otherwise(F.concat(F.lit("Founded "), long)).alias("text"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS deadline FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS deadline FROM orders")
 def extract_deadline(spark: SparkSession, d: str) -> DataFrame:
     """Deadlines in texts made of the orders' dates: written in two ways, or without a phrase."""
-    return _order_texts(spark, d).select("o_orderkey", listing.deadline(F.col("text")).alias("deadline"))
+    return _order_texts(spark, d).select("o_orderkey", F.date_format(listing.deadline(F.col("text")), "yyyy-MM-dd").alias("deadline"))
 
 
-@query("SELECT o_orderkey, CAST(make_date(CAST(year(o_orderdate) AS BIGINT), CAST(month(o_orderdate) AS BIGINT), 1) + INTERVAL 30 DAY AS DATE) AS rolled FROM orders")
+@query("SELECT o_orderkey, strftime(date_trunc('month', o_orderdate) + INTERVAL 30 DAY, '%Y-%m-%d') AS rolled FROM orders")
 def date_rollover(spark: SparkSession, d: str) -> DataFrame:
     """The 31st of each order's month, which rolls over where there is none."""
-    return table(spark, d, "orders").select("o_orderkey", listing.free_date(F.date_format("o_orderdate", "'on 'M'/31/'yyyy")).alias("rolled"))
+    return table(spark, d, "orders").select("o_orderkey", F.date_format(listing.free_date(F.date_format("o_orderdate", "'on 'M'/31/'yyyy")), "yyyy-MM-dd").alias("rolled"))
 
 
 def _json_rows(spark: SparkSession, d: str) -> DataFrame:
