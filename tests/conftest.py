@@ -9,7 +9,7 @@ from millrace.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "tests", **{"spark.sql.shuffle.partitions": "4"})
+    session = local_session(4, "tests", **{"spark.sql.shuffle.partitions": "4", "spark.sql.codegen.wholeStage": "false"})  # small tables don't repay compiling
     yield session
     session.stop()
 
