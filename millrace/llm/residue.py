@@ -137,14 +137,15 @@ RESIDUE_WITHIN = re.compile(  # anywhere
 LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
-_STEMS = frozenset(w[:4] for w in LATIN if len(w) > 3)
+LATIN_STEMS = frozenset(w[:4] for w in LATIN if len(w) > 3)
 _WORD = re.compile(r"[^\W\d_]+")
+_CODES = re.compile(r"\b(?=[a-f]*\d)[a-f0-9]{6,}\b|\d[\d.,]*")
 
 
 def latin_filler(s: str) -> bool:
     """Whether most words of a squeezed text are of the pseudo-Latin filler, also with other endings."""
     words = _WORD.findall(s)
-    return len(words) >= 3 and sum(w in LATIN or (len(w) > 3 and w[:4] in _STEMS) for w in words) >= 0.7 * len(words)
+    return len(words) >= 3 and sum(w in LATIN or (len(w) > 3 and w[:4] in LATIN_STEMS) for w in words) >= 0.7 * len(words)
 
 
 # A text that these know begins with one of these words, or holds one of these phrases.
@@ -152,7 +153,6 @@ _FIRST = frozenset(
     "http error status code server bad unauthorized unauthorised forbidden file page not gone internal gateway service too access sorry the this that seite página you your please an a unexpected unknown database could invalid fatal parse syntax runtime uncaught warning: notice: stack oops whoops uh uh-oh hmm hmm, it something nothing enable activate turn switch allow javascript java noscript noscript: checking verify verifying just robot security browser attention are complete completing sample dummy filler example add enter click insert coming under bald bientôt test undefined null nan none n.a. [object new untitled title home homepage loading fehler erreur at".split()
 )
 _PHRASES = ["existiert", "demandée", "upstream", "maintenance", "be back s", "followed", "script", "does not support", "lorem ipsum", "placeholder", "goes here", "replace before", "blindtext", "to come", "platzhalter", "asdf", "qwerty", "habilit"]
-_MARKS = "{$<[#@%_"
 
 
 @lru_cache(maxsize=1)
@@ -177,10 +177,16 @@ def _says_residue(s: str) -> bool:
 def trusted(text: str, title: bool = False) -> bool | None:
     """The trusted label of a unit: residue, none, or unknown."""
     words = text.lower().split()
-    if not words:
-        return None
-    s = " ".join(words)
-    if any(c in s for c in _MARKS):
+    return _label(words, " ".join(words), title) if words else None
+
+
+def _marked(s: str) -> bool:
+    """Whether a text holds a character that a placeholder has."""
+    return "{" in s or "[" in s or "<" in s or "#" in s or "%" in s or "$" in s or "@" in s or "_" in s
+
+
+def _label(words: list[str], s: str, title: bool) -> bool | None:
+    if _marked(s):
         if s.startswith("[object"):
             return True
         if marks := list(PLACEHOLDER.finditer(s)):
@@ -191,16 +197,15 @@ def trusted(text: str, title: bool = False) -> bool | None:
             return True
     if _says_residue(s):
         return not (len(words) > 8 and SPEAKING.search(s))
-    if any(w[:4] in _STEMS for w in words[:5]) and latin_filler(s):
+    if any(w[:4] in LATIN_STEMS for w in words[:5]) and latin_filler(s):
         return True
     return None
 
 
-def masked(s: str, known: dict[str, str]) -> list[str]:
-    """The words of a text in lower case, with placeholders, numbers and codes made equal. `known` remembers words."""
-    if any(c in s for c in _MARKS):
-        s = PLACEHOLDER.sub("{}", s)
-    words = s.split()
+def masked(words: list[str], s: str, known: dict[str, str]) -> list[str]:
+    """The words of a squeezed text with placeholders, numbers and codes made equal. `known` remembers words."""
+    if _marked(s):
+        words = PLACEHOLDER.sub("{}", s).split()
     try:
         return [known[w] for w in words]
     except KeyError:
@@ -208,10 +213,19 @@ def masked(s: str, known: dict[str, str]) -> list[str]:
             known.clear()
         for w in words:
             if w not in known:
-                known[w] = w if w.isalpha() else re.sub(r"\b(?=[a-f]*\d)[a-f0-9]{6,}\b|\d[\d.,]*", "0", w)
+                known[w] = w if w.isalpha() else _CODES.sub("0", w)
         return [known[w] for w in words]
 
 
+def examine(line: str, title: bool, known: dict[str, str]) -> tuple[bool | None, list[str]] | None:
+    """The trusted label of a line and its masked words; None for a blank one."""
+    words = line.lower().split()
+    if not words:
+        return None
+    s = " ".join(words)
+    return _label(words, s, title), masked(words, s, known)
+
+
 def fingerprints(texts: list[list[str]]) -> list[int]:
     """SimHashes of texts of at least two shingles each, together."""
     import numpy as np
@@ -266,9 +280,11 @@ def scan_units(pages: DataFrame) -> DataFrame:
                 for field, line in own:
                     places.append((i, field, line))
                     if line not in seen and line not in fresh:
-                        title_too = line[:1] == "\x00"
-                        label = trusted(line.lstrip("\x00"), title_too)
-                        words = masked(line.lstrip("\x00").lower(), plain)
+                        found = examine(line.lstrip("\x00"), line[:1] == "\x00", plain)
+                        if found is None:
+                            seen[line] = None
+                            continue
+                        label, words = found
                         if label is None and len(words) <= SHINGLE:
                             seen[line] = None
                         else:

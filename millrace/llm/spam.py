@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.cues import ALL_FUNCTION_WORDS, FUNCTION_WORDS
-from millrace.llm.residue import _crawled, latin_filler
+from millrace.llm.residue import LATIN_STEMS, _crawled, latin_filler
 from millrace.session import durable
 from millrace.sources.tables import newest
 
@@ -32,66 +32,87 @@ FAR = 250.0
 ALONG = 0.6
 #: The largest share of words in what look like sentences (stuffed ones may), and the fewest words in all to judge a page by.
 STRAY, LEAST_WORDS = 0.85, 24
+#: A language of fewer pages than this is judged by the statistics of all pages.
+LEAST_GROUP = 50
 MEMORY = 100_000
 
-_WORD = re.compile(r"[^\W\d_]+|\d+")
+_WORD = re.compile(r"\w+")
 _PARTS = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+")
 _URL = re.compile(r"(?:https?://|www\.)\S+")
 _WORDS_RUN = re.compile(r"[^\W\d_]+(?:[ '’.-]*[^\W\d_]+)*")
+_DIGITS = re.compile(r"\d+")
+_ENDS = frozenset(".!?…")
+_CLOSING = "\"'”») \t\r\xa0"
+#: For each function word the first letters of the languages it is of.
+_LANGUAGES = {k[0]: k for k in FUNCTION_WORDS}
+_OF = {w: "".join(c for c, k in _LANGUAGES.items() if w in FUNCTION_WORDS[k]) for w in ALL_FUNCTION_WORDS}
+_N_LOG_N = [0.0] + [n * math.log(n) for n in range(1, 1000)]
+
+
+def describe_line(line: str) -> tuple[int, list[str], list[str], int, str] | None:
+    """Of a line: words in sentences, all words in lower case, the languages of its function words, separators, and its shape if it is short and no sentence. None for a blank line and for pseudo-Latin filler."""
+    low = line.strip().lower()
+    if not low:
+        return None
+    web = "://" in low or "www." in low
+    plain = _URL.sub(" ", low) if web else low
+    inside, words, languages = 0, [], []
+    for part in _PARTS.split(plain) if len(plain) > 60 else (plain,):
+        w = _WORD.findall(part)
+        own = [_OF[x] for x in w if x in _OF]
+        if 4 <= len(w) <= 80 and part.rstrip(_CLOSING)[-1:] in _ENDS and len(own) >= max(1, 0.1 * len(w)) and len(set(w)) >= 0.62 * len(w):
+            inside += len(w)
+        words += w
+        languages += own
+    if not inside and any(x[:4] in LATIN_STEMS for x in words[:5]) and latin_filler(plain):
+        return None
+    separators = sum([low.count(c) for c in ",;|/#:»>"]) if inside < len(words) else 0
+    shape = _DIGITS.sub("0", _WORDS_RUN.sub("w", _URL.sub("u", low) if web else low)) if not inside and len(low) < 160 else ""
+    return inside, words, languages, separators, shape
 
 
-def describe_line(line: str) -> tuple[int, int, list[str], int, str]:
-    """Of a line: words in sentences, other words, all words in lower case, separators, and its shape if it is short."""
-    words = _WORD.findall(_URL.sub(" ", line).lower())
-    in_sentences = 0
-    if len(words) >= 4 and line.rstrip("\"'”») \t\r\xa0")[-1:] in (".", "!", "?", "…") or len(words) > 30:
-        for part in _PARTS.split(line.strip()):
-            if part.rstrip("\"'”»)")[-1:] not in (".", "!", "?", "…"):
-                continue
-            w = _WORD.findall(part.lower())
-            if 4 <= len(w) <= 80 and len(set(w)) >= 0.62 * len(w) and sum(x in ALL_FUNCTION_WORDS for x in w) >= max(1, 0.1 * len(w)):
-                in_sentences += len(w)
-    separators = sum(line.count(c) for c in ",;|/#:»>") if in_sentences < len(words) else 0
-    shape = re.sub(r"\d+", "0", _WORDS_RUN.sub("w", _URL.sub("u", line.strip()))) if len(line) < 160 else ""
-    return in_sentences, len(words) - in_sentences, words, separators, shape
-
-
-def describe(content: str, memory: dict[str, tuple]) -> tuple[list[float], str | None] | None:
+def describe(content: str, memory: dict[str, tuple | None]) -> tuple[list[float], str | None] | None:
     """The features of a text and its language by function words; None where there is nothing to judge.
 
     Short lines whose shape is not repeated, such as menus, count for nothing unless they are sentences.
     """
     lines = []
     for line in content.split("\n"):
-        known = memory.get(line)
-        if known is None:
+        if line in memory:
+            known = memory[line]
+        else:
             if len(memory) > MEMORY:
                 memory.clear()
-            known = memory[line] = None if not line.strip() or latin_filler(" ".join(line.lower().split())) else describe_line(line)
+            known = memory[line] = describe_line(line)
         if known:
             lines.append(known)
-    shapes = Counter(x[4] for x in lines if x[4] and x[1] and not x[0])
+    shapes = Counter([x[4] for x in lines if x[4] and x[1]])
     sentences = others = separators = shaped = 0
     words: list[str] = []
-    for inside, rest, own, seps, shape in lines:
+    languages: list[str] = []
+    for inside, own, of, seps, shape in lines:
+        rest = len(own) - inside
         repeated = shapes[shape] >= (12 if shape == "w" else 4) if shape else False  # a menu may have some lines of mere words
-        loose = rest if rest >= 15 or (rest >= 8 and len(set(own)) < 0.62 * len(own)) or repeated else 0
+        loose = rest if rest and (rest >= 15 or repeated or (rest >= 8 and len(set(own)) < 0.62 * len(own))) else 0
         if inside or loose:
             sentences += inside
             others += loose
-            separators += seps if loose else 0
-            shaped += loose if repeated else 0
+            if loose:
+                separators += seps
+                shaped += loose if repeated else 0
             words += own
+            languages += of
     mass = sentences + others
     if not mass:
         return None
     counts = Counter(words)
     n = len(words)
-    functions = sum(c for w, c in counts.items() if w in ALL_FUNCTION_WORDS)
-    entropy = -sum(c / n * math.log(c / n) for c in counts.values()) / math.log(n) if n > 1 else 0.0
-    by_language = {k: sum(counts[w] for w in ws if w in counts) for k, ws in FUNCTION_WORDS.items()}
+    sums = sum([_N_LOG_N[c] if c < 1000 else c * math.log(c) for c in counts.values() if c > 1])
+    entropy = 1 - sums / (n * math.log(n)) if n > 1 else 0.0
+    tally = "".join(languages)
+    by_language = {k: tally.count(c) for c, k in _LANGUAGES.items()}
     language = max(by_language, key=by_language.get) if max(by_language.values()) >= 5 else None
-    return [math.log1p(mass), sentences / mass, functions / n, 1 - len(counts) / n, entropy, separators / n, shaped / mass], language
+    return [math.log1p(mass), sentences / mass, len(languages) / n, 1 - len(counts) / n, entropy, separators / n, shaped / mass], language
 
 
 def page_features(pages: DataFrame) -> DataFrame:
@@ -126,11 +147,16 @@ def robust_distances(features: DataFrame) -> DataFrame:
 
     Medians and median deviations are taken over all pages of a language, the covariance over all of its pages within three
     deviations of the median in each feature. A few numbers per language reach the driver; languages come from a fixed list or are
-    two letters of a locale, so there are at most some hundreds. A language without spread has the least scales.
+    two letters of a locale, so there are at most some hundreds. A language of few pages is judged by the statistics of all; one
+    without spread has the least scales.
     """
     import numpy as np
 
-    stats = features.groupBy("language").agg(*[F.percentile_approx(f, 0.5, 10_000).alias(f) for f in FEATURES]).collect()
+    counts = {r["language"]: r["count"] for r in features.groupBy("language").count().collect()}
+    small = [k for k, n in counts.items() if n < LEAST_GROUP]
+    own = features.withColumn("language", F.when(F.col("language").isin(small), "*").otherwise(F.col("language"))) if small else features
+    judged = own.filter("language <> '*'").unionByName(features.withColumn("language", F.lit("*"))) if small else features
+    stats = judged.groupBy("language").agg(*[F.percentile_approx(f, 0.5, 10_000).alias(f) for f in FEATURES]).collect()
     medians = {r["language"]: [r[f] for f in FEATURES] for r in stats}
 
     def by_language(values: dict[str, float], default: float = 0.0) -> Column:
@@ -139,11 +165,12 @@ def robust_distances(features: DataFrame) -> DataFrame:
         return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("language"))
 
     away = [F.col(f) - by_language({k: m[i] for k, m in medians.items()}) for i, f in enumerate(FEATURES)]
-    spread = features.select("language", *[F.abs(a).alias(f) for a, f in zip(away, FEATURES)]).groupBy("language").agg(*[F.percentile_approx(f, 0.5, 10_000).alias(f) for f in FEATURES]).collect()
+    spread = judged.select("language", *[F.abs(a).alias(f) for a, f in zip(away, FEATURES)]).groupBy("language").agg(*[F.percentile_approx(f, 0.5, 10_000).alias(f) for f in FEATURES]).collect()
     scales = {r["language"]: [max(1.4826 * r[f], LEAST_SCALE[f]) for f in FEATURES] for r in spread}
-    z = features.select("*", *[(a / by_language({k: s[i] for k, s in scales.items()}, 1.0)).alias(f"_z{i}") for i, a in enumerate(away)])
+    scaled = [(a / by_language({k: s[i] for k, s in scales.items()}, 1.0)).alias(f"_z{i}") for i, a in enumerate(away)]
+    z = own.select("*", *scaled)
     n = len(FEATURES)
-    near = z.filter(" AND ".join(f"abs(_z{i}) <= 3" for i in range(n)))
+    near = judged.select("*", *scaled).filter(" AND ".join(f"abs(_z{i}) <= 3" for i in range(n)))
     sums = near.groupBy("language").agg(F.count("*").alias("n"), *[F.sum(f"_z{i}").alias(f"s{i}") for i in range(n)], *[F.sum(F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"p{i}_{j}") for i in range(n) for j in range(i, n)]).collect()
     inverse = {k: np.eye(n) for k in medians}
     for r in sums:
