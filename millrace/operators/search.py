@@ -11,6 +11,7 @@ from millrace.config import RankerConfig, SearchConfig, page_number, page_size,
 from millrace.functions.text import tokens as tokens_of
 from millrace.functions.text import trimmed
 from millrace.operators import fuzzy, rank
+from millrace.session import durable
 from millrace.sources.tables import newest
 
 
@@ -67,7 +68,7 @@ def listings(pages: DataFrame, times: bool = True) -> DataFrame:
 
         by_field = page_times(pages).filter("epoch_us IS NOT NULL").groupBy("page_id").agg(*[F.max(F.when(F.col("field") == c, F.col("epoch_us"))).alias(f"_{c}") for c in ("posted_at", "deadline_at")])
         stamp = lambda c: F.timestamp_micros(F.col(c)).cast("timestamp_ntz")
-        one = one.join(by_field, "page_id", "left").withColumn("posted_at", stamp("_posted_at")).withColumn("deadline_at", stamp("_deadline_at")).drop("_posted_at", "_deadline_at")
+        one = one.join(durable(by_field, "times"), "page_id", "left").withColumn("posted_at", stamp("_posted_at")).withColumn("deadline_at", stamp("_deadline_at")).drop("_posted_at", "_deadline_at")
     else:
         stamp = lambda c: F.when(F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"), F.substring(c, 1, 19).try_cast("timestamp_ntz"))
         one = one.withColumn("posted_at", stamp("posted_at")).withColumn("deadline_at", stamp("deadline_at"))
