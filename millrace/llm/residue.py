@@ -245,9 +245,9 @@ def fingerprints(texts: list[list[str]]) -> list[int]:
     out = []
     for a in range(0, len(texts), 512):  # a few texts at a time, as their bits are unpacked
         idx = np.concatenate([np.arange(s, s + n - SHINGLE + 1) for s, n in zip(starts[a : a + 512], sizes[a : a + 512])])
-        bits = np.unpackbits(h[idx].view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16)
+        bits = np.unpackbits(h[idx].view(np.uint8).reshape(-1, 8), axis=1)
         rows = np.concatenate(([0], np.cumsum(sizes[a : a + 512] - SHINGLE + 1)[:-1]))
-        votes = np.add.reduceat(bits, rows, axis=0) * 2 > (sizes[a : a + 512] - SHINGLE + 1)[:, None]
+        votes = np.add.reduceat(bits, rows, axis=0, dtype=np.int32) * 2 > (sizes[a : a + 512] - SHINGLE + 1)[:, None]
         out += np.packbits(votes, axis=1).view(np.int64).reshape(-1).tolist()
     return out
 
@@ -266,45 +266,45 @@ def scan_units(pages: DataFrame) -> DataFrame:
         given: set[int] = set()
         plain: dict[str, str] = {}  # what is known of a word
         for batch in batches:
-            ids, times, titles, contents = (c.to_pylist() for c in batch.columns)
-            places: list[tuple[int, str, str]] = []
-            fresh: dict[str, tuple] = {}
+            titles, contents = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             if len(seen) > MEMORY:
                 seen.clear()
             if len(given) > 4 * MEMORY:
                 given.clear()
+            fresh: dict[str, list[str]] = {}  # new lines whose fingerprints are due
+            places: list[tuple[int, str, str]] = []
             for i, (title, content) in enumerate(zip(titles, contents)):
-                own = {("content", x): None for x in content.split("\n")} if content else {}
+                lines = list(dict.fromkeys(content.split("\n"))) if content else []
                 if title:
-                    own["title", "\x00" + title.replace("\n", " ")] = None
-                for field, line in own:
-                    places.append((i, field, line))
-                    if line not in seen and line not in fresh:
+                    lines.append("\x00" + title.replace("\n", " "))
+                for line in lines:
+                    if line in seen:
+                        if seen[line] is None:
+                            continue
+                    else:
                         found = examine(line.lstrip("\x00"), line[:1] == "\x00", plain)
-                        if found is None:
+                        if found is None or (found[0] is None and len(found[1]) <= SHINGLE):
                             seen[line] = None
                             continue
                         label, words = found
-                        if label is None and len(words) <= SHINGLE:
-                            seen[line] = None
-                        else:
-                            text = " ".join(words)
-                            fresh[line] = (xxhash.xxh3_64_intdigest(text) - (1 << 63), words if len(words) > SHINGLE else None, label, text)
-            todo = [k for k, v in fresh.items() if v[1]]
-            marks = dict(zip(todo, fingerprints([fresh[k][1] for k in todo]))) if todo else {}
-            for k, (unit, _, label, text) in fresh.items():
-                seen[k] = (unit, marks.get(k), label, text)
-            cols: list[list] = [[] for _ in range(6)]
-            at = []
+                        text = " ".join(words)
+                        seen[line] = (xxhash.xxh3_64_intdigest(text) - (1 << 63), None, label, text)
+                        if len(words) > SHINGLE:
+                            fresh[line] = words
+                    places.append((i, "title" if line[:1] == "\x00" else "content", line))
+            if fresh:
+                for line, mark in zip(fresh, fingerprints(list(fresh.values()))):
+                    unit, _, label, text = seen[line]
+                    seen[line] = (unit, mark, label, text)
+            rows = []
             for i, field, line in places:
-                known = seen[line]
-                if known is None:
-                    continue
-                unit, mark, label, text = known
-                at.append(i)
-                for c, v in zip(cols, (field, unit, mark, label, None if unit in given else text)):
-                    c.append(v)
-                given.add(unit)
+                unit, mark, label, text = seen[line]
+                if unit in given:
+                    rows.append((i, field, unit, mark, label, None))
+                else:
+                    given.add(unit)
+                    rows.append((i, field, unit, mark, label, text))
+            at, *cols = zip(*rows) if rows else [()] * 6
             where = pa.array(at, pa.int64())
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays(
