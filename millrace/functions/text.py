@@ -58,7 +58,7 @@ def fields(text: Column) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(text, f"^{SPACE}+|(?<!{SPACE}){SPACE}++$", "")  # linear in runs of white space too
 
 
 def pattern_of(language: str) -> str:

@@ -173,7 +173,7 @@ def normalise_times(df: DataFrame, value: str, zone: str, locale: str) -> DataFr
     box = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), *[c.cast("string").alias(n) for n, c in spec.items()]) if kept else df
     said = _normalised(box, "_v", "_iz", "_il")
     zones = df.select(F.lower(F.trim(F.col(zone))).alias("zone")).union(
-        df.select(F.lower(F.regexp_extract(F.col(value), r"([A-Za-z_]+/[A-Za-z0-9_+/-]+)", 1)))
+        df.select(F.lower(F.regexp_extract(F.col(value), r"(?<![A-Za-z_])([A-Za-z_]++/[A-Za-z0-9_+/-]+)", 1)))
     ).filter("zone <> ''").distinct()
     by_year = offset_intervals(zones).groupBy("zone", "year").agg(F.sort_array(F.collect_list(F.struct("starts", "ends", "off", "abbr"))).alias("_iv"))
     by_year = by_year.select(F.col("zone").alias("_zone"), F.col("year").alias("_year"), "_iv")
