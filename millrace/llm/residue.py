@@ -1,9 +1,9 @@
 """Template residue, filler, error pages and script notices in titles and contents (problem 1).
 
-Titles and the lines of contents are units of text. Units with wordings that leave no doubt carry trusted labels. SimHash
-fingerprints of five-word shingles are put into tables, partitioned by two of five blocks of their bits, so that two
-fingerprints within three bits share a table's key; pairs found there are verified by Hamming distance and by the similarity of their
-shingles. In the connected components of verified pairs the trusted labels pass to units without one.
+Titles and the lines of contents are units of text. Units with wordings that leave no doubt carry trusted labels. Of each unit's
+five-word shingles, in the order of their hashes, the first fifth and one more are its keys: two units of the least similarity or more
+share one of them, so an equality join finds every such pair; it is then verified by the similarity of all shingles. In the connected
+components of verified pairs the trusted labels pass to units without one.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,9 +20,7 @@ from pyspark.sql import functions as F
 from millrace.operators.graph import connected_components
 from millrace.session import durable
 
-SHINGLE, LEAST_SIMILARITY, MOST_BITS = 5, 0.8, 3
-#: The fingerprint's bits are cut into BLOCKS blocks; with MOST_BITS bits different, BLOCKS - MOST_BITS blocks are equal.
-BLOCKS = 5
+SHINGLE, LEAST_SIMILARITY = 5, 0.8
 MEMORY = 200_000
 
 # The ways in which templates mark what is to be filled in.
@@ -226,8 +223,8 @@ def examine(line: str, title: bool, known: dict[str, str]) -> tuple[bool | None,
     return _label(words, s, title), masked(words, s, known)
 
 
-def fingerprints(texts: list[list[str]]) -> list[int]:
-    """SimHashes of texts of at least two shingles each, together."""
+def _hashed(texts: list[list[str]]):
+    """The hashes of the runs of SHINGLE words over all texts, joined, and each text's first run and number of runs; texts have SHINGLE words at least."""
     import numpy as np
 
     known: dict[str, int] = {}
@@ -241,19 +238,47 @@ def fingerprints(texts: list[list[str]]) -> list[int]:
             h = (h ^ (h >> np.uint64(30))) * np.uint64(m)
             h ^= h >> np.uint64(r)
     sizes = np.array([len(t) for t in texts])
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    return h, np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes - SHINGLE + 1
+
+
+def fingerprints(texts: list[list[str]]) -> list[int]:
+    """SimHashes of texts of at least two shingles each, together."""
+    import numpy as np
+
+    h, starts, runs = _hashed(texts)
     out = []
     for a in range(0, len(texts), 512):  # a few texts at a time, as their bits are unpacked
-        idx = np.concatenate([np.arange(s, s + n - SHINGLE + 1) for s, n in zip(starts[a : a + 512], sizes[a : a + 512])])
+        idx = np.concatenate([np.arange(s, s + n) for s, n in zip(starts[a : a + 512], runs[a : a + 512])])
         bits = np.unpackbits(h[idx].view(np.uint8).reshape(-1, 8), axis=1)
-        rows = np.concatenate(([0], np.cumsum(sizes[a : a + 512] - SHINGLE + 1)[:-1]))
-        votes = np.add.reduceat(bits, rows, axis=0, dtype=np.int32) * 2 > (sizes[a : a + 512] - SHINGLE + 1)[:, None]
+        rows = np.concatenate(([0], np.cumsum(runs[a : a + 512])[:-1]))
+        votes = np.add.reduceat(bits, rows, axis=0, dtype=np.int32) * 2 > runs[a : a + 512, None]
         out += np.packbits(votes, axis=1).view(np.int64).reshape(-1).tolist()
     return out
 
 
+def prefixes(texts: list[list[str]]):
+    """The keys of texts of at least SHINGLE words, as arrays: the text's number, how many distinct shingles it has, the key.
+
+    Of n shingles, one of least similarity t shares at least t * n, so no more than (1 - t) * n of the first ones can be missing in it.
+    """
+    import numpy as np
+
+    h, starts, runs = _hashed(texts)
+    of = np.repeat(np.arange(len(texts)), runs)
+    h = h[np.arange(len(of)) + (starts - np.cumsum(runs) + runs)[of]]
+    order = np.lexsort((h, of))
+    h = h[order]  # `of` was in order
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    h, of = h[new], of[new]
+    count = np.bincount(of, minlength=len(texts))
+    place = np.arange(len(h)) - (np.cumsum(count) - count)[of]
+    kept = place <= np.floor((1 - LEAST_SIMILARITY) * count[of] + 1e-9)
+    return of[kept], count[of[kept]], h[kept].view(np.int64)
+
+
 def scan_units(pages: DataFrame) -> DataFrame:
-    """The units that carry a trusted label or have at least two shingles: page_id, crawled, field, unit (a hash of the masked text), simhash, label, text.
+    """The units that carry a trusted label or have at least two shingles: page_id, crawled, field, unit (a hash of the masked text), label, text.
 
     text is null where the same task gave it before. Units of one shingle without a trusted label are left out, as they can't
     resemble another text enough; nothing else is.
@@ -271,7 +296,6 @@ def scan_units(pages: DataFrame) -> DataFrame:
                 seen.clear()
             if len(given) > 4 * MEMORY:
                 given.clear()
-            fresh: dict[str, list[str]] = {}  # new lines whose fingerprints are due
             places: list[tuple[int, str, str]] = []
             for i, (title, content) in enumerate(zip(titles, contents)):
                 lines = list(dict.fromkeys(content.split("\n"))) if content else []
@@ -288,32 +312,26 @@ def scan_units(pages: DataFrame) -> DataFrame:
                             continue
                         label, words = found
                         text = " ".join(words)
-                        seen[line] = (xxhash.xxh3_64_intdigest(text) - (1 << 63), None, label, text)
-                        if len(words) > SHINGLE:
-                            fresh[line] = words
+                        seen[line] = (xxhash.xxh3_64_intdigest(text) - (1 << 63), label, text)
                     places.append((i, "title" if line[:1] == "\x00" else "content", line))
-            if fresh:
-                for line, mark in zip(fresh, fingerprints(list(fresh.values()))):
-                    unit, _, label, text = seen[line]
-                    seen[line] = (unit, mark, label, text)
             rows = []
             for i, field, line in places:
-                unit, mark, label, text = seen[line]
+                unit, label, text = seen[line]
                 if unit in given:
-                    rows.append((i, field, unit, mark, label, None))
+                    rows.append((i, field, unit, label, None))
                 else:
                     given.add(unit)
-                    rows.append((i, field, unit, mark, label, text))
-            at, *cols = zip(*rows) if rows else [()] * 6
+                    rows.append((i, field, unit, label, text))
+            at, *cols = zip(*rows) if rows else [()] * 5
             where = pa.array(at, pa.int64())
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(where), batch.column(1).take(where), *[pa.array(c, k) for c, k in zip(cols, kinds)]],
-                names=["page_id", "crawled", "field", "unit", "simhash", "label", "text"],
+                names=["page_id", "crawled", "field", "unit", "label", "text"],
             )
 
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), _crawled().alias("crawled"), "title", "content").filter("page_id IS NOT NULL")
-    return own.mapInArrow(run, "page_id bigint, crawled bigint, field string, unit bigint, simhash bigint, label boolean, text string")
+    return own.mapInArrow(run, "page_id bigint, crawled bigint, field string, unit bigint, label boolean, text string")
 
 
 def _crawled() -> Column:
@@ -321,17 +339,20 @@ def _crawled() -> Column:
     return F.coalesce(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(last_crawled_at AS TIMESTAMP_NTZ))"), F.lit(-(1 << 62)))
 
 
-def tables(units: DataFrame) -> DataFrame:
-    """A row of `units` (unit, simhash, ...) for each table it is in, with the table's key."""
-    width = 64 // BLOCKS
-    parts = [F.expr(f"shiftrightunsigned(simhash, {i * width}) & {(1 << (width if i < BLOCKS - 1 else 64 - width * (BLOCKS - 1))) - 1}") for i in range(BLOCKS)]
-    keys = []
-    for n, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - MOST_BITS)):
-        key = F.lit(n).cast("bigint")
-        for c in chosen:
-            key = key * (1 << 16) + parts[c]
-        keys.append(key)
-    return units.filter("simhash IS NOT NULL").withColumn("key", F.explode(F.array(*keys)))
+def keyed(texts: DataFrame) -> DataFrame:
+    """A row of `texts` (unit, text) for each of its keys: unit, size (its number of shingles), key. Texts of one shingle have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            words = [t.split(" ") for t in batch.column(1).to_pylist()]
+            at = [i for i, w in enumerate(words) if len(w) > SHINGLE]
+            if at:
+                of, size, key = prefixes([words[i] for i in at])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(at)[of])), pa.array(size, pa.int32()), pa.array(key, pa.int64())], names=["unit", "size", "key"])
+
+    return texts.select("unit", "text").mapInArrow(run, "unit bigint, size int, key bigint")
 
 
 def _shingles(text: Column) -> Column:
@@ -339,12 +360,12 @@ def _shingles(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")))
 
 
-def similar_pairs(some: DataFrame, units: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified near-duplicates a, b with a of `some` and b of `units` (unit, simhash); `texts` has unit and text."""
-    left = tables(some.select(F.col("unit").alias("a"), F.col("simhash"))).withColumnRenamed("simhash", "_sa")
-    right = tables(units.select(F.col("unit").alias("b"), F.col("simhash"))).withColumnRenamed("simhash", "_sb")
-    near = left.join(right, "key").filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("_sa").bitwiseXOR(F.col("_sb"))) <= MOST_BITS)).select("a", "b").distinct()
-    near = durable(near, "near")
+def similar_pairs(some: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """All near-duplicates a, b with a of `some` (unit) and b of `keys` (from `keyed`); `texts` has unit and text."""
+    left = keys.join(some.select("unit"), "unit", "left_semi").select(F.col("unit").alias("a"), F.col("size").alias("_na"), "key").distinct()
+    right = keys.select(F.col("unit").alias("b"), F.col("size").alias("_nb"), "key")
+    alike = (F.col("a") != F.col("b")) & (F.least("_na", "_nb") >= LEAST_SIMILARITY * F.greatest("_na", "_nb") - 1e-9)
+    near = durable(left.join(right, "key").filter(alike).select("a", "b").distinct(), "near")
     wanted = near.select(F.col("a").alias("unit")).union(near.select("b")).distinct()
     some = durable(texts.join(wanted, "unit", "left_semi").dropDuplicates(["unit"]), "texts").withColumn("_t", _shingles(F.col("text")))
     ta, tb = (some.select(F.col("unit").alias(c), F.col("_t").alias(f"_t{c}")) for c in ("a", "b"))
@@ -359,17 +380,18 @@ def residue_units(scanned: DataFrame) -> DataFrame:
     Starting from the units with the trusted label "residue", near-duplicates are sought among all units, then theirs, until none
     is new; these are the components that hold such a unit. A unit without a label gets that of the majority of its component's.
     """
-    units = durable(scanned.filter("text IS NOT NULL").groupBy("unit").agg(F.max("simhash").alias("simhash"), F.max("label").alias("label")), "units")
+    units = durable(scanned.filter("text IS NOT NULL").groupBy("unit").agg(F.max("label").alias("label")), "units")
     texts = scanned.filter("text IS NOT NULL").select("unit", "text")
-    seeds = units.filter("label").select("unit", "simhash")
-    edges, frontier, known = None, seeds, seeds.select("unit")
+    keys = durable(keyed(texts), "keys")
+    seeds = durable(units.filter("label").select("unit"), "seeds")
+    edges, frontier, known = None, seeds, seeds
     while True:
-        found = durable(similar_pairs(frontier, units, texts).distinct(), "pairs")
+        found = durable(similar_pairs(frontier, keys, texts).distinct(), "pairs")
         edges = found if edges is None else edges.union(found)
-        new = durable(found.select(F.col("b").alias("unit")).distinct().join(known, "unit", "left_anti").join(units, "unit").select("unit", "simhash"), "frontier")
+        new = durable(found.select(F.col("b").alias("unit")).distinct().join(known, "unit", "left_anti"), "frontier")
         if new.isEmpty():
             break
-        known, frontier = known.union(new.select("unit")), new
+        known, frontier = known.union(new), new
     parts = connected_components(edges)
     member = known.join(parts.withColumnRenamed("node", "unit"), "unit", "left").join(units.select("unit", "label"), "unit").withColumn("component", F.coalesce("component", "unit"))
     votes = member.groupBy("component").agg(F.sum(F.when(F.col("label"), 1).when(~F.col("label"), -1).otherwise(0)).alias("_v"))

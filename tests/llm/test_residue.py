@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from millrace.llm import residue
@@ -43,6 +45,39 @@ def test_labels_pass_to_near_duplicates_only(spark, rows):
     assert rows(residue.residue_units(scanned)) == [(1,), (2,)]
 
 
+def _runs(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_labels_reach_all_texts_of_the_least_similarity(spark, rows):
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    texts = []
+    for n in (9, 14, 20, 30, 60, 120, 300):
+        for _ in range(6):
+            base = [word() for _ in range(n)]
+            texts.append((base, True))
+            for changes in (1, 1, 2, 3):
+                other = list(base)
+                for _ in range(changes):
+                    other[r.choice((0, n - 1, r.randrange(n)))] = word()
+                texts.append((other, None))
+            texts += [(base[1:], None), ([*base, word()], None), (texts[-1][0][1:], None)]
+    texts = {i: (" ".join(t), label) for i, (t, label) in enumerate(texts)}
+    sets = {i: _runs(t) for i, (t, _) in texts.items()}
+    like = {i: [j for j in sets if i != j and len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4] for i in sets}
+    expected = new = {i for i, (_, label) in texts.items() if label}
+    near = {len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in expected for j in like[i]}
+    assert min(near) < 0.82 and len([x for x in near if x < 0.9]) > 10
+    while new:
+        new = {j for i in new for j in like[i]} - expected
+        expected = expected | new
+    marks = dict(zip(texts, fingerprints([t.split() for t, _ in texts.values()])))
+    scanned = spark.createDataFrame([(u, marks[u], label, t) for u, (t, label) in texts.items()], "unit long, simhash long, label boolean, text string")
+    assert {u for (u,) in rows(residue.residue_units(scanned))} == expected and len(expected) < len(texts)
+
+
 def test_a_table(spark, rows):
     data = [(i, "A Post in Robotics", f"Home\n{t}\nAbout", None, "z") for i, t in enumerate(RESIDUE)] + [(50 + i, "A Post in Robotics", t, None, "z") for i, t in enumerate(NONE)]
     data += [(90, None, None, None, "z"), (91, "", "", None, "z"), (92, "Sample Page", "yx" * 100_000, None, "z"), (None, "Error 404", "Error 404", None, "z"), data[0]]
