@@ -1,7 +1,7 @@
 """The main body of pages (problem 6): a linear-chain conditional random field over blocks.
 
-The blocks of a page are the lines of its content; a binary label says whether one is of the main body. Features are words at the
-block's ends, its size, marks, letters and function words, its place, repetitions, and whether the abstract begins with it. The field
+The blocks of a page are the lines of its content; a binary label says whether one is of the main body. Features are the words
+of the whole block and their pairs, its size, marks, letters and function words, its place, repetitions, and whether the abstract begins with it. The field
 is fitted by maximum likelihood to a bounded sample of pages, labelled by cues (`cues.label`) where these leave no doubt; blocks
 without a label are summed over. Pages are decoded by Viterbi.
 
@@ -12,6 +12,7 @@ headings without an end) stand in for features of ancestor tags.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -37,16 +38,11 @@ _FUNCTION = cues.ALL_FUNCTION_WORDS
 def block_features(line: str) -> list[str]:
     """The features of a block by itself."""
     text = " ".join(line.split())
-    n = len(text)
-    long = n > 160
-    start = text[:80] if long else text
-    low = start.lower()
-    tokens = _TOKEN.findall(_NUMBER.sub("0", low))
-    last = _TOKEN.findall(_NUMBER.sub("0", text[-40:].lower()))[-3:] if long else tokens[-3:]
-    size = min(9, n.bit_length())
+    tokens = _TOKEN.findall(_NUMBER.sub("0", text.lower()))
+    size = min(9, len(text).bit_length())
     words = [t for t in tokens if t.isalpha()]
     function = len([w for w in words if w in _FUNCTION])
-    spaced = start.split()
+    spaced = text.split()
     caps = len([w for w in spaced if w[0].isupper()])
     end = text[-1:].lower()
     ends = end if not end.isalnum() else ("0" if end.isdigit() else "a")
@@ -54,15 +50,9 @@ def block_features(line: str) -> list[str]:
     out = ["=bias", f"=n{size}", f"=e{ends}", f"=n{size}e{ends}", f"=f{min(5, 10 * function // max(1, len(words)))}", f"=c{5 * caps // max(1, len(spaced))}", f"=s{min(4, stops)}"]
     if text.isupper():
         out.append("=upper")
-    if long or len(tokens) > 40:  # the first and last words in pairs, and the marks
-        first, last = ["<", *tokens[:4]], [*last, ">"]
-        out += map(" ".join, zip(first, first[1:]))
-        out += map(" ".join, zip(last, last[1:]))
-        out += {t for t in tokens if not t.isalnum()}
-    else:  # all words, and in pairs
-        every = ["<", *tokens, ">"]
-        out += set(tokens)
-        out += map(" ".join, zip(every, every[1:]))
+    every = ["<", *tokens, ">"]
+    out += set(tokens)
+    out += set(map(" ".join, zip(every, every[1:])))
     return out
 
 
@@ -129,7 +119,8 @@ def fit(pages: list[tuple[str, str | None]], steps: int = STEPS) -> Field:
     """The field of maximum likelihood for pages (content, abstract), by gradient steps with Adam's step sizes."""
     import numpy as np
 
-    rows: list[list[str]] = []
+    ids: dict[str, int] = {}
+    rows: list[array] = []  # numbers of features
     truth: list[int] = []
     lengths = []
     for content, abstract in pages:
@@ -137,22 +128,25 @@ def fit(pages: list[tuple[str, str | None]], steps: int = STEPS) -> Field:
         a = cues.squeezed(abstract or "")
         seen: set[str] = set()
         for i, line in enumerate(lines):
-            rows.append(block_features(line) + context_features(i, len(lines), line in seen, bool(a) and begins(a, cues.squeezed(line))))
+            own = block_features(line) + context_features(i, len(lines), line in seen, bool(a) and begins(a, cues.squeezed(line)))
+            rows.append(array("q", [ids.setdefault(f, len(ids)) for f in own]))
             seen.add(line)
             t = cues.label(line)
             truth.append(-1 if t is None else int(t))
         if lines:
             lengths.append(len(lines))
-    count: dict[str, int] = {}
-    for r in rows:
-        for f in r:
-            count[f] = count.get(f, 0) + 1
-    names = sorted(f for f, c in count.items() if c >= LEAST_SEEN)
-    place = {f: k for k, f in enumerate(names)}
-    if not rows or not names:
+    if not rows:
         return Field({}, [[0.0, 0.0], [0.0, 0.0]])
-    of_row = np.array([k for k, r in enumerate(rows) for f in r if f in place], np.int64)
-    of_name = np.array([place[f] for r in rows for f in r if f in place], np.int64)
+    of_name = np.concatenate([np.frombuffer(r, np.int64) for r in rows])
+    of_row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    count = np.bincount(of_name, minlength=len(ids))
+    names = sorted(f for f, k in ids.items() if count[k] >= LEAST_SEEN)
+    if not names:
+        return Field({}, [[0.0, 0.0], [0.0, 0.0]])
+    place = np.full(len(ids), -1)
+    place[[ids[f] for f in names]] = np.arange(len(names))
+    of_name = place[of_name]
+    of_row, of_name = of_row[of_name >= 0], of_name[of_name >= 0]
     known = np.array(truth)
     longest, p = max(lengths), len(lengths)
     at = np.full((longest, p), -1, np.int64)

@@ -18,7 +18,7 @@ ALL_FUNCTION_WORDS = frozenset(w for ws in FUNCTION_WORDS.values() for w in ws)
 
 # Wordings that mark a line as standing outside the main text of a page.
 OUTSIDE = [
-    r"\b(?:cookies?|local storage|small text files|tracking pixels|similar technologies)\b.*(?:\.|/| no\b|einverstanden|refuser|zählen)",
+    r"^(?>.*?\b(?:cookies?|local storage|small text files|tracking pixels|similar technologies)\b).*(?:\.|/| no\b|einverstanden|refuser|zählen)",
     r"\b(?:accept all|manage (?:your )?(?:choices|preferences)|ok, got it|privacy settings|by continuing you agree|read our privacy notice|choose what you allow|reject non-essential|strictly necessary)\b",
     r"^(?:jump|skip) (?:to|navigation)|^(?:toggle navigation|show sidebar|hide sidebar|open menu|close menu|menu\b.*|my account|saved searches|post a listing|back to top.*|sign in|log ?in|log out|register|home|about|contact|help|faq|search|news|press|events|blog|map|library|donate|staff|students|alumni|partners|employers|funding|calendar|listings|programmes)$",
     r"^zum inhalt springen|^aller au contenu|^(?:startseite|accueil|inicio)\b|^plan du site|^datenschutz\b|^impressum\b",
@@ -29,14 +29,16 @@ OUTSIDE = [
     r"^(?:by|words:|posted by|listing checked by|last updated|filed under|written by|text:|photos?:)\s.*|^\d{1,2} +[a-z]+ +\d{4} +·",
     r"^page \d+ of \d+|^previous\b.*\bnext\b|^‹|^showing \d+ of \d+|^load more\b|^back to .*(?:←|page)|^apply on the next page|^\d+ results?\b",
     r"^your session will expire|^hello, guest|^log in or create an account|^already registered|^forgot password|^call us\b|^tell us if this page",
-    r"^terms of use|^report abuse|slavery statement|\bprivacy\b.*\|.*|^imprint\b|^you are here\b",
+    r"^terms of use|^report abuse|slavery statement|^(?>.*?\bprivacy\b).*\||^imprint\b|^you are here\b",
     r"^information is given without warranty|\baccepts no liability\b|\bdoes not discriminate in access\b|\bis an equal opportunity\b|\bis not responsible for\b",
-    r"^listing supplied by|\bmake a gift today|^supported by readers|^hosted in .*(?:machines|build)|\bmember of the .* consortium\b|site by\b",
+    r"^listing supplied by|\bmake a gift today|^supported by readers|^hosted in .*(?:machines|build)|^(?>.*?\bmember of the ).* consortium\b|site by\b",
 ]
+# What may stand before a wording is matched once (`(?>`), which keeps the time linear in a line's length.
 OUTSIDE_RE = re.compile("|".join(f"(?:{p})" for p in OUTSIDE))
 # Words of menus; a line of nothing else and separators is a menu.
 _MENU = r"(?:home|about(?: us)?|contact|help|faq|search|news|press|events|blog|map|library|donate|staff|students|alumni|partners|employers|funding|calendar|listings|programmes|sign in|log in|register|my account|saved searches|post a listing|menu|close|privacy|imprint|terms|stellen|anmelden|impressum|offres|connexion|mentions légales|confidentialité|kontakt|barrierefreiheit|[a-z]+s? in [^|>/·]+|internships|placements|traineeships|fellowships|scholarships|vacancies|research posts|summer schools)"
-MENU_RE = re.compile(rf"^(?:{_MENU}|[^|>»/·•\t]{{2,40}})(?:\s*[|>»/·•\t]\s*(?:{_MENU}|[^|>»/·•\t]{{2,40}}))+\s*[|>»/·•]?$|^{_MENU}(?: +{_MENU})*$|^{_MENU}(?: - {_MENU})+$")
+_ENTRY_RE = re.compile(_MENU)
+_SEPARATOR_RE = re.compile(r"[|>»/·•\t]")
 MENU_WORDS_RE = re.compile(rf"^{_MENU}(?:(?:\s*[|>»/·•\t-]\s*| +){_MENU})+$")
 _SPOKEN_RE = re.compile(r"(?:you|we|our|they|the (?:team|group|course|post)) (?:will|have|are|can|also|often)\b")
 INSIDE_RE = re.compile(
@@ -55,6 +57,14 @@ def is_prose(s: str) -> bool:
     return len(words) >= 8 and sum(w in ALL_FUNCTION_WORDS for w in words) >= max(2, len(words) * 0.12) and s.rstrip("\"'”»)")[-1:] in ".!?…"
 
 
+def is_menu(s: str) -> bool:
+    """Whether a squeezed line is entries of some length between separators."""
+    parts = _SEPARATOR_RE.split(s)
+    if not parts[-1]:
+        parts.pop()
+    return len(parts) > 1 and all((len(p) > 1 and len(p.strip()) <= 40) or _ENTRY_RE.fullmatch(p.strip()) for p in parts)
+
+
 def label(line: str) -> bool | None:
     """Whether a line is of the main text, judged by cues alone; None where none applies."""
     s = squeezed(line)
@@ -64,10 +74,10 @@ def label(line: str) -> bool | None:
         return False
     if _SPOKEN_RE.match(s) and is_prose(s):
         return True
-    if len(s) < 260 and OUTSIDE_RE.search(s):
+    if OUTSIDE_RE.search(s):
         return False
     if INSIDE_RE.search(s) or is_prose(s):
         return True
-    if len(s) < 260 and MENU_RE.match(s):
+    if is_menu(s):
         return False
     return None

@@ -44,6 +44,21 @@ def test_cues():
     assert cues.label("Home / About / Contact") is False and cues.label(" ") is None
 
 
+def test_long_blocks_are_read_whole():
+    start, end = "The team reads old records every week and writes a short report for the archive of the town. " * 2, " The head of the workshop also looks after the boats and reads the reports of the week."
+    notice, duty = (start + x + end for x in ("Cookies and similar technologies are used here to count the visits of each reader.", "Glaciers and rivers of the region are drawn here to count the floods of each spring."))
+    assert len(notice) > 260 and cues.label(notice) is False and cues.label(duty) is True
+    assert {"cookies", "similar technologies"} <= set(body.block_features(notice)) and "rivers" in body.block_features(duty)
+    field = body.fit([(f"Home | About\n{duty}\n{notice}\nShare | Print", None), (f"Home | About\n{notice}\n{duty}\nShare | Print", None)] * 20, steps=60)
+    assert field.decode(["Home | About", notice, duty]) == [False, False, True] and field.decode(["Home | About", duty, notice]) == [False, True, False]
+
+
+def test_menus_of_any_length():
+    assert cues.is_menu("ab | cd » e") and cues.is_menu("ab | cd |") and not cues.is_menu("ab") and not cues.is_menu("ab || cd") and not cues.is_menu("ab | " + "x" * 41)
+    assert cues.label(" | ".join(f"entry {i}" for i in range(500))) is False
+    assert cues.label("ab | cd " * 20_000 + "x" * 60) is None and cues.label("cookies " * 20_000) is None
+
+
 SCHEMA = "page_id long, content string, abstract string, last_crawled_at timestamp, line_no string"
 
 
