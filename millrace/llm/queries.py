@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.llm import body, canonical, mixing, ranking, residue, site_lines, spam, splitting, tokens
 from millrace.sources.tables import table
@@ -77,8 +76,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """What stands outside the main body of the pages that are neither spam nor residue."""
     pages = table(spark, d, "web_pages")
-    contents = pages.withColumn("title", F.lit(None).cast("string"))  # only residue in contents counts here
-    other = spam.find_spam(pages).union(residue.find_residue(contents).select("page_id")).distinct()
+    bad = residue.find_residue(pages).filter("field = 'content'")  # found with the titles, whose labels pass to contents
+    other = spam.find_spam(pages).union(bad.select("page_id")).distinct()
     return body.find_outside(pages).join(other, "page_id", "left_anti")
 
 

@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from millrace.llm import body, cues
+from millrace.llm import body, cues, queries
 
 
 def page(r):
@@ -75,3 +75,12 @@ def test_a_table(spark):
     bodies = {x["page_id"]: x["content"] for x in body.main_bodies(df).collect()}
     assert bodies[500] is None and all(t in bodies[0] for t, b in zip(*pages[0]) if b)
     assert body.find_outside(df.limit(0)).count() == 0
+
+
+def test_found_leaves_out_contents_that_repeat_an_error_title(spark, tmp_path):
+    r = random.Random(9)
+    name = "404 Not Found - Some Site Careers Portal"
+    data = [(i, "A Post in Robotics", "\n".join(page(r)[0]), None, "en-GB", None) for i in range(60)] + [(100, name, "Home | About\nA Post in Robotics", None, "en-GB", None), (101, "A Post in Robotics", f"Home | About\n{name}", None, "en-GB", None)]
+    spark.createDataFrame(data, "page_id long, title string, content string, abstract string, site_locale string, last_crawled_at timestamp").coalesce(1).write.parquet(f"{tmp_path}/web_pages.parquet")
+    found = {x["page_id"] for x in queries.p6_found(spark, str(tmp_path)).collect()}
+    assert 100 in found and 101 not in found and found >= set(range(60))
