@@ -136,6 +136,7 @@ LATIN = frozenset(
 )
 LATIN_STEMS = frozenset(w[:4] for w in LATIN if len(w) > 3)
 _WORD = re.compile(r"[^\W\d_]+")
+_SITE = re.compile(r"\s+[|–—-]\s+")
 _CODES = re.compile(r"\b(?=[a-f]*\d)[a-f0-9]{6,}\b|\d[\d.,]*")
 
 
@@ -189,7 +190,7 @@ def _label(words: list[str], s: str, title: bool) -> bool | None:
         if marks := list(PLACEHOLDER.finditer(s)):
             return not all(MENTION.search(s[: m.start()].rstrip() if s[: m.start()][-1:] == " " else s[: m.start()]) for m in marks)
     if title:  # the name of the site may follow
-        head = re.split(r"\s+[|–—-]\s+", s)
+        head = _SITE.split(s)
         if head[0] in ("null", "undefined", "nan") or _says_residue(head[0] or "-") or (head[0].isdigit() and len(head) > 1 and _says_residue(f"{head[0]} {head[1]}")):
             return True
     if _says_residue(s):
@@ -278,10 +279,11 @@ def prefixes(texts: list[list[str]]):
 
 
 def scan_units(pages: DataFrame) -> DataFrame:
-    """The units that carry a trusted label or have at least two shingles: page_id, crawled, field, unit (a hash of the masked text), label, text.
+    """The units that may carry a trusted label or have at least two shingles: page_id, crawled, field, unit (a hash of the masked text), label, text.
 
-    text is null where the same task gave it before. Units of one shingle without a trusted label are left out, as they can't
-    resemble another text enough; nothing else is.
+    text is null where the same task gave it before; label is of the row's field, so rows of a unit may differ in it. Units of one
+    shingle without a trusted label are left out, as they can't resemble another text enough, unless the rule of titles may label the
+    same text; nothing else is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +309,7 @@ def scan_units(pages: DataFrame) -> DataFrame:
                             continue
                     else:
                         found = examine(line.lstrip("\x00"), line[:1] == "\x00", plain)
-                        if found is None or (found[0] is None and len(found[1]) <= SHINGLE):
+                        if found is None or (found[0] is None and len(found[1]) <= SHINGLE and not (line[:1] != "\x00" and _SITE.search(" ".join(found[1])))):
                             seen[line] = None
                             continue
                         label, words = found
@@ -380,7 +382,7 @@ def residue_units(scanned: DataFrame) -> DataFrame:
     Starting from the units with the trusted label "residue", near-duplicates are sought among all units, then theirs, until none
     is new; these are the components that hold such a unit. A unit without a label gets that of the majority of its component's.
     """
-    units = durable(scanned.filter("text IS NOT NULL").groupBy("unit").agg(F.max("label").alias("label")), "units")
+    units = durable(scanned.groupBy("unit").agg(F.max("label").alias("label")), "units")
     texts = scanned.filter("text IS NOT NULL").select("unit", "text")
     keys = durable(keyed(texts), "keys")
     seeds = durable(units.filter("label").select("unit"), "seeds")

@@ -78,6 +78,13 @@ def test_labels_reach_all_texts_of_the_least_similarity(spark, rows):
     assert {u for (u,) in rows(residue.residue_units(scanned))} == expected and len(expected) < len(texts)
 
 
+def test_a_titles_label_reaches_the_same_line_of_contents(spark, rows):
+    name = "404 Not Found - Some Site Careers Portal"
+    data = [(1, name, f"Home\n{name}\nAbout", None, "z"), (2, "A Post in Robotics", f"Home\n{name}", None, "z"), (3, "Untitled | Acme", "Untitled | Acme", None, "z"), (4, "A Post | Acme", "A Post | Acme", None, "z")]
+    assert trusted(name) is None and trusted("Untitled | Acme") is None
+    assert rows(find_residue(spark.createDataFrame(data, SCHEMA).coalesce(1))) == [(1, "content"), (1, "title"), (2, "content"), (3, "content"), (3, "title")]
+
+
 def test_a_table(spark, rows):
     data = [(i, "A Post in Robotics", f"Home\n{t}\nAbout", None, "z") for i, t in enumerate(RESIDUE)] + [(50 + i, "A Post in Robotics", t, None, "z") for i, t in enumerate(NONE)]
     data += [(90, None, None, None, "z"), (91, "", "", None, "z"), (92, "Sample Page", "yx" * 100_000, None, "z"), (None, "Error 404", "Error 404", None, "z"), data[0]]
