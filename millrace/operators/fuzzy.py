@@ -34,6 +34,13 @@ def near_words(tokens: DataFrame, words: DataFrame, tolerance: int = 2) -> DataF
     return pairs.join(least, "token").filter("distance = _least").drop("_least")
 
 
+def near_pairs(words: DataFrame, tolerance: int = 2) -> DataFrame:
+    """All pairs of different words within the tolerance: a, b (a < b), distance. Found as in `near_words`; `words`: word."""
+    forms = words.select("word").filter("word IS NOT NULL").distinct().select("word", F.explode(shortened(F.col("word"), tolerance)).alias("_form"))
+    pairs = forms.withColumnRenamed("word", "a").join(forms.withColumnRenamed("word", "b"), "_form").filter("a < b").select("a", "b").distinct()
+    return pairs.withColumn("distance", byte_distance(F.col("a"), F.col("b"), tolerance)).filter("distance >= 0")
+
+
 def first_words(near: DataFrame, limit: int) -> DataFrame:
     """The first corrections of each token: by distance, frequency and the word: token, word, frequency, distance, place."""
     order = Window.partitionBy("token").orderBy("distance", F.col("frequency").desc(), "word")

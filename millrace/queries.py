@@ -259,6 +259,13 @@ def edit_distance_bytes(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "_k").filter("a < b").select("a", "b", text.byte_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
+@query()
+def edit_distance_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of dictionary words within two edits, wherever these are, with its distance."""
+    words = search.word_frequencies(search.clean_postings(table(spark, d, "postings"))).select("word")
+    return fuzzy.near_pairs(words).select("a", "b", "distance")
+
+
 # Fields of listings
 
 _ONE = "one AS (SELECT page_id, arg_max(struct_pack(t := title, a := abstract, c := content), last_crawled_at) AS s FROM web_pages WHERE page_id IS NOT NULL GROUP BY page_id), txt AS (SELECT page_id, concat(coalesce(s.t, ''), ' . ', coalesce(s.a, ''), ' . ', coalesce(s.c, '')) AS text FROM one)"
