@@ -80,12 +80,22 @@ def stopword_filter(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).select("doc_id", text.tokens(F.col("text"), stop=_STOP).alias("tokens"))
 
 
+def _sanitised(docs: DataFrame) -> DataFrame:
+    language = F.element_at(F.create_map(*[F.lit(x) for kv in text.LANGUAGE_OF_CODE.items() for x in kv]), F.lower(F.trim("lang")))
+    return docs.select("doc_id", text.sanitised_by(text.fields(F.col("text")), F.coalesce(language, F.lit("unknown"))).alias("tokens"))
+
+
 @query("SELECT doc_id, CASE lang " + " ".join(f"WHEN '{c}' THEN {_sql_words('text', text.LETTERS[n])}" for c, n in text.LANGUAGE_OF_CODE.items() if c in ("de", "fr", "es", "it", "pt")) + f" ELSE {_sql_words('text')} END AS tokens FROM documents WHERE text IS NOT NULL AND lang IN ('de', 'fr', 'es', 'en')")
 def sanitize_multilang(spark: SparkSession, d: str) -> DataFrame:
     """Tokens cleaned by each document's language."""
     docs = _documents(spark, d).filter(F.col("lang").isin("de", "fr", "es", "en"))
-    language = F.element_at(F.create_map(*[F.lit(x) for kv in text.LANGUAGE_OF_CODE.items() for x in kv]), F.col("lang"))
-    return docs.select("doc_id", text.sanitised_by(text.fields(F.col("text")), language).alias("tokens"))
+    return _sanitised(docs)
+
+
+@query()
+def sanitize_every_language(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of every document, also of those whose language is unknown or has no code."""
+    return _sanitised(_documents(spark, d))
 
 
 @query()

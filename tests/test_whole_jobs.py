@@ -1,5 +1,6 @@
 import random
 
+from millrace import queries
 from millrace.operators import fuzzy
 
 
@@ -18,3 +19,11 @@ def test_near_pairs_against_brute_force(spark, rows):
     got = rows(fuzzy.near_pairs(spark.createDataFrame([(w,) for w in [*words, None, "it"]], "word string")).select("a", "b", "distance"))
     every = [(a, b, edits(a.encode(), b.encode())) for a in words for b in words if a < b]
     assert got == sorted([x for x in every if x[2] <= 2], key=repr) and ("internship", "nternship", 1) in got
+
+
+def test_every_language_is_sanitised(spark, rows, tmp_path):
+    data = [(1, "Straße 5!", "de"), (2, "Straße 5!", None), (3, "Straße", "DE"), (4, "ひらがな abc", "ja"), (5, "né-e", "und"), (6, None, "de"), (7, "It’s", "EN"), (8, "né", "fr")]
+    spark.createDataFrame(data, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {i: list(t) for i, t in rows(queries.QUERIES["sanitize_every_language"](spark, str(tmp_path)))}
+    assert set(got) == {1, 2, 3, 4, 5, 7, 8}
+    assert got[1] == ["straße", "5"] and got[2] == ["strae", "5"] and got[3] == ["straße"] and got[4] == ["ひらがな", "abc"] and got[5] == ["ne"] and got[7] == ["its"] and got[8] == ["né"]
