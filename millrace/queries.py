@@ -447,6 +447,14 @@ def frontier_bfs(spark: SparkSession, d: str) -> DataFrame:
     return crawl.breadth_first(e.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")), e.filter("src_id <= 5").select(F.col("src_id").alias("node")), 3)
 
 
+@query()
+def frontier_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every page that links lead to from the pages of tier 1, with the number of links to it."""
+    seeds = table(spark, d, "web_pages").filter("trust_tier = 1").select(F.col("page_id").alias("node"))
+    e = table(spark, d, "link_edges").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
+    return crawl.breadth_first(e, seeds, 1 << 30)  # ends with an empty frontier
+
+
 @query("SELECT count(*) AS pages FROM (SELECT DISTINCT page_id FROM web_pages WHERE page_id IS NOT NULL)")
 def page_count(spark: SparkSession, d: str) -> DataFrame:
     """The number of stored pages."""

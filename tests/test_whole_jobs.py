@@ -27,3 +27,10 @@ def test_every_language_is_sanitised(spark, rows, tmp_path):
     got = {i: list(t) for i, t in rows(queries.QUERIES["sanitize_every_language"](spark, str(tmp_path)))}
     assert set(got) == {1, 2, 3, 4, 5, 7, 8}
     assert got[1] == ["straße", "5"] and got[2] == ["strae", "5"] and got[3] == ["straße"] and got[4] == ["ひらがな", "abc"] and got[5] == ["ne"] and got[7] == ["its"] and got[8] == ["né"]
+
+
+def test_the_whole_frontier(spark, rows, tmp_path):
+    spark.createDataFrame([(10, 1), (20, 2), (30, 1), (31, 3)], "page_id long, trust_tier int").write.parquet(f"{tmp_path}/web_pages.parquet")
+    links = [(10 + i, 11 + i) for i in range(7)] + [(16, 10), (20, 21), (30, 12)]
+    spark.createDataFrame(links, "src_id long, dst_id long").write.parquet(f"{tmp_path}/link_edges.parquet")
+    assert rows(queries.QUERIES["frontier_all"](spark, str(tmp_path))) == [(10, 0), (11, 1), (12, 1), (13, 2), (14, 3), (15, 4), (16, 5), (17, 6), (30, 0)]
