@@ -1,59 +1,77 @@
 """The main body of pages (problem 6): a linear-chain conditional random field over blocks.
 
-The blocks of a page are the lines of its content; a binary label says whether one is of the main body. Features are the words
-of the whole block and their pairs, its size, marks, letters and function words, its place, repetitions, and whether the abstract begins with it. The field
-is fitted by maximum likelihood to a bounded sample of pages, labelled by cues (`cues.label`) where these leave no doubt; blocks
-without a label are summed over. Pages are decoded by Viterbi.
+The blocks of a page are the leaf blocks of its HTML, or the lines of a content from which the tags are gone; a binary label says
+whether one is of the main body. Features are the tags above a block, the words of the whole block and their pairs, its size, marks,
+letters and function words, its place, repetitions, and whether the abstract begins with it. The field is fitted by maximum likelihood
+to a bounded sample of labelled pages; blocks without a label are summed over. Pages are decoded by Viterbi, without the labels' rules.
 
-The contents hold no tags, only the blocks' lines, so the marks that a block's tag leaves in its text (bullets, separators of menus,
-headings without an end) stand in for features of ancestor tags.
+Where no labelled pages are given, the sample's are made: a line that recurs on the pages of its site is outside (`Recurring`), and so
+is one with a general cue (`cues.label`); sentences of some length and entries of lists are inside; the others have no label.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections import Counter
+from html.parser import HTMLParser
 from itertools import repeat
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import cues
-from millrace.llm.residue import _crawled
+from millrace.session import durable
+from millrace.sources.lines import site_of
 from millrace.sources.tables import newest
 
-#: Pages the field is fitted to, at most, and the steps of the fit.
-TRAIN_PAGES, STEPS = 1500, 120
+#: Pages the field is fitted to, at most, those of one site among them, their characters, and the steps of the fit.
+TRAIN_PAGES, SITE_PAGES, TRAIN_CHARS, STEPS = 1500, 40, 50_000, 120
+#: Sites from which training pages are drawn, at least, where there are as many.
+TRAIN_SITES = 60
 #: Features seen in fewer training blocks are left out; the penalty of the weights' squares.
 LEAST_SEEN, PENALTY = 2, 0.3
+#: A line recurs if it is on so many pages of its site, and on so large a share of them.
+LEAST_PAGES, LEAST_SHARE = 5, 0.2
 MEMORY = 150_000
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d|[^\w\s]")
 _NUMBER = re.compile(r"\d[\d.,]*")
-_FUNCTION = cues.ALL_FUNCTION_WORDS
+_is_function = cues.ALL_FUNCTION_WORDS.__contains__
+_NAME = re.compile(r"(?<![^\W_])[A-ZÀ-Þ][\w’'-]*(?:\s+(?:(?:of|and|in|the)\s+)?[A-ZÀ-Þ][\w’'-]*)*")
 
+Path = tuple[str, ...]
+#: A labelled page: blocks, labels, the abstract, and for each block the tags above it, or no tags.
+Labelled = tuple[list[str], list[bool | None], str, list[Path] | None]
 
-def block_features(line: str) -> list[str]:
-    """The features of a block by itself."""
+
+def _shape(line: str) -> tuple[tuple[int, str, int, int, int, bool], list[str]]:
+    """The form of a block (its size, end, function words, names, sentences, whether it is in capitals), and its tokens."""
     text = " ".join(line.split())
     tokens = _TOKEN.findall(_NUMBER.sub("0", text.lower()))
-    size = min(9, len(text).bit_length())
-    words = [t for t in tokens if t.isalpha()]
-    function = len([w for w in words if w in _FUNCTION])
-    spaced = text.split()
-    caps = len([w for w in spaced if w[0].isupper()])
+    spaced = text.split(" ")
+    function, caps = sum(map(_is_function, tokens)), sum(map(str.istitle, spaced))
     end = text[-1:].lower()
     ends = end if not end.isalnum() else ("0" if end.isdigit() else "a")
     stops = text.count(". ") + text.count("? ") + text.count("! ") + (ends in (".", "?", "!", "…"))
-    out = ["=bias", f"=n{size}", f"=e{ends}", f"=n{size}e{ends}", f"=f{min(5, 10 * function // max(1, len(words)))}", f"=c{5 * caps // max(1, len(spaced))}", f"=s{min(4, stops)}"]
-    if text.isupper():
-        out.append("=upper")
+    return (min(9, len(text).bit_length()), ends, min(5, 10 * function // len(spaced)), 5 * caps // len(spaced), min(4, stops), text.isupper()), tokens
+
+
+def _form_features(form: tuple[int, str, int, int, int, bool]) -> list[str]:
+    size, ends, function, caps, stops, upper = form
+    return ["=bias", f"=n{size}", f"=e{ends}", f"=n{size}e{ends}", f"=f{function}", f"=c{caps}", f"=s{stops}"] + (["=upper"] if upper else [])
+
+
+def block_features(line: str, path: Path = ()) -> list[str | tuple[str, str]]:
+    """The features of a block by itself: its form, words and pairs of words, the tags above it."""
+    form, tokens = _shape(line)
     every = ["<", *tokens, ">"]
-    out += set(tokens)
-    out += set(map(" ".join, zip(every, every[1:])))
-    return out
+    return [*_form_features(form), *path_features(path), *set(tokens), *set(zip(every, every[1:]))]
+
+
+def path_features(path: Path) -> list[str]:
+    """The features of the tags above a block, from the outermost."""
+    return [*{f"=in:{t}" for t in path}, f"=leaf:{path[-1]}", f"=leaf:{'>'.join(path[-2:])}"] if path else []
 
 
 def context_features(i: int, n: int, again: bool, abstract: bool) -> list[str]:
@@ -74,20 +92,28 @@ def _may_begin(abstract: str, line: str) -> bool:
 class Field:
     """A fitted field: weights of features for the label "main body", and of transitions (from, to)."""
 
-    def __init__(self, weights: dict[str, float], moves: list[list[float]]) -> None:
+    def __init__(self, weights: dict[str | tuple[str, str], float], moves: list[list[float]]) -> None:
         self.weights, self.moves = weights, moves
-        self.memory: dict[str, float] = {}
+        self.memory: dict[str, float] = {}  # of lines
+        self.forms: dict[tuple, float] = {}  # a few thousand
+
+    def __reduce__(self):
+        return Field, (self.weights, self.moves)
 
     def score(self, line: str) -> float:
         known = self.memory.get(line)
         if known is None:
             if len(self.memory) > MEMORY:
                 self.memory.clear()
-            known = self.memory[line] = sum(map(self.weights.get, block_features(line), repeat(0.0)))
+            form, tokens = _shape(line)
+            get, every = self.weights.get, ["<", *tokens, ">"]
+            if form not in self.forms:
+                self.forms[form] = sum(get(f, 0.0) for f in _form_features(form))
+            known = self.memory[line] = self.forms[form] + sum(map(get, set(tokens), repeat(0.0))) + sum(map(get, set(zip(every, every[1:])), repeat(0.0)))
         return known
 
-    def decode(self, lines: list[str], abstract: str = "") -> list[bool]:
-        """The most probable labels of a page's blocks."""
+    def decode(self, lines: list[str], abstract: str = "", paths: list[Path] | None = None) -> list[bool]:
+        """The most probable labels of a page's blocks; `abstract` is squeezed."""
         n, w = len(lines), self.weights
         first, last, part = ([w.get(f"={c}{k}", 0.0) for k in range(5)] for c in "ijp")
         again = w.get("=again", 0.0)
@@ -95,6 +121,8 @@ class Field:
         out, main, back, seen = 0.0, 0.0, [], set()
         for i, line in enumerate(lines):
             e = self.score(line) + (first[i] if i < 4 else first[4]) + (last[n - 1 - i] if n - 1 - i < 4 else last[4]) + part[4 * i // n]
+            if paths:
+                e += sum(w.get(f, 0.0) for f in path_features(paths[i]))
             if line in seen:
                 e += again
             seen.add(line)
@@ -114,25 +142,79 @@ class Field:
             labels.append(label)
         return labels[::-1] if n else []
 
+    def outside(self, every: list[str], squeezed: str, abstract: str) -> tuple[list[int], bool]:
+        """Of a content's lines, the numbers (from 1) of those outside the main body, without empty ones, and whether the abstract is outside."""
+        at = [i for i, x in enumerate(every, 1) if x and not x.isspace()]
+        lines = [every[i - 1] for i in at]
+        labels = self.decode(lines, squeezed)
+        out = [i for i, b in zip(at, labels) if not b]
+        if not squeezed:
+            return out, False
+        same = [b for x, b in zip(lines, labels) if _may_begin(squeezed, x) and begins(squeezed, cues.squeezed(x))]
+        return out, not any(same) if same else not self.decode([abstract])[0]
+
 
-def fit(pages: list[tuple[str, str | None]], steps: int = STEPS) -> Field:
-    """The field of maximum likelihood for pages (content, abstract), by gradient steps with Adam's step sizes."""
+class Recurring:
+    """Which lines of a sample of pages recur on the pages of their site, but for digits.
+
+    A line's pattern, with names and digits left out, is taken for recurring too where a tenth of its lines are: a notice that names
+    its site recurs there, and is known by its pattern on a site with few pages.
+    """
+
+    def __init__(self, pages: list[tuple[str | None, list[str]]]) -> None:
+        self.pages = Counter(s for s, _ in pages)
+        self.lines = Counter((s, x) for s, lines in pages for x in {self._plain(line) for line in lines})
+        every, recurring = Counter(), Counter()
+        for s, lines in pages:
+            for line in lines:
+                if p := self._pattern(line):
+                    every[p] += 1
+                    recurring[p] += self._recurs(s, line)
+        self.patterns = {p for p, k in recurring.items() if k * 10 >= every[p] and k}
+
+    @staticmethod
+    def _plain(line: str) -> str:
+        return re.sub(r"\d+", "0", cues.squeezed(line))
+
+    @staticmethod
+    def _pattern(line: str) -> str | None:
+        s = " ".join(line.split())
+        if s.isupper():
+            return None
+        s = re.sub(r"\d+", "0", _NAME.sub("X", s[:1].lower() + s[1:])).lower()
+        return s if len([w for w in s.split() if w != "x" and w.isalpha()]) >= 3 else None
+
+    def _recurs(self, site: str | None, line: str) -> bool:
+        k = self.lines[site, self._plain(line)]
+        return site is not None and k >= LEAST_PAGES and k >= LEAST_SHARE * self.pages[site]
+
+    def __call__(self, site: str | None, line: str) -> bool:
+        return self._recurs(site, line) or self._pattern(line) in self.patterns
+
+
+def labelled(pages: list[tuple[str | None, str, str | None]]) -> list[Labelled]:
+    """Pages (site, content, abstract) labelled by recurrence and general cues."""
+    split = [(s, [x for x in c.split("\n") if x.strip()], a) for s, c, a in pages]
+    recurs = Recurring([(s, lines) for s, lines, _ in split])
+    return [(lines, [cues.label(x, recurs(s, x)) for x in lines], a or "", None) for s, lines, a in split]
+
+
+def fit(pages: list[Labelled], steps: int = STEPS) -> Field:
+    """The field of maximum likelihood for labelled pages, by gradient steps with Adam's step sizes."""
     import numpy as np
 
-    ids: dict[str, int] = {}
+    ids: dict[str | tuple[str, str], int] = {}
     rows: list[array] = []  # numbers of features
     truth: list[int] = []
     lengths = []
-    for content, abstract in pages:
-        lines = [x for x in content.split("\n") if x.strip()]
-        a = cues.squeezed(abstract or "")
+    for lines, labels, abstract, paths in pages:
+        a = cues.squeezed(abstract)
         seen: set[str] = set()
         for i, line in enumerate(lines):
-            own = block_features(line) + context_features(i, len(lines), line in seen, bool(a) and begins(a, cues.squeezed(line)))
+            own = block_features(line, paths[i] if paths else ()) + context_features(i, len(lines), line in seen, bool(a) and begins(a, cues.squeezed(line)))
             rows.append(array("q", [ids.setdefault(f, len(ids)) for f in own]))
             seen.add(line)
-            t = cues.label(line)
-            truth.append(-1 if t is None else int(t))
+        truth += [-1 if t is None else int(t) for t in labels]
         if lines:
             lengths.append(len(lines))
     if not rows:
@@ -140,7 +222,7 @@ def fit(pages: list[tuple[str, str | None]], steps: int = STEPS) -> Field:
     of_name = np.concatenate([np.frombuffer(r, np.int64) for r in rows])
     of_row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     count = np.bincount(of_name, minlength=len(ids))
-    names = sorted(f for f, k in ids.items() if count[k] >= LEAST_SEEN)
+    names = [f for f, k in ids.items() if count[k] >= LEAST_SEEN]
     if not names:
         return Field({}, [[0.0, 0.0], [0.0, 0.0]])
     place = np.full(len(ids), -1)
@@ -197,52 +279,41 @@ def fit(pages: list[tuple[str, str | None]], steps: int = STEPS) -> Field:
 
 
 def train(pages: DataFrame, most: int = TRAIN_PAGES) -> Field:
-    """The field fitted to at most `most` pages, drawn by a hash of page_id; of a smaller table, to all."""
-    own = pages.filter("page_id IS NOT NULL AND content IS NOT NULL")
-    n = own.count()
-    share = min(1.0, 1.5 * most / max(n, 1))
-    drawn = own.select("page_id", "content", F.col("abstract")).filter(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy(F.xxhash64("page_id")).limit(most).collect()
-    return fit([(c, a) for c, a in sorted({(r["content"], r["abstract"]) for r in drawn}, key=lambda x: (x[0], x[1] or ""))])
-
-
-def outside_lines(pages: DataFrame, field: Field) -> DataFrame:
-    """What stands outside the main body: page_id, crawled, lines (numbers of content's lines from 1), abstract (whether it does)."""
+    """The field fitted to at most `most` pages, drawn by hashes of sites and of page_id: up to SITE_PAGES pages of each drawn site, so that its lines are seen to recur.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = field
-        for batch in batches:
-            outside, whole = [], []
-            for content, abstract in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                every = content.split("\n") if content else []
-                at = [i for i, x in enumerate(every, 1) if x and not x.isspace()]
-                lines = [every[i - 1] for i in at]
-                a = cues.squeezed(abstract or "")
-                labels = model.decode(lines, a)
-                outside.append([i for i, b in zip(at, labels) if not b])
-                if not a:
-                    whole.append(False)
-                    continue
-                same = [b for x, b in zip(lines, labels) if _may_begin(a, x) and begins(a, cues.squeezed(x))]
-                whole.append(not any(same) if same else not model.decode([abstract])[0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(outside, pa.list_(pa.int32())), pa.array(whole, pa.bool_())], names=["page_id", "crawled", "lines", "abstract"])
-
-    own = pages.filter("page_id IS NOT NULL").select(F.col("page_id").cast("bigint").alias("page_id"), _crawled().alias("crawled"), "content", "abstract")
-    return own.mapInArrow(run, "page_id bigint, crawled bigint, lines array<int>, abstract boolean")
+    Contents of more than TRAIN_CHARS characters aren't drawn. This bounds what reaches the driver; decoding covers every page.
+    """
+    own = pages.filter("page_id IS NOT NULL AND content IS NOT NULL").select(F.col("page_id").cast("bigint").alias("page_id"), site_of(F.col("url")).alias("site") if "url" in pages.columns else F.lit(None).cast("string").alias("site"), "content", "abstract")
+    n, sites = own.agg(F.count("*"), F.approx_count_distinct(F.coalesce("site", F.lit("")))).first()
+    share = min(1.0, max(1.5 * most / max(n, 1), TRAIN_SITES / max(sites, 1)))
+    h = F.xxhash64(F.coalesce("site", F.lit("")))
+    drawn = own.filter((F.pmod(h, F.lit(1_000_000)) < int(share * 1_000_000) + 1) & (F.char_length("content") <= TRAIN_CHARS)).withColumn("_s", h)
+    place = F.row_number().over(Window.partitionBy("site").orderBy(F.xxhash64("page_id"), "page_id"))  # each task keeps its first ones only
+    some = drawn.withColumn("_k", place).filter(F.col("_k") <= SITE_PAGES).orderBy("_s", "_k").limit(most).collect()
+    return fit(labelled(sorted({(r["site"], r["content"], r["abstract"]) for r in some}, key=lambda x: (x[0] or "", x[1], x[2] or ""))))
+
+
+def outside_rows(scan: DataFrame) -> DataFrame:
+    """page_id, field, line_no of what is outside the main body; `scan` is a durable table of `page_scan.scan_pages` with a field."""
+    from millrace.llm.page_scan import newest_scan
+
+    one = newest_scan(scan, ["outside", "abstract"])
+    content = F.transform("outside", lambda i: F.struct(F.lit("content").alias("field"), i.alias("line_no")))
+    abstract = F.when(F.col("abstract"), F.array(F.struct(F.lit("abstract").alias("field"), F.lit(1).alias("line_no")))).otherwise(F.array().cast("array<struct<field:string,line_no:int>>"))
+    return one.select("page_id", F.explode(F.concat(content, abstract)).alias("x")).select("page_id", "x.field", "x.line_no")
 
 
 def find_outside(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """What of each page is outside its main body: page_id, field (`content` or `abstract`), line_no (1 for an abstract).
 
-    Reads page_id, content, abstract and last_crawled_at; a page's newest crawl counts. Empty and blank lines have no rows; null, empty
-    and blank fields have none; an abstract that is a block of the content, whole or cut off, has that block's label, another is
-    decoded by itself; lines of any length are one block; repeated rows count once; rows without page_id are left out; an empty table
-    gives an empty table (a field fitted to nothing calls every block outside); other columns are not read.
+    Reads page_id, content, abstract, last_crawled_at, and url for fitting; a page's newest crawl counts. Empty and blank lines have no
+    rows; null, empty and blank fields have none; an abstract that is a block of the content, whole or cut off, has that block's label,
+    another is decoded by itself; lines of any length are one block; repeated rows count once; rows without page_id are left out; an
+    empty table gives an empty table (a field fitted to nothing calls every block outside); other columns are not read.
     """
-    field = field or train(pages)
-    one = newest(outside_lines(pages, field), "page_id", "crawled", ["lines", "abstract"])
-    content = F.transform("lines", lambda i: F.struct(F.lit("content").alias("field"), i.alias("line_no")))
-    abstract = F.when(F.col("abstract"), F.array(F.struct(F.lit("abstract").alias("field"), F.lit(1).alias("line_no")))).otherwise(F.array().cast("array<struct<field:string,line_no:int>>"))
-    return one.select("page_id", F.explode(F.concat(content, abstract)).alias("x")).select("page_id", "x.field", "x.line_no")
+    from millrace.llm.page_scan import scan_pages
+
+    return outside_rows(durable(scan_pages(pages, field=field or train(pages)), "scan"))
 
 
 def main_bodies(pages: DataFrame, field: Field | None = None) -> DataFrame:
@@ -251,3 +322,64 @@ def main_bodies(pages: DataFrame, field: Field | None = None) -> DataFrame:
     one = newest(pages, "page_id", "last_crawled_at", ["content"])
     kept = F.filter(F.split("content", "\n", -1), lambda x, i: ~F.array_contains(F.coalesce(F.col("_out"), F.array().cast("array<int>")), i + 1))
     return one.join(out, "page_id", "left").select("page_id", F.when(F.col("content").isNotNull(), F.array_join(kept, "\n")).alias("content"))
+
+
+# Tags within a line of text, and those whose text no reader sees.
+_INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd label mark q s samp small span strong sub sup time u var".split())
+_UNSEEN = frozenset(["script", "style", "noscript", "template", "head", "svg"])
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
+class _Leaves(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[str] = []
+        self.text: list[str] = []
+        self.blocks: list[tuple[str, Path]] = []
+
+    def flush(self) -> None:
+        text = " ".join("".join(self.text).split())
+        self.text = []
+        if text and not _UNSEEN.intersection(self.open):
+            self.blocks.append((text, tuple(t for t in self.open if t not in _INLINE and t not in ("html", "body"))))
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in _INLINE:
+            self.flush()
+        if tag not in _VOID:
+            self.open.append(tag)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag not in _INLINE:
+            self.flush()
+        if tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+
+    def handle_data(self, data: str) -> None:
+        self.text.append(data)
+
+
+def leaf_blocks(html: str | None) -> list[tuple[str, Path]]:
+    """The leaf blocks of a page's HTML in order, each with the block tags above it; a null or empty page has none."""
+    page = _Leaves()
+    page.feed(html or "")
+    page.close()
+    page.flush()
+    return page.blocks
+
+
+def html_bodies(raw: DataFrame, field: Field, key: str = "page_id") -> DataFrame:
+    """The main body of raw pages (`key` and html), their leaf blocks decoded with the tags above them: key, content (null for null html)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for html in batch.column(1).to_pylist():
+                blocks = leaf_blocks(html)
+                lines, paths = [b for b, _ in blocks], [p for _, p in blocks]
+                out.append(None if html is None else "\n".join(x for x, b in zip(lines, field.decode(lines, "", paths)) if b))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[key, "content"])
+
+    return raw.select(key, "html").mapInArrow(run, f"`{key}` {raw.schema[key].dataType.simpleString()}, content string")

@@ -16,31 +16,23 @@ FUNCTION_WORDS = {
 }
 ALL_FUNCTION_WORDS = frozenset(w for ws in FUNCTION_WORDS.values() for w in ws)
 
-# Wordings that mark a line as standing outside the main text of a page.
+# General wordings of notices, menus and controls of web pages, which mark a training line as outside the main text.
 OUTSIDE = [
-    r"^(?>.*?\b(?:cookies?|local storage|small text files|tracking pixels|similar technologies)\b).*(?:\.|/| no\b|einverstanden|refuser|zählen)",
-    r"\b(?:accept all|manage (?:your )?(?:choices|preferences)|ok, got it|privacy settings|by continuing you agree|read our privacy notice|choose what you allow|reject non-essential|strictly necessary)\b",
-    r"^(?:jump|skip) (?:to|navigation)|^(?:toggle navigation|show sidebar|hide sidebar|open menu|close menu|menu\b.*|my account|saved searches|post a listing|back to top.*|sign in|log ?in|log out|register|home|about|contact|help|faq|search|news|press|events|blog|map|library|donate|staff|students|alumni|partners|employers|funding|calendar|listings|programmes)$",
-    r"^zum inhalt springen|^aller au contenu|^(?:startseite|accueil|inicio)\b|^plan du site|^datenschutz\b|^impressum\b",
-    r"©|^copyright\b|all rights reserved|alle rechte vorbehalten|tous droits réservés|\btrademarks? belong|^registered charity|registered office|^reproduction of",
-    r"\bnewsletter\b|\bsubscribe (?:now|to)\b|^join [\d,]+ readers|^get new .* by\b|^never miss\b|sign up for alerts|^create an alert\b|^recevez les nouvelles|abonnieren",
-    r"^(?:related|recently viewed|you may also like|more from|popular this week|readers also opened|did you know|à lire aussi|das könnte sie auch)\b|\bthis week: \d+ new\b|^advertisement\b",
-    r"^(?:share|teilen|partager)\b.*(?:\||:|\bwith\b|\bby\b)|\bshares\. tell\b|^like this post\b|^♥|\bsend it to\b|report this listing|^share this",
-    r"^(?:by|words:|posted by|listing checked by|last updated|filed under|written by|text:|photos?:)\s.*|^\d{1,2} +[a-z]+ +\d{4} +·",
-    r"^page \d+ of \d+|^previous\b.*\bnext\b|^‹|^showing \d+ of \d+|^load more\b|^back to .*(?:←|page)|^apply on the next page|^\d+ results?\b",
-    r"^your session will expire|^hello, guest|^log in or create an account|^already registered|^forgot password|^call us\b|^tell us if this page",
-    r"^terms of use|^report abuse|slavery statement|^(?>.*?\bprivacy\b).*\||^imprint\b|^you are here\b",
-    r"^information is given without warranty|\baccepts no liability\b|\bdoes not discriminate in access\b|\bis an equal opportunity\b|\bis not responsible for\b",
-    r"^listing supplied by|\bmake a gift today|^supported by readers|^hosted in .*(?:machines|build)|^(?>.*?\bmember of the ).* consortium\b|site by\b",
+    r"\bcookies?\b|\btracking pixels\b|\bsimilar technologies\b|\bstrictly necessary\b|\bprivacy (?:settings|notice|policy)\b|\baccept all\b|\breject non-essential\b|\bmanage (?:your )?(?:choices|preferences)\b|\bby continuing you agree\b|\bchoose what you allow\b|\bgot it\b|^\d+ vendors\b",
+    r"^(?:jump|skip) to\b|^zum inhalt\b|^aller au contenu\b|^(?:home|menu|search|contact|about|impressum|datenschutz|sign in|log ?in|register)$|^you are here\b|\bback to top\b",
+    r"©|^copyright\b|\ball rights reserved\b|\balle rechte vorbehalten\b|\btous droits réservés\b|^terms of use\b|\btrademarks?\b|\bwithout (?:written|prior) consent\b",
+    r"\bnewsletter\b|^subscribe\b|\bsign up for\b|^log in or\b|^already registered\b|^forgot password\b|\babonnieren\b",
+    r"^(?:related|recently viewed|you may also like|more from|popular|à lire aussi|das könnte sie auch)\b|^advertisement\b",
+    r"^(?:share|teilen|partager)\b.*(?:\||:|\bon\b)",
+    r"^(?:posted by|written by|last updated|filed under)\b|^by [^.]+$",
+    r"^page \d+ of \d+|^previous\b.*\bnext\b|^showing \d+ of|^load more\b",
+    r"\baccepts no liability\b|\bis not responsible for\b|\bequal opportunity\b|\bwithout warranty\b",
 ]
-# What may stand before a wording is matched once (`(?>`), which keeps the time linear in a line's length.
 OUTSIDE_RE = re.compile("|".join(f"(?:{p})" for p in OUTSIDE))
-# Words of menus; a line of nothing else and separators is a menu.
-_MENU = r"(?:home|about(?: us)?|contact|help|faq|search|news|press|events|blog|map|library|donate|staff|students|alumni|partners|employers|funding|calendar|listings|programmes|sign in|log in|register|my account|saved searches|post a listing|menu|close|privacy|imprint|terms|stellen|anmelden|impressum|offres|connexion|mentions légales|confidentialité|kontakt|barrierefreiheit|[a-z]+s? in [^|>/·]+|internships|placements|traineeships|fellowships|scholarships|vacancies|research posts|summer schools)"
-_ENTRY_RE = re.compile(_MENU)
 _SEPARATOR_RE = re.compile(r"[|>»/·•\t]")
-MENU_WORDS_RE = re.compile(rf"^{_MENU}(?:(?:\s*[|>»/·•\t-]\s*| +){_MENU})+$")
+_DASHES_RE = re.compile(r" [-–—] ")
 _SPOKEN_RE = re.compile(r"(?:you|we|our|they|the (?:team|group|course|post)) (?:will|have|are|can|also|often)\b")
+_STOPS_RE = re.compile(r"[.!?…][\"'”»)]* \S")  # a sentence alone may as well be a notice
 INSIDE_RE = re.compile(
     r"^[•*–-] |^(?:start|stipend|salary|pay|key facts|deadline|location|duration|hours|fee)\b ?[:,]|^(?:timetable|eligibility|requirements|how to|what you will do|about)\b .{6,}"
 )
@@ -57,27 +49,31 @@ def is_prose(s: str) -> bool:
     return len(words) >= 8 and sum(w in ALL_FUNCTION_WORDS for w in words) >= max(2, len(words) * 0.12) and s.rstrip("\"'”»)")[-1:] in ".!?…"
 
 
-def is_menu(s: str) -> bool:
-    """Whether a squeezed line is entries of some length between separators."""
-    parts = _SEPARATOR_RE.split(s)
+def is_menu(line: str) -> bool:
+    """Whether a line is entries of some length between separators, or three at least between dashes."""
+    parts = _SEPARATOR_RE.split(line.strip())
     if not parts[-1]:
         parts.pop()
-    return len(parts) > 1 and all((len(p) > 1 and len(p.strip()) <= 40) or _ENTRY_RE.fullmatch(p.strip()) for p in parts)
+    if len(parts) < 2:
+        parts = _DASHES_RE.split(parts[0]) if parts else []
+        if len(parts) < 3:
+            return False
+    return len(parts) > 1 and all(len(p) > 1 and len(p.strip()) <= 40 for p in parts)
 
 
-def label(line: str) -> bool | None:
-    """Whether a line is of the main text, judged by cues alone; None where none applies."""
+def label(line: str, recurs: bool = False) -> bool | None:
+    """Whether a training line is of the main text: not if it recurs on its site, else judged by general cues; None where none applies."""
     s = squeezed(line)
     if not s:
         return None
-    if MENU_WORDS_RE.match(s):
+    if recurs:
         return False
     if _SPOKEN_RE.match(s) and is_prose(s):
         return True
     if OUTSIDE_RE.search(s):
         return False
-    if INSIDE_RE.search(s) or is_prose(s):
-        return True
-    if is_menu(s):
+    if is_menu(line):
         return False
+    if INSIDE_RE.search(s) or (is_prose(s) and _STOPS_RE.search(s)):
+        return True
     return None

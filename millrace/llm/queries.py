@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import body, canonical, mixing, ranking, residue, site_lines, spam, splitting, tokens
+from millrace.llm.page_scan import scan_pages
+from millrace.session import durable
 from millrace.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,9 +78,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """What stands outside the main body of the pages that are neither spam nor residue."""
     pages = table(spark, d, "web_pages")
-    bad = residue.find_residue(pages).filter("field = 'content'")  # found with the titles, whose labels pass to contents
-    other = spam.find_spam(pages).union(bad.select("page_id")).distinct()
-    return body.find_outside(pages).join(other, "page_id", "left_anti")
+    scan = durable(scan_pages(pages, units=True, features=True, field=body.train(pages)), "scan")  # one pass for problems 1, 5 and 6
+    other = spam.spam_pages(scan).union(residue.residue_fields(scan).filter("field = 'content'").select("page_id")).distinct()
+    return body.outside_rows(scan).join(other, "page_id", "left_anti")
 
 
 @query()

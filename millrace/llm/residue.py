@@ -1,9 +1,10 @@
 """Template residue, filler, error pages and script notices in titles and contents (problem 1).
 
-Titles and the lines of contents are units of text. Units with wordings that leave no doubt carry trusted labels. Of each unit's
+Titles and the lines of contents are units of text. Units whose wording leaves no doubt carry trusted labels: residue (a placeholder's
+syntax, or what a small lexicon says is an error, a demand for scripts or filler), or none (a sentence of a listing). Of each unit's
 five-word shingles, in the order of their hashes, the first fifth and one more are its keys: two units of the least similarity or more
 share one of them, so an equality join finds every such pair; it is then verified by the similarity of all shingles. In the connected
-components of verified pairs the trusted labels pass to units without one.
+components of verified pairs the trusted labels pass to units without one, by majority.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.cues import ALL_FUNCTION_WORDS
 from millrace.operators.graph import connected_components
 from millrace.session import durable
 
@@ -34,102 +37,39 @@ MENTION = re.compile(r"(?:\b(?:such as|like|for instance|for example|e\.g\.|i\.e
 SPEAKING = re.compile(
     r"\byou will\b|\byou(?:r first)? task\b|\byour first\b|\bwe (?:analyse|study|teach|explain|build|write|collect|look)\b|\b(?:the|our) (?:team|course|group|post|job|work|workshop|project)\b|\bexperience (?:with|of|in)\b|\bcandidates?\b|\bapplicants?\b|\buseful\b|\bis reported\b|\bstudents\b"
 )
-_STATUS = r"(?:bad request|unauthori[sz]ed|forbidden|(?:page |file )?not found|gone|internal server error|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|too many requests|access denied)"
-# What error pages, script notices and fillers say.
-RESIDUE_START = re.compile(  # at the beginning
+# The reason phrases of HTTP's error statuses, and others that are usual.
+_STATUS = r"(?:bad request|unauthori[sz]ed|forbidden|(?:page |file )?not found|gone|internal server error|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|too many requests|access denied|permission denied)"
+#: What a text says that is nothing but residue; matched at its beginning.
+WHOLE = re.compile(
     "|".join([
-        rf"(?:(?:http|error|status|code|server)[ :]*)*[45]\d\d\b[ :–—-]*(?:{_STATUS})?[.!]?$",
-        rf"{_STATUS}[.!]?$",
-        rf"error[ :]+{_STATUS}",
-        r"(?:sorry[,.] )?(?:the |this |that )?page (?:you (?:requested|are looking for|were looking for) )?(?:could not be (?:located|found)|cannot be found|was not found|does not exist|doesn't exist|no longer exists|introuvable)",
-        r"seite nicht gefunden",
-        r"página no encontrada",
-        r"bad gateway\.",
-        r"service unavailable",
-        r"internal server error",
-        r"access (?:to this page )?(?:has been |is )?denied",
-        r"you (?:do not|don't) have permission to",
-        r"your session has (?:timed out|expired|ended)",
-        r"too many requests",
-        r"please try again (?:later|in a (?:few|moment))",
-        r"(?:an? )?(?:unexpected |unknown )?error (?:has )?occurred",
-        r"database (?:connection|query|error)\b.*(?:fail|error|too many)",
-        r"could not connect to (?:the )?(?:database|server)",
-        r"invalid [a-z ]{0,30}\bid\b",
-        r"(?:fatal|parse|syntax|runtime) error\b",
-        r"uncaught ",
-        r"traceback \(most recent",
-        r"[a-z.]*(?:error|exception): ",
-        r"(?:warning|notice): (?:undefined|use of|trying|division)",
-        r"at [\w.$]+\([\w.]+:\d+\)",
-        r"stack trace",
-        r"(?:oops|whoops|uh[- ]oh|hmm)\b",
-        r"(?:this|the) (?:listing|page|post|item|vacancy) (?:is no longer available|has been removed|has expired)\.? ?(?:return|go back|see|$)",
-        r"it may have been (?:moved|taken|deleted|removed)",
-        r"something (?:went wrong|broke)",
-        r"nothing (?:here|to see)",
-        r"(?:please )?(?:enable|activate|turn on|switch on|allow) (?:cookies and )?(?:java ?scripts?|scripts?|scripting)\b",
-        r"(?:you need|it is necessary) to (?:enable|activate|allow)\b.*script",
-        r"java ?script (?:is )?(?:must be |has to be )?(?:disabled|required|needed|enabled|off|turned off)",
-        r"(?:this|the) (?:application|site|page|app|viewer|website) (?:requires|needs|does not work without|will not work without) (?:java ?)?script",
-        r"noscript\b",
-        r"your browser is (?:out of date|outdated|not supported|too old)",
-        r"checking your browser",
-        r"verif(?:y|ying) (?:that )?you are (?:a )?human",
-        r"just a moment",
-        r"(?:robot|security|browser) check\b",
-        r"attention required",
-        r"are you a robot",
-        r"please (?:wait while|verify)",
-        r"(?:sample|dummy|filler|example) (?:text|copy|page|heading|content|title)\b",
-        r"add (?:your|a|some) (?:\w+ )?(?:text|description|title|content|heading) here\b",
-        r"(?:your|enter) (?:\w+ )?(?:headline|title|text|content|description|name) (?:here|will appear|goes)\b",
-        r"click (?:here )?to edit\b",
-        r"insert (?:\w+ )?(?:title|text|summary|description|name|heading|duties|content)\b",
-        r"coming soon[.!]?$",
-        r"under construction[.!]?$",
-        r"(?:bald verfügbar|bientôt disponible)$",
-        r"(?:x{2,}[ .]*){3,}$",
-        r"(?:test[ .]*){2,}",
+        rf"(?:(?:http|error|status|code|server)[ :]*)*[45]\d\d\b[ :–—-]*{_STATUS}?[.!]?$",
+        rf"(?:error[ :]+)?{_STATUS}[.!]?$",
+        r"(?:please wait|just a moment|one moment|loading|error|fehler|erreur|untitled|title|page title|home ?page|coming soon|under construction|bald verfügbar|bientôt disponible|(?:untitled|new) (?:page|document|post)(?: ?\d+)?)[ .!…]*$",
         r"(?:undefined|null|nan|none|n\.a\.|\[object object\])(?:[ ,|/-]+(?:undefined|null|nan|none|\[object object\]))*$",
-        r"(?:error|loading|fehler|erreur)[.!… ]*$",
-        r"(?:new|untitled) (?:page|document|post)(?: ?\d+)?$",
-        r"untitled$",
-        r"page title$",
-        r"title$",
+        r"(?:x{2,}[ .]*){3,}$|(?:test[ .]*){2,}|(?:tk[ .]*){2,}",
         r"@[a-z]+(?: - @[a-z]+)*$",
-        r"home ?page$",
-    ])
-)
-RESIDUE_WITHIN = re.compile(  # anywhere
-    "|".join([
-        r"seite existiert (?:leider )?nicht",
-        r"page demandée n'existe",
-        r"upstream server returned",
-        r"\bis (?:down for|under(?:going)?) (?:\w+ )?maintenance\b",
-        r"\bwill be back (?:shortly|soon)\b",
-        r"\blink you followed\b.*\b(?:broken|wrong|expired)\b",
-        r"\ballow scripts for this site\b",
-        r"\bwithout (?:active )?scripting\b",
-        r"\bscripting is (?:switched|turned) off\b",
-        r"\bbrowser does not support (?:them|java ?script|scripts)\b",
-        r"aktivieren sie (?:bitte )?java ?script",
-        r"java ?script (?:ist )?deaktiviert",
-        r"activer java ?script",
-        r"active java ?script",
-        r"habilit\w+ java ?script",
-        r"complet\w+ the (?:captcha|action below)",
-        r"\blorem ipsum\b",
-        r"\bplaceholder (?:paragraph|text|title|content|image)\b",
-        r"\b(?:text|title|content|heading|headline|description|name) goes here\b",
-        r"\breplace before publishing\b",
-        r"\bblindtext\b",
-        r"\b(?:headline|body copy|copy|text|title|content|details|description) to come\b",
-        r"\bplatzhalter\b",
-        r"\basdf(?:gh)?\b",
-        r"\bqwerty\b",
+        r"(?:robot|security|browser|human) check\b|attention required\b|(?:verify|verifying|confirm) (?:that )?you are (?:a )?human|checking your browser|(?:solve|complet\w+) (?:the|this) captcha",
+        r"(?:fatal|parse|syntax|runtime) error\b|uncaught |traceback \(|[a-z.]*(?:error|exception): |(?:warning|notice): (?:undefined|use of|trying|division)|at [\w.$]+\([\w.]+:\d+\)|stack trace\b|(?:oops|whoops|uh[- ]oh)\b",
     ])
 )
+_FILLED = ["text", "copy", "body copy", "title", "heading", "headline", "content", "description", "paragraph", "name", "details", "summary"]
+# What is spoken of, and what is said of it; a text of both is residue. Without the first, the second is enough.
+LEXICON: list[tuple[list[str], list[str]]] = [
+    (  # a demand for scripts
+        ["javascript", "java script", "script", "scripts", "scripting", "noscript", "browser"],
+        ["enable", "enabled", "activate", "activated", "allow", "allowed", "turn on", "turned on", "turn it on", "switch on", "switched on", "switched off", "turned off", "need", "needs", "require", "requires", "required", "without", "disabled", "blocked", "out of date", "outdated", "not supported", "does not support", "upgrade", "aktivieren", "deaktiviert", "activer", "activez", "active", "habilite", "habilitar"],
+    ),
+    (  # an error
+        ["page", "listing", "vacancy", "resource", "item", "file", "document", "link", "address", "url", "server", "gateway", "service", "site", "session", "database", "connection", "request", "requests", "id", "something", "error", "access", "it", "you", "please", "seite", "página", "nothing"],
+        ["not found", "not be found", "not be located", "could not connect", "cannot be found", "can't find", "cannot find", "does not exist", "doesn't exist", "no longer available", "no longer exists", "timed out", "has expired", "failed", "too many", "slow down", "denied", "not have permission", "don't have permission", "invalid", "under maintenance", "undergoing maintenance", "down for maintenance", "went wrong", "try again in", "try again later", "broken", "moved or", "taken down", "been removed", "been deleted", "error occurred", "error has occurred", "existiert", "nicht gefunden", "no encontrada"],
+    ),
+    ([], ["page introuvable", "n'existe plus", "n'existe pas", "asdf", "asdf asdf", "qwerty", "lorem ipsum", "blindtext", "platzhalter", "replace before publishing", "click to edit", "click here to edit"]),  # filler
+    ([], [f"{a} {b}" for a, b in product(["placeholder", "dummy", "sample", "filler"], ["text", "copy", "page", "heading", "headline", "title", "content", "description", "paragraph", "image"])]),
+    ([], [f"{a} {b}" for a, b in product(_FILLED, ["goes here", "go here", "to come", "will appear", "here"])]),
+    ([], [f"insert {b}{a}" for a, b in product([*_FILLED, "duties", "date", "image"], ["", "your ", "job ", "page "])]),
+]
+#: A text of more words than this is none of the lexicon's, which is of short messages.
+MESSAGE_WORDS = 24
 # The words that pseudo-Latin filler draws on.
 LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
@@ -146,30 +86,41 @@ def latin_filler(s: str) -> bool:
     return len(words) >= 3 and sum(w in LATIN or (len(w) > 3 and w[:4] in LATIN_STEMS) for w in words) >= 0.7 * len(words)
 
 
-# A text that these know begins with one of these words, or holds one of these phrases.
-_FIRST = frozenset(
-    "http error status code server bad unauthorized unauthorised forbidden file page not gone internal gateway service too access sorry the this that seite página you your please an a unexpected unknown database could invalid fatal parse syntax runtime uncaught warning: notice: stack oops whoops uh uh-oh hmm hmm, it something nothing enable activate turn switch allow javascript java noscript noscript: checking verify verifying just robot security browser attention are complete completing sample dummy filler example add enter click insert coming under bald bientôt test undefined null nan none n.a. [object new untitled title home homepage loading fehler erreur at".split()
-)
-_PHRASES = ["existiert", "demandée", "upstream", "maintenance", "be back s", "followed", "script", "does not support", "lorem ipsum", "placeholder", "goes here", "replace before", "blindtext", "to come", "platzhalter", "asdf", "qwerty", "habilit"]
-
-
 @lru_cache(maxsize=1)
-def _phrases():
+def _lexicon():
+    """The lexicon's automaton, with the bits of each of its texts, and the bits that make residue together."""
     import ahocorasick
 
+    bits: dict[str, int] = {}
+    wanted = []
+    for k, (about, said) in enumerate(LEXICON):
+        for words, bit in ((about, 1 << 2 * k), (said, 2 << 2 * k)):
+            for w in words:
+                bits[w] = bits.get(w, 0) | bit
+        wanted.append((1 << 2 * k if about else 0) | 2 << 2 * k)
     tree = ahocorasick.Automaton()
-    for p in _PHRASES:
-        tree.add_word(p, p)
+    for w, b in bits.items():
+        tree.add_word(w, (len(w), b))
     tree.make_automaton()
-    return tree
+    return tree, wanted
+
+
+_JOINS = "/.-_@"  # of addresses and names, which are no wording
 
 
 def _says_residue(s: str) -> bool:
     """Whether a squeezed text is residue by its wording."""
-    first = s.split(" ", 1)[0]
-    if (first in _FIRST or first.rstrip(".!,…:|") in _FIRST or first[0] in "45@x[" or first.endswith(("error:", "exception:"))) and RESIDUE_START.match(s):
+    if WHOLE.match(s):
         return True
-    return next(_phrases().iter(s), None) is not None and RESIDUE_WITHIN.search(s) is not None
+    if s.count(" ") >= MESSAGE_WORDS:
+        return False
+    tree, wanted = _lexicon()
+    found, n = 0, len(s)
+    for end, (size, bits) in tree.iter(s):
+        a, b = end - size, end + 1
+        if (a < 0 or not (s[a].isalnum() or s[a] in _JOINS)) and (b == n or not (s[b].isalnum() or (s[b] in _JOINS and s[b + 1 : b + 2].isalnum()))):
+            found |= bits
+    return found > 0 and any(found & w == w for w in wanted)
 
 
 def trusted(text: str, title: bool = False) -> bool | None:
@@ -194,9 +145,11 @@ def _label(words: list[str], s: str, title: bool) -> bool | None:
         if head[0] in ("null", "undefined", "nan") or _says_residue(head[0] or "-") or (head[0].isdigit() and len(head) > 1 and _says_residue(f"{head[0]} {head[1]}")):
             return True
     if _says_residue(s):
-        return not (len(words) > 8 and SPEAKING.search(s))
+        return not SPEAKING.search(s)
     if any(w[:4] in LATIN_STEMS for w in words[:5]) and latin_filler(s):
         return True
+    if len(words) >= 12 and s[-1] in ".!?" and len(ALL_FUNCTION_WORDS.intersection(words)) >= 4:
+        return False  # sentences of some length that say nothing of the kind
     return None
 
 
@@ -242,21 +195,6 @@ def _hashed(texts: list[list[str]]):
     return h, np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes - SHINGLE + 1
 
 
-def fingerprints(texts: list[list[str]]) -> list[int]:
-    """SimHashes of texts of at least two shingles each, together."""
-    import numpy as np
-
-    h, starts, runs = _hashed(texts)
-    out = []
-    for a in range(0, len(texts), 512):  # a few texts at a time, as their bits are unpacked
-        idx = np.concatenate([np.arange(s, s + n) for s, n in zip(starts[a : a + 512], runs[a : a + 512])])
-        bits = np.unpackbits(h[idx].view(np.uint8).reshape(-1, 8), axis=1)
-        rows = np.concatenate(([0], np.cumsum(runs[a : a + 512])[:-1]))
-        votes = np.add.reduceat(bits, rows, axis=0, dtype=np.int32) * 2 > runs[a : a + 512, None]
-        out += np.packbits(votes, axis=1).view(np.int64).reshape(-1).tolist()
-    return out
-
-
 def prefixes(texts: list[list[str]]):
     """The keys of texts of at least SHINGLE words, as arrays: the text's number, how many distinct shingles it has, the key.
 
@@ -278,67 +216,47 @@ def prefixes(texts: list[list[str]]):
     return of[kept], count[of[kept]], h[kept].view(np.int64)
 
 
-def scan_units(pages: DataFrame) -> DataFrame:
-    """The units that may carry a trusted label or have at least two shingles: page_id, crawled, field, unit (a hash of the masked text), label, text.
+class Units:
+    """Reads the units of pages: those that may carry a trusted label or have at least two shingles."""
 
-    text is null where the same task gave it before; label is of the row's field, so rows of a unit may differ in it. Units of one
-    shingle without a trusted label are left out, as they can't resemble another text enough, unless the rule of titles may label the
-    same text; nothing else is.
-    """
+    def __init__(self) -> None:
+        self.seen: dict[str, tuple | None] = {}  # what is known of a raw line
+        self.given: set[int] = set()
+        self.plain: dict[str, str] = {}  # what is known of a word
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def forget(self) -> None:
+        """Between batches: keeps the memory bounded."""
+        if len(self.seen) > MEMORY:
+            self.seen.clear()
+        if len(self.given) > 4 * MEMORY:
+            self.given.clear()
+
+    def page(self, title: str | None, lines: list[str]) -> Iterator[tuple[str, int, bool | None, str | None]]:
+        """field, unit (a hash of the masked text), label, text (None where it was given before) of each unit of a page, once for each raw line."""
         import xxhash
 
-        seen: dict[str, tuple] = {}  # what is known of a raw line
-        given: set[int] = set()
-        plain: dict[str, str] = {}  # what is known of a word
-        for batch in batches:
-            titles, contents = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            if len(seen) > MEMORY:
-                seen.clear()
-            if len(given) > 4 * MEMORY:
-                given.clear()
-            places: list[tuple[int, str, str]] = []
-            for i, (title, content) in enumerate(zip(titles, contents)):
-                lines = list(dict.fromkeys(content.split("\n"))) if content else []
-                if title:
-                    lines.append("\x00" + title.replace("\n", " "))
-                for line in lines:
-                    if line in seen:
-                        if seen[line] is None:
-                            continue
-                    else:
-                        found = examine(line.lstrip("\x00"), line[:1] == "\x00", plain)
-                        if found is None or (found[0] is None and len(found[1]) <= SHINGLE and not (line[:1] != "\x00" and _SITE.search(" ".join(found[1])))):
-                            seen[line] = None
-                            continue
-                        label, words = found
-                        text = " ".join(words)
-                        seen[line] = (xxhash.xxh3_64_intdigest(text) - (1 << 63), label, text)
-                    places.append((i, "title" if line[:1] == "\x00" else "content", line))
-            rows = []
-            for i, field, line in places:
-                unit, label, text = seen[line]
-                if unit in given:
-                    rows.append((i, field, unit, label, None))
+        seen, given = self.seen, self.given
+        every = dict.fromkeys(lines)
+        if title:
+            every["\x00" + title.replace("\n", " ")] = None
+        for line in every:
+            if line in seen:
+                known = seen[line]
+            else:
+                titled = line[:1] == "\x00"
+                found = examine(line[1:] if titled else line, titled, self.plain)
+                if found is None or (found[0] is None and len(found[1]) <= SHINGLE and not (not titled and _SITE.search(" ".join(found[1])))):
+                    known = None
                 else:
-                    given.add(unit)
-                    rows.append((i, field, unit, label, text))
-            at, *cols = zip(*rows) if rows else [()] * 5
-            where = pa.array(at, pa.int64())
-            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(where), batch.column(1).take(where), *[pa.array(c, k) for c, k in zip(cols, kinds)]],
-                names=["page_id", "crawled", "field", "unit", "label", "text"],
-            )
-
-    own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), _crawled().alias("crawled"), "title", "content").filter("page_id IS NOT NULL")
-    return own.mapInArrow(run, "page_id bigint, crawled bigint, field string, unit bigint, label boolean, text string")
-
-
-def _crawled() -> Column:
-    """When a row was crawled, in microseconds; a null time is before all others."""
-    return F.coalesce(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(last_crawled_at AS TIMESTAMP_NTZ))"), F.lit(-(1 << 62)))
+                    text = " ".join(found[1])
+                    known = ("title" if titled else "content", xxhash.xxh3_64_intdigest(text) - (1 << 63), found[0], text)
+                seen[line] = known
+            if known is not None:
+                if known[1] in given:
+                    yield (*known[:3], None)
+                else:
+                    given.add(known[1])
+                    yield known
 
 
 def keyed(texts: DataFrame) -> DataFrame:
@@ -362,42 +280,67 @@ def _shingles(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")))
 
 
-def similar_pairs(some: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """All near-duplicates a, b with a of `some` (unit) and b of `keys` (from `keyed`); `texts` has unit and text."""
-    left = keys.join(some.select("unit"), "unit", "left_semi").select(F.col("unit").alias("a"), F.col("size").alias("_na"), "key").distinct()
-    right = keys.select(F.col("unit").alias("b"), F.col("size").alias("_nb"), "key")
+def _verified(left: DataFrame, right: DataFrame, texts: DataFrame) -> DataFrame:
+    """The near-duplicates a, b among the rows of `left` (a, _na, key) and `right` (b, _nb, key) that share a key."""
     alike = (F.col("a") != F.col("b")) & (F.least("_na", "_nb") >= LEAST_SIMILARITY * F.greatest("_na", "_nb") - 1e-9)
     near = durable(left.join(right, "key").filter(alike).select("a", "b").distinct(), "near")
     wanted = near.select(F.col("a").alias("unit")).union(near.select("b")).distinct()
     some = durable(texts.join(wanted, "unit", "left_semi").dropDuplicates(["unit"]), "texts").withColumn("_t", _shingles(F.col("text")))
     ta, tb = (some.select(F.col("unit").alias(c), F.col("_t").alias(f"_t{c}")) for c in ("a", "b"))
-    both = near.join(ta, "a").join(tb, "b")
     shared = F.size(F.array_intersect("_ta", "_tb"))
-    return both.filter(shared >= LEAST_SIMILARITY * (F.size("_ta") + F.size("_tb") - shared)).select("a", "b")
+    both = near.join(ta, "a").join(tb, "b").filter(shared >= LEAST_SIMILARITY * (F.size("_ta") + F.size("_tb") - shared))
+    return durable(both.select("a", "b"), "pairs")
+
+
+def similar_pairs(some: DataFrame, others: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """Near-duplicates a, b with a of `some` and b of `others` (both unit), at least one for each b that has any.
+
+    A family of n texts and m others has n * m pairs, so first only one text of `some` stands for each key; those b that it doesn't
+    reach are compared with all. `keys` is as `keyed` gives it; `texts` has unit and text.
+    """
+    left = keys.join(some.select("unit"), "unit", "left_semi").select(F.col("unit").alias("a"), F.col("size").alias("_na"), "key").distinct()
+    right = keys.join(others.select("unit"), "unit", "left_semi").select(F.col("unit").alias("b"), F.col("size").alias("_nb"), "key")
+    first = left.groupBy("key").agg(F.min(F.struct("a", "_na")).alias("_f")).select("_f.*", "key")
+    found = _verified(first, right, texts)
+    rest = right.join(found.select("b").distinct(), "b", "left_anti")
+    return found.unionByName(_verified(left, rest, texts))
 
 
 def residue_units(scanned: DataFrame) -> DataFrame:
     """The units that are residue: unit, after trusted labels have passed through the components that hold one.
 
-    Starting from the units with the trusted label "residue", near-duplicates are sought among all units, then theirs, until none
-    is new; these are the components that hold such a unit. A unit without a label gets that of the majority of its component's.
+    A unit's own label is that of the majority of its rows that have one. Starting from the units labelled residue, near-duplicates are
+    sought among the units without that label, then theirs, until none is new. A unit without a label gets that of the majority of its
+    component's. Exact copies are one unit.
     """
-    units = durable(scanned.groupBy("unit").agg(F.max("label").alias("label")), "units")
+    votes = F.sum(F.when(F.col("label"), 1).when(~F.col("label"), -1).otherwise(0))
+    units = durable(scanned.groupBy("unit").agg(F.nullif(F.signum(votes).cast("int"), F.lit(0)).alias("vote")), "units")
     texts = scanned.filter("text IS NOT NULL").select("unit", "text")
     keys = durable(keyed(texts), "keys")
-    seeds = durable(units.filter("label").select("unit"), "seeds")
+    seeds = durable(units.filter("vote > 0").select("unit"), "seeds")
     edges, frontier, known = None, seeds, seeds
     while True:
-        found = durable(similar_pairs(frontier, keys, texts).distinct(), "pairs")
-        edges = found if edges is None else edges.union(found)
-        new = durable(found.select(F.col("b").alias("unit")).distinct().join(known, "unit", "left_anti"), "frontier")
+        found = similar_pairs(frontier, units.select("unit").join(known, "unit", "left_anti"), keys, texts)
+        edges = found if edges is None else edges.unionByName(found)
+        new = durable(found.select(F.col("b").alias("unit")).distinct(), "frontier")
         if new.isEmpty():
             break
         known, frontier = known.union(new), new
     parts = connected_components(edges)
-    member = known.join(parts.withColumnRenamed("node", "unit"), "unit", "left").join(units.select("unit", "label"), "unit").withColumn("component", F.coalesce("component", "unit"))
-    votes = member.groupBy("component").agg(F.sum(F.when(F.col("label"), 1).when(~F.col("label"), -1).otherwise(0)).alias("_v"))
-    return member.join(votes, "component").filter("label OR (label IS NULL AND _v > 0)").select("unit").distinct()
+    member = known.join(parts.withColumnRenamed("node", "unit"), "unit", "left").join(units, "unit").withColumn("component", F.coalesce("component", "unit"))
+    sums = member.groupBy("component").agg(F.sum(F.coalesce("vote", F.lit(0))).alias("_v"))
+    return member.join(sums, "component").filter("vote > 0 OR (vote IS NULL AND _v > 0)").select("unit").distinct()
+
+
+def residue_fields(scan: DataFrame) -> DataFrame:
+    """The fields that hold residue: page_id, field; `scan` is a durable table of `page_scan.scan_pages` with units.
+
+    The fields are joined with the bad units by field, after each page's newest crawl is known, so no shuffle is by a common line.
+    """
+    units = scan.select("page_id", "crawled", F.explode("units").alias("u")).select("page_id", "crawled", "u.*")
+    bad = durable(residue_units(units), "residue")
+    last = scan.groupBy("page_id").agg(F.max("crawled").alias("crawled"))
+    return units.select("page_id", "crawled", "field", "unit").join(bad, "unit").select("page_id", "crawled", "field").distinct().join(last, ["page_id", "crawled"]).select("page_id", "field")
 
 
 def find_residue(pages: DataFrame) -> DataFrame:
@@ -407,7 +350,6 @@ def find_residue(pages: DataFrame) -> DataFrame:
     fields hold none; lines of any length are units as a whole; repeated rows and lines count once; rows without page_id are
     left out; an empty table gives an empty table; other columns are not read.
     """
-    scanned = durable(scan_units(pages), "scan")
-    bad = durable(residue_units(scanned), "residue")
-    last = pages.select(F.col("page_id").cast("bigint").alias("page_id"), _crawled().alias("crawled")).filter("page_id IS NOT NULL").groupBy("page_id").agg(F.max("crawled").alias("crawled"))
-    return scanned.select("page_id", "crawled", "field", "unit").join(bad, "unit").join(last, ["page_id", "crawled"]).select("page_id", "field").distinct()
+    from millrace.llm.page_scan import scan_pages
+
+    return residue_fields(durable(scan_pages(pages, units=True), "scan"))

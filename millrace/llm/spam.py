@@ -1,7 +1,7 @@
 """Keyword-stuffed pages and link lists (problem 5).
 
 Each page is described by density, share of sentences, function words, repetition, entropy, separators and repeated line shapes
-of its text. Per language, medians, median deviations and the covariance of the rows near the median give a robust
+of its text, and by its links. Per language, medians, median deviations and the covariance of the rows near the median give a robust
 Mahalanobis distance. Outliers that lie in a spam-directed direction from the median are flagged.
 """
 
@@ -12,28 +12,34 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.cues import ALL_FUNCTION_WORDS, FUNCTION_WORDS
-from millrace.llm.residue import LATIN_STEMS, _crawled, latin_filler
+from millrace.llm.residue import LATIN_STEMS, latin_filler
 from millrace.session import durable
-from millrace.sources.tables import newest
 
-FEATURES = ["density", "sentences", "functions", "repetition", "entropy", "separators", "shapes"]
-#: The sign of each feature in spam; density has none, as long pages are no spam by themselves.
-TOWARDS = {"sentences": -1.0, "functions": -1.0, "repetition": 1.0, "entropy": -1.0, "separators": 1.0, "shapes": 1.0}
+FEATURES = ["density", "sentences", "functions", "repetition", "entropy", "separators", "shapes", "links", "link_share"]
+#: The directions of spam, by the sign of each feature in it: stuffed texts, and lists of links or tags. Density has no sign, as long pages
+#: are no spam by themselves, nor has the number of links, as index pages have many.
+DIRECTIONS = [
+    {"sentences": -1.0, "functions": -1.0, "repetition": 1.0, "entropy": -1.0},
+    {"sentences": -1.0, "functions": -1.0, "separators": 1.0, "shapes": 1.0, "link_share": 1.0},
+]
 #: The least scale of each feature, as some hardly vary among good pages.
-LEAST_SCALE = {"density": 0.5, "sentences": 0.08, "functions": 0.04, "repetition": 0.06, "entropy": 0.03, "separators": 0.05, "shapes": 0.08}
-#: Squared distance beyond which a page is an outlier (the 0.99999 quantile of chi squared with seven degrees of freedom is 36).
-FAR = 250.0
-#: The least cosine between a page's deviation and the direction of spam.
-ALONG = 0.6
-#: The largest share of words in what look like sentences (stuffed ones may), and the fewest words in all to judge a page by.
-STRAY, LEAST_WORDS = 0.85, 24
-#: A language of fewer pages than this is judged by the statistics of all pages.
-LEAST_GROUP = 50
+LEAST_SCALE = {"density": 0.5, "sentences": 0.08, "functions": 0.04, "repetition": 0.06, "entropy": 0.03, "separators": 0.05, "shapes": 0.08, "links": 0.7, "link_share": 0.1}
+#: Squared distance beyond which a page is an outlier. The features have heavy tails, so it isn't the normal law's quantile (28 at 0.999)
+#: but that of Student's t with four degrees of freedom in nine dimensions: 9 times F(9, 4)'s quantile at 0.999, 48.5.
+FAR = 436.0
+#: The least cosine between a page's deviation, in the features of a direction, and that direction.
+ALONG = 0.7
+#: The largest share of words in what look like sentences (stuffed ones may), and the fewest words and links in all to judge a page by.
+STRAY, LEAST_MASS = 0.85, 24
+#: The statistics of a language of n pages are drawn to those of all pages by the weight SHRINK / (SHRINK + n).
+SHRINK = 50
+#: Lines of one shape that make a list, and those of bare words, of which a menu may have some beside sentences.
+LISTED, LISTED_WORDS = 4, 12
 MEMORY = 100_000
 
 _WORD = re.compile(r"\w+")
@@ -43,23 +49,23 @@ _WORDS_RUN = re.compile(r"[^\W\d_]+(?:[ '’.-]*[^\W\d_]+)*")
 _DIGITS = re.compile(r"\d+")
 _ENDS = frozenset(".!?…")
 _CLOSING = "\"'”») \t\r\xa0"
-#: For each function word the first letters of the languages it is of.
-_LANGUAGES = {k[0]: k for k in FUNCTION_WORDS}
-_OF = {w: "".join(c for c, k in _LANGUAGES.items() if w in FUNCTION_WORDS[k]) for w in ALL_FUNCTION_WORDS}
+#: A letter for each language, and for each function word the letters of the languages it is of.
+_LETTER = {chr(97 + i): k for i, k in enumerate(FUNCTION_WORDS)}
+_OF = {w: "".join(c for c, k in _LETTER.items() if w in FUNCTION_WORDS[k]) for w in ALL_FUNCTION_WORDS}
 _N_LOG_N = [0.0] + [n * math.log(n) for n in range(1, 1000)]
 
 
 def describe_line(line: str) -> tuple[int, list[str], list[str], int, str] | None:
-    """Of a line: words in sentences, all words in lower case, the languages of its function words, separators, and its shape if it is short and no sentence. None for a blank line and for pseudo-Latin filler."""
+    """Of a line: words in sentences, all words in lower case, the languages of its function words, separators, and its shape if it is no sentence. None for a blank line and for pseudo-Latin filler."""
     low = line.strip().lower()
     if not low:
         return None
     web = "://" in low or "www." in low
     plain = _URL.sub(" ", low) if web else low
     inside, words, languages = 0, [], []
-    for part in _PARTS.split(plain) if len(plain) > 60 else (plain,):
+    for part in _PARTS.split(plain):
         w = _WORD.findall(part)
-        own = [_OF[x] for x in w if x in _OF]
+        own = [x for x in map(_OF.get, w) if x]
         if 4 <= len(w) <= 80 and part.rstrip(_CLOSING)[-1:] in _ENDS and len(own) >= max(1, 0.1 * len(w)) and len(set(w)) >= 0.62 * len(w):
             inside += len(w)
         words += w
@@ -67,17 +73,17 @@ def describe_line(line: str) -> tuple[int, list[str], list[str], int, str] | Non
     if not inside and any(x[:4] in LATIN_STEMS for x in words[:5]) and latin_filler(plain):
         return None
     separators = sum([low.count(c) for c in ",;|/#:»>"]) if inside < len(words) else 0
-    shape = _DIGITS.sub("0", _WORDS_RUN.sub("w", _URL.sub("u", low) if web else low)) if not inside and len(low) < 160 else ""
+    shape = "" if inside else _DIGITS.sub("0", _WORDS_RUN.sub("w", _URL.sub("u", low) if web else low))
     return inside, words, languages, separators, shape
 
 
-def describe(content: str, memory: dict[str, tuple | None]) -> tuple[list[float], str | None] | None:
-    """The features of a text and its language by function words; None where there is nothing to judge.
+def describe(lines: list[str], links: int, memory: dict[str, tuple | None]) -> tuple[list[float], str | None] | None:
+    """The features of a page's lines and number of links, and its language by function words; None where there is nothing to judge.
 
     Short lines whose shape is not repeated, such as menus, count for nothing unless they are sentences.
     """
-    lines = []
-    for line in content.split("\n"):
+    told = []
+    for line in lines:
         if line in memory:
             known = memory[line]
         else:
@@ -85,14 +91,15 @@ def describe(content: str, memory: dict[str, tuple | None]) -> tuple[list[float]
                 memory.clear()
             known = memory[line] = describe_line(line)
         if known:
-            lines.append(known)
-    shapes = Counter([x[4] for x in lines if x[4] and x[1]])
+            told.append(known)
+    shapes = Counter([x[4] for x in told if x[4] and x[1]])
+    bare = LISTED_WORDS if any(x[0] for x in told) else LISTED
     sentences = others = separators = shaped = 0
     words: list[str] = []
     languages: list[str] = []
-    for inside, own, of, seps, shape in lines:
+    for inside, own, of, seps, shape in told:
         rest = len(own) - inside
-        repeated = shapes[shape] >= (12 if shape == "w" else 4) if shape else False  # a menu may have some lines of mere words
+        repeated = shapes[shape] >= (bare if shape == "w" else LISTED) if shape else False
         loose = rest if rest and (rest >= 15 or repeated or (rest >= 8 and len(set(own)) < 0.62 * len(own))) else 0
         if inside or loose:
             sentences += inside
@@ -110,91 +117,82 @@ def describe(content: str, memory: dict[str, tuple | None]) -> tuple[list[float]
     sums = sum([_N_LOG_N[c] if c < 1000 else c * math.log(c) for c in counts.values() if c > 1])
     entropy = 1 - sums / (n * math.log(n)) if n > 1 else 0.0
     tally = "".join(languages)
-    by_language = {k: tally.count(c) for c, k in _LANGUAGES.items()}
+    by_language = {k: tally.count(c) for c, k in _LETTER.items()}
     language = max(by_language, key=by_language.get) if max(by_language.values()) >= 5 else None
-    return [math.log1p(mass), sentences / mass, len(languages) / n, 1 - len(counts) / n, entropy, separators / n, shaped / mass], language
-
-
-def page_features(pages: DataFrame) -> DataFrame:
-    """The features of each page's newest crawl, as a durable table: page_id, language, words, and a column for each feature; pages without text to judge are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, tuple] = {}
-        for batch in batches:
-            at, language, values = [], [], [[] for _ in FEATURES]
-            for i, (content, locale) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                found = describe(content, memory)
-                if found:
-                    at.append(i)
-                    language.append(found[1] or (locale or "und").lower()[:2])
-                    for c, v in zip(values, found[0]):
-                        c.append(v)
-            where = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(where), batch.column(1).take(where), pa.array(language, pa.string()), *[pa.array(v, pa.float64()) for v in values]],
-                names=["page_id", "crawled", "language", *FEATURES],
-            )
-
-    schema = "page_id bigint, crawled bigint, language string, " + ", ".join(f"{f} double" for f in FEATURES)
-    own = pages.filter("page_id IS NOT NULL AND content IS NOT NULL").select(F.col("page_id").cast("bigint").alias("page_id"), _crawled().alias("crawled"), "content", F.col("site_locale").cast("string"))
-    last = pages.select(F.col("page_id").cast("bigint").alias("page_id"), _crawled().alias("crawled")).filter("page_id IS NOT NULL").groupBy("page_id").agg(F.max("crawled").alias("_last"))
-    one = newest(own.mapInArrow(run, schema), "page_id", "crawled", ["crawled", "language", *FEATURES])
-    return durable(one.join(last, "page_id").filter("crawled = _last").drop("crawled", "_last"), "features")
+    return [math.log1p(mass), sentences / mass, len(languages) / n, 1 - len(counts) / n, entropy, separators / n, shaped / mass, math.log1p(links), links / (links + mass)], language
 
 
 def robust_distances(features: DataFrame) -> DataFrame:
-    """`features` with distance (the squared robust Mahalanobis distance) and along (the cosine to the direction of spam).
+    """`features` (language and FEATURES) with distance (the squared robust Mahalanobis distance) and along (the cosine to the nearest direction of spam).
 
     Medians and median deviations are taken over all pages of a language, the covariance over all of its pages within three
-    deviations of the median in each feature. A few numbers per language reach the driver; languages come from a fixed list or are
-    two letters of a locale, so there are at most some hundreds. A language of few pages is judged by the statistics of all; one
-    without spread has the least scales.
+    deviations of the median in each feature; each is drawn to that of all pages the more, the fewer pages a language has. The
+    statistics are a table of one row for each language, joined with the pages; nothing reaches the driver. A language without
+    spread has the least scales.
     """
-    import numpy as np
-
-    counts = {r["language"]: r["count"] for r in features.groupBy("language").count().collect()}
-    small = [k for k, n in counts.items() if n < LEAST_GROUP]
-    own = features.withColumn("language", F.when(F.col("language").isin(small), "*").otherwise(F.col("language"))) if small else features
-    judged = own.filter("language <> '*'").unionByName(features.withColumn("language", F.lit("*"))) if small else features
-    stats = judged.groupBy("language").agg(*[F.percentile_approx(f, 0.5, 10_000).alias(f) for f in FEATURES]).collect()
-    medians = {r["language"]: [r[f] for f in FEATURES] for r in stats}
-
-    def by_language(values: dict[str, float], default: float = 0.0) -> Column:
-        if not values:
-            return F.lit(default)
-        return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("language"))
-
-    away = [F.col(f) - by_language({k: m[i] for k, m in medians.items()}) for i, f in enumerate(FEATURES)]
-    spread = judged.select("language", *[F.abs(a).alias(f) for a, f in zip(away, FEATURES)]).groupBy("language").agg(*[F.percentile_approx(f, 0.5, 10_000).alias(f) for f in FEATURES]).collect()
-    scales = {r["language"]: [max(1.4826 * r[f], LEAST_SCALE[f]) for f in FEATURES] for r in spread}
-    scaled = [(a / by_language({k: s[i] for k, s in scales.items()}, 1.0)).alias(f"_z{i}") for i, a in enumerate(away)]
-    z = own.select("*", *scaled)
     n = len(FEATURES)
-    near = judged.select("*", *scaled).filter(" AND ".join(f"abs(_z{i}) <= 3" for i in range(n)))
-    sums = near.groupBy("language").agg(F.count("*").alias("n"), *[F.sum(f"_z{i}").alias(f"s{i}") for i in range(n)], *[F.sum(F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"p{i}_{j}") for i in range(n) for j in range(i, n)]).collect()
-    inverse = {k: np.eye(n) for k in medians}
-    for r in sums:
-        mean = np.array([r[f"s{i}"] for i in range(n)]) / r["n"]
-        cov = np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) / r["n"] - np.outer(mean, mean)
-        few = 10 * n / (10 * n + r["n"])  # of few rows the covariance is drawn to the identity
-        inverse[r["language"]] = np.linalg.inv((1 - few) * cov + (few + 0.05) * np.eye(n))
-    distance = F.lit(0.0)
-    for i in range(n):
-        for j in range(i, n):
-            distance = distance + by_language({k: m[i, j] * (1 if i == j else 2) for k, m in inverse.items()}) * F.col(f"_z{i}") * F.col(f"_z{j}")
-    signs = [TOWARDS.get(f, 0.0) for f in FEATURES]
-    clipped = [F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col(f"_z{i}"))) for i in range(n)]
-    size = F.sqrt(sum((c * c for c, s in zip(clipped, signs) if s), F.lit(1e-9)) * sum(s * s for s in signs))
-    along = sum((c * s for c, s in zip(clipped, signs) if s), F.lit(0.0)) / size
-    return z.withColumn("distance", distance).withColumn("along", along).drop(*[f"_z{i}" for i in range(n)])
+    two = features.select(F.explode(F.array("language", F.lit("*"))).alias("_g"), *FEATURES)  # each page for its language and for all
+    whole = lambda df: df.filter("_g = '*'").drop("_g")
+
+    def middle(df: DataFrame) -> DataFrame:
+        """Medians by group as an array, drawn to those of all."""
+        own = df.groupBy("_g").agg(F.array(*[F.percentile_approx(f, 0.5, 10_000).cast("double") for f in FEATURES]).alias("_m"), F.count("*").alias("_n"))
+        every = F.broadcast(whole(own).select(F.col("_m").alias("_all")))  # one row
+        w = F.col("_n") / (F.col("_n") + SHRINK)
+        return own.crossJoin(every).select("_g", F.zip_with("_m", "_all", lambda a, b: w * a + (1 - w) * b).alias("_m"))
+
+    centre = durable(middle(two), "centre")
+    away = [F.col(f) - F.col("_m")[i] for i, f in enumerate(FEATURES)]
+    spread = middle(two.join(centre, "_g").select("_g", *[F.abs(a).alias(f) for a, f in zip(away, FEATURES)]))
+    least = F.array(*[F.lit(LEAST_SCALE[f]) for f in FEATURES])
+    scales = durable(centre.join(spread.select("_g", F.zip_with(F.col("_m"), least, lambda a, b: F.greatest(1.4826 * a, b)).alias("_s")), "_g"), "scales")
+    scaled = [((F.col(f) - F.col("_m")[i]) / F.col("_s")[i]).alias(f"_z{i}") for i, f in enumerate(FEATURES)]
+    near = two.join(scales, "_g").select("_g", *scaled).filter(" AND ".join(f"abs(_z{i}) <= 3" for i in range(n)))
+    sums = near.groupBy("_g").agg(F.count("*").alias("_n"), *[F.sum(f"_z{i}").alias(f"s{i}") for i in range(n)], *[F.sum(F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"p{i}_{j}") for i in range(n) for j in range(i, n)])
+
+    def inverses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for pdf in batches:
+            out = []
+            for _, r in pdf.iterrows():
+                mean = np.array([r[f"s{i}"] for i in range(n)]) / r["_n"]
+                cov = np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) / r["_n"] - np.outer(mean, mean)
+                few = 10 * n / (10 * n + r["_n"])  # of few rows the covariance is drawn to the identity
+                out.append((r["_g"], np.linalg.inv((1 - few) * cov + (few + 0.05) * np.eye(n)).ravel().tolist()))
+            yield pd.DataFrame(out, columns=["_g", "_i"])
+
+    stats = durable(scales.join(sums.mapInPandas(inverses, "_g string, _i array<double>"), "_g", "left"), "statistics")
+    z = features.join(stats.withColumnRenamed("_g", "language"), "language").select("*", *scaled)
+    own = lambda i, j: F.coalesce(F.col("_i")[n * i + j], F.lit(1.0 if i == j else 0.0))
+    distance = sum((own(i, j) * (1 if i == j else 2) * F.col(f"_z{i}") * F.col(f"_z{j}") for i in range(n) for j in range(i, n)), F.lit(0.0))
+    at = {f: F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col(f"_z{i}"))) for i, f in enumerate(FEATURES)}
+
+    def cosine(signs: dict[str, float]) -> Column:
+        size = F.sqrt(sum((at[f] * at[f] for f in signs), F.lit(1e-9)) * len(signs))
+        return sum((at[f] * s for f, s in signs.items()), F.lit(0.0)) / size
+
+    along = F.greatest(*[cosine(d) for d in DIRECTIONS])
+    return z.withColumn("distance", distance).withColumn("along", along).drop("_m", "_s", "_i", *[f"_z{i}" for i in range(n)])
+
+
+def spam_pages(scan: DataFrame) -> DataFrame:
+    """page_id of the spam among the pages of `scan`, a durable table of `page_scan.scan_pages` with features."""
+    from millrace.llm.page_scan import newest_scan
+
+    one = newest_scan(scan, ["language", "features"]).filter("features IS NOT NULL")
+    own = durable(one.select("page_id", "language", *[F.col("features")[i].alias(f) for i, f in enumerate(FEATURES)]), "features")
+    mass: Column = F.expm1("density") + F.expm1("links")
+    return robust_distances(own).filter((F.col("distance") > FAR) & (F.col("along") > ALONG) & (F.col("sentences") < STRAY) & (mass > LEAST_MASS)).select("page_id")
 
 
 def find_spam(pages: DataFrame) -> DataFrame:
     """The pages that are repeated keywords, tags or links instead of sentences: page_id.
 
-    Reads page_id, content, site_locale and last_crawled_at; a page's newest crawl counts. Null, empty and blank contents, and those
-    of a few words, are none; very long ones are read whole; repeated rows count once; rows without page_id are left out; an empty
-    table gives an empty table; other columns are not read.
+    Reads page_id, content, links, site_locale and last_crawled_at; a page's newest crawl counts. Null, empty and blank contents, and those
+    of a few words and links, are none; very long ones are read whole; null links are none; repeated rows count once; rows without page_id
+    are left out; an empty table gives an empty table; other columns are not read.
     """
-    far = robust_distances(page_features(pages))
-    return far.filter((F.col("distance") > FAR) & (F.col("along") > ALONG) & (F.col("sentences") < STRAY) & (F.col("density") > math.log1p(LEAST_WORDS))).select("page_id")
+    from millrace.llm.page_scan import scan_pages
+
+    return spam_pages(durable(scan_pages(pages, features=True), "scan"))
