@@ -15,12 +15,13 @@ import re
 from array import array
 from collections import Counter
 from html.parser import HTMLParser
-from itertools import repeat
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import cues
+from millrace.llm.line_tokens import Lines, Reader, end_of, mixed, tokens_of
 from millrace.session import durable
 from millrace.sources.lines import site_of
 from millrace.sources.tables import newest
@@ -33,10 +34,7 @@ TRAIN_SITES = 60
 LEAST_SEEN, PENALTY = 2, 0.3
 #: A line recurs if it is on so many pages of its site, and on so large a share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
-MEMORY = 150_000
 
-_TOKEN = re.compile(r"[^\W\d_]+|\d|[^\w\s]")
-_NUMBER = re.compile(r"\d[\d.,]*")
 _is_function = cues.ALL_FUNCTION_WORDS.__contains__
 _NAME = re.compile(r"(?<![^\W_])[A-ZÀ-Þ][\w’'-]*(?:\s+(?:(?:of|and|in|the)\s+)?[A-ZÀ-Þ][\w’'-]*)*")
 
@@ -47,16 +45,26 @@ Labelled = tuple[list[str], list[bool | None], str, list[Path] | None]
 
 def _shape(line: str) -> tuple[tuple[int, str, int, int, int, bool], list[str]]:
     """The form of a block (its size, end, function words, names, sentences, whether it is in capitals), and its tokens."""
-    text = " ".join(line.split())
-    tokens = _TOKEN.findall(_NUMBER.sub("0", text.lower()))
-    spaced = text.split(" ")
-    function, caps = sum(map(_is_function, tokens)), sum(map(str.istitle, spaced))
-    end = text[-1:].lower()
-    ends = end if not end.isalnum() else ("0" if end.isdigit() else "a")
+    spaced = line.split() or [""]
+    text, tokens = " ".join(spaced), [t for w in spaced for t in tokens_of(w)]
+    function, caps = sum(map(_is_function, tokens)), len([w for w in spaced if w[:1].isupper()])
+    ends = end_of(text)
     stops = text.count(". ") + text.count("? ") + text.count("! ") + (ends in (".", "?", "!", "…"))
     return (min(9, len(text).bit_length()), ends, min(5, 10 * function // len(spaced)), 5 * caps // len(spaced), min(4, stops), text.isupper()), tokens
 
 
+def _forms(lines: Lines) -> list[np.ndarray]:
+    """The forms of many blocks, as `_shape` has them, the end as a code."""
+    pieces = np.maximum(lines.count, 1)
+    size = lines.total("size") + np.maximum(lines.count - 1, 0)
+    end = np.zeros(lines.n, np.int64)
+    full = lines.count > 0
+    end[full] = lines.of("end")[lines.last[full]]
+    stop = lines.total("stop") + (end == ord("…"))  # within, and at the end
+    capital = (lines.total("upper") > 0) & (lines.total("lower") == 0)
+    return [np.minimum(9, np.ceil(np.log2(size + 1)).astype(np.int64)), end, np.minimum(5, 10 * lines.total("functions") // pieces), 5 * lines.total("capital") // pieces, np.minimum(4, stop), capital.astype(np.int64)]
+
+
 def _form_features(form: tuple[int, str, int, int, int, bool]) -> list[str]:
     size, ends, function, caps, stops, upper = form
     return ["=bias", f"=n{size}", f"=e{ends}", f"=n{size}e{ends}", f"=f{function}", f"=c{caps}", f"=s{stops}"] + (["=upper"] if upper else [])
@@ -65,7 +73,7 @@ def _form_features(form: tuple[int, str, int, int, int, bool]) -> list[str]:
 def block_features(line: str, path: Path = ()) -> list[str | tuple[str, str]]:
     """The features of a block by itself: its form, words and pairs of words, the tags above it."""
     form, tokens = _shape(line)
-    every = ["<", *tokens, ">"]
+    every = [_START, *tokens, _STOP]
     return [*_form_features(form), *path_features(path), *set(tokens), *set(zip(every, every[1:]))]
 
 
@@ -89,38 +97,96 @@ def _may_begin(abstract: str, line: str) -> bool:
     return line[:1].lower() == abstract[:1] or (line[:1].isspace() and line.lstrip()[:1].lower() == abstract[:1])
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
+_START, _STOP = "<s>", "</s>"
+
+
 class Field:
     """A fitted field: weights of features for the label "main body", and of transitions (from, to)."""
 
     def __init__(self, weights: dict[str | tuple[str, str], float], moves: list[list[float]]) -> None:
         self.weights, self.moves = weights, moves
-        self.memory: dict[str, float] = {}  # of lines
         self.forms: dict[tuple, float] = {}  # a few thousand
+        words = {w for w in weights if isinstance(w, str) and (w[0] != "=" or w == "=")}
+        pairs = [w for w in weights if isinstance(w, tuple)]
+        names = sorted(words | {x for p in pairs for x in p} - {_START, _STOP})
+        self._numbers = {_START: 1, _STOP: 2} | {w: i for i, w in enumerate(names, 3)}  # 0 is any other token
+        self._most = len(self._numbers) + 1
+        self._words = np.zeros(self._most)
+        for w in words:
+            self._words[self._numbers[w]] = weights[w]
+        key = np.array([self._numbers[a] * self._most + self._numbers[b] for a, b in pairs], np.int64)
+        order = np.argsort(key)
+        self._pairs, self._pair_weights = key[order], np.array([weights[p] for p in pairs], float)[order]
+        self._maybe = np.zeros(1 << 18, bool)  # whether a pair may be among them
+        self._maybe[mixed(self._pairs.astype(np.uint64)) >> np.uint64(46)] = True
+        self._of, self._seen = np.zeros(0, np.int64), -1  # a reader's tokens as numbers here
 
     def __reduce__(self):
         return Field, (self.weights, self.moves)
 
-    def score(self, line: str) -> float:
-        known = self.memory.get(line)
-        if known is None:
-            if len(self.memory) > MEMORY:
-                self.memory.clear()
-            form, tokens = _shape(line)
-            get, every = self.weights.get, ["<", *tokens, ">"]
-            if form not in self.forms:
-                self.forms[form] = sum(get(f, 0.0) for f in _form_features(form))
-            known = self.memory[line] = self.forms[form] + sum(map(get, set(tokens), repeat(0.0))) + sum(map(get, set(zip(every, every[1:])), repeat(0.0)))
-        return known
-
-    def decode(self, lines: list[str], abstract: str = "", paths: list[Path] | None = None) -> list[bool]:
-        """The most probable labels of a page's blocks; `abstract` is squeezed."""
+    def scores(self, lines: Lines) -> np.ndarray:
+        """The weights of each block's own features, summed."""
+        out = np.zeros(lines.n)
+        if not self.weights or not lines.n:
+            return out
+        reader = lines.reader
+        if self._seen != reader.version:
+            self._of, self._seen = np.zeros(0, np.int64), reader.version
+        if len(self._of) < len(reader.names):
+            self._of = np.concatenate((self._of, np.array([self._numbers.get(t, 0) for t in reader.names[len(self._of) :]], np.int64)))
+        own = self._of[lines.token]
+        hit = own > 2
+        once = _distinct(lines.at[hit] * self._most + own[hit])  # a feature counts once in a block
+        out += np.bincount(once // self._most, self._words[once % self._most], lines.n)
+        begins = np.ones(len(own), bool)
+        begins[1:] = lines.at[1:] != lines.at[:-1]
+        stops = np.append(begins[1:], True)[: len(begins)]
+        before = np.where(begins, 1, np.concatenate((np.zeros(1, np.int64), own[:-1])) if len(own) else own)
+        key = np.concatenate((before * self._most + own, own[stops] * self._most + 2))
+        line = np.concatenate((lines.at, lines.at[stops]))
+        may = self._maybe[mixed(key.astype(np.uint64)) >> np.uint64(46)]
+        key, line = key[may], line[may]
+        if len(self._pairs) and len(key):
+            place = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+            hit = self._pairs[place] == key
+            once = _distinct(line[hit] * len(self._pairs) + place[hit])
+            out += np.bincount(once // len(self._pairs), self._pair_weights[once % len(self._pairs)], lines.n)
+        form = _forms(lines)
+        sizes = (10, 1 << 16, 6, 6, 5, 2)
+        code = np.zeros(lines.n, np.int64)
+        for f, k in zip(form, sizes):
+            code = code * k + f
+        several, of = np.unique(code, return_inverse=True)
+        score = []
+        for c in several.tolist():
+            if c not in self.forms:
+                parts, x = [], c
+                for k in sizes[::-1]:
+                    x, r = divmod(x, k)
+                    parts.append(r)
+                size, end, function, caps, stops, upper = parts[::-1]
+                self.forms[c] = sum(self.weights.get(f, 0.0) for f in _form_features((size, chr(end), function, caps, stops, bool(upper))))
+            score.append(self.forms[c])
+        return out + np.array(score)[of]
+
+    def decode(self, lines: list[str], abstract: str = "", paths: list[Path] | None = None, scores: list[float] | None = None) -> list[bool]:
+        """The most probable labels of a page's blocks; `abstract` is squeezed; `scores` are of the blocks, where known."""
+        if scores is None:
+            scores = self.scores(Reader().read([x.replace("\n", " ") for x in lines])).tolist()
         n, w = len(lines), self.weights
         first, last, part = ([w.get(f"={c}{k}", 0.0) for k in range(5)] for c in "ijp")
         again = w.get("=again", 0.0)
         (oo, om), (mo, mm) = self.moves
         out, main, back, seen = 0.0, 0.0, [], set()
         for i, line in enumerate(lines):
-            e = self.score(line) + (first[i] if i < 4 else first[4]) + (last[n - 1 - i] if n - 1 - i < 4 else last[4]) + part[4 * i // n]
+            e = scores[i] + (first[i] if i < 4 else first[4]) + (last[n - 1 - i] if n - 1 - i < 4 else last[4]) + part[4 * i // n]
             if paths:
                 e += sum(w.get(f, 0.0) for f in path_features(paths[i]))
             if line in seen:
@@ -142,11 +208,11 @@ class Field:
             labels.append(label)
         return labels[::-1] if n else []
 
-    def outside(self, every: list[str], squeezed: str, abstract: str) -> tuple[list[int], bool]:
+    def outside(self, every: list[str], squeezed: str, abstract: str, scores: list[float] | None = None) -> tuple[list[int], bool]:
         """Of a content's lines, the numbers (from 1) of those outside the main body, without empty ones, and whether the abstract is outside."""
         at = [i for i, x in enumerate(every, 1) if x and not x.isspace()]
         lines = [every[i - 1] for i in at]
-        labels = self.decode(lines, squeezed)
+        labels = self.decode(lines, squeezed, None, None if scores is None else [scores[i - 1] for i in at])
         out = [i for i, b in zip(at, labels) if not b]
         if not squeezed:
             return out, False
@@ -201,8 +267,6 @@ def labelled(pages: list[tuple[str | None, str, str | None]]) -> list[Labelled]:
 
 def fit(pages: list[Labelled], steps: int = STEPS) -> Field:
     """The field of maximum likelihood for labelled pages, by gradient steps with Adam's step sizes."""
-    import numpy as np
-
     ids: dict[str | tuple[str, str], int] = {}
     rows: list[array] = []  # numbers of features
     truth: list[int] = []

@@ -1,6 +1,6 @@
 """One pass over web pages for the operators that read their lines: units (problem 1), features (problem 5), labels of blocks (problem 6).
 
-The texts go to Python once, in Arrow batches; each line is looked up once in what is known of earlier ones.
+The texts go to Python once, in Arrow batches, and their lines are read as arrays (`line_tokens`), once for all.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm import cues, residue, spam
+from millrace.llm import cues, line_tokens, residue, spam
 
 if TYPE_CHECKING:
     from millrace.llm.body import Field
@@ -35,23 +35,32 @@ def scan_pages(pages: DataFrame, units: bool = False, features: bool = False, fi
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, lines_known, model = residue.Units(), {}, field
+        unit_reader, reader, model = residue.Units(), line_tokens.Reader(), field
         for batch in batches:
-            reader.forget()
+            unit_reader.forget()
             rows, ends, language, described, outside, whole = [], [], [], [], [], []
-            for content, title, links, locale, abstract in zip(*[batch.column(i).to_pylist() for i in range(2, 7)]):
-                every = content.split("\n") if content else []
+            columns = [batch.column(i).to_pylist() for i in range(2, 7)]
+            for start, stop in line_tokens.ranges(columns[0]):
+                contents, titles, links, locales, abstracts = [c[start:stop] for c in columns]
+                pages_lines = [c.split("\n") if c else [] for c in contents]
                 if units:
-                    rows += reader.page(title, every)
-                    ends.append(len(rows))
+                    for title, every in zip(titles, pages_lines):
+                        rows += unit_reader.page(title, every)
+                        ends.append(len(rows))
+                if not features and model is None:
+                    continue
+                lines = reader.read([x for every in pages_lines for x in every])
+                upto = [0, *accumulate(map(len, pages_lines))]
                 if features:
-                    found = spam.describe(every, links or 0, lines_known)
-                    language.append((found[1] or (locale or "und").lower()[:2]) if found else None)
-                    described.append(found[0] if found else None)
+                    for locale, found in zip(locales, spam.describe(lines, pages_lines, links)):
+                        language.append((found[1] or (locale or "und").lower()[:2]) if found else None)
+                        described.append(found[0] if found else None)
                 if model is not None:
-                    at, out = model.outside(every, cues.squeezed(abstract or ""), abstract or "")
-                    outside.append(at)
-                    whole.append(out)
+                    scores = model.scores(lines).tolist()
+                    for k, (every, abstract) in enumerate(zip(pages_lines, abstracts)):
+                        at, out = model.outside(every, cues.squeezed(abstract or ""), abstract or "", scores[upto[k] : upto[k + 1]])
+                        outside.append(at)
+                        whole.append(out)
             n = batch.num_rows
             blank = lambda kind: pa.nulls(n, kind)
             cols = [batch.column(0), batch.column(1)]

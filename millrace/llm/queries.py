@@ -62,6 +62,12 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_repeated_lines(table(spark, d, "web_pages"))
 
 
+@query()
+def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of lines repeated across each site."""
+    return site_lines.repeated_blocks(table(spark, d, "web_pages"))
+
+
 # Problem 5
 
 
@@ -136,6 +142,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+@query()
+def p9_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each mix by tempered weights, of the entropy that its targets have."""
+    return mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"), weights="entropy")[0]
+
+
+@query()
+def p9_tempered_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of the sources in the mixes by tempered weights."""
+    return mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"), weights="entropy")[1]
+
+
 @query()
 def p9_temperatures(spark: SparkSession, d: str) -> DataFrame:
     """The exponents and weights of temperature mixing for the sources of each mix."""

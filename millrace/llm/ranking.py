@@ -35,18 +35,19 @@ def _small(items: DataFrame, group: str, scores: list[str]) -> DataFrame:
 def _large(items: DataFrame, group: str, item: str, scores: list[str]) -> DataFrame:
     """The same ranks for groups of any size, from counts of values in ranges between approximate quantiles."""
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(s).alias("v")) for k, s in enumerate(scores)])).alias("_x")
-    long = items.select(group, item, pairs).select(group, item, "_x.k", F.coalesce(F.col("_x.v"), F.lit(float("-inf"))).alias("v"))
+    long = items.select(group, item, pairs).select(group, item, "_x.k", "_x.v")  # null, no merit, is below -infinity
     cuts = long.groupBy(group, "k").agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 10_000).alias("_cuts"))
     counted = long.groupBy(group, "k", "v").agg(F.count("*").alias("n")).join(cuts, [group, "k"])
-    counted = counted.withColumn("_part", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("v")))).drop("_cuts")
+    counted = counted.withColumn("_part", F.when(F.col("v").isNull(), -1).otherwise(F.size(F.filter(F.array_distinct(F.coalesce("_cuts", F.array().cast("array<double>"))), lambda c: c < F.col("v"))))).drop("_cuts")
     sums = counted.groupBy(group, "k", "_part").agg(F.sum("n").alias("_n"))
     above = Window.partitionBy(group, "k").orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.select(group, "k", "_part", (F.sum("_n").over(above) - F.col("_n")).alias("_above"))
-    inside = Window.partitionBy(group, "k", "_part").orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(group, "k", "_part").orderBy(F.col("v").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counted.withColumn("_upto", F.sum("n").over(inside)).join(sums, [group, "k", "_part"])
-    ranked = ranked.select(group, "k", "v", (F.col("_above") + F.col("_upto") - F.col("n") + 1 + (F.col("n") - 1) / 2).alias("_rank"))
+    ranked = ranked.select(F.col(group).alias("_g"), F.col("k").alias("_k"), F.col("v").alias("_v"), (F.col("_above") + F.col("_upto") - F.col("n") + 1 + (F.col("n") - 1) / 2).alias("_rank"))
     each = [F.max(F.when(F.col("k") == k, F.col("_rank"))).alias(f"_r_{s}") for k, s in enumerate(scores)]
-    return long.join(ranked, [group, "k", "v"]).groupBy(group, item).agg(*each)
+    same = (F.col(group) == F.col("_g")) & (F.col("k") == F.col("_k")) & F.col("v").eqNullSafe(F.col("_v"))
+    return long.join(ranked, same).groupBy(group, item).agg(*each)
 
 
 def rank_items(df: DataFrame, group: str, item: str, scores: list[str], weights: list[float] | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -280,10 +280,11 @@ def _shingles(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")))
 
 
-def _verified(left: DataFrame, right: DataFrame, texts: DataFrame) -> DataFrame:
-    """The near-duplicates a, b among the rows of `left` (a, _na, key) and `right` (b, _nb, key) that share a key."""
+def _verified(left: DataFrame, right: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
+    """The near-duplicates a, b among the rows of `left` (a, _na, key) and `right` (b, _nb, key) that share a key, b not of `known`."""
     alike = (F.col("a") != F.col("b")) & (F.least("_na", "_nb") >= LEAST_SIMILARITY * F.greatest("_na", "_nb") - 1e-9)
-    near = durable(left.join(right, "key").filter(alike).select("a", "b").distinct(), "near")
+    near = left.join(right, "key").filter(alike).select("a", "b").distinct()
+    near = durable(near.join(known.select(F.col("unit").alias("b")), "b", "left_anti").select("a", "b"), "near")
     wanted = near.select(F.col("a").alias("unit")).union(near.select("b")).distinct()
     some = durable(texts.join(wanted, "unit", "left_semi").dropDuplicates(["unit"]), "texts").withColumn("_t", _shingles(F.col("text")))
     ta, tb = (some.select(F.col("unit").alias(c), F.col("_t").alias(f"_t{c}")) for c in ("a", "b"))
@@ -292,18 +293,19 @@ def _verified(left: DataFrame, right: DataFrame, texts: DataFrame) -> DataFrame:
     return durable(both.select("a", "b"), "pairs")
 
 
-def similar_pairs(some: DataFrame, others: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """Near-duplicates a, b with a of `some` and b of `others` (both unit), at least one for each b that has any.
+def similar_pairs(some: DataFrame, known: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """Near-duplicates a, b with a of `some` and b not of `known` (both unit), at least one for each b that has any.
 
     A family of n texts and m others has n * m pairs, so first only one text of `some` stands for each key; those b that it doesn't
     reach are compared with all. `keys` is as `keyed` gives it; `texts` has unit and text.
     """
-    left = keys.join(some.select("unit"), "unit", "left_semi").select(F.col("unit").alias("a"), F.col("size").alias("_na"), "key").distinct()
-    right = keys.join(others.select("unit"), "unit", "left_semi").select(F.col("unit").alias("b"), F.col("size").alias("_nb"), "key")
+    left = durable(keys.join(some.select("unit"), "unit", "left_semi").select(F.col("unit").alias("a"), F.col("size").alias("_na"), "key").distinct(), "probes")
+    right = keys.select(F.col("unit").alias("b"), F.col("size").alias("_nb"), "key")
     first = left.groupBy("key").agg(F.min(F.struct("a", "_na")).alias("_f")).select("_f.*", "key")
-    found = _verified(first, right, texts)
-    rest = right.join(found.select("b").distinct(), "b", "left_anti")
-    return found.unionByName(_verified(left, rest, texts))
+    found = _verified(first, right, known, texts)
+    reached = known.unionByName(found.select(F.col("b").alias("unit")).distinct())
+    several = left.groupBy("key").agg(F.count("*").alias("_k")).filter("_k > 1")  # a key of one text has nothing more to compare
+    return found.unionByName(_verified(left.join(several.select("key"), "key", "left_semi"), right, reached, texts))
 
 
 def residue_units(scanned: DataFrame) -> DataFrame:
@@ -320,7 +322,7 @@ def residue_units(scanned: DataFrame) -> DataFrame:
     seeds = durable(units.filter("vote > 0").select("unit"), "seeds")
     edges, frontier, known = None, seeds, seeds
     while True:
-        found = similar_pairs(frontier, units.select("unit").join(known, "unit", "left_anti"), keys, texts)
+        found = similar_pairs(frontier, known, keys, texts)
         edges = found if edges is None else edges.unionByName(found)
         new = durable(found.select(F.col("b").alias("unit")).distinct(), "frontier")
         if new.isEmpty():
@@ -335,7 +337,7 @@ def residue_units(scanned: DataFrame) -> DataFrame:
 def residue_fields(scan: DataFrame) -> DataFrame:
     """The fields that hold residue: page_id, field; `scan` is a durable table of `page_scan.scan_pages` with units.
 
-    The fields are joined with the bad units by field, after each page's newest crawl is known, so no shuffle is by a common line.
+    The bad units are few beside the units of all pages, so they are broadcast if their size allows, else a common line's rows are split.
     """
     units = scan.select("page_id", "crawled", F.explode("units").alias("u")).select("page_id", "crawled", "u.*")
     bad = durable(residue_units(units), "residue")

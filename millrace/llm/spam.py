@@ -8,16 +8,15 @@ Mahalanobis distance. Outliers that lie in a spam-directed direction from the me
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.cues import ALL_FUNCTION_WORDS, FUNCTION_WORDS
-from millrace.llm.residue import LATIN_STEMS, latin_filler
+from millrace.llm.line_tokens import LANGUAGES, Lines, counted, mixed
+from millrace.llm.residue import latin_filler
 from millrace.session import durable
 
 FEATURES = ["density", "sentences", "functions", "repetition", "entropy", "separators", "shapes", "links", "link_share"]
@@ -40,86 +39,61 @@ STRAY, LEAST_MASS = 0.85, 24
 SHRINK = 50
 #: Lines of one shape that make a list, and those of bare words, of which a menu may have some beside sentences.
 LISTED, LISTED_WORDS = 4, 12
-MEMORY = 100_000
-
-_WORD = re.compile(r"\w+")
-_PARTS = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+")
-_URL = re.compile(r"(?:https?://|www\.)\S+")
-_WORDS_RUN = re.compile(r"[^\W\d_]+(?:[ '’.-]*[^\W\d_]+)*")
-_DIGITS = re.compile(r"\d+")
-_ENDS = frozenset(".!?…")
-_CLOSING = "\"'”») \t\r\xa0"
-#: A letter for each language, and for each function word the letters of the languages it is of.
-_LETTER = {chr(97 + i): k for i, k in enumerate(FUNCTION_WORDS)}
-_OF = {w: "".join(c for c, k in _LETTER.items() if w in FUNCTION_WORDS[k]) for w in ALL_FUNCTION_WORDS}
-_N_LOG_N = [0.0] + [n * math.log(n) for n in range(1, 1000)]
-
-
-def describe_line(line: str) -> tuple[int, list[str], list[str], int, str] | None:
-    """Of a line: words in sentences, all words in lower case, the languages of its function words, separators, and its shape if it is no sentence. None for a blank line and for pseudo-Latin filler."""
-    low = line.strip().lower()
-    if not low:
-        return None
-    web = "://" in low or "www." in low
-    plain = _URL.sub(" ", low) if web else low
-    inside, words, languages = 0, [], []
-    for part in _PARTS.split(plain):
-        w = _WORD.findall(part)
-        own = [x for x in map(_OF.get, w) if x]
-        if 4 <= len(w) <= 80 and part.rstrip(_CLOSING)[-1:] in _ENDS and len(own) >= max(1, 0.1 * len(w)) and len(set(w)) >= 0.62 * len(w):
-            inside += len(w)
-        words += w
-        languages += own
-    if not inside and any(x[:4] in LATIN_STEMS for x in words[:5]) and latin_filler(plain):
-        return None
-    separators = sum([low.count(c) for c in ",;|/#:»>"]) if inside < len(words) else 0
-    shape = "" if inside else _DIGITS.sub("0", _WORDS_RUN.sub("w", _URL.sub("u", low) if web else low))
-    return inside, words, languages, separators, shape
-
-
-def describe(lines: list[str], links: int, memory: dict[str, tuple | None]) -> tuple[list[float], str | None] | None:
-    """The features of a page's lines and number of links, and its language by function words; None where there is nothing to judge.
-
-    Short lines whose shape is not repeated, such as menus, count for nothing unless they are sentences.
+#: A part of a text is a sentence if it has so many words, of which at least this share are function words and this share different.
+SENTENCE_WORDS, FUNCTION_SHARE, DIFFERENT_SHARE = (4, 80), 0.1, 0.62
+#: A line that is no sentence counts by itself if it has so many words, or fewer that are repeated.
+LOOSE_WORDS, REPEATED_WORDS = 15, 8
+
+def describe(lines: Lines, pages: list[list[str]], links: list[int | None]) -> Iterator[tuple[list[float], str | None] | None]:
+    """For each page (its lines, all together in `lines`, and its number of links) the features and its language by function words; None where there is nothing to judge.
+
+    Words in sentences and in loose lines count. A line without a sentence is loose if it has many words, repeats them, or has a shape that
+    is repeated in its page; other short lines, such as menus, count for nothing, nor does pseudo-Latin filler.
     """
-    told = []
-    for line in lines:
-        if line in memory:
-            known = memory[line]
-        else:
-            if len(memory) > MEMORY:
-                memory.clear()
-            known = memory[line] = describe_line(line)
-        if known:
-            told.append(known)
-    shapes = Counter([x[4] for x in told if x[4] and x[1]])
-    bare = LISTED_WORDS if any(x[0] for x in told) else LISTED
-    sentences = others = separators = shaped = 0
-    words: list[str] = []
-    languages: list[str] = []
-    for inside, own, of, seps, shape in told:
-        rest = len(own) - inside
-        repeated = shapes[shape] >= (bare if shape == "w" else LISTED) if shape else False
-        loose = rest if rest and (rest >= 15 or repeated or (rest >= 8 and len(set(own)) < 0.62 * len(own))) else 0
-        if inside or loose:
-            sentences += inside
-            others += loose
-            if loose:
-                separators += seps
-                shaped += loose if repeated else 0
-            words += own
-            languages += of
-    mass = sentences + others
-    if not mass:
-        return None
-    counts = Counter(words)
-    n = len(words)
-    sums = sum([_N_LOG_N[c] if c < 1000 else c * math.log(c) for c in counts.values() if c > 1])
-    entropy = 1 - sums / (n * math.log(n)) if n > 1 else 0.0
-    tally = "".join(languages)
-    by_language = {k: tally.count(c) for c, k in _LETTER.items()}
-    language = max(by_language, key=by_language.get) if max(by_language.values()) >= 5 else None
-    return [math.log1p(mass), sentences / mass, len(languages) / n, 1 - len(counts) / n, entropy, separators / n, shaped / mass, math.log1p(links), links / (links + mass)], language
+    n, p, most = lines.n, len(pages), len(lines.reader.names) + 1
+    page = np.repeat(np.arange(p), [len(x) for x in pages])  # of each line
+    parts = len(lines.closed)
+    size, own = (np.bincount(lines.part_of_piece, lines.of(f), parts) for f in ("words", "functions"))
+    token, at = lines.token[lines.is_word], lines.at[lines.is_word]
+    different = np.bincount(counted(lines.part[lines.is_word], token, most)[0], minlength=parts)
+    told = lines.closed & (size >= SENTENCE_WORDS[0]) & (size <= SENTENCE_WORDS[1]) & (own >= np.maximum(1, FUNCTION_SHARE * size)) & (different >= DIFFERENT_SHARE * size)
+    inside = np.bincount(lines.part_line[told], size[told], n).astype(np.int64)
+    words = lines.total("words")
+    filler = np.zeros(n, bool)
+    maybe = np.flatnonzero((lines.total("latin") > 0) & (inside == 0))
+    if len(maybe):
+        every = [x for of_page in pages for x in of_page]
+        filler[[i for i in maybe.tolist() if latin_filler(every[i].lower())]] = True
+    shape, bare = lines.shapes()
+    listed = np.flatnonzero((inside == 0) & (words > 0) & ~filler)
+    with np.errstate(over="ignore"):
+        key = mixed(shape[listed] + page[listed].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, which, times = np.unique(key, return_inverse=True, return_counts=True)
+    alike = np.zeros(n, np.int64)
+    alike[listed] = times[which]
+    some = np.bincount(page[inside > 0], minlength=p) > 0
+    repeated = alike >= np.where(bare & some[page], LISTED_WORDS, LISTED)
+    rest = words - inside
+    same = np.bincount(counted(at, token, most)[0], minlength=n) < DIFFERENT_SHARE * words
+    loose = np.where(~filler & (rest > 0) & ((rest >= LOOSE_WORDS) | repeated | ((rest >= REPEATED_WORDS) & same)), rest, 0)
+    taken = ((inside > 0) | (loose > 0)) & ~filler
+    total = lambda values, where: np.bincount(page[where], values[where], p)
+    sentences, others = total(inside, taken), total(loose, taken)
+    separators, shaped = total(lines.total("marks"), taken & (loose > 0)), total(loose, taken & repeated)
+    tokens, functions = total(words, taken), total(lines.total("functions"), taken)
+    in_page = taken[at]
+    groups, times = counted(page[at[in_page]], token[in_page], most)
+    kinds, sums = np.bincount(groups, minlength=p), np.bincount(groups, times * np.log(times), p)
+    tally = np.stack([total(lines.total(k), taken) for k in LANGUAGES])
+    for i in range(p):
+        mass, k = sentences[i] + others[i], int(tokens[i])
+        if not mass:
+            yield None
+            continue
+        entropy = 1 - sums[i] / (k * math.log(k)) if k > 1 else 0.0
+        language = LANGUAGES[int(tally[:, i].argmax())] if tally[:, i].max() >= 5 else None
+        m = links[i] or 0
+        yield [float(x) for x in (math.log1p(mass), sentences[i] / mass, functions[i] / k, 1 - kinds[i] / k, entropy, separators[i] / k, shaped[i] / mass, math.log1p(m), m / (m + mass))], language
 
 
 def robust_distances(features: DataFrame) -> DataFrame:
@@ -151,8 +125,6 @@ def robust_distances(features: DataFrame) -> DataFrame:
     sums = near.groupBy("_g").agg(F.count("*").alias("_n"), *[F.sum(f"_z{i}").alias(f"s{i}") for i in range(n)], *[F.sum(F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"p{i}_{j}") for i in range(n) for j in range(i, n)])
 
     def inverses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         for pdf in batches:
             out = []
             for _, r in pdf.iterrows():

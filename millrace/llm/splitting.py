@@ -99,6 +99,8 @@ def split_text(enc: Encoder, text: str, limit: int, overlap: int) -> list[tuple[
             out.append((start, n, own(start, n), raw[at[start] :].decode("utf-8")))
             return out
         floor = max(start + overlap + 1, start + int(limit * LEAST_FILL))  # each piece goes on
+        while used and cuts[used - 1][0] >= floor:  # a start may move back by a few tokens
+            used -= 1
         while used < len(cuts) and cuts[used][0] < floor:
             used += 1
         window = []
@@ -127,7 +129,6 @@ def split_text(enc: Encoder, text: str, limit: int, overlap: int) -> list[tuple[
         start = max(end - overlap, start + 1)
         while not whole(start):
             start -= 1
-        used = 0
 
 
 def split_oversized(docs: DataFrame, limits: list[tuple[str, int, int]], key: str = "doc_id", text: str = "text", with_text: bool = True, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from millrace.llm import body, cues, queries
+from millrace.llm import body, cues, line_tokens, queries
 
 
 def page(r):
@@ -39,6 +39,19 @@ def test_held_out_accuracy_and_viterbi():
     assert abs(score(best) - score(field.decode(lines))) < 1e-9
 
 
+def test_scores_of_many_lines_at_once():
+    """The arrays give what the features by themselves give, line by line."""
+    r = random.Random(2)
+    field = body.fit([(*page(r), "", None) for _ in range(60)], steps=20)
+    odd = ["", " ", "Über Straße 12,5 x www.a.de/b - «ok»!", "ǅ İI ß 𝒳 日本語 12.", "…", "áb_c x\r", "\ue001 a\ue001", "SEE HTTPS://A.B/C NOW?", "a. b! c? d…", "x" * 100_000, "a b " * 20_000]
+    lines = odd + [x for _ in range(20) for x in page(r)[0]]
+    reader = line_tokens.Reader()
+    for part in (lines[:7], lines[7:], lines):
+        got = field.scores(reader.read(part))
+        expected = [sum(field.weights.get(f, 0.0) for f in body.block_features(x)) for x in part]
+        assert all(abs(a - b) < 1e-9 for a, b, x in zip(got, expected, part) if x.strip() and "\ue001" not in x)
+
+
 def site_page(r, name, place):
     """A page of a made-up site: notices that name the site around paragraphs about a place."""
     subjects = ["river", "archive", "harbour", "glacier", "museum", "railway", "orchard", "library"]

@@ -20,9 +20,9 @@ def brute(rows, weights):
         for i, v in items.items():
             ranks = []
             for k in range(3):
-                low = float("-inf")
-                a = [low if w[k] is None else w[k] for w in items.values()]
-                b = low if v[k] is None else v[k]
+                merit = lambda x: (x is not None, x or 0.0)
+                a = [merit(w[k]) for w in items.values()]
+                b = merit(v[k])
                 ranks.append(sum(x > b for x in a) + 1 + (sum(x == b for x in a) - 1) / 2)
             order = sorted(zip(ranks, weights))
             half, total, low, high = sum(weights) / 2, 0, None, None
@@ -36,7 +36,7 @@ def brute(rows, weights):
 
 def sample():
     random.seed(3)
-    value = lambda: random.choice([None, float("nan"), 0.0, -0.0, 1.0, 2.0, random.random() * 1e6, -5.0])
+    value = lambda: random.choice([None, float("nan"), float("-inf"), 0.0, -0.0, 1.0, 2.0, random.random() * 1e6, -5.0])
     rows = [(random.choice([1, 1, 1, 2, 3]), random.randint(1, 60), value(), value(), value(), "z") for _ in range(200)]
     return rows + rows[:5] + [(None, 1, 1.0, 1.0, 1.0, "z"), (1, None, 1.0, 1.0, 1.0, "z"), (9, 1, None, None, None, "z")]
 

@@ -1,4 +1,4 @@
-from millrace.llm.site_lines import find_repeated_lines, page_lines, repeated_lines, without_repeated_lines
+from millrace.llm.site_lines import find_repeated_lines, page_lines, repeated_blocks, repeated_graph, without_repeated_lines
 
 SCHEMA = "page_id long, url string, content string, last_crawled_at timestamp, line_no string"
 
@@ -24,7 +24,7 @@ def test_against_counting(spark, rows):
 def test_blocks_are_of_lines_that_follow_each_other(spark):
     content = "alpha\nbeta\nbody {0}\ngamma\ndelta"
     df = spark.createDataFrame([(i, "https://s.example/", content.format(i), None, "") for i in range(10)], SCHEMA)
-    found = repeated_lines(page_lines(df)).collect()
+    found = repeated_graph(page_lines(df))[0].collect()
     assert len(found) == 4 and sorted(sum(r["block"] == b for r in found) for b in {r["block"] for r in found}) == [2, 2]
     assert all(r["pages"] == 10 for r in found)
 
@@ -32,3 +32,19 @@ def test_blocks_are_of_lines_that_follow_each_other(spark):
 def test_cleaned_contents(spark):
     got = {r["page_id"]: (r["content"], r["removed"]) for r in without_repeated_lines(pages(spark, [(301, "https://site.example/", None, None, "z")])).collect()}
     assert got[1] == ("only 1\n\nbody 1", 2) and got[0] == ("body 0", 1) and got[301] == (None, 0) and got[100] == ("Home\nmenu item", 0)
+
+
+def test_occurrences_of_blocks_are_deleted_whole(spark, rows, monkeypatch):
+    """Empty lines within a block go with it, those between repeated lines that aren't linked stay."""
+    content = ["alpha\n\nbeta\nbody {0}\n\ngamma\n\nbody", "gamma\n\nalpha\n \nbeta\nbody {0}"]
+    df = spark.createDataFrame([(i, "https://s.example/", content[i == 9].format(chr(97 + i) * 3), None, "") for i in range(10)], SCHEMA)
+    got = {r["page_id"]: (r["content"], r["removed"]) for r in without_repeated_lines(df).collect()}
+    assert got[0] == ("body aaa\n\n\nbody", 4) or got[0] == ("body aaa\n", 6)
+    assert got[9] == ("\nbody jjj", 4)
+    blocks = rows(repeated_blocks(df).select("lines", "most_pages"))
+    assert (2, 10) in blocks
+    from millrace.llm import site_lines
+
+    whole = site_lines.repeated_graph
+    monkeypatch.setattr(site_lines, "repeated_graph", lambda *a: (whole(*a)[0], whole(*a)[1].limit(0)))
+    assert {r["page_id"]: r["content"] for r in without_repeated_lines(df).collect()}[9] == "\n \nbody jjj"  # the graph makes the difference
