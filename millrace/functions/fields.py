@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ DEGREE_LEVELS = {
 REMOTE = ["remote", "work from home", "telecommute", "virtual position", "work-from-home"]
 # The phrases before a deadline, in the order they are tried.
 DEADLINE_PHRASES = ["deadline", "apply by", "applications close", "applications due", "due by", "must apply by"]
-#: Characters after a phrase within which its date is sought.
+# Bytes after a phrase within which its date is sought, and the names of the months.
 DEADLINE_WINDOW = 60
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
@@ -35,20 +37,53 @@ def mentions(text: Column, word: str) -> Column:
     return text.rlike(rf"(?i)(?<![0-9A-Za-z_]){quoted}s?(?![0-9A-Za-z_])")
 
 
+_EVERY = sorted({*FIELDS_OF_STUDY, *(w for ws in DEGREE_LEVELS.values() for w in ws), *REMOTE}, key=lambda w: (-len(w), w))
+_ANY = "(?i)(?<![0-9A-Za-z_])(" + "|".join("".join("\\" + c if not c.isalnum() and c != " " else c for c in w) for w in _EVERY) + ")s?(?![0-9A-Za-z_])"
+
+
+def _holds(word: str, part: str) -> bool:
+    return re.search(rf"(?<![0-9a-z_]){re.escape(part)}s?(?![0-9a-z_])", word) is not None
+
+
+#: What a found word names: itself, and the words within it.
+_NAMED = {w: [p for p in _EVERY if _holds(w, p)] for w in _EVERY}
+
+
+def named(text: Column) -> Column:
+    """All words of the three lists that a text holds, in one reading of it."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_ANY), F.lit(1)), lambda w: F.lower(w)))
+    within = F.create_map(*[x for w, ps in _NAMED.items() for x in (F.lit(w), F.array(*[F.lit(p) for p in ps]))])
+    return F.array_distinct(F.flatten(F.transform(found, lambda w: F.try_element_at(within, w))))
+
+
+def studies_of(words: Column) -> Column:
+    """The fields of study among the words of `named`."""
+    return F.filter(F.array(*[F.lit(k) for k in FIELDS_OF_STUDY]), lambda k: F.array_contains(words, k))
+
+
+def levels_of(words: Column) -> Column:
+    """The degree levels that the words of `named` mean."""
+    return F.array_compact(F.array(*[F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in ws])), F.lit(k)) for k, ws in DEGREE_LEVELS.items()]))
+
+
+def remote_of(words: Column) -> Column:
+    """Whether one of the words of `named` speaks of remote work."""
+    return F.arrays_overlap(words, F.array(*[F.lit(w) for w in REMOTE]))
+
+
 def fields_of_study(text: Column) -> Column:
     """The fields of study that a text names."""
-    return F.array_compact(F.array(*[F.when(mentions(text, k), F.lit(k)) for k in FIELDS_OF_STUDY]))
+    return studies_of(named(text))
 
 
 def degree_levels(text: Column) -> Column:
     """The degree levels that a text names."""
-    any_of = lambda words: F.greatest(*[mentions(text, w) for w in words])
-    return F.array_compact(F.array(*[F.when(any_of(words), F.lit(k)) for k, words in DEGREE_LEVELS.items()]))
+    return levels_of(named(text))
 
 
 def is_remote(text: Column) -> Column:
     """Whether a text speaks of remote work."""
-    return F.greatest(*[mentions(text, w) for w in REMOTE])
+    return remote_of(named(text))
 
 
 _DATE = rf"(?i)(?:({'|'.join(MONTHS)})\s+(\d{{1,2}}),?\s+(\d{{4}})|(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}))"
@@ -64,12 +99,15 @@ def free_date(text: Column) -> Column:
 
 
 def deadline(text: Column) -> Column:
-    """The first date that stands shortly after one of the phrases, at each one's first occurrence."""
-    low = F.lower(text)
+    """The first date that stands within DEADLINE_WINDOW bytes after one of the phrases, at each one's first occurrence.
+
+    The phrase is sought in the text itself, ASCII letters in any case, so the place fits also where lower-casing changes lengths.
+    """
     tries = []
     for p in DEADLINE_PHRASES:
-        at = F.locate(p, low)
-        tries.append(F.when(at > 0, free_date(F.substring(text, at, F.lit(len(p) + DEADLINE_WINDOW)))))
+        at = F.regexp_instr(text, F.lit(f"(?i){p}"))
+        rest = F.encode(F.substring(text, at, F.lit(len(p) + DEADLINE_WINDOW)), "UTF-8")
+        tries.append(F.when(at > 0, free_date(F.make_valid_utf8(F.substring(rest, 1, len(p) + DEADLINE_WINDOW).cast("string")))))
     return F.coalesce(*tries)
 
 
@@ -154,12 +192,12 @@ def with_listing_fields(df, blocks: str = "json_ld"):
     """
     posting = F.try_element_at(F.filter(F.transform(F.coalesce(F.col(blocks), F.array().cast("array<string>")), job_posting), lambda v: v.isNotNull()), F.lit(1))
     text = combined_text(F.col("title"), F.col("abstract"), F.col("content"))
-    df = df.withColumn("_posting", posting).withColumn("_text", text)
-    p, t = F.col("_posting"), F.col("_text")
+    df = df.withColumn("_posting", posting).withColumn("_text", text).withColumn("_named", named(F.col("_text")))
+    p, t, words = F.col("_posting"), F.col("_text"), F.col("_named")
     taught = degree_levels(education(p))
     return df.withColumns({
         "organization": organization(p), "posted_at": json_date(_get(p, "$.datePosted")),
         "deadline_at": F.coalesce(json_date(_get(p, "$.validThrough")), deadline(t).cast("timestamp_ntz")),
-        "fields_of_study": fields_of_study(t), "degree_levels": F.when(F.size(taught) > 0, taught).otherwise(degree_levels(t)),
-        "location": F.coalesce(job_location(p), F.lit("")), "remote": telecommute(p) | is_remote(t),
-    }).drop("_posting", "_text")
+        "fields_of_study": studies_of(words), "degree_levels": F.when(F.size(taught) > 0, taught).otherwise(levels_of(words)),
+        "location": F.coalesce(job_location(p), F.lit("")), "remote": telecommute(p) | remote_of(words),
+    }).drop("_posting", "_text", "_named")

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.language import language_of
+from millrace.functions.stemming import STEMMERS, stem_english
 from millrace.sources.lines import SPACE
 
+#: The least confidence with which a language other than English is taken.
+SURE = 0.6
+
 # The letters beyond a-z, A-Z and 0-9 that each language keeps.
 LETTERS = {
     "english": "",
@@ -16,9 +24,9 @@ LETTERS = {
     "german": "äöüÄÖÜß",
     "russian": "а-яА-Я",
     "arabic": "ء-ي",
-    "chinese": "一-龥",
-    "japanese": "぀-ゟ゠-ヿ一-龥",
-    "korean": "가-힯ᄀ-ᇿ㄰-㆏",
+    "chinese": "\u4e00-\u9fa5",
+    "japanese": "\u3040-\u309f\u30a0-\u30ff\u4e00-\u9fa5",
+    "korean": "\uac00-\ud7af\u1100-\u11ff\u3130-\u318f",
     "thai": "ก-๙",
     "persian": "آ-ی",
     "indonesian": "",
@@ -71,23 +79,32 @@ def sanitised(words: Column, language: str = "english") -> Column:
     return F.filter(F.transform(words, lambda w: F.lower(F.regexp_replace(w, pattern_of(language), ""))), lambda w: w != "")
 
 
-def sanitised_by(words: Column, language: Column) -> Column:
-    """The same with the language of a column, among those whose letters differ from English."""
-    out = sanitised(words, "english")
-    for name, letters in LETTERS.items():
-        if letters:
-            out = F.when(F.lower(language) == name, sanitised(words, name)).otherwise(out)
-    return out
-
-
 def without(words: Column, stop: list[str] | None) -> Column:
     """Words that are not in the stop list; None, as by default, drops none. Repeated words stay."""
     return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
 
 
+_WHITE = SPACE[1:-1]
+
+
+def kept(text: Column, language: str = "english") -> Column:
+    """A text in lower case without the characters its language drops; white space stays, so one expression serves all words."""
+    return F.lower(F.regexp_replace(text, f"[^a-zA-Z0-9{LETTERS.get(language.lower(), '')}{_WHITE}]+", ""))
+
+
 def tokens(text: Column, language: str = "english", stop: list[str] | None = None) -> Column:
     """The tokens of a text before stemming."""
-    return without(sanitised(fields(text), language), stop)
+    return without(fields(kept(text, language)), stop)
+
+
+def tokens_by(text: Column, language: Column) -> Column:
+    """The same with the language of a column; an unknown one drops all but ASCII letters and digits."""
+    names = [n for n, letters in LETTERS.items() if letters]
+    low = F.lower(language)
+    out = F.when(low == names[0], kept(text, names[0]))
+    for n in names[1:]:
+        out = out.when(low == n, kept(text, n))
+    return fields(out.otherwise(kept(text)))
 
 
 def byte_distance(a: Column, b: Column, most: int | None = None) -> Column:
@@ -101,112 +118,18 @@ def byte_prefix(text: Column, size: int) -> Column:
     return F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, size).cast("string"))
 
 
-# The Porter2 stemmer, from its published definition.
-
-# Exceptions and endings of the published English stemmer.
-_WHOLE = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
-_SAME = {"sky", "news", "howe", "atlas", "cosmos", "bias", "andes"}
-_AFTER_1A = {"inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"}
-_DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
-_STEP2 = [
-    ("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("tional", "tion"), ("biliti", "ble"), ("lessli", "less"), ("entli", "ent"), ("ation", "ate"),
-    ("alism", "al"), ("aliti", "al"), ("ousli", "ous"), ("iviti", "ive"), ("fulli", "ful"), ("enci", "ence"), ("anci", "ance"), ("abli", "able"), ("izer", "ize"), ("ator", "ate"), ("alli", "al"), ("bli", "ble"), ("ogi", "og"), ("li", ""),
-]
-_STEP3 = [("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"), ("iciti", "ic"), ("ative", ""), ("ical", "ic"), ("ness", ""), ("ful", "")]
-_STEP4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion", "al", "er", "ic"]
-_VOWELS = set("aeiouy")
-
-
-def _regions(w: str) -> tuple[int, int]:
-    start = next((len(p) for p in ("gener", "commun", "arsen") if w.startswith(p)), None)
-
-    def after(i: int) -> int:
-        while i < len(w) and w[i] not in _VOWELS:
-            i += 1
-        while i < len(w) and w[i] in _VOWELS:
-            i += 1
-        return min(i + 1, len(w))
-
-    r1 = start if start is not None else after(0)
-    return r1, after(r1)
-
-
-def _ends_short(w: str) -> bool:
-    if len(w) == 2:
-        return w[0] in _VOWELS and w[1] not in _VOWELS
-    return len(w) > 2 and w[-1] not in _VOWELS and w[-1] not in "wxY" and w[-2] in _VOWELS and w[-3] not in _VOWELS
-
-
-def stem_english(word: str) -> str:
-    """The Porter2 stem of a lower-case word."""
-    w = word[1:] if word.startswith("'") else word
-    if len(w) <= 2:
-        return word
-    if w in _WHOLE:
-        return _WHOLE[w]
-    if w in _SAME:
-        return w
-    w = "".join("Y" if c == "y" and (i == 0 or w[i - 1] in _VOWELS) else c for i, c in enumerate(w))
-    r1, r2 = _regions(w)
-    for end in ("'s'", "'s", "'"):
-        if w.endswith(end):
-            w = w[: -len(end)]
-            break
-    if w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith(("ied", "ies")):
-        w = w[:-2] if len(w) > 4 else w[:-1]
-    elif w.endswith("s") and not w.endswith(("us", "ss")) and any(c in _VOWELS for c in w[:-2]):
-        w = w[:-1]
-    if w in _AFTER_1A:
-        return w
-    if w.endswith(("eedly", "eed")):
-        end = "eedly" if w.endswith("eedly") else "eed"
-        if len(w) - len(end) >= r1:
-            w = w[: -len(end)] + "ee"
-    else:
-        for end in ("ingly", "edly", "ing", "ed"):
-            if w.endswith(end):
-                if any(c in _VOWELS for c in w[: -len(end)]):
-                    w = w[: -len(end)]
-                    if w.endswith(("at", "bl", "iz")):
-                        w += "e"
-                    elif w.endswith(_DOUBLES):
-                        w = w[:-1]
-                    elif r1 >= len(w) and _ends_short(w):
-                        w += "e"
-                break
-    if len(w) > 2 and w[-1] in "yY" and w[-2] not in _VOWELS:
-        w = w[:-1] + "i"
-    for end, to in _STEP2:
-        if w.endswith(end):
-            if len(w) - len(end) >= r1 and (end != "ogi" or w[-4:-3] == "l") and (end != "li" or w[-3:-2] in set("cdeghkmnrt")):
-                w = w[: -len(end)] + to
-            break
-    for end, to in _STEP3:
-        if w.endswith(end):
-            if len(w) - len(end) >= (r2 if end == "ative" else r1):
-                w = w[: -len(end)] + to
-            break
-    for end in _STEP4:
-        if w.endswith(end):
-            if len(w) - len(end) >= r2 and (end != "ion" or w[-4:-3] in ("s", "t")):
-                w = w[: -len(end)]
-            break
-    if w.endswith("e"):
-        if len(w) - 1 >= r2 or (len(w) - 1 >= r1 and not _ends_short(w[:-1])):
-            w = w[:-1]
-    elif w.endswith("ll") and len(w) - 1 >= r2:
-        w = w[:-1]
-    return w.replace("Y", "y")
-
-
 @F.pandas_udf(T.StringType())
 def stem(words: pd.Series) -> pd.Series:
     """English stems. Meant for a column of distinct words, joined back afterwards."""
     return words.map(stem_english, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def stem_by(frame: pd.DataFrame) -> pd.Series:
+    """Stems of (word, language); a word of a language without a stemmer stays as it is."""
+    return pd.Series([None if w is None else STEMMERS[k](w) if k in STEMMERS else w for w, k in zip(frame.iloc[:, 0], frame.iloc[:, 1])], dtype=object)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(words: pd.Series) -> pd.Series:
     """English stems of arrays, each distinct word of a batch stemmed once."""
@@ -214,57 +137,32 @@ def stems(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [known[w] if w in known else known.setdefault(w, stem_english(w)) for w in ws])
 
 
-# Language of a text, by function words and letters.
-
-# Frequent words of each language.
-_FREQUENT = {
-    "english": "the of and to in is for that with on as are by at from this be or which not have will you we".split(),
-    "german": "der die und das ist nicht ein eine mit von zu den auf für im dem sich des wir sind werden oder bei".split(),
-    "french": "le la les et des une est pour dans que qui sur avec pas du au par plus ce sont nous vous ou".split(),
-    "spanish": "el la los las de que y en un una es por con para del se no su al como más o este son".split(),
-    "italian": "il la di che e un una per con non sono del della le si da in gli dei al nel".split(),
-    "portuguese": "o a de que e do da em um uma para com não os as no na por mais dos das se".split(),
-    "dutch": "de het een en van in is op dat te voor met zijn niet aan er om ook als bij door".split(),
-}
-
-
-def language_of(text: str) -> tuple[str, float]:
-    """The most likely language of a text and a confidence in [0, 1]; English with confidence 0 where nothing speaks for one."""
-    counts: dict[str, float] = {}
-    words = text.lower().split()
-    for w in words:
-        w = w.strip(".,;:!?()\"'«»“”")
-        for language, known in _FREQUENT.items():
-            if w in known:
-                counts[language] = counts.get(language, 0) + 1
-    if any("぀" <= c <= "ヿ" for c in text):
-        counts["japanese"] = counts.get("japanese", 0) + len(words) + 1
-    if not counts:
-        return "english", 0.0
-    best = max(sorted(counts), key=counts.__getitem__)
-    return best, counts[best] / sum(counts.values())
-
-
 @F.pandas_udf(T.StringType())
 def detected(texts: pd.Series) -> pd.Series:
     """The language of each text; English where the confidence is below 0.6."""
 
     def one(t: str | None) -> str:
-        language, sure = language_of(t or "")
-        return language if sure >= 0.6 else "english"
+        language, sure = language_of(t)
+        return language if sure >= SURE else "english"
 
     return texts.map(one)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def index_tokens(frame: pd.DataFrame) -> pd.Series:
-    """Tokens of (text, language): cleaned by the language, English ones stemmed; other languages' words stay as they are."""
-    import re
-
-    known: dict[str, str] = {}
+    """Tokens of (text, language): cleaned and stemmed by the language; words of a language without a stemmer stay as they are."""
+    known: dict[str, dict[str, str]] = {}
     out = []
     for text, language in zip(frame.iloc[:, 0], frame.iloc[:, 1]):
-        words = [re.sub(pattern_of(language or "english"), "", w).lower() for w in (text or "").split()]
-        words = [w for w in words if w]
-        out.append([known[w] if w in known else known.setdefault(w, stem_english(w)) for w in words] if language == "english" else words)
+        language = language or "english"
+        words = _dropped(language).sub("", text or "").lower().split()
+        if language in STEMMERS:
+            of, make = known.setdefault(language, {}), STEMMERS[language]
+            words = [of[w] if w in of else of.setdefault(w, make(w)) for w in words]
+        out.append(words)
     return pd.Series(out)
+
+
+@lru_cache(maxsize=64)
+def _dropped(language: str) -> re.Pattern:
+    return re.compile(rf"[^a-zA-Z0-9{LETTERS.get(language.lower(), '')}\s\x1c-\x1f\x85]+")

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Public suffixes of two labels; of other hosts the last label is the suffix. A subset of the public list.
-TWO_LABEL_SUFFIXES = ["co.uk", "ac.uk", "gov.uk", "org.uk", "com.au", "edu.au", "gov.au", "org.au", "co.nz", "ac.nz", "co.jp", "ac.jp", "or.jp", "co.in", "ac.in", "edu.in", "com.br", "edu.br", "co.za", "ac.za", "com.cn", "edu.cn", "com.mx", "edu.mx", "co.kr", "ac.kr", "github.io"]
+# Labels under which countries register names, so that they make a public suffix with a country's label of two letters.
+SECOND_LEVEL = ["ac", "asn", "co", "com", "edu", "go", "gob", "gouv", "gov", "govt", "gub", "gv", "ltd", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "police", "sch", "school"]
+# Countries that register names only right under their label.
+FLAT = ["be", "ca", "cc", "ch", "cz", "de", "dk", "eu", "fi", "li", "lu", "nl", "no", "si", "tv", "us"]
+# Further public suffixes of two labels.
+FURTHER = ["ac.be", "blogspot.com", "cloudfront.net", "gc.ca", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "vercel.app", "web.app"]
 
 
 def host(url: Column) -> Column:
@@ -15,9 +19,16 @@ def host(url: Column) -> Column:
     return F.nullif(h, F.lit(""))
 
 
-def registrable_domain(url: Column) -> Column:
+def is_suffix(two: Column, suffixes: list[str] | None = None) -> Column:
+    """Whether two labels are a public suffix: by the rule of SECOND_LEVEL, FLAT and FURTHER, or where a list of all suffixes of two labels is given, by it."""
+    if suffixes is not None:
+        return two.isin(suffixes)
+    return two.rlike(rf"^(?:{'|'.join(SECOND_LEVEL)})\.(?!(?:{'|'.join(FLAT)})$)[a-z][a-z]$") | two.isin(FURTHER)
+
+
+def registrable_domain(url: Column, suffixes: list[str] | None = None) -> Column:
     """The public suffix of a url's host and the label before it; null for a bare suffix or no host."""
     h = host(url)
     two = F.regexp_extract(h, r"([^.]+\.[^.]+)$", 1)
     three = F.regexp_extract(h, r"([^.]+\.[^.]+\.[^.]+)$", 1)
-    return F.nullif(F.when(two.isin(TWO_LABEL_SUFFIXES), three).otherwise(two), F.lit(""))
+    return F.nullif(F.when(is_suffix(two, suffixes), three).otherwise(two), F.lit(""))

@@ -1,44 +1,39 @@
-"""Dictionary words nearest to a token by edit distance, through an equality join on shortened forms."""
+"""Dictionary words nearest to a token by edit distance over bytes, through a pigeonhole join."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import byte_distance
+from millrace.operators import pigeonhole
 
 
-def shortened(word: Column, most: int) -> Column:
-    """A word's lower-cased bytes with up to `most` of them left out, as distinct texts."""
-    w = F.decode(F.encode(F.lower(word), "UTF-8"), "ISO-8859-1")
-    every = level = F.array(w)
-    for _ in range(most):
-        cut = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
-        level = F.array_distinct(F.flatten(F.transform(level, cut)))
-        every = F.array_union(every, level)
-    return every
+def raw(word: Column) -> Column:
+    """A word's lower-cased UTF-8 bytes, each as one character."""
+    return F.decode(F.encode(F.lower(word), "UTF-8"), "ISO-8859-1")
+
+
+def _within(left: DataFrame, right: DataFrame, tolerance: int) -> DataFrame:
+    """Pairs of `left` (_a) and `right` (_b), byte strings, within the tolerance, with the columns of both and distance."""
+    return pigeonhole.near_pairs(left, right, "_a", "_b", lambda _: F.lit(tolerance), tolerance, least=0).withColumnRenamed("edits", "distance")
 
 
 def near_words(tokens: DataFrame, words: DataFrame, tolerance: int = 2) -> DataFrame:
     """All dictionary words at the least distance from each token, within the tolerance: token, word, frequency, distance.
 
-    Two texts within k edits share a form with up to k bytes left out of each, so an equality join finds every pair; the
-    distance is then verified. `words`: word, frequency. No pair of all tokens and words is made.
+    `words`: word, frequency. No pair of all tokens and words is made, and a word costs its length, however long it is.
     """
-    t = tokens.select("token").filter("token IS NOT NULL").distinct()
-    left = t.select("token", F.explode(shortened(F.col("token"), tolerance)).alias("_form"))
-    right = words.select("word", "frequency", F.explode(shortened(F.col("word"), tolerance)).alias("_form"))
-    pairs = left.join(right, "_form").select("token", "word", "frequency").distinct()
-    pairs = pairs.withColumn("distance", byte_distance(F.col("token"), F.col("word"), tolerance)).filter("distance >= 0")
-    least = pairs.groupBy("token").agg(F.min("distance").alias("_least"))
-    return pairs.join(least, "token").filter("distance = _least").drop("_least")
+    t = tokens.select("token").filter("token IS NOT NULL").distinct().withColumn("_a", raw(F.col("token")))
+    pairs = _within(t, words.select("word", "frequency").filter("word IS NOT NULL").withColumn("_b", raw(F.col("word"))), tolerance).drop("_a", "_b")
+    least = pairs.groupBy("token").agg(F.min(F.struct("distance")).alias("_l"))
+    return pairs.join(least, "token").filter("distance = _l.distance").select("token", "word", "frequency", "distance")
 
 
 def near_pairs(words: DataFrame, tolerance: int = 2) -> DataFrame:
     """All pairs of different words within the tolerance: a, b (a < b), distance. Found as in `near_words`; `words`: word."""
-    forms = words.select("word").filter("word IS NOT NULL").distinct().select("word", F.explode(shortened(F.col("word"), tolerance)).alias("_form"))
-    pairs = forms.withColumnRenamed("word", "a").join(forms.withColumnRenamed("word", "b"), "_form").filter("a < b").select("a", "b").distinct()
-    return pairs.withColumn("distance", byte_distance(F.col("a"), F.col("b"), tolerance)).filter("distance >= 0")
+    w = words.select("word").filter("word IS NOT NULL").distinct()
+    pairs = _within(w.select(F.col("word").alias("a"), raw(F.col("word")).alias("_a")), w.select(F.col("word").alias("b"), raw(F.col("word")).alias("_b")), tolerance)
+    return pairs.filter("a < b").select("a", "b", "distance")
 
 
 def first_words(near: DataFrame, limit: int) -> DataFrame:

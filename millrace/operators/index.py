@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions.html import tag_weight
 from millrace.functions.text import detected, index_tokens
+from millrace.session import drop, durable
 
-#: Parts in which new urls are numbered.
-ID_PARTITIONS = 200
+#: Urls in each of the parts in which new ones are numbered, about; each is sorted in a task.
+PART_URLS = 1_000_000
 
 
 def element_words(elements: DataFrame, language: str | None = None) -> DataFrame:
@@ -31,6 +32,15 @@ def place_words(elements: DataFrame, tokens: str) -> DataFrame:
     return each.groupBy("page_id", "elem_idx", "word").agg(F.max("score").alias("score"), F.max(F.col("_before") + F.col("_p")).cast("int").alias("position")).select("page_id", "elem_idx", "word", "score", "position")
 
 
+def place_nested(pages: DataFrame, elements: str = "elements") -> DataFrame:
+    """The same from pages (page_id) that hold an array of a few elements (score, and an array of tokens): no shuffle finds the positions."""
+    sizes = F.transform(elements, lambda x: F.size(x["tokens"]))
+    before = F.transform(elements, lambda x, i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, n: a + n))
+    p = pages.select("page_id", F.posexplode(F.arrays_zip(F.col(elements).alias("e"), before.alias("before"))).alias("elem_idx", "x"))
+    each = p.select("page_id", "elem_idx", F.col("x.e.score").alias("score"), F.col("x.before").alias("_before"), F.posexplode("x.e.tokens").alias("_p", "word"))
+    return each.groupBy("page_id", "elem_idx", "word").agg(F.max("score").alias("score"), F.max(F.col("_before") + F.col("_p")).cast("int").alias("position")).select("page_id", "elem_idx", "word", "score", "position")
+
+
 def postings(words: DataFrame, agg: str = "last") -> DataFrame:
     """One row for each word and page: word, page_id, score, position.
 
@@ -41,21 +51,27 @@ def postings(words: DataFrame, agg: str = "last") -> DataFrame:
 
 
 def dictionary(words: DataFrame) -> DataFrame:
-    """Each word with the number of page elements that hold it: word, frequency."""
-    return words.select("page_id", "elem_idx", "word").distinct().groupBy("word").agg(F.count("*").alias("frequency"))
+    """Each word with the number of page elements that hold it: word, frequency. `words` has one row for each word and element, as `element_words` gives it."""
+    return words.groupBy("word").agg(F.count("*").alias("frequency"))
+
+
+def dictionary_of(tokens: DataFrame, column: str = "tokens") -> DataFrame:
+    """The same from the token arrays of elements (one row each); counts are added up in each task before the shuffle."""
+    return tokens.select(F.explode(F.array_distinct(column)).alias("word")).groupBy("word").agg(F.count("*").alias("frequency"))
 
 
 def assign_ids(urls: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Dense page ids after the greatest known one: url, page_id. Known urls keep theirs; null ones get none.
 
-    Urls are numbered in ID_PARTITIONS parts by a hash, each in url order, after the rows of the parts before it; the parts' counts are
-    the only thing that one task holds.
+    Urls are numbered in parts by a hash, of about PART_URLS each, in url order, after the rows of the parts before it; the parts' counts
+    are the only thing that one task holds, and their number the only one that reaches the driver.
     """
-    u = urls.select("url").filter("url IS NOT NULL").distinct()
+    u = durable(urls.select("url").filter("url IS NOT NULL").distinct(), "urls")
     start = F.lit(0)
     if known is not None:
         u = u.join(known.select("url"), "url", "left_anti")
-    ranged = u.withColumn("_r", F.pmod(F.xxhash64("url"), F.lit(ID_PARTITIONS)))
+    parts = max(1, -(-u.count() // PART_URLS))
+    ranged = u.withColumn("_r", F.pmod(F.xxhash64("url"), F.lit(parts)))
     counts = ranged.groupBy("_r").agg(F.count("*").alias("_n"))
     upto = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row for each part
     counts = counts.withColumn("_start", F.sum("_n").over(upto) - F.col("_n"))
@@ -87,8 +103,6 @@ def page_json(pages: DataFrame) -> DataFrame:
 
 def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """Rank of each page of a link graph: page_id, rank. Self-links and repeated links count once as any other; pages without links give their rank to all."""
-    from millrace.session import drop, durable
-
     e = durable(edges.select("src_id", "dst_id").filter("src_id IS NOT NULL AND dst_id IS NOT NULL").distinct(), "edges")
     nodes = durable(e.select(F.col("src_id").alias("page_id")).union(e.select("dst_id")).distinct(), "nodes")
     out = e.groupBy("src_id").agg(F.count("*").alias("_out"))

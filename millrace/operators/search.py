@@ -3,24 +3,41 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.config import RankerConfig, SearchConfig, page_number, page_size, profile_text, query_text
+from millrace.functions.text import stems, trimmed
 from millrace.functions.text import tokens as tokens_of
-from millrace.functions.text import trimmed
 from millrace.operators import fuzzy, rank
-from millrace.session import durable
+from millrace.operators.time_normalise import normalise_times
+from millrace.session import durable, within_seconds
 from millrace.sources.tables import newest
 
 
+#: Parts over which the postings of one word are spread.
+WORD_PARTS = 16
+
+
 def clean_postings(postings: DataFrame) -> DataFrame:
     """One posting for each word and page, that with the last position; rows without word, page or position are left out."""
     p = postings.filter("word IS NOT NULL AND page_id IS NOT NULL AND position IS NOT NULL")
     return p.groupBy("word", "page_id").agg(F.max_by("score", F.struct("position", "score")).alias("score"), F.max("position").alias("position"))
 
 
+def search_index(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings as a search reads them, cleaned and written once, and their dictionary (word, frequency).
+
+    Rows are clustered by word and, so that a frequent word is no hot group, by a hash of the page: a reader prunes by the words' bounds
+    in each file.
+    """
+    clean = clean_postings(postings).repartition("word", F.pmod(F.xxhash64("page_id"), F.lit(WORD_PARTS))).sortWithinPartitions("word")
+    stored = durable(clean, "index")
+    return stored, durable(word_frequencies(stored), "dictionary")
+
+
 def word_frequencies(postings: DataFrame) -> DataFrame:
     """A dictionary where none is stored: word, frequency (pages)."""
     return postings.groupBy("word").agg(F.count("*").alias("frequency"))
@@ -37,21 +54,23 @@ def query_tokens(queries: DataFrame, language: str = "english", stemmed: bool =
     """The distinct tokens of each query: query_id, token."""
     t = tokens_of(F.col("q"), language)
     if stemmed:
-        from millrace.functions.text import stems
-
         t = stems(t)
     return queries.select("query_id", F.explode(F.array_distinct(t)).alias("token"))
 
 
 def find_hits(tokens: DataFrame, postings: DataFrame, dictionary: DataFrame, tolerance: int = 2) -> DataFrame:
-    """The hits of tokens: query_id, token, page_id, score, position. A token without postings stands for its first correction."""
-    exact = tokens.join(postings, tokens["token"] == postings["word"]).select("query_id", "token", "page_id", "score", "position")
-    if tolerance < 1:
-        return exact
-    missing = tokens.join(dictionary.select(F.col("word").alias("token")), "token", "left_anti")
-    fixes = fuzzy.first_words(fuzzy.near_words(missing, dictionary, tolerance), 1).select("token", "word")
-    fixed = missing.join(fixes, "token").join(postings, "word").select("query_id", "token", "page_id", "score", "position")
-    return exact.unionByName(fixed)
+    """The hits of tokens: query_id, token, page_id, score, position. A token without postings stands for its first correction.
+
+    Tokens are brought to words first, so the postings are read once; they are joined with the queries' words, which are few beside
+    them, by a broadcast where their size allows it, else the rows of a hot word are split at run time.
+    """
+    known = dictionary.select("word")
+    words = tokens.join(known, F.col("token") == F.col("word")).select("query_id", "token", "word")
+    if tolerance > 0:
+        missing = durable(tokens.join(known.withColumnRenamed("word", "token"), "token", "left_anti"), "missing")
+        fixes = fuzzy.first_words(fuzzy.near_words(missing, dictionary, tolerance), 1).select("token", "word")
+        words = words.unionByName(missing.join(fixes, "token").select("query_id", "token", "word"))
+    return durable(words, "words").join(postings, "word").select("query_id", "token", "page_id", "score", "position")
 
 
 def merge_hits(hits: DataFrame) -> DataFrame:
@@ -59,21 +78,16 @@ def merge_hits(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "page_id").agg(F.count("*").alias("hits_count"), F.sum("score").alias("hits_sum"), F.sum("position").alias("positional_distance"))
 
 
-def listings(pages: DataFrame, times: bool = True) -> DataFrame:
-    """Pages as the ranking sees them, one row for each page_id; times are normalised to UTC, or with times=False read as ISO UTC stamps only."""
-    cols = ["url", "title", "abstract", "organization", "trust_tier", "posted_at", "deadline_at", "last_crawled_at", "fields_of_study", "degree_levels", "location", "remote"]
-    one = newest(pages, "page_id", "last_crawled_at", cols)
-    if times:
-        from millrace.operators.time_normalise import page_times
-
-        by_field = page_times(pages).filter("epoch_us IS NOT NULL").groupBy("page_id").agg(*[F.max(F.when(F.col("field") == c, F.col("epoch_us"))).alias(f"_{c}") for c in ("posted_at", "deadline_at")])
-        stamp = lambda c: F.timestamp_micros(F.col(c)).cast("timestamp_ntz")
-        one = one.join(durable(by_field, "times"), "page_id", "left").withColumn("posted_at", stamp("_posted_at")).withColumn("deadline_at", stamp("_deadline_at")).drop("_posted_at", "_deadline_at")
-    else:
-        stamp = lambda c: F.when(F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"), F.substring(c, 1, 19).try_cast("timestamp_ntz"))
-        one = one.withColumn("posted_at", stamp("posted_at")).withColumn("deadline_at", stamp("deadline_at"))
+def listings(pages: DataFrame) -> DataFrame:
+    """Pages as the ranking sees them, one row for each page_id; times, in whatever form, are normalised to UTC, null where they stand for no instant."""
+    cols = ["url", "title", "abstract", "organization", "trust_tier", "posted_at", "deadline_at", "site_zone", "site_locale", "last_crawled_at", "fields_of_study", "degree_levels", "location", "remote"]
+    one = newest(pages, "page_id", "last_crawled_at", [c for c in cols if c in pages.columns])
+    for c in ("posted_at", "deadline_at"):
+        zone, locale = (x if x in one.columns else None for x in ("site_zone", "site_locale"))
+        one = one.withColumns({n: F.lit(None).cast("string") for n, x in (("site_zone", zone), ("site_locale", locale)) if x is None})
+        one = normalise_times(one, c, "site_zone", "site_locale").withColumn(c, F.timestamp_micros("epoch_us").cast("timestamp_ntz")).drop("epoch_us", "time_status")
     empty = F.array().cast("array<string>")
-    return one.withColumn("tags", F.concat(F.coalesce("fields_of_study", empty), F.coalesce("degree_levels", empty)))
+    return one.drop("site_zone", "site_locale").withColumn("tags", F.concat(F.coalesce("fields_of_study", empty), F.coalesce("degree_levels", empty)))
 
 
 def rank_queries(queries: DataFrame, postings: DataFrame, dictionary: DataFrame, pages: DataFrame, now: Column, ranker: RankerConfig = RankerConfig(), config: SearchConfig = SearchConfig(), stemmed: bool = False) -> DataFrame:
@@ -84,10 +98,21 @@ def rank_queries(queries: DataFrame, postings: DataFrame, dictionary: DataFrame,
     return rank.score_candidates(cands, now, ranker)
 
 
-def result_page(ranked: DataFrame) -> DataFrame:
-    """The rows of each query's page, with their place; order: final score, then page_id. Pages out of range are empty."""
+def last_place(queries: DataFrame) -> int:
+    """The last place that any of the queries (page, size) asks for: one number."""
+    return int(queries.agg(F.coalesce(F.max(F.col("page").cast("bigint") * F.col("size")), F.lit(0))).first()[0])
+
+
+def result_page(ranked: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows of each query's page, with their place; order: final score, then page_id. Pages out of range are empty.
+
+    With `most`, the last place asked for (`last_place`), each task keeps only that many of its own first rows of a query before the
+    shuffle, so a query with many candidates is no hot group.
+    """
     order = Window.partitionBy("query_id").orderBy(F.col("final").desc(), "page_id")
     placed = ranked.withColumn("place", F.row_number().over(order))
+    if most is not None:
+        placed = placed.filter(F.col("place") <= min(most, 2**31 - 1))
     return placed.filter((F.col("place") > (F.col("page") - 1) * F.col("size")) & (F.col("place") <= F.col("page") * F.col("size")))
 
 
@@ -96,20 +121,51 @@ def counts(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("query_id", "size").agg(F.count("*").alias("total_results")).select("query_id", "total_results", F.ceil(F.col("total_results") / F.col("size")).cast("bigint").alias("pages_count"))
 
 
+def page_by_id(pages: DataFrame, page_id: int) -> DataFrame:
+    """The page of an id, its newest crawl; no row where it isn't stored. The filter reaches the scan."""
+    return newest(pages.filter(F.col("page_id") == page_id), "page_id", "last_crawled_at", [c for c in pages.columns if c != "page_id"])
+
+
 def badge(page: DataFrame) -> Column:
     """What a result is labelled with: a field of study, else a degree level, else whether it is remote."""
     return F.coalesce(F.try_element_at("fields_of_study", F.lit(1)), F.try_element_at("degree_levels", F.lit(1)), F.when(F.col("remote"), "Remote"), F.lit("Opportunity"))
 
 
 def search(q: str, postings: DataFrame, dictionary: DataFrame, pages: DataFrame, now: dt.datetime, page: str | int | None = None, size: str | int | None = None, major: str | None = None, ranker: RankerConfig = RankerConfig(), config: SearchConfig = SearchConfig(), stemmed: bool = False) -> dict:
-    """One search: pages (rows of the result page), totalResults, pagesCount, query, page, size. The driver receives only one page."""
+    """One search: pages (rows of the result page), totalResults, pagesCount, query, page, size, timeMs. The driver receives only one page.
+
+    A search that takes longer than config.search_timeout_seconds is cancelled and raises TimeoutError.
+    """
     text, no, many = query_text(q, config), page_number(page), page_size(size, config)
-    spark = postings.sparkSession
+    spark, start = postings.sparkSession, time.monotonic()
     one = spark.createDataFrame([(1, text, no, many, profile_text(major, config))], "query_id long, q string, page int, size int, major string")
-    ranked = rank_queries(one, postings, dictionary, pages, F.lit(now).cast("timestamp_ntz"), ranker, config, stemmed)
-    total = ranked.count()
-    rows = [r.asDict() for r in ranked.orderBy(F.col("final").desc(), "page_id").offset((no - 1) * many).limit(many).collect()]
-    return {"query": text, "page": no, "size": many, "totalResults": total, "pagesCount": -(-total // many), "pages": rows}
+
+    def run() -> tuple[int, list[dict]]:
+        ranked = durable(rank_queries(one, postings, dictionary, pages, F.lit(now).cast("timestamp_ntz"), ranker, config, stemmed), "ranked")
+        return ranked.count(), [r.asDict() for r in ranked.orderBy(F.col("final").desc(), "page_id").offset((no - 1) * many).limit(many).collect()]
+
+    total, rows = within_seconds(spark, config.search_timeout_seconds, run)
+    return {"query": text, "page": no, "size": many, "totalResults": total, "pagesCount": -(-total // many), "pages": rows, "timeMs": int((time.monotonic() - start) * 1000)}
+
+
+def health(spark: SparkSession, stored: str | None = None, seconds: float = 2.0) -> dict[str, str]:
+    """Whether the session runs a job, and reads a stored table where one is named, within some seconds: status `ok` or `degraded`."""
+    try:
+        within_seconds(spark, seconds, lambda: (spark.read.parquet(stored) if stored else spark.range(1)).limit(1).count())
+        return {"status": "ok"}
+    except Exception as e:  # whatever keeps it from answering
+        return {"status": "degraded", "error": type(e).__name__}
+
+
+def client_request(q: str, major: str = "", degree_level: str = "", location: str = "") -> dict[str, str | int]:
+    """The parameters of a client's search: its first page of ten, with the profile's values that aren't blank."""
+    given = {"q": q, "page": 1, "size": 10, "major": major, "degree": degree_level, "location": location}
+    return {k: v for k, v in given.items() if not isinstance(v, str) or v.strip()}
+
+
+def is_empty_profile(major: Column, degree_level: Column, location: Column) -> Column:
+    """Whether all three values of a profile are null or blank."""
+    return (F.coalesce(trimmed(major), F.lit("")) == "") & (F.coalesce(trimmed(degree_level), F.lit("")) == "") & (F.coalesce(trimmed(location), F.lit("")) == "")
 
 
 def suggest(queries: DataFrame, dictionary: DataFrame, config: SearchConfig = SearchConfig(), stemmed: bool = False) -> DataFrame:

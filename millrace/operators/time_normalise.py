@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import durable
 from millrace.sources.tables import newest
 
 # Names of the months in the languages read, as written in full or shortened.
@@ -34,7 +35,9 @@ MONTHS = {
 WEEKDAYS = "mon|monday|tue|tues|tuesday|wed|wednesday|thu|thur|thurs|thursday|fri|friday|sat|saturday|sun|sunday|montag|dienstag|mittwoch|donnerstag|freitag|samstag|sonnabend|sonntag|lundi|mardi|mercredi|jeudi|vendredi|samedi|dimanche|mo|di|mi|do|fr|sa|so"
 #: Numeric dates of these locales put the month first.
 MONTH_FIRST = ["en-us"]
-FIRST_YEAR, LAST_YEAR = 1970, 2100
+#: Local years for which intervals are made. No zone of the database changes before the first; after the last, the rules that hold then recur,
+#: so a later year has the offsets of the year before LAST_YEAR that has the same calendar (`_recurring`).
+FIRST_YEAR, LAST_YEAR = 1800, 2100
 WEEK, NEVER = 7 * 86_400, 1 << 62
 
 _W = r"[a-zà-ÿ]+"
@@ -49,8 +52,18 @@ _NUMERIC = r"^(\d{1,2})([./-])(\d{1,2})\2(\d{4}|\d{2})(?:,? (?:at |à |um )?(.*)
 _TIME = r"^(\d{1,2})(?:[:.h](\d{2})|h|(?= ?[ap]\.?m(?![a-z])))(?:[:.](\d{2})(?:[.,](\d+))?)? ?((?:am|pm|a\.m\.|p\.m\.)(?![a-z]))?(?: ?(?:uhr|hrs)(?![a-z]))? ?(.*)$"
 
 
-def _parsed(value: Column, zone: Column, locale: Column) -> Column:
-    """A struct of what the value says: epoch, local (both microseconds), offset, abbr, zone key."""
+def _recurring() -> list[int]:
+    """For each year of the 400 of a cycle a year up to LAST_YEAR with the same calendar."""
+    import datetime as dt
+
+    known = {}
+    for y in range(LAST_YEAR - 28, LAST_YEAR + 1):
+        known[dt.date(y, 1, 1).weekday(), dt.date(y, 12, 31).timetuple().tm_yday] = y
+    return [known[dt.date(2000 + r, 1, 1).weekday(), dt.date(2000 + r, 12, 31).timetuple().tm_yday] for r in range(400)]
+
+
+def _cleaned(value: Column) -> Column:
+    """A value in lower case without what says nothing of the time."""
     s = F.lower(F.trim(F.regexp_replace(value, r"[\s\u00a0\u2007\u2009\u202f\u3000]+", " ")))
     s = F.regexp_replace(s, r"^(?:[a-z]+(?: [a-z]+){0,3} ?: ?|(?:posted|published|updated|apply|applications?|closes?|closing|due|deadline|open|ends?|starts?)(?: (?:on|by|until|before|from|due|close))? )", "")
     s = F.regexp_replace(s, rf"^(?:{WEEKDAYS})[.,]? ", "")
@@ -59,7 +72,7 @@ def _parsed(value: Column, zone: Column, locale: Column) -> Column:
 
 def _normalised(df: DataFrame, value: str, zone: str, locale: str) -> DataFrame:
     """`df` and what each value says: _epoch, _local (microseconds), _offset (microseconds), _abbr, _zone."""
-    s = _parsed(F.col(value), F.col(zone), F.col(locale))
+    s = _cleaned(F.col(value))
     df = df.withColumn("_s", s)
     d = F.col("_s")
     for pattern, to in _SPLIT:
@@ -103,6 +116,28 @@ def _normalised(df: DataFrame, value: str, zone: str, locale: str) -> DataFrame:
     )
 
 
+def changes(zone: str) -> list[int]:
+    """The seconds since 1970 at which the offset or name of a zone changes, as far as its file lists them; none where it isn't found."""
+    import struct
+    import zoneinfo
+    from pathlib import Path
+
+    for folder in zoneinfo.TZPATH:
+        file = Path(folder, *zone.split("/"))
+        if file.is_file():
+            raw = file.read_bytes()
+            if raw[:4] != b"TZif":
+                return []
+            utc, std, leap, times, types, chars = struct.unpack(">6l", raw[20:44])
+            at, wide = 44, raw[4:5] >= b"2"
+            if wide:  # the second block has times of 64 bits
+                at += times * 5 + types * 6 + chars + leap * 8 + std + utc
+                _, _, _, times, _, _ = struct.unpack(">6l", raw[at + 20 : at + 44])
+                at += 44
+            return list(struct.unpack(f">{times}{'q' if wide else 'l'}", raw[at : at + times * (8 if wide else 4)]))
+    return []
+
+
 def offset_intervals(zones: DataFrame) -> DataFrame:
     """Offset intervals of the zones in the column `zone` (lower case), exploded to the local years they touch.
 
@@ -130,6 +165,10 @@ def offset_intervals(zones: DataFrame) -> DataFrame:
                     return int(d.utcoffset().total_seconds()), d.tzname().lower()
 
                 cuts, t, now = [(first, *at(first))], first, at(first)
+                for change in changes(known[key]):  # those that the database lists; its rules give the later ones
+                    if first < change < last and (new := at(change)) != now:
+                        cuts.append((change, *new))
+                        t, now = change, new
                 while t < last:
                     u = min(t + WEEK, last)
                     if (new := at(u)) != now:  # bisect to the second of the change
@@ -166,7 +205,8 @@ def normalise_times(df: DataFrame, value: str, zone: str, locale: str) -> DataFr
     Null, empty and blank values give null epoch_us; very long texts are unreadable; repeated rows stay; an empty table gives an
     empty table; other columns stay as they are unless they are named epoch_us or time_status, which are replaced.
 
-    The intervals are broadcast: at most one row for each zone of the time zone database (some 600), year and change.
+    The intervals are a table of one row for each zone that occurs and year, of the time zone database's (some 600); it is broadcast where its
+    size, known as it is written first, allows that.
     """
     spec = {"_v": F.col(value), "_iz": F.col(zone), "_il": F.col(locale)}
     kept = [c for c in df.columns if c not in ("epoch_us", "time_status")]
@@ -176,14 +216,18 @@ def normalise_times(df: DataFrame, value: str, zone: str, locale: str) -> DataFr
         df.select(F.lower(F.regexp_extract(F.col(value), r"(?<![A-Za-z_])([A-Za-z_]++/[A-Za-z0-9_+/-]+)", 1)))
     ).filter("zone <> ''").distinct()
     by_year = offset_intervals(zones).groupBy("zone", "year").agg(F.sort_array(F.collect_list(F.struct("starts", "ends", "off", "abbr"))).alias("_iv"))
-    by_year = by_year.select(F.col("zone").alias("_zone"), F.col("year").alias("_year"), "_iv")
-    said = said.withColumn("_year", F.when(F.col("_local").isNotNull() & F.col("_offset").isNull(), F.greatest(F.lit(FIRST_YEAR), F.least(F.lit(LAST_YEAR), F.col("_y")))))
-    both = said.join(F.broadcast(by_year), ["_zone", "_year"], "left")
-    inside = F.filter("_iv", lambda x: (x["starts"] <= F.col("_local")) & (F.col("_local") < x["ends"]))
+    by_year = durable(by_year.select(F.col("zone").alias("_zone"), F.col("year").alias("_year"), "_iv"), "intervals")
+    later = F.element_at(F.array(*[F.lit(y) for y in _recurring()]), F.col("_y") % 400 + 1)
+    year = F.when(F.col("_y") > LAST_YEAR, later).otherwise(F.greatest(F.lit(FIRST_YEAR), F.col("_y")))
+    said = said.withColumn("_year", F.when(F.col("_local").isNotNull() & F.col("_offset").isNull(), year))
+    days = F.date_diff(F.make_date("_y", F.lit(1), F.lit(1)), F.make_date("_year", F.lit(1), F.lit(1)))
+    said = said.withColumn("_place", F.when(F.col("_y") > LAST_YEAR, F.col("_local") - days.cast("bigint") * 86_400_000_000).otherwise(F.col("_local")))
+    both = said.join(by_year, ["_zone", "_year"], "left")
+    inside = F.filter("_iv", lambda x: (x["starts"] <= F.col("_place")) & (F.col("_place") < x["ends"]))
     both = both.withColumn("_in", inside)
     off = lambda a: F.transform(a, lambda x: x["off"])
     named = lambda a: F.try_element_at(off(F.filter(a, lambda x: x["abbr"] == F.col("_abbr"))), F.lit(1))
-    before = F.try_element_at(off(F.filter("_iv", lambda x: x["ends"] <= F.col("_local"))), F.lit(-1))
+    before = F.try_element_at(off(F.filter("_iv", lambda x: x["ends"] <= F.col("_place"))), F.lit(-1))
     used = (
         F.when(F.col("_offset").isNotNull(), F.col("_offset"))
         .when(F.col("_abbr").isNotNull(), F.coalesce(named(F.col("_in")), named(F.col("_iv"))))

@@ -57,29 +57,67 @@ def allowed(urls: DataFrame, allowlist: DataFrame, url: str = "url") -> DataFram
     return urls.withColumn("_domain", registrable_domain(F.col(url))).join(a, "_domain", "left_semi").drop("_domain")
 
 
+def _smallest(nodes: DataFrame, most: int, parts: int = 64) -> DataFrame:
+    """The `most` smallest nodes (BIGINT): whole ranges between quantiles by their counts, and only of the last range a sorted part."""
+    n = nodes.count()
+    if n <= most:
+        return nodes
+    cuts = nodes.agg(F.percentile_approx("node", [i / parts for i in range(1, parts)], 10_000)).first()[0]
+    ranged = nodes.withColumn("_r", F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>"), lambda c: c < F.col("node"))))
+    left, last = most, 0
+    for r, k in sorted(tuple(x) for x in ranged.groupBy("_r").count().collect()):  # at most `parts` numbers
+        last = r
+        if k > left:
+            break
+        left -= k
+    return ranged.filter(F.col("_r") < last).unionByName(ranged.filter(F.col("_r") == last).orderBy("node").limit(left)).drop("_r")
+
+
 def breadth_first(links: DataFrame, seeds: DataFrame, rounds: int, most: int | None = None) -> DataFrame:
     """Nodes reached from the seeds, with the round: node, depth. At most `most` nodes are taken, in order of depth and node.
 
-    `links`: src, dst; `seeds`: node. Each round joins its frontier with the links, drops what was visited and is written to the shared
-    folder.
+    `links`: src, dst; `seeds`: node (all BIGINT). Each round joins its frontier with the links, drops what was visited and is written
+    to the shared folder, once; what was visited is the union of the rounds' tables.
     """
-    edges = links.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst").distinct()
-    visited = durable(seeds.select("node").filter("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)), "visited")
-    frontier = visited
+    edges = durable(links.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")).distinct(), "edges")
+    first = seeds.select(F.col("node").cast("bigint").alias("node")).filter("node IS NOT NULL").distinct()
+    if most is not None:
+        first = _smallest(durable(first, "seeds"), most)
+    visited = frontier = durable(first.withColumn("depth", F.lit(0)), "frontier")
     taken = visited.count() if most is not None else 0
     for depth in range(1, rounds + 1):
-        new = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
+        new = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(visited.select("node"), "node", "left_anti")
         if most is not None:
-            new = new.orderBy("node").limit(max(0, most - taken))
-        new = durable(new, "frontier")
-        n = new.count()
+            new = _smallest(durable(new, "new"), max(0, most - taken))
+        frontier = durable(new.withColumn("depth", F.lit(depth)), "frontier")
+        n = frontier.count()
         taken += n
         if not n:
             break
-        visited, frontier = durable(visited.unionByName(new), "visited"), new
+        visited = visited.unionByName(frontier)
     return visited
 
 
+def enqueue(queue: DataFrame, visited: DataFrame, urls: DataFrame) -> DataFrame:
+    """A queue (url, place) after the urls (url, place) that are neither visited nor queued: in order of place, behind what is queued; of equal urls the first counts."""
+    new = urls.filter("url IS NOT NULL").groupBy("url").agg(F.min("place").alias("place")).join(visited.select("url"), "url", "left_anti").join(queue.select("url"), "url", "left_anti")
+    top = queue.agg(F.coalesce(F.max("place"), F.lit(0)).alias("_top"))  # one row
+    return queue.select("url", "place").unionByName(new.crossJoin(F.broadcast(top)).select("url", (F.col("place") + F.col("_top") + 1).alias("place")))
+
+
+def dequeue(queue: DataFrame, many: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The first `many` urls of a queue, first in first out, and the queue without them."""
+    first = durable(queue.orderBy("place", "url").limit(many), "taken")
+    return first, queue.join(first.select("url"), "url", "left_anti")
+
+
+def progress(added: int, most: int, elapsed_seconds: float) -> dict[str, int | str | None]:
+    """Pages added of the limit, the percentage (0 to 100, 0 without a limit) and the time remaining, None before the first page."""
+    share = min(100, max(0, added * 100 // most)) if most > 0 else 0
+    left = int(max(0.0, elapsed_seconds / added * (most - added))) if added > 0 else None
+    return {"added": added, "limit": most, "percent": share, "remaining": None if left is None else f"{left // 3600:02d}h:{left % 3600 // 60:02d}m:{left % 60:02d}s"}
+
+
 def extract(raw: DataFrame, now: Column, allowlist: DataFrame | None = None) -> DataFrame:
     """Raw pages (page_id, url, html) as stored pages, with elements, links and json_ld."""
     pages = with_listing_fields(read_pages(raw, ["page_id", "url"]))

@@ -34,7 +34,39 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-@query()
+# Times. The SQL reads the forms apart from the plan, and takes offsets from DuckDB's own zone data.
+
+_SP = r"[\s\x1c-\x1f\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_ABBR = "MAP {'gmt': 0, 'utc': 0, 'z': 0, 'bst': 60, 'wet': 0, 'west': 60, 'cet': 60, 'cest': 120, 'eet': 120, 'eest': 180, 'ist': 330, 'jst': 540, 'sgt': 480, 'aest': 600, 'aedt': 660, 'est': -300, 'edt': -240, 'cst': -360, 'cdt': -300, 'mst': -420, 'mdt': -360, 'pst': -480, 'pdt': -420}"
+_MONTH = "MAP {'jan': 1, 'feb': 2, 'fev': 2, 'mar': 3, 'mae': 3, 'apr': 4, 'avr': 4, 'may': 5, 'mai': 5, 'jun': 6, 'juin': 6, 'jul': 7, 'juil': 7, 'aug': 8, 'aou': 8, 'sep': 9, 'oct': 10, 'okt': 10, 'nov': 11, 'dec': 12, 'dez': 12}"
+_DAY = {  # by form: the pattern, and which groups are year, month, day and the rest
+    "iso": (r"^(\d{4})[-/.]?(\d{1,2})[-/.]?(\d{1,2})(?:(?:t|,? )(.*))?$", "1234"), "mdy": (r"^([a-zà-ÿ]+)\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})(?:,? (?:at )?(.*))?$", "3124"),
+    "dmy": (r"^(\d{1,2})(?:st|nd|rd|th|er|\.)?[ -](?:of )?([a-zà-ÿ]+)\.?,?[ -](\d{4}|\d{2})(?:,? (?:at |à |um )?(.*))?$", "3214"), "num": (r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4}|\d{2})(?:,? (?:at |à |um )?(.*))?$", "3004"),
+}
+_FORM = "CASE WHEN regexp_matches(s, '^-?\\d{9,19}$') THEN 'epoch' " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{k}'" for k, (p, _) in _DAY.items()) + " END"
+_PART = lambda i: "CASE form " + " ".join(f"WHEN '{k}' THEN regexp_extract(s, '{p}', {g[i]})" for k, (p, g) in _DAY.items()) + " END"
+_NUM = lambda i: f"regexp_extract(s, '{_DAY['num'][0]}', {i})"
+_CLOCK = r"^(\d{1,2})(?:[:.h]?(\d{2})|h)?(?:[:.]?(\d{2})(?:[.,](\d+))?)? ?(?:([ap]\.?m\.?)(?: |$))?(?: ?uhr)? ?(.*)$"
+_TIMES = rf"""v4 AS (SELECT page_id, unnest([struct_pack(field := 'posted_at', v := s.p), struct_pack(field := 'deadline_at', v := s.d)]) AS x, s.z AS zone, lower(replace(coalesce(s.l, ''), '_', '-')) AS locale
+  FROM (SELECT page_id, arg_max(struct_pack(p := posted_at, d := deadline_at, z := site_zone, l := site_locale), last_crawled_at) AS s FROM web_pages WHERE page_id IS NOT NULL GROUP BY page_id)),
+s4 AS (SELECT page_id, x.field AS field, zone, locale, regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(x.v, '{_SP}', ' ', 'g'))), '^[a-z]+(?: [a-z]+){{0,3}} ?: ?', ''),
+  '^(?:posted|published|updated|apply|applications?|closes?|closing|due|deadline|open|ends?|starts?)(?: (?:on|by|until|before|from))? ', ''), '^(?:mo|di|mi|do|fr|sa|so|(?:mon|tue|wed|thu|fri|sat|sun|die|mit|don|son)[a-z]*|(?:lun|mar|mercre|jeu|vendre|same)di|dimanche)[.,]? ', '') AS s FROM v4 WHERE x.v IS NOT NULL),
+f4 AS (SELECT *, {_FORM} AS form FROM s4),
+d4 AS (SELECT *, {_PART(0)} AS y, CASE WHEN form = 'num' THEN CASE WHEN locale = 'en-us' THEN {_NUM(1)} ELSE {_NUM(2)} END ELSE {_PART(1)} END AS mo,
+  CASE WHEN form = 'num' THEN CASE WHEN locale = 'en-us' THEN {_NUM(2)} ELSE {_NUM(1)} END ELSE {_PART(2)} END AS dd, trim(coalesce({_PART(3)}, '')) AS rest FROM f4 WHERE form IS NOT NULL),
+c4 AS (SELECT *, CASE WHEN length(y) = 2 THEN '20' || y ELSE y END AS yy, coalesce(TRY_CAST(mo AS INT), {_MONTH}[CASE WHEN strip_accents(mo) LIKE 'jui%' THEN left(strip_accents(mo), 4) ELSE left(strip_accents(mo), 3) END]) AS mm,
+  coalesce(TRY_CAST(regexp_extract(rest, '{_CLOCK}', 1) AS INT), 0) AS h, coalesce(TRY_CAST(regexp_extract(rest, '{_CLOCK}', 2) AS INT), 0) AS mi, coalesce(TRY_CAST(regexp_extract(rest, '{_CLOCK}', 3) AS INT), 0) AS sec,
+  CAST(left(regexp_extract(rest, '{_CLOCK}', 4) || '000000', 6) AS INT) AS us, replace(regexp_extract(rest, '{_CLOCK}', 5), '.', '') AS half, trim(regexp_replace(regexp_extract(rest, '{_CLOCK}', 6), '[\[\]()]', ' ', 'g')) AS z FROM d4),
+l4 AS (SELECT *, CASE WHEN form <> 'epoch' AND (rest = '' OR regexp_matches(rest, '^\d')) THEN TRY_CAST(format('{{}}-{{:02d}}-{{:02d}} {{:02d}}:{{:02d}}:{{:02d}}', yy, mm, TRY_CAST(dd AS INT), CASE WHEN half IN ('am', 'pm') THEN h % 12 + CASE half WHEN 'pm' THEN 12 ELSE 0 END ELSE h END, mi, sec) AS TIMESTAMP) END AS loc,
+  CASE WHEN z LIKE '%/%' THEN z ELSE lower(zone) END AS tz FROM c4),
+n4 AS (SELECT l.*, n.name AS zname FROM l4 l LEFT JOIN (SELECT lower(name) AS low, any_value(name) AS name FROM pg_timezone_names() GROUP BY 1) n ON n.low = l.tz),
+o4 AS (SELECT *, CASE WHEN regexp_matches(z, '^(?:utc|gmt)?[+-]\d{{1,2}}:?(\d{{2}})?$') THEN CASE WHEN z LIKE '%-%' THEN -1 ELSE 1 END * (CAST(regexp_extract(z, '[+-](\d{{1,2}})', 1) AS INT) * 60 + coalesce(TRY_CAST(regexp_extract(z, '[+-]\d{{1,2}}:?(\d{{2}})', 1) AS INT), 0))
+  WHEN z <> '' AND z NOT LIKE '%/%' THEN {_ABBR}[z] END AS off, timezone(zname, loc) AS inst FROM n4),
+t4 AS (SELECT page_id, field, CASE WHEN form = 'epoch' THEN CASE WHEN length(s) <= 11 THEN CAST(s AS BIGINT) * 1000000 WHEN length(s) <= 14 THEN CAST(s AS BIGINT) * 1000 WHEN length(s) <= 17 THEN CAST(s AS BIGINT) ELSE CAST(s AS BIGINT) // 1000 END
+  WHEN off IS NOT NULL THEN epoch_us(loc) + us - CAST(off AS BIGINT) * 60000000 WHEN timezone(zname, inst - INTERVAL 1 HOUR) = loc THEN epoch_us(inst) - 3600000000 + us ELSE epoch_us(inst) + us END AS epoch_us FROM o4)"""
+
+
+@query(f"WITH {_TIMES} SELECT page_id, field, CAST(epoch_us AS BIGINT) AS epoch_us FROM t4 WHERE epoch_us IS NOT NULL")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Each time of a web page that stands for an instant, in microseconds since 1970 UTC."""
     return time_normalise.page_times(table(spark, d, "web_pages")).filter("epoch_us IS NOT NULL").select("page_id", "field", "epoch_us")
@@ -45,10 +77,10 @@ def p4_times(spark: SparkSession, d: str) -> DataFrame:
     """Every time of a web page with the way it was resolved, also where it stands for no instant."""
     return time_normalise.page_times(table(spark, d, "web_pages"))
 
+
 # Indexing and search. The SQL is written apart from the plans, for DuckDB.
 
 NOW = "2026-07-01 00:00:00"
-_SP = r"[\s\x1c-\x1f\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _STOP = ["the", "and", "of", "to", "in", "for", "on", "at", "with", "is"]
 
 
@@ -80,31 +112,28 @@ def stopword_filter(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).select("doc_id", text.tokens(F.col("text"), stop=_STOP).alias("tokens"))
 
 
-def _sanitised(docs: DataFrame) -> DataFrame:
-    language = F.element_at(F.create_map(*[F.lit(x) for kv in text.LANGUAGE_OF_CODE.items() for x in kv]), F.lower(F.trim("lang")))
-    return docs.select("doc_id", text.sanitised_by(text.fields(F.col("text")), F.coalesce(language, F.lit("unknown"))).alias("tokens"))
-
-
-@query("SELECT doc_id, CASE lang " + " ".join(f"WHEN '{c}' THEN {_sql_words('text', text.LETTERS[n])}" for c, n in text.LANGUAGE_OF_CODE.items() if c in ("de", "fr", "es", "it", "pt")) + f" ELSE {_sql_words('text')} END AS tokens FROM documents WHERE text IS NOT NULL AND lang IN ('de', 'fr', 'es', 'en')")
+@query("SELECT doc_id, CASE lower(trim(lang)) " + " ".join(f"WHEN '{c}' THEN {_sql_words('text', text.LETTERS[n])}" for c, n in text.LANGUAGE_OF_CODE.items() if text.LETTERS[n]) + f" ELSE {_sql_words('text')} END AS tokens FROM documents WHERE text IS NOT NULL")
 def sanitize_multilang(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens cleaned by each document's language."""
-    docs = _documents(spark, d).filter(F.col("lang").isin("de", "fr", "es", "en"))
-    return _sanitised(docs)
-
-
-@query()
-def sanitize_every_language(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of every document, also of those whose language is unknown or has no code."""
-    return _sanitised(_documents(spark, d))
+    """Tokens of every document cleaned by its language, also of those whose language is unknown or has no code."""
+    language = F.element_at(F.create_map(*[F.lit(x) for kv in text.LANGUAGE_OF_CODE.items() for x in kv]), F.lower(F.trim("lang")))
+    return _documents(spark, d).select("doc_id", text.tokens_by(F.col("text"), F.coalesce(language, F.lit("unknown"))).alias("tokens"))
 
 
 @query()
 def stem_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """The stem of each distinct token of the documents."""
-    words = _documents(spark, d).select(F.explode(text.tokens(F.col("text"))).alias("word")).distinct()
+    words = _documents(spark, d).select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("word")).distinct()
     return words.withColumn("stem", text.stem(F.col("word")))
 
 
+@query()
+def stem_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The stem of each distinct token of the documents by each document's language, as it is detected."""
+    docs = _documents(spark, d).withColumn("language", text.detected(F.col("text")))
+    words = docs.select("language", F.explode(F.array_distinct(text.tokens_by(F.col("text"), F.col("language")))).alias("word")).distinct()
+    return words.withColumn("stem", text.stem_by(F.struct("word", "language")))
+
+
 @query()
 def detect_language(spark: SparkSession, d: str) -> DataFrame:
     """The language of each document."""
@@ -118,11 +147,13 @@ o AS (SELECT page_id, elem_idx, score, before + unnest(range(len(toks))) AS posi
 words AS (SELECT page_id, elem_idx, word, max(score) AS score, CAST(max(position) AS INT) AS position FROM o GROUP BY page_id, elem_idx, word) """
 
 
+def _document_elements(spark: SparkSession, d: str) -> DataFrame:
+    parts = [F.struct(F.lit(score).alias("score"), text.tokens(F.coalesce(c, F.lit(""))).alias("tokens")) for score, c in ((20, F.col("title")), (1, F.col("text")))]
+    return table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.array(*parts).alias("elements"))
+
+
 def _document_words(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    parts = [F.struct(F.lit(i).alias("elem_idx"), F.lit(s).alias("score"), F.coalesce(c, F.lit("")).alias("text")) for i, s, c in ((0, 20, F.col("title")), (1, 1, F.col("text")))]
-    e = docs.select(F.col("doc_id").alias("page_id"), F.explode(F.array(*parts)).alias("e")).select("page_id", "e.*")
-    return index.place_words(e.withColumn("_t", text.tokens(F.col("text"))), "_t")
+    return index.place_nested(_document_elements(spark, d))
 
 
 @query(_WORDS + "SELECT * FROM words")
@@ -140,7 +171,7 @@ def index_postings(spark: SparkSession, d: str) -> DataFrame:
 @query(_WORDS + "SELECT word, count(*) AS frequency FROM words GROUP BY word")
 def dictionary_frequency(spark: SparkSession, d: str) -> DataFrame:
     """The dictionary of the documents."""
-    return index.dictionary(_document_words(spark, d))
+    return index.dictionary_of(_document_elements(spark, d).select(F.explode("elements").alias("e")), "e.tokens")
 
 
 # Search over the tables of the project's domain
@@ -158,10 +189,10 @@ fix AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY token ORDER B
 _HITS = """hits AS (SELECT query_id, token, page_id, score, position FROM tok JOIN post ON token = word
   UNION ALL SELECT query_id, m.token, page_id, score, position FROM miss m JOIN fix USING (token) JOIN post ON fix.word = post.word)"""
 _MERGED = "merged AS (SELECT query_id, page_id, count(*) AS hits_count, sum(score) AS hits_sum, sum(position) AS positional_distance FROM hits GROUP BY query_id, page_id)"
-_STAMP = lambda c: f"CASE WHEN regexp_matches({c}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}Z$') THEN try_cast(replace({c}[1:19], 'T', ' ') AS TIMESTAMP) END"
-_PAGES = f"""pg AS (SELECT page_id, {', '.join(f'arg_max({c}, last_crawled_at) AS {c}' for c in ('title', 'organization', 'trust_tier', 'location', 'remote', 'abstract', 'url'))},
-  max(last_crawled_at) AS crawled, arg_max({_STAMP('posted_at')}, last_crawled_at) AS posted, arg_max({_STAMP('deadline_at')}, last_crawled_at) AS closes,
-  arg_max(struct_pack(f := fields_of_study), last_crawled_at).f AS studies, arg_max(struct_pack(f := degree_levels), last_crawled_at).f AS levels FROM (SELECT * FROM web_pages) WHERE page_id IS NOT NULL GROUP BY page_id)"""
+_PAGES = f"""{_TIMES}, pg AS (SELECT o.*, make_timestamp(p.epoch_us) AS posted, make_timestamp(c.epoch_us) AS closes FROM (
+  SELECT page_id, {', '.join(f'arg_max({c}, last_crawled_at) AS {c}' for c in ('title', 'organization', 'trust_tier', 'location', 'remote', 'abstract', 'url'))}, max(last_crawled_at) AS crawled,
+  arg_max(struct_pack(f := fields_of_study), last_crawled_at).f AS studies, arg_max(struct_pack(f := degree_levels), last_crawled_at).f AS levels FROM web_pages WHERE page_id IS NOT NULL GROUP BY page_id) o
+  LEFT JOIN (SELECT * FROM t4 WHERE field = 'posted_at') p USING (page_id) LEFT JOIN (SELECT * FROM t4 WHERE field = 'deadline_at') c USING (page_id))"""
 _BASE = f"WITH {_CLEAN}, {_DICT}, {_Q}, {_TOK}, {_NEAR}, {_HITS}, {_MERGED} "
 _SHARE = lambda words: f"len(list_filter(terms, lambda t: list_contains({words}, t))) / len(terms)"
 _FLAT = lambda a: f"flatten(list_transform(coalesce({a}, []), lambda x: {_sql_terms('coalesce(x, chr(32))')}))"
@@ -178,14 +209,12 @@ _ROUND = lambda *names: ", ".join(f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n
 
 
 def _search_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    post = search.clean_postings(table(spark, d, "postings"))
-    return search.valid_queries(table(spark, d, "queries")), post, search.word_frequencies(post)
+    return search.valid_queries(table(spark, d, "queries")), *search.search_index(table(spark, d, "postings"))
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     _, post, words = _search_tables(spark, d)
-    ranked = search.rank_queries(table(spark, d, "queries"), post, words, search.listings(table(spark, d, "web_pages"), times=False), _now())
-    return ranked.withColumn("final", F.round("final", 9))
+    return search.rank_queries(table(spark, d, "queries"), post, words, search.listings(table(spark, d, "web_pages")), _now()).withColumn("final", F.round("final", 9))
 
 
 @query(_BASE + "SELECT query_id, token, page_id, score, position FROM tok JOIN post ON token = word")
@@ -229,7 +258,8 @@ _PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 @query(_BASE + f", {_PAGES}" + _SIGNALS + ", " + _PLACED + "SELECT query_id, page_id, CAST(place AS INT) AS place, title, url, round(final, 6) AS final FROM placed WHERE place > (page - 1) * size AND place <= page * size")
 def search_ranked(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: every query answered with its page of results."""
-    return search.result_page(_ranked(spark, d)).select("query_id", "page_id", "place", "title", "url", F.round("final", 6).alias("final"))
+    most = search.last_place(search.valid_queries(table(spark, d, "queries")))
+    return search.result_page(_ranked(spark, d), most).select("query_id", "page_id", "place", "title", "url", F.round("final", 6).alias("final"))
 
 
 @query(_BASE + f", {_PAGES}" + _SIGNALS + "SELECT query_id, count(*) AS total_results, CAST(ceil(count(*) / any_value(size)) AS BIGINT) AS pages_count FROM ranked GROUP BY query_id")
@@ -239,11 +269,20 @@ def search_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def search_normalised_times(spark: SparkSession, d: str) -> DataFrame:
-    """The pages of results with freshness and urgency from times normalised to UTC."""
-    _, post, words = _search_tables(spark, d)
-    ranked = search.rank_queries(table(spark, d, "queries"), post, words, search.listings(table(spark, d, "web_pages")), _now())
-    return search.result_page(ranked).select("query_id", "page_id", "place", "title", F.round("final", 6).alias("final"))
+def search_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """The hits of every query's stemmed tokens in the index of stemmed words that the documents' titles make."""
+    e = table(spark, d, "documents").filter("title IS NOT NULL").select(F.col("doc_id").alias("page_id"), F.lit(0).alias("elem_idx"), F.lit("title").alias("tag"), F.col("title").alias("text"))
+    post = index.postings(index.element_words(e, "english"))
+    q = search.valid_queries(table(spark, d, "queries"))
+    return search.merge_hits(search.find_hits(search.query_tokens(q, stemmed=True), *search.search_index(post)))
+
+
+@query("SELECT page_id, any_value(title) AS title FROM web_pages WHERE page_id = (SELECT min(page_id) FROM web_pages) GROUP BY page_id")
+def page_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The page of the least id, looked up by it."""
+    pages = table(spark, d, "web_pages")
+    least = pages.agg(F.min("page_id")).first()[0]  # one number
+    return search.page_by_id(pages, least).select("page_id", "title")
 
 
 @query(_BASE + "SELECT token, word, frequency, CAST(distance AS INT) AS distance FROM near")
@@ -261,18 +300,17 @@ def suggest_topn(spark: SparkSession, d: str) -> DataFrame:
     return search.suggest(table(spark, d, "queries"), words)
 
 
-@query(f"WITH {_CLEAN}, {_DICT}, w AS (SELECT word FROM dict) SELECT a.word AS a, b.word AS b, CAST(levenshtein(lower(a.word), lower(b.word)) AS INT) AS distance FROM w a JOIN w b ON a.word[1:3] = b.word[1:3] AND a.word < b.word")
-def edit_distance_bytes(spark: SparkSession, d: str) -> DataFrame:
-    """Edit distances between dictionary words that begin alike."""
-    words = search.word_frequencies(search.clean_postings(table(spark, d, "postings"))).select("word")
-    a, b = words.select(F.col("word").alias("a"), F.substring("word", 1, 3).alias("_k")), words.select(F.col("word").alias("b"), F.substring("word", 1, 3).alias("_k"))
-    return a.join(b, "_k").filter("a < b").select("a", "b", text.byte_distance(F.col("a"), F.col("b")).alias("distance"))
+@query(_BASE + ", s AS (SELECT token, list(word ORDER BY place) AS suggestions FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, frequency DESC, word) AS place FROM near) WHERE place <= 5 GROUP BY token) SELECT query_id, to_json(map_from_entries(list((token, suggestions) ORDER BY token)))::VARCHAR AS response FROM miss JOIN s USING (token) GROUP BY query_id")
+def suggest_response(spark: SparkSession, d: str) -> DataFrame:
+    """The suggestions of every query as one map, written as JSON."""
+    _, post, words = _search_tables(spark, d)
+    return fuzzy.suggestion_map(search.suggest(table(spark, d, "queries"), words)).select("query_id", F.to_json("suggestions").alias("response"))
 
 
-@query()
+@query(f"WITH {_CLEAN}, {_DICT}, w AS (SELECT word FROM dict) SELECT a.word AS a, b.word AS b, CAST(levenshtein(lower(a.word), lower(b.word)) AS INT) AS distance FROM w a JOIN w b ON a.word < b.word AND levenshtein(lower(a.word), lower(b.word)) <= 2")
 def edit_distance_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of dictionary words within two edits, wherever these are, with its distance."""
-    words = search.word_frequencies(search.clean_postings(table(spark, d, "postings"))).select("word")
+    words = table(spark, d, "postings").filter("word IS NOT NULL AND page_id IS NOT NULL AND position IS NOT NULL").select("word").distinct()
     return fuzzy.near_pairs(words).select("a", "b", "distance")
 
 
@@ -295,8 +333,9 @@ def _page_text(spark: SparkSession, d: str) -> DataFrame:
        + ", ".join(f"CASE WHEN {' OR '.join(map(_sql_mentions, ws))} THEN '{k}' END" for k, ws in listing.DEGREE_LEVELS.items()) + "], lambda x: x IS NOT NULL) AS degree_levels, (" + " OR ".join(map(_sql_mentions, listing.REMOTE)) + ") AS remote FROM txt")
 def extract_fields(spark: SparkSession, d: str) -> DataFrame:
     """Fields of study, degree levels and remote work that the pages' texts name."""
-    t = F.col("text")
-    return _page_text(spark, d).select("page_id", listing.fields_of_study(t).alias("fields_of_study"), listing.degree_levels(t).alias("degree_levels"), listing.is_remote(t).alias("remote"))
+    w = F.col("words")
+    words = _page_text(spark, d).select("page_id", listing.named(F.col("text")).alias("words"))
+    return words.select("page_id", listing.studies_of(w).alias("fields_of_study"), listing.levels_of(w).alias("degree_levels"), listing.remote_of(w).alias("remote"))
 
 
 _ORDER_TEXT = "SELECT o_orderkey, o_orderdate, CASE o_orderkey % 3 WHEN 0 THEN concat('Apply by ', strftime(o_orderdate, '%B %-d, %Y'), ' please') WHEN 1 THEN concat('The deadline: ', strftime(o_orderdate, '%-m/%-d/%Y')) ELSE concat('Founded ', strftime(o_orderdate, '%B %-d, %Y')) END AS text FROM orders"
@@ -370,19 +409,21 @@ def _raw_pages(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH one AS (SELECT page_id, arg_max(struct_pack(t := title), last_crawled_at).t AS title FROM web_pages WHERE page_id IS NOT NULL GROUP BY page_id) SELECT page_id, {_TRIM('title')} AS title FROM one")
 def html_title(spark: SparkSession, d: str) -> DataFrame:
     """The titles read from the pages written as HTML."""
-    return read_pages(_raw_pages(spark, d), ["page_id"]).select("page_id", "title")
+    return read_pages(_raw_pages(spark, d), ["page_id"], ["title"])
 
 
 @query("WITH one AS (SELECT page_id, arg_max(struct_pack(l := links), last_crawled_at).l AS links FROM web_pages WHERE page_id IS NOT NULL GROUP BY page_id) SELECT page_id, unnest(links) AS link FROM one WHERE len(links) > 0")
 def html_links(spark: SparkSession, d: str) -> DataFrame:
     """The links read from the pages written as HTML, resolved, without fragments."""
-    return read_pages(_raw_pages(spark, d), ["page_id"]).select("page_id", F.explode("links").alias("link"))
+    return read_pages(_raw_pages(spark, d), ["page_id"], ["links"]).select("page_id", F.explode("links").alias("link"))
 
 
-@query()
+@query("""WITH one AS (SELECT page_id, arg_max(struct_pack(t := title, c := content), last_crawled_at) AS s FROM web_pages WHERE page_id IS NOT NULL GROUP BY page_id),
+  e AS (SELECT page_id, list_concat([struct_pack(tag := 'title', text := ' '), struct_pack(tag := 'title', text := coalesce(s.t, '')), struct_pack(tag := 'h1', text := coalesce(s.t, ''))], list_transform(string_split(coalesce(s.c, ''), chr(10)), lambda x: struct_pack(tag := 'p', text := x))) AS l FROM one)
+  SELECT page_id, CAST(i - 1 AS INT) AS elem_idx, l[i].tag AS tag, l[i].text AS text FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM e)""")
 def html_elements(spark: SparkSession, d: str) -> DataFrame:
     """The elements read from the pages written as HTML."""
-    return read_pages(_raw_pages(spark, d), ["page_id"]).select("page_id", F.explode("elements").alias("e")).select("page_id", "e.*")
+    return read_pages(_raw_pages(spark, d), ["page_id"], ["elements"]).select("page_id", F.explode("elements").alias("e")).select("page_id", "e.*")
 
 
 @query()
@@ -392,7 +433,9 @@ def crawl_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 _HOST = "nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '')"
-_DOMAIN = f"nullif(CASE WHEN regexp_extract(h, '([^.]+\\.[^.]+)$', 1) IN ({', '.join(repr(x) for x in urls.TWO_LABEL_SUFFIXES)}) THEN regexp_extract(h, '([^.]+\\.[^.]+\\.[^.]+)$', 1) ELSE regexp_extract(h, '([^.]+\\.[^.]+)$', 1) END, '')"
+_TWO = "regexp_extract(h, '([^.]+\\.[^.]+)$', 1)"
+_SUFFIX = f"(regexp_matches({_TWO}, '^(ac|asn|com?|edu|gob?|gouv|govt?|gub|gv|ltd|mil|net?|nhs|nom|org?|plc|police|sch|school)[.][a-z][a-z]$') AND NOT list_contains(['be', 'ca', 'cc', 'ch', 'cz', 'de', 'dk', 'eu', 'fi', 'li', 'lu', 'nl', 'no', 'si', 'tv', 'us'], right({_TWO}, 2)) OR {_TWO} IN ('ac.be', 'gc.ca', 'github.io', 'blogspot.com'))"
+_DOMAIN = f"nullif(CASE WHEN {_SUFFIX} THEN regexp_extract(h, '([^.]+\\.[^.]+\\.[^.]+)$', 1) ELSE {_TWO} END, '')"
 
 
 @query(f"SELECT url, h AS host, {_DOMAIN} AS domain FROM (SELECT DISTINCT url, {_HOST} AS h FROM web_pages)")
@@ -439,20 +482,41 @@ def outbound_edges(spark: SparkSession, d: str) -> DataFrame:
     return index.outbound_edges(w.select("page_id", "links"), w.filter("url IS NOT NULL").groupBy("url").agg(F.min("page_id").alias("page_id")))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT src_id, dst_id FROM link_edges WHERE src_id <> dst_id), r(node, depth) AS (SELECT DISTINCT src_id, 0 FROM link_edges WHERE src_id <= 5 UNION SELECT e.dst_id, r.depth + 1 FROM r JOIN e ON e.src_id = r.node WHERE r.depth < 3)
-  SELECT node, min(depth) AS depth FROM r GROUP BY node""")
-def frontier_bfs(spark: SparkSession, d: str) -> DataFrame:
-    """The pages within three links of the first five."""
-    e = table(spark, d, "link_edges")
-    return crawl.breadth_first(e.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")), e.filter("src_id <= 5").select(F.col("src_id").alias("node")), 3)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT src_id, dst_id FROM link_edges WHERE src_id <> dst_id), r(node) AS (SELECT DISTINCT page_id FROM web_pages WHERE trust_tier = 1 AND page_id IS NOT NULL UNION SELECT e.dst_id FROM r JOIN e ON e.src_id = r.node)
+  SELECT node, 0 AS least FROM r""")
+def frontier_reached(spark: SparkSession, d: str) -> DataFrame:
+    """Every page that links lead to from the pages of tier 1."""
+    return frontier_bfs(spark, d).select("node", F.lit(0).alias("least"))
 
 
-@query()
-def frontier_all(spark: SparkSession, d: str) -> DataFrame:
+_ROUNDS = 30  # of the SQL, which needs a number; the plan ends with an empty frontier
+
+
+@query("WITH e AS MATERIALIZED (SELECT DISTINCT src_id, dst_id FROM link_edges WHERE src_id <> dst_id), r0 AS MATERIALIZED (SELECT DISTINCT page_id AS node, 0 AS depth FROM web_pages WHERE trust_tier = 1 AND page_id IS NOT NULL)"
+       + "".join(f", r{k} AS MATERIALIZED (SELECT node, depth FROM r{k - 1} UNION ALL SELECT DISTINCT dst_id, {k} FROM e JOIN r{k - 1} ON src_id = node WHERE depth = {k - 1} AND dst_id NOT IN (SELECT node FROM r{k - 1}))" for k in range(1, _ROUNDS + 1)) + f" SELECT * FROM r{_ROUNDS}")
+def frontier_bfs(spark: SparkSession, d: str) -> DataFrame:
     """Every page that links lead to from the pages of tier 1, with the number of links to it."""
     seeds = table(spark, d, "web_pages").filter("trust_tier = 1").select(F.col("page_id").alias("node"))
     e = table(spark, d, "link_edges").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
-    return crawl.breadth_first(e, seeds, 1 << 30)  # ends with an empty frontier
+    return crawl.breadth_first(e, seeds, 1 << 30)
+
+
+_LIMIT = 40  # the feature: pages a crawl takes at most
+
+
+@query("WITH e AS (SELECT DISTINCT src_id, dst_id FROM link_edges WHERE src_id <> dst_id), r0 AS (SELECT min(src_id) AS node, 0 AS depth FROM link_edges), r1 AS (SELECT * FROM r0 UNION ALL SELECT DISTINCT dst_id, 1 FROM e JOIN r0 ON src_id = node), "
+       f"r2 AS (SELECT * FROM r1 UNION ALL SELECT DISTINCT dst_id, 2 FROM e JOIN r1 ON src_id = node WHERE depth = 1 AND dst_id NOT IN (SELECT node FROM r1)), r3 AS (SELECT * FROM r2 UNION ALL SELECT DISTINCT dst_id, 3 FROM e JOIN r2 ON src_id = node WHERE depth = 2 AND dst_id NOT IN (SELECT node FROM r2)) SELECT * FROM r3 ORDER BY depth, node LIMIT {_LIMIT}")
+def frontier_limit(spark: SparkSession, d: str) -> DataFrame:
+    """The first pages of a crawl from the least page that links, in order of depth and id, up to a limit of pages."""
+    e = table(spark, d, "link_edges").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
+    return crawl.breadth_first(e, e.agg(F.min("src").alias("node")), 3, _LIMIT)
+
+
+@query("SELECT page_id, to_json(struct_pack(url := url, title := title, trust_tier := trust_tier))::VARCHAR AS json FROM (SELECT page_id, url, title, trust_tier FROM web_pages WHERE url IS NOT NULL AND title IS NOT NULL AND trust_tier IS NOT NULL GROUP BY ALL)")
+def page_json(spark: SparkSession, d: str) -> DataFrame:
+    """The pages as the JSON texts that are stored of them."""
+    w = table(spark, d, "web_pages").filter("url IS NOT NULL AND title IS NOT NULL AND trust_tier IS NOT NULL").select("page_id", "url", "title", "trust_tier").distinct()
+    return index.page_json(w)
 
 
 @query("SELECT count(*) AS pages FROM (SELECT DISTINCT page_id FROM web_pages WHERE page_id IS NOT NULL)")
@@ -468,10 +532,12 @@ def outbound_scan(spark: SparkSession, d: str) -> DataFrame:
     return e.join(e.agg(F.min("src_id").alias("src_id")), "src_id", "left_semi").select(F.col("src_id").alias("page_id"), "dst_id").distinct()
 
 
-@query()
+@query("WITH e AS MATERIALIZED (SELECT DISTINCT src_id, dst_id FROM link_edges WHERE src_id IS NOT NULL AND dst_id IS NOT NULL), n AS MATERIALIZED (SELECT src_id AS page_id FROM e UNION SELECT dst_id FROM e), m AS (SELECT count(*) AS n FROM n), s AS MATERIALIZED (SELECT src_id, dst_id, count(*) OVER (PARTITION BY src_id) AS k FROM e), r0 AS MATERIALIZED (SELECT page_id, 1.0::DOUBLE / n AS rank FROM n, m)"
+       + "".join(f", g{k} AS MATERIALIZED (SELECT dst_id AS page_id, sum(rank / k) AS got FROM s JOIN r{k - 1} ON src_id = page_id GROUP BY dst_id), r{k} AS MATERIALIZED (SELECT page_id, 0.15 / n + 0.85 * (coalesce(got, 0) + (1 - (SELECT sum(got) FROM g{k})) / n) AS rank FROM n CROSS JOIN m LEFT JOIN g{k} USING (page_id))" for k in range(1, 11))
+       + " SELECT page_id, round(rank, 9) AS rank FROM r10")
 def link_ranks(spark: SparkSession, d: str) -> DataFrame:
     """The rank of each page of the link graph."""
-    return index.page_rank(table(spark, d, "link_edges"))
+    return index.page_rank(table(spark, d, "link_edges")).withColumn("rank", F.round("rank", 9))
 
 
 @query("""WITH one AS (SELECT page_id, arg_max(struct_pack(f := fields_of_study, g := degree_levels, r := remote), last_crawled_at) AS s FROM web_pages WHERE page_id IS NOT NULL GROUP BY page_id)

@@ -5,9 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 #: Settings the engine relies on; sizes are left to the cluster.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,6 +52,26 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def within_seconds(spark: SparkSession, seconds: float, run: Callable[[], T]) -> T:
+    """What `run` returns. Beyond so many seconds its jobs are cancelled and TimeoutError is raised; 0 or less is no limit."""
+    if seconds <= 0:
+        return run()
+    tag = f"millrace-{uuid.uuid4().hex}"
+
+    def tagged() -> T:
+        spark.addTag(tag)
+        return run()
+
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(tagged).result(seconds)
+    except FutureTimeout:
+        spark.interruptTag(tag)
+        raise TimeoutError(f"no answer within {seconds} seconds") from None
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
 _written: list[str] = []
 
 

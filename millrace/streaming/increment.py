@@ -15,10 +15,15 @@ def stored(spark: SparkSession, store: str, like: DataFrame) -> DataFrame:
 
 
 def add_pages(batch: DataFrame, batch_id: int, store: str, key: str = "url") -> None:
-    """Appends the rows of a batch whose key is not stored, one for each key. A batch that is run again adds nothing, as its rows are stored by then."""
+    """Writes the rows of a batch whose key is not stored, one for each key, as the batch's own part of the store.
+
+    A batch that is run again replaces its part, after being compared with the other batches' parts only, so the outcome is the same. Of the
+    store only the keys are read.
+    """
     spark = batch.sparkSession
-    new = batch.filter(F.col(key).isNotNull()).dropDuplicates([key]).join(stored(spark, store, batch).select(key), key, "left_anti").select(*batch.columns)
-    new.write.mode("append").parquet(store)
+    others = stored(spark, store, batch.withColumn("batch", F.lit(0))).filter(F.col("batch") != batch_id)
+    new = batch.filter(F.col(key).isNotNull()).dropDuplicates([key]).join(others.select(key), key, "left_anti").select(*batch.columns)
+    new.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
 
 def follow(pages: DataFrame, store: str, checkpoint: str, key: str = "url") -> StreamingQuery:

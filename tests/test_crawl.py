@@ -30,6 +30,27 @@ def test_rounds(spark, rows):
     assert rows(crawl.breadth_first(links, seeds.limit(0), 5)) == []
 
 
+def test_limits_take_the_smallest_of_the_last_round(spark, rows):
+    links = spark.createDataFrame([(0, i) for i in range(1, 900)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,)], "node long")
+    assert rows(crawl.breadth_first(links, seeds, 3, most=300)) == sorted([(0, 0)] + [(i, 1) for i in range(1, 300)], key=repr)
+    assert rows(crawl.breadth_first(links, seeds, 3, most=1)) == [(0, 0)]
+
+
+def test_a_queue(spark, rows):
+    make = lambda data: spark.createDataFrame(data, "url string, place long")
+    queue, visited = make([("a", 1), ("b", 2)]), spark.createDataFrame([("v",)], "url string")
+    queue = crawl.enqueue(queue, visited, make([("c", 0), ("v", 1), ("a", 2), ("d", 3), ("c", 4), (None, 5)]))
+    first, queue = crawl.dequeue(queue, 3)
+    assert rows(first.select("url")) == [("a",), ("b",), ("c",)] and rows(queue.select("url")) == [("d",)]
+    assert rows(crawl.enqueue(queue.limit(0), visited, make([("x", 7)]))) == [("x", 8)]
+
+
+def test_progress():
+    assert crawl.progress(25, 100, 50.0) == {"added": 25, "limit": 100, "percent": 25, "remaining": "00h:02m:30s"}
+    assert crawl.progress(0, 100, 5.0)["remaining"] is None and crawl.progress(7, 0, 1.0)["percent"] == 0 and crawl.progress(200, 100, 1.0) == {"added": 200, "limit": 100, "percent": 100, "remaining": "00h:00m:00s"}
+
+
 def test_index_of_raw_pages(spark, rows):
     html = '<title>Summer research</title><p>The summer internships are for students of the biology department.</p><a href="/b">x</a><script type="application/ld+json">{"@type":"JobPosting","datePosted":"2026-01-02","hiringOrganization":{"name":"Org"}}</script>'
     raw = spark.createDataFrame([(1, "https://a.example/", html), (2, "https://a.example/c", None)], "page_id long, url string, html string")
@@ -51,3 +72,6 @@ def test_a_stream_adds_each_page_once(spark):
         pages.write.mode("append").parquet(f"{folder}/in")
         increment.follow(spark.readStream.schema(pages.schema).parquet(f"{folder}/in"), f"{folder}/store", f"{folder}/state").awaitTermination()
     assert sorted(r["url"] for r in spark.read.parquet(f"{folder}/store").collect()) == ["a", "b"]
+    increment.add_pages(pages, 0, f"{folder}/store")  # a batch that is run again leaves the store as it was
+    increment.add_pages(pages, 1, f"{folder}/store")
+    assert sorted(r["url"] for r in spark.read.parquet(f"{folder}/store").collect()) == ["a", "b"]

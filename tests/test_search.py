@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import config
+from millrace import config, session
 from millrace.operators import fuzzy, index, rank, search
 from millrace.sources.fixtures import seed
 
@@ -118,3 +118,41 @@ def test_refused_settings():
             config.query_text(bad)
     assert config.page_number(" ") == 1 and config.page_size(None) == 10 and config.profile_text(" a ") == "a"
     assert config.SearchConfig.from_settings({"FUZZY_TOLERANCE": "1", "MAX_PAGE_SIZE": "x"}).max_page_size == 50
+
+
+def test_pages_of_results_with_a_bound(spark, rows):
+    ranked = spark.createDataFrame([(q, i, float(i % 7), 2, 3) for q in (1, 2) for i in range(50)], "query_id long, page_id long, final double, page int, size int")
+    most = search.last_place(ranked.select("page", "size"))
+    cols = ["query_id", "page_id", "place"]
+    assert most == 6 and rows(search.result_page(ranked, most).select(cols)) == rows(search.result_page(ranked).select(cols)) and search.result_page(ranked, most).count() == 6
+    assert search.last_place(ranked.limit(0)) == 0
+
+
+def test_dates_in_any_form_count(spark, rows):
+    pages = spark.createDataFrame([(1, "2 March 2026", "2026-07-04T10:00:00+02:00", "Europe/Berlin", "de-DE"), (2, "03/02/2026", "soon", "America/New_York", "en-US")], "page_id long, posted_at string, deadline_at string, site_zone string, site_locale string")
+    for c in ("url", "title", "abstract", "organization", "location"):
+        pages = pages.withColumn(c, F.lit("x"))
+    pages = pages.withColumns({"trust_tier": F.lit(1), "last_crawled_at": F.lit(NOW).cast("timestamp"), "fields_of_study": F.array(F.lit("a")), "degree_levels": F.lit(None).cast("array<string>"), "remote": F.lit(False)})
+    got = rows(search.listings(pages).select("page_id", "posted_at", "deadline_at"))
+    assert got == [(1, dt.datetime(2026, 3, 1, 23), dt.datetime(2026, 7, 4, 8)), (2, dt.datetime(2026, 3, 2, 5), None)]
+
+
+def test_health_timeouts_and_requests(spark, tables):
+    assert search.health(spark, seconds=60)["status"] == "ok" and search.health(spark, "/nowhere/at/all", 60)["status"] == "degraded"
+    with pytest.raises(TimeoutError):
+        session.within_seconds(spark, 0.2, lambda: __import__("time").sleep(3))
+    assert session.within_seconds(spark, 0, lambda: 5) == 5
+    assert search.client_request("q", " ", "phd") == {"q": "q", "page": 1, "size": 10, "degree": "phd"}
+    df = spark.createDataFrame([(" ", None, ""), ("a", None, None)], "a string, b string, c string")
+    assert [r[0] for r in df.select(search.is_empty_profile(F.col("a"), F.col("b"), F.col("c"))).collect()] == [True, False]
+
+
+def test_a_page_by_its_id(spark, rows):
+    pages = spark.createDataFrame([(1, "old", dt.datetime(2026, 1, 1)), (1, "new", dt.datetime(2026, 1, 2)), (2, "b", None)], "page_id long, title string, last_crawled_at timestamp")
+    assert rows(search.page_by_id(pages, 1).select("title")) == [("new",)] and search.page_by_id(pages, 9).count() == 0
+
+
+def test_stored_postings_answer_as_the_given_ones(spark, rows):
+    post = spark.createDataFrame([("in", i, 1, i) for i in range(60)] + [("in", 3, 9, 99), ("x", 1, 2, 3), (None, 1, 1, 1), ("y", None, 1, 1)], "word string, page_id long, score int, position int")
+    stored, words = search.search_index(post)
+    assert rows(stored.select("word", "page_id", "score", "position")) == rows(search.clean_postings(post).select("word", "page_id", "score", "position")) and rows(words) == [("in", 60), ("x", 1)]

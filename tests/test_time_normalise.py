@@ -84,6 +84,14 @@ def test_against_the_zone_database(spark):
     assert [got[i][0] for i in range(len(cases))] == expected
 
 
+def test_years_of_every_century(spark):
+    cases = [("1935-01-05 12:00", "Europe/Amsterdam"), ("1750-06-01 12:00", BERLIN), ("1890-06-01 12:00", NY), ("2100-07-01 12:00", BERLIN), ("2101-07-01 12:00", NY), ("2150-03-29 02:30", BERLIN), ("2399-12-01 00:00", "Australia/Sydney"), ("2404-02-29 12:00", NY), ("9000-08-01 01:02", BERLIN)]
+    got = resolve(spark, [(v, z, "en-US") for v, z in cases])
+    for i, (v, z) in enumerate(cases):
+        first = dt.datetime.fromisoformat(v).replace(tzinfo=zoneinfo.ZoneInfo(z))
+        assert got[i][0] == round((first - dt.datetime(1970, 1, 1, tzinfo=dt.UTC)).total_seconds()) * 1_000_000, v
+
+
 def test_no_instants(spark):
     got = resolve(spark, [(v, NY, "en-US") for v in (None, "", "   ", "TBD", "2026-02-30", "2026-13-05T10:00:00Z", "31/31/2026", "0000-00-00", "??", "next term", "x" * 200_000, "25:99", "2026-01-01 25:00")])
     assert all(e is None for e, _ in got.values())
