@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.operators.pigeonhole import near_pairs
 from millrace.session import durable
 from millrace.sources.lines import SPACE
 from millrace.sources.tables import newest
@@ -19,19 +20,21 @@ from millrace.sources.tables import newest
 EDITS = [(6, 2), (5, 1)]
 MOST_EDITS = max(k for _, k in EDITS)
 
-# Other names of degree levels, by the plain form of the level; each is compared in its plain form.
+# General other names of degree levels, by the plain form of the level; `names` of `map_values` may give others.
 DEGREE_NAMES = {
-    "secondaryschool": ["high school", "high school diploma", "hs", "hs diploma", "grade 12", "school leaver", "secondary education", "upper secondary", "ged"],
-    "certificate": ["cert", "certificate course", "short certificate", "certificate programme", "certificate program", "professional certificate"],
-    "associatedegree": ["associate", "associates", "assoc degree", "associates degree", "associate of arts", "associate of science", "associate of applied science", "aa", "as", "aas"],
-    "bachelorsdegree": ["bachelor", "bachelors", "bachelor degree", "bachelor degree any", "bachelor of science", "bachelor of arts", "bachelor of engineering", "bs", "bsc", "ba", "beng", "bba", "undergrad", "undergraduate", "undergraduate degree"],
-    "mastersdegree": ["master", "masters", "masters deg", "master degree", "master of arts", "master of science", "master of engineering", "ms", "msc", "ma", "meng", "mba", "mphil", "postgraduate taught", "postgraduate taught msc", "postgraduate"],
-    "doctorate": ["phd", "phd candidate", "dphil", "dr", "doctor", "doctoral", "doctoral degree", "doctoral candidate", "doctor of philosophy"],
-    "postdoctoral": ["postdoc", "post doctorate", "postdoctoral fellow", "postdoctoral researcher", "postdoctoral research"],
-    "professionaldegree": ["prof degree", "professional qualification", "professional qualification degree", "first professional degree"],
-    "executiveprogramme": ["executive program", "exec programme", "exec program", "executive education", "executive education programme", "executive education program"],
-    "teachingqualification": ["teaching qual", "teacher qualification", "qualified teaching", "qualified teacher", "qualified teacher status", "teaching licence", "teaching license", "teaching licence qualification", "teacher training"],
+    "secondaryschool": ["high school", "high school diploma", "hs", "grade 12", "school leaver"],
+    "certificate": ["cert"],
+    "associatedegree": ["associate", "associates", "aa", "as", "aas"],
+    "bachelorsdegree": ["bachelor", "bs", "bsc", "ba", "beng", "bba", "undergrad", "undergraduate"],
+    "mastersdegree": ["master", "ms", "msc", "ma", "meng", "mba", "mphil", "postgraduate"],
+    "doctorate": ["phd", "dphil", "dr", "doctor", "doctoral"],
+    "postdoctoral": ["postdoc", "post doctorate"],
+    "teachingqualification": ["teacher", "teacher training"],
 }
+# Words that say nothing of which level is meant, also cut off after three letters or more.
+LEVEL_WORDS = ["any", "candidate", "course", "degree", "education", "fellow", "licence", "license", "programme", "program", "qualification", "qualified", "researcher", "short", "taught"]
+#: The least letters of a word of a level that stands for the level by itself, or is cut off.
+LEAST_WORD, LEAST_CUT = 3, 4
 # Words that say nothing of which place is meant.
 PLACE_WORDS = ["campus", "the", "office", "near", "greater", "area", "city", "town", "of", "hybrid", "on", "site", "onsite", "remote", "region", "around"]
 # What may stand around a field of study.
@@ -58,6 +61,13 @@ def _edits(length: Column) -> Column:
     return out
 
 
+def _level_words(words: Column) -> Column:
+    """The words that say which level is meant; all of them where none does."""
+    cut = "|".join(w if len(w) <= 3 else w[:3] + "".join(f"(?:{c}" for c in w[3:]) + ")?" * (len(w) - 3) for w in LEVEL_WORDS)
+    own = F.filter(words, lambda w: ~w.rlike(f"^(?:{cut})s?$"))
+    return F.when(F.size(own) > 0, own).otherwise(words)
+
+
 def _forms(values: DataFrame) -> DataFrame:
     """The plain forms of distinct values: field, value, region, form, preference (the lower the better)."""
     s = plain(F.col("value"))
@@ -71,21 +81,29 @@ def _forms(values: DataFrame) -> DataFrame:
     core = F.regexp_replace(F.regexp_replace(F.col("_s"), FIELD_AFTER, ""), FIELD_BEFORE, "")
     turned = F.regexp_replace(F.regexp_replace(core, r"^(.*), (.*)$", "$2 $1"), r"^(.*?) ?\((.*)\)$", "$2 $1")
     field_forms = F.array(_letters(core), _letters(turned), _letters(F.regexp_replace(core, " studies$", "")))
-    other = F.array(_letters(F.col("_s")), _letters(F.regexp_replace(F.col("_s"), r"\(.*\)", "")))
+    every = F.filter(F.split(F.regexp_replace(F.regexp_replace(F.col("_s"), r"['’.]", ""), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+    level = _level_words(every)
+    alone = lambda i: F.when(F.length(F.try_element_at(level, F.lit(i))) >= LEAST_WORD, F.try_element_at(level, F.lit(i))).otherwise("")
+    other = F.array(_letters(F.col("_s")), _letters(F.regexp_replace(F.col("_s"), r"\(.*\)", "")), F.array_join(level, ""), F.coalesce(alone(1), F.lit("")), F.coalesce(alone(-1), F.lit("")))
     forms = F.when(F.col("field") == "location", F.array(town)).when(F.col("field") == "fields_of_study", field_forms).otherwise(other)
-    return values.select("field", "value", F.when(F.col("field") == "location", region).alias("region"), F.posexplode(F.array_distinct(forms)).alias("preference", "form")).filter("form <> ''")
+    return values.select("field", "value", F.when(F.col("field") == "location", region).alias("region"), F.posexplode(forms).alias("preference", "form")).filter("form <> ''")
 
 
-def _entries(canon: DataFrame) -> DataFrame:
+def _entries(canon: DataFrame, names: dict[str, list[str]]) -> DataFrame:
     """The names by which entries are found: field, canon_id, region, name, fuzzy (whether edits are allowed). A name of two entries is none's."""
     s = plain(F.col("label"))
     canon = canon.select("field", "canon_id", s.alias("_s"), _letters(s).alias("_n"), F.filter(F.split(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "").alias("_w"))
     place = F.col("field") == "location"
     tail = F.nullif(F.regexp_extract("_s", r",\s*([^,]+)$", 1), F.lit(""))
     own = canon.select("field", "canon_id", F.when(place, tail).alias("region"), F.when(place, _letters(F.regexp_replace("_s", r",\s*[^,]+$", ""))).otherwise(F.col("_n")).alias("name"), F.lit(True).alias("fuzzy"))
-    names = F.create_map(*[x for k, v in DEGREE_NAMES.items() for x in (F.lit(k), F.array(*[F.lit(n.replace(" ", "")) for n in v]))])
+    known = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.array(*[F.lit(n.replace(" ", "")) for n in v]))]) if names else F.lit(None).cast("map<string,array<string>>")
     no = F.lit(None).cast("string")
-    degrees = canon.filter(F.col("field") == "degree_levels").select("field", "canon_id", no.alias("region"), F.explode(names[F.col("_n")]).alias("name"), F.lit(True).alias("fuzzy"))
+    levels = canon.filter(F.col("field") == "degree_levels")
+    core = F.array_join(_level_words(F.transform(F.split("_s", " +"), _letters)), "")
+    several = F.concat(F.array(core), F.coalesce(known[F.col("_n")], F.array().cast("array<string>")))
+    degrees = levels.select("field", "canon_id", no.alias("region"), F.explode(several).alias("name"), F.lit(True).alias("fuzzy"))
+    cuts = F.transform(F.sequence(F.lit(LEAST_CUT), F.greatest(F.length(core) - 1, F.lit(LEAST_CUT))), lambda i: F.substring(core, F.lit(1), i))
+    degrees = degrees.unionByName(levels.select("field", "canon_id", no.alias("region"), F.explode(cuts).alias("name"), F.lit(False).alias("fuzzy")))
     cut = lambda w: F.substring(w, 1, 4)
     short = canon.filter(F.col("field") == "fields_of_study").select("field", "canon_id", F.explode(F.array(F.col("_w"), F.transform(F.split("_s", " +"), _letters))).alias("w")).filter(F.size("w") > 1)
     w = F.col("w")
@@ -98,35 +116,15 @@ def _entries(canon: DataFrame) -> DataFrame:
     return every.filter("name <> '' AND (_owners = 1 OR fuzzy)").drop("_owners")
 
 
-def _segment(length: Column, k: Column, i: Column) -> tuple[Column, Column]:
-    """Start (from 0) and size of segment i of k + 1: the first ones are shorter where the length doesn't divide."""
-    size, more = F.floor(length / (k + 1)), length % (k + 1)
-    first = k + 1 - more
-    return size * i + F.greatest(i - first, F.lit(0)), size + F.when(i >= first, 1).otherwise(0)
-
-
-def match_values(values: DataFrame, canon: DataFrame) -> DataFrame:
+def match_values(values: DataFrame, canon: DataFrame, names: dict[str, list[str]] = DEGREE_NAMES) -> DataFrame:
     """The entry of each distinct value: field, value, canon_id, edits. Values that mean no entry have no row."""
     forms = durable(_forms(values), "forms")
-    entries = durable(_entries(canon), "entries")
+    entries = durable(_entries(canon, names), "entries")
     exact = forms.join(entries.select("field", "name", "canon_id", F.col("region").alias("_r")), (forms["form"] == F.col("name")) & (forms["field"] == entries["field"])).select(
         forms["field"], "value", "form", "region", "_r", "canon_id", "preference", F.lit(0).alias("edits")
     )
-    k = _edits(F.length("name"))
-    cut = entries.filter("fuzzy").withColumn("_len", F.length("name")).withColumn("_k", k).filter("_k > 0").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k"))))
-    start, size = _segment(F.col("_len"), F.col("_k"), F.col("_i"))
-    cut = cut.select("field", "canon_id", F.col("region").alias("_r"), "name", "_len", "_k", "_i", F.substring(F.col("name"), start + 1, size).alias("_part"))
-    n = F.length("form")
-    probe = forms.withColumn("_n", n).withColumn("_len", F.explode(F.sequence(F.greatest(n - MOST_EDITS, F.lit(1)), n + MOST_EDITS))).withColumn("_k", _edits(F.col("_len")))
-    probe = probe.withColumn("_d", F.col("_n") - F.col("_len")).filter("_k > 0 AND abs(_d) <= _k").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k"))))
-    start, size = _segment(F.col("_len"), F.col("_k"), F.col("_i"))
-    probe = probe.withColumn("_p", start.cast("int")).withColumn("_size", size.cast("int"))
-    low = F.greatest(F.expr("_p - _i"), F.expr("_p + _d - (_k - _i)"), F.lit(0))
-    high = F.least(F.expr("_p + _i"), F.expr("_p + _d + (_k - _i)"), F.expr("_n - _size"))
-    probe = probe.withColumn("_low", low).withColumn("_high", high).filter("_low <= _high").withColumn("_at", F.explode(F.sequence("_low", "_high")))
-    probe = probe.select("field", "value", "form", "region", "preference", "_len", "_i", F.substring(F.col("form"), F.col("_at") + 1, F.col("_size")).alias("_part"))
-    near = probe.join(cut, ["field", "_len", "_i", "_part"]).select("field", "value", "form", "region", "_r", "canon_id", "preference", "name", "_k").distinct()
-    near = near.withColumn("edits", F.expr("levenshtein(form, name, _k)")).filter("edits >= 0").drop("name", "_k")
+    some = entries.filter("fuzzy").select("field", "canon_id", F.col("region").alias("_r"), "name")
+    near = near_pairs(forms.filter("field <> 'degree_levels' OR preference < 3"), some, "form", "name", _edits, MOST_EDITS, ["field"]).drop("name")
     found = durable(exact.unionByName(near), "matches")
     # A place with a region is an entry of that region; one without, the only entry of that name.
     regions = entries.filter("region IS NOT NULL").select(F.col("region").alias("_known")).distinct()
@@ -137,20 +135,21 @@ def match_values(values: DataFrame, canon: DataFrame) -> DataFrame:
     return best.select("field", "value", "b.canon_id", "b.edits").distinct()
 
 
-def map_values(occurrences: DataFrame, canon: DataFrame) -> DataFrame:
+def map_values(occurrences: DataFrame, canon: DataFrame, names: dict[str, list[str]] = DEGREE_NAMES) -> DataFrame:
     """`occurrences` (with the columns field and value) with canon_id, -1 where the value means no entry of its field.
 
-    `canon`: canon_id, field, label. Each distinct value is matched once. Null, empty and blank values have no entry; very long
+    `canon`: canon_id, field, label. `names`: other names of degree levels by the letters of the level's label. Each distinct value is matched once. Null, empty and blank values have no entry; very long
     ones cost their length; a repeated entry counts once; an equal number of edits falls to the form nearest to what was typed, then
     to the smaller canon_id, but a place of two regions that names none is unmatched. Other columns of `occurrences` stay unless
     named canon_id; an empty table gives an empty table.
     """
+    occurrences = durable(occurrences.drop("canon_id"), "occurrences")
     values = durable(occurrences.select("field", "value").filter(F.col("value").isNotNull() & (F.regexp_replace("value", SPACE + "+", "") != "")).distinct(), "values")
     entries = canon.select("field", F.col("canon_id").cast("bigint").alias("canon_id"), "label").filter("canon_id IS NOT NULL AND label IS NOT NULL").distinct()
-    matched = durable(match_values(values, entries).select("field", "value", "canon_id"), "matched")
+    matched = durable(match_values(values, entries, names).select("field", "value", "canon_id"), "matched")
     unmatched = values.join(matched, ["field", "value"], "left_anti").withColumn("canon_id", F.lit(-1).cast("bigint"))
     keys = matched.unionByName(unmatched)
-    out = occurrences.drop("canon_id").join(keys, ["field", "value"], "left")
+    out = occurrences.join(keys, ["field", "value"], "left")
     return out.withColumn("canon_id", F.coalesce("canon_id", F.lit(-1).cast("bigint")))
 
 
