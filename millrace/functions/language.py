@@ -6,7 +6,11 @@ over those of the text asked about gives the language and its share of the proba
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from functools import lru_cache
+from itertools import chain
+from operator import add
 
 import numpy as np
 
@@ -57,16 +61,14 @@ SHARED = {
 SMOOTHING, DISCOUNT = 0.2, 0.2
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def _sequences(text: str) -> dict[str, int]:
     """Sequences of one to three letters of the words of a text, with their ends, and how often they occur."""
-    out: dict[str, int] = {}
-    low = "".join(c if c.isalpha() else " " for c in text.lower())
-    squeezed = f" {' '.join(low.split())} "
-    for n in (1, 2, 3):
-        for i in range(len(squeezed) - n + 1):
-            s = squeezed[i : i + n]
-            out[s] = out.get(s, 0) + 1
-    return out
+    s = f" {' '.join(_LETTERS.findall(text.lower()))} "
+    two = list(map(add, s, s[1:]))
+    return Counter(chain(s, two, map(add, two, s[2:])))
 
 
 @lru_cache(maxsize=4)
