@@ -84,8 +84,9 @@ def _forms(values: DataFrame) -> DataFrame:
     every = F.filter(F.split(F.regexp_replace(F.regexp_replace(F.col("_s"), r"['’.]", ""), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
     level = _level_words(every)
     alone = lambda i: F.when(F.length(F.try_element_at(level, F.lit(i))) >= LEAST_WORD, F.try_element_at(level, F.lit(i))).otherwise("")
-    other = F.array(_letters(F.col("_s")), _letters(F.regexp_replace(F.col("_s"), r"\(.*\)", "")), F.array_join(level, ""), F.coalesce(alone(1), F.lit("")), F.coalesce(alone(-1), F.lit("")))
-    forms = F.when(F.col("field") == "location", F.array(town)).when(F.col("field") == "fields_of_study", field_forms).otherwise(other)
+    other = F.array(_letters(F.col("_s")), _letters(F.regexp_replace(F.col("_s"), r"\(.*\)", "")))
+    levels = F.concat(other, F.array(F.array_join(level, ""), F.coalesce(alone(1), F.lit("")), F.coalesce(alone(-1), F.lit(""))))
+    forms = F.when(F.col("field") == "location", F.array(town)).when(F.col("field") == "fields_of_study", field_forms).when(F.col("field") == "degree_levels", levels).otherwise(other)
     return values.select("field", "value", F.when(F.col("field") == "location", region).alias("region"), F.posexplode(forms).alias("preference", "form")).filter("form <> ''")
 
 
