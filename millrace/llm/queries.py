@@ -56,7 +56,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.find_repeated_lines(table(spark, d, "web_pages")).select("page_id", "line_no")
 
 
-@query()
+@query(_P3 + """, paged AS (SELECT page_id, site, line_no, line, lead(line) OVER w AS nxt, lead(line_no) OVER w AS next_no FROM lines WHERE line <> '' WINDOW w AS (PARTITION BY page_id ORDER BY line_no)),
+linked AS (SELECT site, line, nxt FROM (SELECT site, line, nxt, count(DISTINCT page_id) AS k FROM paged SEMI JOIN often USING (site, line) WHERE nxt IS NOT NULL GROUP BY ALL) JOIN sites USING (site) WHERE k >= 5 AND k * 5 >= n),
+gone AS (SELECT page_id, line_no FROM lines SEMI JOIN often USING (site, line) UNION SELECT page_id, unnest(range(line_no + 1, next_no)) FROM paged JOIN linked USING (site, line, nxt) WHERE next_no > line_no + 1),
+outs AS (SELECT page_id, list(line_no) AS out FROM gone GROUP BY page_id)
+SELECT page_id, CASE WHEN out IS NULL THEN content ELSE list_aggregate(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(out, i)), lambda i: l[i]), 'string_agg', chr(10)) END AS content, CAST(coalesce(len(out), 0) AS INT) AS removed
+FROM (SELECT page_id, content, string_split(content, chr(10)) AS l FROM one) LEFT JOIN outs USING (page_id)""")
 def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Each page's content without the lines repeated across its site."""
     return site_lines.without_repeated_lines(table(spark, d, "web_pages"))

@@ -13,7 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
+from itertools import chain, product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -177,12 +177,20 @@ def examine(line: str, title: bool, known: dict[str, str]) -> tuple[bool | None,
     return _label(words, s, title), masked(words, s, known)
 
 
-def _hashed(texts: list[list[str]]):
+class _Codes(dict):
+    """Numbers of words, made when they are first asked for."""
+
+    def __missing__(self, w: str) -> int:
+        self[w] = code = zlib.crc32(w.encode("utf-8", "surrogatepass")) + 0x9E3779B9 * (len(w) + 1)
+        return code
+
+
+def _hashed(texts: list[list[str]], known: _Codes | None = None):
     """The hashes of the runs of SHINGLE words over all texts, joined, and each text's first run and number of runs; texts have SHINGLE words at least."""
     import numpy as np
 
-    known: dict[str, int] = {}
-    codes = np.fromiter((known[w] if w in known else known.setdefault(w, zlib.crc32(w.encode("utf-8", "surrogatepass")) + 0x9E3779B9 * (len(w) + 1)) for t in texts for w in t), np.uint64)
+    of = (_Codes() if known is None else known).__getitem__
+    codes = np.fromiter(map(of, chain.from_iterable(texts)), np.uint64, sum(map(len, texts)))
     with np.errstate(over="ignore"):
         h = np.zeros(len(codes) - SHINGLE + 1, np.uint64)
         for k in range(SHINGLE):
@@ -195,25 +203,29 @@ def _hashed(texts: list[list[str]]):
     return h, np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes - SHINGLE + 1
 
 
-def prefixes(texts: list[list[str]]):
+#: Bits of a shingle's hash that make its key; those of a text's number stand before them while keys are sorted.
+KEY_BITS = 44
+
+
+def prefixes(texts: list[list[str]], known: _Codes | None = None):
     """The keys of texts of at least SHINGLE words, as arrays: the text's number, how many distinct shingles it has, the key.
 
     Of n shingles, one of least similarity t shares at least t * n, so no more than (1 - t) * n of the first ones can be missing in it.
     """
     import numpy as np
 
-    h, starts, runs = _hashed(texts)
+    h, starts, runs = _hashed(texts, known)
     of = np.repeat(np.arange(len(texts)), runs)
     h = h[np.arange(len(of)) + (starts - np.cumsum(runs) + runs)[of]]
-    order = np.lexsort((h, of))
-    h = h[order]  # `of` was in order
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-    h, of = h[new], of[new]
+    both = np.sort((of.astype(np.uint64) << np.uint64(KEY_BITS)) | (h >> np.uint64(64 - KEY_BITS)))
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    both = both[new]
+    of = (both >> np.uint64(KEY_BITS)).astype(np.int64)
     count = np.bincount(of, minlength=len(texts))
-    place = np.arange(len(h)) - (np.cumsum(count) - count)[of]
+    place = np.arange(len(both)) - (np.cumsum(count) - count)[of]
     kept = place <= np.floor((1 - LEAST_SIMILARITY) * count[of] + 1e-9)
-    return of[kept], count[of[kept]], h[kept].view(np.int64)
+    return of[kept], count[of[kept]], (both[kept] & np.uint64((1 << KEY_BITS) - 1)).view(np.int64)
 
 
 class Units:
@@ -265,11 +277,14 @@ def keyed(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        known = _Codes()
         for batch in batches:
             words = [t.split(" ") for t in batch.column(1).to_pylist()]
             at = [i for i, w in enumerate(words) if len(w) > SHINGLE]
+            if len(known) > MEMORY:
+                known.clear()
             if at:
-                of, size, key = prefixes([words[i] for i in at])
+                of, size, key = prefixes([words[i] for i in at], known)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(at)[of])), pa.array(size, pa.int32()), pa.array(key, pa.int64())], names=["unit", "size", "key"])
 
     return texts.select("unit", "text").mapInArrow(run, "unit bigint, size int, key bigint")
