@@ -189,17 +189,55 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "documents"), _limits(spark, d))
 
 
-# Problem 2
-
-
-@query()
+# Problem 2. The SQL writes the forms again and compares every form with every entry, without the segments.
+
+_LET = lambda x: f"regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+_PLAIN = lambda x: f"translate(regexp_replace(lower(trim(regexp_replace(replace({x}, '&', ' and '), '{_SPACE}', ' ', 'g'))), '\\p{{M}}+', '', 'g'), '{canonical.ACCENTED}', '{canonical.PLAIN}')"
+_SPLIT = lambda x: f"list_filter(string_split(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+_SAYS = "any candidate course degree education fellow licence license programme program qualification qualified researcher short taught"
+_LEVEL = lambda ws: f"list_filter({ws}, lambda w: NOT list_has_any([w, regexp_replace(w, 's$', '')], {[w[:k] for w in _SAYS.split() for k in range(min(3, len(w)), len(w) + 1)]!r}))"
+_JOIN = lambda ws: f"coalesce(array_to_string({ws}, ''), '')"
+_P2 = rf"""WITH one AS (SELECT page_id, arg_max(struct_pack(l := location, d := degree_levels, f := fields_of_study), last_crawled_at) AS s FROM web_pages WHERE page_id IS NOT NULL GROUP BY page_id),
+occ AS (SELECT * FROM (SELECT page_id, 'location' AS field, 1 AS value_pos, s.l AS value FROM one UNION ALL SELECT page_id, 'degree_levels', i, s.d[i] FROM (SELECT page_id, s, unnest(range(1, len(s.d) + 1)) AS i FROM one)
+  UNION ALL SELECT page_id, 'fields_of_study', i, s.f[i] FROM (SELECT page_id, s, unnest(range(1, len(s.f) + 1)) AS i FROM one)) WHERE regexp_replace(value, '{_SPACE}', '', 'g') <> ''),
+v AS (SELECT field, value, {_PLAIN('value')} AS s FROM (SELECT DISTINCT field, value FROM occ)),
+place AS (SELECT field, value, list_filter({_SPLIT("regexp_replace(s, '^[0-9]+[^,;]*[,;]', ' ')")}, lambda w: NOT list_contains({canonical.PLACE_WORDS!r}, w) AND NOT regexp_matches(w, '[0-9]')) AS w FROM v WHERE field = 'location'),
+core AS (SELECT field, value, regexp_replace(regexp_replace(s, '{canonical.FIELD_AFTER}', ''), '{canonical.FIELD_BEFORE}', '') AS c FROM v WHERE field = 'fields_of_study'),
+lev AS (SELECT field, value, s, CASE WHEN len(own) > 0 THEN own ELSE w END AS w FROM (SELECT *, {_LEVEL('w')} AS own FROM (SELECT *, {_SPLIT("regexp_replace(s, '[''’.]', '', 'g')")} AS w FROM v WHERE field = 'degree_levels'))),
+forms AS (SELECT * FROM (
+  SELECT field, value, CASE WHEN len(w) > 1 AND length(w[-1]) = 2 THEN w[-1] WHEN len(w) > 1 AND length(w[1]) = 2 THEN w[1] END AS region, 0 AS pref,
+    {_JOIN("CASE WHEN len(w) > 1 AND length(w[-1]) = 2 THEN w[1:len(w) - 1] WHEN len(w) > 1 AND length(w[1]) = 2 THEN w[2:] ELSE w END")} AS form FROM place
+  UNION ALL SELECT field, value, NULL, 0, {_LET('c')} FROM core
+  UNION ALL SELECT field, value, NULL, 1, {_LET(r"regexp_replace(regexp_replace(c, '^(.*), (.*)$', '\2 \1'), '^(.*?) ?\((.*)\)$', '\2 \1')")} FROM core
+  UNION ALL SELECT field, value, NULL, 2, {_LET("regexp_replace(c, ' studies$', '')")} FROM core
+  UNION ALL SELECT field, value, NULL, 0, {_LET('s')} FROM lev UNION ALL SELECT field, value, NULL, 1, {_LET(r"regexp_replace(s, '\(.*\)', '')")} FROM lev
+  UNION ALL SELECT field, value, NULL, 2, {_JOIN('w')} FROM lev UNION ALL SELECT field, value, NULL, 3, CASE WHEN length(w[1]) >= 3 THEN w[1] END FROM lev UNION ALL SELECT field, value, NULL, 4, CASE WHEN length(w[-1]) >= 3 THEN w[-1] END FROM lev) WHERE form <> ''),
+c AS (SELECT DISTINCT field, CAST(canon_id AS BIGINT) AS canon_id, {_PLAIN('label')} AS s FROM canon_values WHERE canon_id IS NOT NULL AND label IS NOT NULL),
+lc AS (SELECT canon_id, s, {_LET('s')} AS n, {_JOIN('CASE WHEN len(own) > 0 THEN own ELSE w END')} AS core FROM (SELECT *, {_LEVEL('w')} AS own FROM (SELECT *, list_transform(regexp_split_to_array(s, ' +'), lambda x: {_LET('x')}) AS w FROM c WHERE field = 'degree_levels'))),
+cw AS (SELECT canon_id, unnest([{_SPLIT('s')}, list_transform(regexp_split_to_array(s, ' +'), lambda x: {_LET('x')})]) AS w FROM c WHERE field = 'fields_of_study'),
+raw AS (SELECT field, canon_id, CASE WHEN field = 'location' THEN nullif(regexp_extract(s, ',\s*([^,]+)$', 1), '') END AS region, CASE WHEN field = 'location' THEN {_LET(r"regexp_replace(s, ',\s*[^,]+$', '')")} ELSE {_LET('s')} END AS name, true AS fuzzy FROM c
+  UNION ALL SELECT 'degree_levels', canon_id, NULL, core, true FROM lc
+  UNION ALL SELECT 'degree_levels', canon_id, NULL, unnest(CASE n {' '.join(f"WHEN '{k}' THEN {[x.replace(' ', '') for x in ns]!r}" for k, ns in canonical.DEGREE_NAMES.items())} ELSE [] END), true FROM lc
+  UNION ALL SELECT 'degree_levels', canon_id, NULL, unnest(list_transform(range(4, greatest(length(core) - 1, 4) + 1), lambda i: left(core, i))), false FROM lc
+  UNION ALL SELECT 'fields_of_study', canon_id, NULL, unnest([{_JOIN('list_transform(w, lambda x: left(x, 4))')}, left(w[1], 4) || {_JOIN('w[2:]')}, {_JOIN('w[1:len(w) - 1]')} || left(w[-1], 4)]), false FROM cw WHERE len(w) > 1),
+ent AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY field, region, name) AS owners FROM (SELECT field, canon_id, region, name, bool_or(fuzzy) AS fuzzy FROM raw GROUP BY ALL)) WHERE name <> '' AND (owners = 1 OR fuzzy)),
+near AS (SELECT f.field, f.value, f.pref, f.region, e.region AS r, e.canon_id, levenshtein(f.form, e.name) AS edits, CASE WHEN length(e.name) >= 6 THEN 2 WHEN length(e.name) = 5 THEN 1 ELSE 0 END AS k, f.form = e.name AS same, e.fuzzy FROM forms f JOIN ent e USING (field)),
+found AS (SELECT *, region IS NOT NULL AND region IN (SELECT region FROM ent WHERE region IS NOT NULL) AS known FROM near WHERE same OR (fuzzy AND edits <= k AND (field <> 'degree_levels' OR pref < 3))),
+good AS (SELECT * FROM found WHERE NOT known OR r IS NULL OR region = r),
+tied AS (SELECT field, value, edits FROM good WHERE field = 'location' AND NOT known GROUP BY ALL HAVING count(DISTINCT canon_id) > 1),
+best AS (SELECT field, value, canon_id, edits FROM good QUALIFY row_number() OVER (PARTITION BY field, value ORDER BY edits, pref, canon_id) = 1),
+matched AS (SELECT b.* FROM best b ANTI JOIN tied t USING (field, value, edits)),
+p2 AS (SELECT o.page_id, o.field, CAST(o.value_pos AS INT) AS value_pos, o.value, coalesce(m.canon_id, -1) AS canon_id FROM occ o LEFT JOIN matched m USING (field, value)) """
+
+
+@query(_P2 + "SELECT page_id, field, value_pos, canon_id FROM p2")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The canonical entry of each freely typed value of the web pages, -1 for none."""
     found = canonical.map_values(canonical.page_values(table(spark, d, "web_pages")), table(spark, d, "canon_values"))
     return found.select("page_id", "field", "value_pos", "canon_id")
 
 
-@query()
+@query(_P2 + "SELECT field, value, count(*) AS occurrences FROM p2 WHERE canon_id = -1 GROUP BY field, value")
 def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """The values that mean no entry, with the number of their occurrences."""
     found = canonical.map_values(canonical.page_values(table(spark, d, "web_pages")), table(spark, d, "canon_values"))
