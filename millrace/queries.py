@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +12,7 @@ from millrace.functions import text, urls
 from millrace.functions.html import read_pages
 from millrace.operators import fuzzy, index, rank, search, time_normalise
 from millrace.plans import crawl
-from millrace.session import shared_folder
+from millrace.session import scratch
 from millrace.sources.tables import newest, table
 from millrace.streaming import increment
 
@@ -551,9 +550,9 @@ def result_badge(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT url FROM web_pages WHERE url IS NOT NULL")
 def stream_increment(spark: SparkSession, d: str) -> DataFrame:
     """The urls of a store to which the pages were streamed."""
-    folder = f"{shared_folder(spark).rstrip('/')}/millrace-stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
     pages = table(spark, d, "web_pages").select("page_id", "url")
-    pages.repartition(4).write.parquet(f"{folder}/in")
+    pages.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
     increment.follow(stream, f"{folder}/store", f"{folder}/state").awaitTermination()
     return spark.read.schema(pages.schema).parquet(f"{folder}/store").select("url")

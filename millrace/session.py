@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as FutureTimeout
+from contextlib import contextmanager
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,12 +82,30 @@ def durable(df: DataFrame, what: str = "stage") -> DataFrame:
     It cuts the lineage, survives the loss of executors, and is computed once however often it is read.
     """
     spark = df.sparkSession
+    path = scratch(spark, what)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder's path within the shared one, removed as the durable tables are."""
     path = f"{shared_folder(spark).rstrip('/')}/millrace-{what}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_clean, spark)
     _written.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes on leaving what was written within: for a query whose result is used up inside. Without it tables last as long as the process."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[before:]:
+            _remove(spark, path)
+        del _written[before:]
 
 
 def drop(df: DataFrame) -> None:

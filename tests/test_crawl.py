@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.plans import crawl
-from millrace.session import shared_folder
+from millrace.session import durable, scope, shared_folder
+from millrace.sources.fetch import fetch_pages
 from millrace.streaming import increment
 
 
@@ -51,6 +52,44 @@ def test_progress():
     assert crawl.progress(0, 100, 5.0)["remaining"] is None and crawl.progress(7, 0, 1.0)["percent"] == 0 and crawl.progress(200, 100, 1.0) == {"added": 200, "limit": 100, "percent": 100, "remaining": "00h:00m:00s"}
 
 
+def test_fetched_pages(spark, rows):
+    import http.server
+    import threading
+
+    class Site(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/moved":
+                self.send_response(302)
+                self.send_header("Location", "/there")
+                self.end_headers()
+                return
+            self.send_response(200 if self.path == "/there" else 404)
+            self.send_header("Content-Type", "text/html; charset=iso-8859-1")
+            self.end_headers()
+            self.wfile.write(f"<p>é {self.headers['User-Agent']}".encode("iso-8859-1"))
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    urls = spark.createDataFrame([(f"{at}/moved",), (f"{at}/gone",), (f"{at}/moved",), ("nonsense",), (None,), ("http://127.0.0.1:1/",)], "url string")
+    got = {u: (s, h, e) for u, s, h, e in rows(fetch_pages(urls, 5.0, "me", 2))}
+    server.shutdown()
+    assert got == {f"{at}/moved": (200, "<p>é me", None), f"{at}/gone": (404, None, "status 404"), "nonsense": (None, None, "ValueError"), "http://127.0.0.1:1/": (None, None, "URLError")}
+    assert fetch_pages(urls.limit(0)).count() == 0
+
+
+def test_scopes_remove_their_tables(spark):
+    with scope(spark):
+        df = durable(spark.range(3), "own")
+        path = df.inputFiles()[0]
+        assert df.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+
+
 def test_index_of_raw_pages(spark, rows):
     html = '<title>Summer research</title><p>The summer internships are for students of the biology department.</p><a href="/b">x</a><script type="application/ld+json">{"@type":"JobPosting","datePosted":"2026-01-02","hiringOrganization":{"name":"Org"}}</script>'
     raw = spark.createDataFrame([(1, "https://a.example/", html), (2, "https://a.example/c", None)], "page_id long, url string, html string")
