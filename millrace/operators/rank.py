@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.config import RankerConfig
-from millrace.functions.text import fields, trimmed
+from millrace.functions.text import fields
 
 
 def terms(text: Column) -> Column:
@@ -19,19 +19,36 @@ def share_in(query_terms: Column, words: Column) -> Column:
     return F.size(F.filter(query_terms, lambda t: F.array_contains(words, t))) / F.size(query_terms)
 
 
+def words_of(text: Column) -> Column:
+    """The terms of a text, none for null."""
+    return terms(F.coalesce(text, F.lit("")))
+
+
+def words_of_all(texts: Column) -> Column:
+    """The terms of all texts of an array, none for null ones."""
+    return F.array_distinct(F.flatten(F.transform(F.coalesce(texts, F.array().cast("array<string>")), words_of)))
+
+
 def field_match(query_terms: Column, title: Column, tags: Column, organization: Column) -> Column:
-    """Raw query terms found in title, tags and organization, weighted .6, .25 and .15; 0 without terms."""
-    words = lambda c: terms(F.coalesce(c, F.lit("")))
-    tagged = F.flatten(F.transform(F.coalesce(tags, F.array().cast("array<string>")), words))
-    score = 0.6 * share_in(query_terms, words(title)) + 0.25 * share_in(query_terms, tagged) + 0.15 * share_in(query_terms, words(organization))
+    """Raw query terms found among the terms of title, tags and organization (arrays), weighted .6, .25 and .15; 0 without terms."""
+    score = 0.6 * share_in(query_terms, title) + 0.25 * share_in(query_terms, tags) + 0.15 * share_in(query_terms, organization)
     return F.when(F.size(query_terms) == 0, 0.0).otherwise(F.least(F.lit(1.0), score))
 
 
-def field_of_study(major: Column, studies: Column) -> Column:
-    """1 if major and studies share a word, .15 if not, .5 if either is missing."""
-    all_words = F.flatten(F.transform(studies, lambda x: terms(F.coalesce(x, F.lit("")))))
-    none = major.isNull() | (trimmed(major) == "") | studies.isNull() | (F.size(studies) == 0)
-    return F.when(none, 0.5).when(F.arrays_overlap(terms(major), all_words), 1.0).otherwise(0.15)
+def field_of_study(major_terms: Column, studies: Column, study_terms: Column) -> Column:
+    """1 if the terms of major and studies have one in common, .15 if not, .5 if either is missing."""
+    none = (F.size(major_terms) == 0) | studies.isNull() | (F.size(studies) == 0)
+    return F.when(none, 0.5).when(F.arrays_overlap(major_terms, study_terms), 1.0).otherwise(0.15)
+
+
+def with_page_terms(pages: DataFrame) -> DataFrame:
+    """Pages with the terms by which they are ranked, so that each page is split once and not for every query that finds it."""
+    return pages.withColumns({"_title": words_of(F.col("title")), "_tags": words_of_all(F.col("tags")), "_organization": words_of(F.col("organization")), "_studies": words_of_all(F.col("fields_of_study"))})
+
+
+def with_query_terms(queries: DataFrame) -> DataFrame:
+    """Queries with the terms of q and major."""
+    return queries.withColumns({"_terms": terms(F.col("q")), "_major": words_of(F.col("major"))})
 
 
 def trust(tier: Column, most: int = 3) -> Column:
@@ -79,15 +96,18 @@ def score_candidates(cands: DataFrame, now: Column, config: RankerConfig = Ranke
     """Candidates of queries with their signals and `final`.
 
     `cands`: query_id, q, major, hits_count, hits_sum, and a listing's title, tags, organization, fields_of_study, trust_tier, posted_at,
-    last_crawled_at, deadline_at. Relevance is scaled among a query's candidates.
+    last_crawled_at, deadline_at. Relevance is scaled among a query's candidates. Terms are found here unless `with_page_terms` and
+    `with_query_terms` have given them.
     """
+    cands = cands if "_terms" in cands.columns else with_query_terms(cands)
+    cands = cands if "_title" in cands.columns else with_page_terms(cands)
     c = cands.withColumn("raw", raw_relevance(F.col("hits_count"), F.col("hits_sum")))
-    c = min_max(c, ["query_id"], "raw", "relevance").withColumn("_terms", terms(F.col("q")))
+    c = min_max(c, ["query_id"], "raw", "relevance")
     c = c.withColumns({
-        "field_match": field_match(F.col("_terms"), F.col("title"), F.col("tags"), F.col("organization")),
-        "study": field_of_study(F.col("major"), F.col("fields_of_study")),
+        "field_match": field_match(F.col("_terms"), F.col("_title"), F.col("_tags"), F.col("_organization")),
+        "study": field_of_study(F.col("_major"), F.col("fields_of_study"), F.col("_studies")),
         "trust": trust(F.coalesce("trust_tier", F.lit(config.max_trust_tier)), config.max_trust_tier),
         "freshness": freshness(F.col("posted_at"), F.col("last_crawled_at"), now, config.half_life_hours),
         "urgency": urgency(F.col("deadline_at"), now, config.urgency_window_hours, config.no_deadline_urgency),
-    }).drop("_terms")
+    }).drop("_terms", "_major", "_title", "_tags", "_organization", "_studies")
     return c.withColumn("final", composite(*[F.col(x) for x in ("relevance", "field_match", "study", "trust", "freshness", "urgency")], config=config))

@@ -12,7 +12,7 @@ from millrace.config import RankerConfig, SearchConfig, page_number, page_size,
 from millrace.functions.text import stems, trimmed
 from millrace.functions.text import tokens as tokens_of
 from millrace.operators import fuzzy, rank
-from millrace.operators.time_normalise import normalise_times
+from millrace.operators.time_normalise import times_of
 from millrace.session import durable, within_seconds
 from millrace.sources.tables import newest
 
@@ -82,19 +82,20 @@ def listings(pages: DataFrame) -> DataFrame:
     """Pages as the ranking sees them, one row for each page_id; times, in whatever form, are normalised to UTC, null where they stand for no instant."""
     cols = ["url", "title", "abstract", "organization", "trust_tier", "posted_at", "deadline_at", "site_zone", "site_locale", "last_crawled_at", "fields_of_study", "degree_levels", "location", "remote"]
     one = newest(pages, "page_id", "last_crawled_at", [c for c in cols if c in pages.columns])
-    for c in ("posted_at", "deadline_at"):
-        zone, locale = (x if x in one.columns else None for x in ("site_zone", "site_locale"))
-        one = one.withColumns({n: F.lit(None).cast("string") for n, x in (("site_zone", zone), ("site_locale", locale)) if x is None})
-        one = normalise_times(one, c, "site_zone", "site_locale").withColumn(c, F.timestamp_micros("epoch_us").cast("timestamp_ntz")).drop("epoch_us", "time_status")
+    one = durable(one.withColumns({c: F.lit(None).cast("string") for c in ("site_zone", "site_locale") if c not in one.columns}), "listings")
+    micros = lambda c: F.max(F.when(F.col("field") == c, F.col("epoch_us")))
+    stamp = lambda c: F.timestamp_micros(micros(c)).cast("timestamp_ntz").alias(c)
+    times = times_of(one).groupBy("page_id").agg(stamp("posted_at"), stamp("deadline_at"))
     empty = F.array().cast("array<string>")
-    return one.drop("site_zone", "site_locale").withColumn("tags", F.concat(F.coalesce("fields_of_study", empty), F.coalesce("degree_levels", empty)))
+    tagged = one.drop("site_zone", "site_locale", "posted_at", "deadline_at").join(times, "page_id", "left").withColumn("tags", F.concat(F.coalesce("fields_of_study", empty), F.coalesce("degree_levels", empty)))
+    return rank.with_page_terms(tagged)
 
 
 def rank_queries(queries: DataFrame, postings: DataFrame, dictionary: DataFrame, pages: DataFrame, now: Column, ranker: RankerConfig = RankerConfig(), config: SearchConfig = SearchConfig(), stemmed: bool = False) -> DataFrame:
     """Every candidate of every valid query with its signals and final score. Pages that are not stored vanish; a query without tokens has no rows."""
     q = valid_queries(queries, config)
     hits = find_hits(query_tokens(q, stemmed=stemmed), postings, dictionary, config.fuzzy_tolerance)
-    cands = merge_hits(hits).join(pages, "page_id").join(q, "query_id")
+    cands = merge_hits(hits).join(pages, "page_id").join(rank.with_query_terms(q), "query_id")
     return rank.score_candidates(cands, now, ranker)
 
 

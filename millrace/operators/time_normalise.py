@@ -253,9 +253,13 @@ def page_times(pages: DataFrame) -> DataFrame:
 
     A page's newest crawl counts (see `newest`); one row for each page and field, also where the value is null.
     """
-    one = newest(pages, "page_id", "last_crawled_at", ["posted_at", "deadline_at", "site_zone", "site_locale"])
+    return times_of(newest(pages, "page_id", "last_crawled_at", ["posted_at", "deadline_at", "site_zone", "site_locale"])).drop("site_zone", "site_locale")
+
+
+def times_of(one: DataFrame) -> DataFrame:
+    """The same of pages that have one row each: with site_zone and site_locale."""
     long = one.select(
         "page_id", "site_zone", "site_locale",
         F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("posted_at", "deadline_at")])).alias("f"),
     ).select("page_id", "f.field", "f.value", "site_zone", "site_locale")
-    return normalise_times(long, "value", "site_zone", "site_locale").drop("site_zone", "site_locale")
+    return normalise_times(long, "value", "site_zone", "site_locale")

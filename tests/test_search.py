@@ -59,7 +59,7 @@ def test_signals(spark):
     assert [one(rank.trust(F.lit(t))) for t in (0, 1, 2, 9)] == [1.0, 1.0, 0.5, 0.0] and one(rank.trust(F.lit(5), 1)) == 1.0
     assert [round(one(rank.freshness(p, none, ts(0))), 6) for p in (ts(1), ts(-14), none)] == [1.0, 0.5, 0.5]
     assert [one(rank.urgency(x, ts(0))) for x in (none, ts(-1), ts(60), ts(30))] == [0.5, 0.0, 0.0, 0.5]
-    assert one(rank.field_of_study(F.lit(""), F.array(F.lit("a")))) == 0.5 and one(rank.field_of_study(F.lit("x"), F.array(F.lit("a")))) == 0.15
+    assert one(rank.field_of_study(rank.words_of(F.lit("")), F.array(F.lit("a")), F.array(F.lit("a")))) == 0.5 and one(rank.field_of_study(rank.words_of(F.lit("x")), F.array(F.lit("a")), F.array(F.lit("a")))) == 0.15
     df = spark.createDataFrame([(1, 5.0), (2, 3.0), (2, 7.0)], "g int, v double")
     assert sorted(tuple(r) for r in rank.min_max(df, ["g"], "v", "s").select("g", "s").collect()) == [(1, 1.0), (2, 0.0), (2, 1.0)]
 
