@@ -146,7 +146,7 @@ def _label(words: list[str], s: str, title: bool) -> bool | None:
             return True
     if _says_residue(s):
         return not SPEAKING.search(s)
-    if any(w[:4] in LATIN_STEMS for w in words[:5]) and latin_filler(s):
+    if not LATIN_STEMS.isdisjoint([w[:4] for w in words[:5]]) and latin_filler(s):
         return True
     if len(words) >= 12 and s[-1] in ".!?" and len(ALL_FUNCTION_WORDS.intersection(words)) >= 4:
         return False  # sentences of some length that say nothing of the kind
