@@ -393,6 +393,18 @@ def field_precedence(spark: SparkSession, d: str) -> DataFrame:
     return listing.with_listing_fields(pages).select("o_orderkey", "degree_levels", "remote")
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Second' ELSE 'First' END AS organization,
+  CASE WHEN o_orderkey % 3 > 0 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + CASE o_orderkey % 4 WHEN 0 THEN INTERVAL 10 HOUR WHEN 1 THEN INTERVAL 8 HOUR WHEN 2 THEN INTERVAL 36000500 MILLISECOND ELSE INTERVAL 0 HOUR END END AS posted_at FROM orders""")
+def jsonld_several(spark: SparkSession, d: str) -> DataFrame:
+    """The first posting among several blocks of the orders, with dates with an offset, without one, with fractions, and without a time."""
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    time = F.when(key % 4 == 0, "T10:00:00").when(key % 4 == 1, "T10:00:00+02:00").when(key % 4 == 2, "T10:00:00.5Z").otherwise("")
+    first = F.concat(F.lit('{"@type":"JobPosting","datePosted":"'), F.date_format("o_orderdate", "yyyy-MM-dd"), time, F.lit('","hiringOrganization":{"name":"First"}}'))
+    blocks = F.array(F.lit("{broken"), F.lit('{"@type":"Person"}'), F.when(key % 3 > 0, first), F.lit('[{"@type":"JobPosting","hiringOrganization":{"name":"Second"}}]'))
+    pages = o.select("o_orderkey", F.lit("t").alias("title"), F.lit("a").alias("abstract"), F.lit("c").alias("content"), blocks.alias("json_ld"))
+    return listing.with_listing_fields(pages).select("o_orderkey", "organization", "posted_at")
+
+
 # Web pages, links and the crawl
 
 
@@ -425,6 +437,20 @@ def html_elements(spark: SparkSession, d: str) -> DataFrame:
     return read_pages(_raw_pages(spark, d), ["page_id"], ["elements"]).select("page_id", F.explode("elements").alias("e")).select("page_id", "e.*")
 
 
+_CUT = lambda t, n: f"CASE WHEN strlen({t}) <= {n} THEN {t} ELSE left({t}, k{n}) || CASE WHEN strlen(left({t}, k{n})) < {n} THEN chr(65533) ELSE '' END END"
+_FITS = lambda t, n: f"CASE WHEN strlen({t}) > {n} THEN list_max(list_filter(range({n} // 4, {n} + 1), lambda k: strlen(left({t}, k)) <= {n})) END AS k{n}"
+
+
+@query(f"""WITH one AS (SELECT page_id, arg_max(struct_pack(t := title, a := abstract, c := content), last_crawled_at) AS s FROM web_pages WHERE page_id IS NOT NULL GROUP BY page_id),
+  e AS (SELECT page_id, {_TRIM("coalesce(s.a, '')")} AS meta, list_transform(string_split(coalesce(s.c, ''), chr(10)), lambda x: x) AS p, coalesce(s.t, '') AS t FROM one),
+  g AS (SELECT page_id, CASE WHEN meta <> '' THEN meta ELSE coalesce(list_filter(list_transform(p, lambda x: {_TRIM('x')}), lambda x: strlen(x) > 20)[1], '') END AS a, '  ' || t || ' ' || t || ' ' || array_to_string(p, ' ') AS c FROM e),
+  k AS (SELECT *, {_FITS('a', 150)}, {_FITS('c', 20000)} FROM g)
+  SELECT page_id, {_CUT('a', 150)} AS abstract, {_CUT('c', 20000)} AS content FROM k""")
+def html_page(spark: SparkSession, d: str) -> DataFrame:
+    """The abstracts and contents read from the pages written as HTML, cut to their bytes."""
+    return read_pages(_raw_pages(spark, d), ["page_id"], ["abstract", "content"])
+
+
 @query()
 def crawl_index(spark: SparkSession, d: str) -> DataFrame:
     """The postings of the pages written as HTML: each element's language found, English words stemmed."""
