@@ -500,6 +500,17 @@ def page_ids(spark: SparkSession, d: str) -> DataFrame:
     return ids.agg(F.count_distinct("page_id").alias("n"), F.count_distinct("url").alias("urls"), F.min("page_id").cast("int").alias("least"), F.max("page_id").alias("most"))
 
 
+@query("""WITH k AS (SELECT url, min(page_id) AS page_id FROM web_pages WHERE trust_tier = 1 AND url IS NOT NULL GROUP BY url), u AS (SELECT DISTINCT url FROM (SELECT url FROM web_pages UNION ALL SELECT unnest(links) FROM web_pages) WHERE url IS NOT NULL),
+  n AS (SELECT count(*) AS n FROM u ANTI JOIN k USING (url)), t AS (SELECT count(*) AS kept, max(page_id) AS top FROM k) SELECT kept, n AS added, top + 1 AS least, top + n AS most FROM n, t""")
+def page_ids_added(spark: SparkSession, d: str) -> DataFrame:
+    """That known urls, those of tier 1, keep their ids and the others' follow the greatest of them without gaps."""
+    w = table(spark, d, "web_pages")
+    known = w.filter("trust_tier = 1 AND url IS NOT NULL").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    ids = index.assign_ids(w.select("url").union(w.select(F.explode("links"))), known).join(known.select("url", F.col("page_id").alias("old")), "url", "left")
+    new = F.when(F.col("old").isNull(), F.col("page_id"))
+    return ids.agg(F.count(F.when(F.col("page_id") == F.col("old"), 1)).alias("kept"), F.count_distinct(new).alias("added"), F.min(new).alias("least"), F.max(new).alias("most"))
+
+
 @query("WITH t AS (SELECT url, min(page_id) AS dst_id FROM web_pages WHERE url IS NOT NULL GROUP BY url), l AS (SELECT DISTINCT page_id AS src_id, unnest(links) AS url FROM web_pages) SELECT DISTINCT src_id, dst_id FROM l JOIN t USING (url)")
 def outbound_edges(spark: SparkSession, d: str) -> DataFrame:
     """The links between stored pages."""
