@@ -301,38 +301,43 @@ def fit(pages: list[Labelled], steps: int = STEPS) -> Field:
         at[:n, q] = np.arange(k, k + n)
         k += n
     real = at >= 0
-    blocked = np.zeros((longest, p, 2))
-    blocked[..., 0][real] = np.where(known[at[real]] == 1, -1e9, 0)
-    blocked[..., 1][real] = np.where(known[at[real]] == 0, -1e9, 0)
-
-    def expected(emit: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of label 1 and expected transitions, by forward and backward sums."""
-        fore, rear = np.zeros_like(emit), np.zeros_like(emit)
-        fore[0] = emit[0]
+    here = np.concatenate((real, real), axis=1)  # the pages as they may be, and as their labels hold them
+    may = np.ones((2, longest, 2 * p))  # whether a block may have a label
+    for label in (0, 1):
+        may[label][:, p:][real] = known[at[real]] != 1 - label
+
+    def expected(score: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+        """Probabilities of label 1 and of each transition, by forward and backward products that are normalised at each block."""
+        high = np.maximum(score, 0)
+        e = [np.exp(-high) * may[0], np.exp(score - high) * may[1]]
+        step = np.exp(moves - moves.max())
+        fore, rear = [np.empty_like(score), np.empty_like(score)], [np.ones_like(score), np.ones_like(score)]
+        total = e[0][0] + e[1][0]
+        fore[0][0], fore[1][0] = e[0][0] / total, e[1][0] / total
         for i in range(1, longest):
-            new = emit[i] + np.logaddexp(fore[i - 1][:, :1] + moves[0], fore[i - 1][:, 1:] + moves[1])
-            fore[i] = np.where(real[i][:, None], new, fore[i - 1])
+            a, b = ((fore[0][i - 1] * step[0, k] + fore[1][i - 1] * step[1, k]) * e[k][i] for k in (0, 1))
+            total = a + b
+            fore[0][i], fore[1][i] = np.where(here[i], a / total, fore[0][i - 1]), np.where(here[i], b / total, fore[1][i - 1])
         for i in range(longest - 2, -1, -1):
-            ahead = emit[i + 1] + rear[i + 1]
-            new = np.logaddexp(ahead[:, :1] + moves[:, 0], ahead[:, 1:] + moves[:, 1])
-            rear[i] = np.where(real[i + 1][:, None], new, rear[i + 1])
-        total = np.logaddexp(fore[-1][:, 0], fore[-1][:, 1])
-        one = np.exp(np.minimum(0, fore[..., 1] + rear[..., 1] - total))
-        pairs = np.zeros((2, 2))
-        for a in (0, 1):
-            for b in (0, 1):
-                x = fore[:-1, :, a] + moves[a, b] + emit[1:, :, b] + rear[1:, :, b] - total
-                pairs[a, b] = np.exp(np.minimum(0, x))[real[1:]].sum()
-        return one, pairs
+            x, y = rear[0][i + 1] * e[0][i + 1], rear[1][i + 1] * e[1][i + 1]
+            a, b = (step[k, 0] * x + step[k, 1] * y for k in (0, 1))
+            total = a + b
+            rear[0][i], rear[1][i] = np.where(here[i + 1], a / total, rear[0][i + 1]), np.where(here[i + 1], b / total, rear[1][i + 1])
+        ahead = [e[k][1:] * rear[k][1:] for k in (0, 1)]
+        pairs = [[fore[j][:-1] * step[j, k] * ahead[k] for k in (0, 1)] for j in (0, 1)]
+        total = pairs[0][0] + pairs[0][1] + pairs[1][0] + pairs[1][1]
+        both = fore[1] * rear[1]
+        return both / (both + fore[0] * rear[0]), [[x / total * here[1:] for x in row] for row in pairs]
 
     w, moves = np.zeros(len(names)), np.zeros((2, 2))
     m, v = np.zeros(len(names) + 4), np.zeros(len(names) + 4)
     for step in range(1, steps + 1):
         score = np.bincount(of_row, w[of_name], len(rows))
-        emit = np.zeros((longest, p, 2))
-        emit[..., 1][real] = score[at[real]]
-        free, free_pairs = expected(emit, moves)
-        held, held_pairs = expected(emit + blocked, moves)
+        own = np.zeros((longest, p))
+        own[real] = score[at[real]]
+        one, pairs = expected(np.concatenate((own, own), axis=1), moves)
+        free, held = one[:, :p], one[:, p:]
+        free_pairs, held_pairs = (np.array([[x[:, part].sum() for x in row] for row in pairs]) for part in (slice(0, p), slice(p, None)))
         push = np.zeros(len(rows))
         push[at[real]] = (held - free)[real]
         grad = np.concatenate((np.bincount(of_name, push[of_row], len(names)) - PENALTY * w, (held_pairs - free_pairs).ravel() - PENALTY * moves.ravel()))

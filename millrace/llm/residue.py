@@ -300,6 +300,8 @@ def _verified(left: DataFrame, right: DataFrame, known: DataFrame, texts: DataFr
     alike = (F.col("a") != F.col("b")) & (F.least("_na", "_nb") >= LEAST_SIMILARITY * F.greatest("_na", "_nb") - 1e-9)
     near = left.join(right, "key").filter(alike).select("a", "b").distinct()
     near = durable(near.join(known.select(F.col("unit").alias("b")), "b", "left_anti").select("a", "b"), "near")
+    if near.isEmpty():
+        return near
     wanted = near.select(F.col("a").alias("unit")).union(near.select("b")).distinct()
     some = durable(texts.join(wanted, "unit", "left_semi").dropDuplicates(["unit"]), "texts").withColumn("_t", _shingles(F.col("text")))
     ta, tb = (some.select(F.col("unit").alias(c), F.col("_t").alias(f"_t{c}")) for c in ("a", "b"))
@@ -343,6 +345,8 @@ def residue_units(scanned: DataFrame) -> DataFrame:
         if new.isEmpty():
             break
         known, frontier = known.union(new), new
+    if frontier is seeds:  # no unit is like them
+        return seeds
     parts = connected_components(edges)
     member = known.join(parts.withColumnRenamed("node", "unit"), "unit", "left").join(units, "unit").withColumn("component", F.coalesce("component", "unit"))
     sums = member.groupBy("component").agg(F.sum(F.coalesce("vote", F.lit(0))).alias("_v"))

@@ -90,7 +90,11 @@ class Encoder:
         return known
 
     def _piece(self, piece: str) -> list[int]:
-        """Ids of one piece of the pattern."""
+        """Ids of one piece of the pattern, which may be long where a text has no white space.
+
+        Memory is linear in the piece: at each place there is at most one match for each length of a token, and those are bounded by
+        the vocabulary. So is time: a place from which no sequence goes on is tried once.
+        """
         s = piece.encode("utf-8").decode("latin-1")
         whole = self.ids.get(s)
         if whole is not None and (len(s) == 1 or self._merged_whole(whole, s)):
