@@ -23,7 +23,7 @@ OUTSIDE = [
     r"©|^copyright\b|\ball rights reserved\b|\balle rechte vorbehalten\b|\btous droits réservés\b|^terms of use\b|\btrademarks?\b|\bwithout (?:written|prior) consent\b",
     r"\bnewsletter\b|^subscribe\b|\bsign up for\b|^log in or\b|^already registered\b|^forgot password\b|\babonnieren\b",
     r"^(?:related|recently viewed|you may also like|more from|popular|à lire aussi|das könnte sie auch)\b|^advertisement\b",
-    r"^(?:share|teilen|partager)\b.*(?:\||:|\bon\b)",
+    r"^(?:share|teilen|partager)\b.*(?:\||:|\bon\b)|^(?:like|share|tweet) this\b|^\d+ shares\b|[♥↻✉]",
     r"^(?:posted by|written by|last updated|filed under)\b|^by [^.]+$",
     r"^page \d+ of \d+|^previous\b.*\bnext\b|^showing \d+ of|^load more\b",
     r"\baccepts no liability\b|\bis not responsible for\b|\bequal opportunity\b|\bwithout warranty\b",
