@@ -95,7 +95,8 @@ def rank_queries(queries: DataFrame, postings: DataFrame, dictionary: DataFrame,
     """Every candidate of every valid query with its signals and final score. Pages that are not stored vanish; a query without tokens has no rows."""
     q = valid_queries(queries, config)
     hits = find_hits(query_tokens(q, stemmed=stemmed), postings, dictionary, config.fuzzy_tolerance)
-    cands = merge_hits(hits).join(pages, "page_id").join(rank.with_query_terms(q), "query_id")
+    merged = durable(merge_hits(hits), "merged")  # read for the extremes of relevance and for the candidates
+    cands = merged.join(pages, "page_id").join(rank.with_query_terms(q), "query_id")
     return rank.score_candidates(cands, now, ranker)
 
 
