@@ -136,7 +136,8 @@ def badge(page: DataFrame) -> Column:
 def search(q: str, postings: DataFrame, dictionary: DataFrame, pages: DataFrame, now: dt.datetime, page: str | int | None = None, size: str | int | None = None, major: str | None = None, ranker: RankerConfig = RankerConfig(), config: SearchConfig = SearchConfig(), stemmed: bool = False) -> dict:
     """One search: pages (rows of the result page), totalResults, pagesCount, query, page, size, timeMs. The driver receives only one page.
 
-    A search that takes longer than config.search_timeout_seconds is cancelled and raises TimeoutError.
+    A search that takes longer than config.search_timeout_seconds is cancelled and raises TimeoutError; the first one of a session, whose
+    plans are yet to be compiled, may need more than the default of five.
     """
     text, no, many = query_text(q, config), page_number(page), page_size(size, config)
     spark, start = postings.sparkSession, time.monotonic()

@@ -8,6 +8,7 @@ from millrace.operators import fuzzy, index, rank, search
 from millrace.sources.fixtures import seed
 
 NOW = dt.datetime(2026, 7, 1)
+PATIENT = config.SearchConfig(search_timeout_seconds=600)  # a cold session compiles its first plans
 
 
 @pytest.fixture(scope="module")
@@ -26,15 +27,15 @@ def tables(spark):
     ],
 )
 def test_seed_scores(tables, q, major, expected):
-    got = search.search(q, *tables, NOW, major=major, stemmed=True)
+    got = search.search(q, *tables, NOW, major=major, stemmed=True, config=PATIENT)
     assert [p["page_id"] for p in got["pages"]] == list(expected) and got["totalResults"] == len(expected)
     assert {p["page_id"]: round(p["final"], 6) for p in got["pages"]} == expected
 
 
 def test_corrections_suggestions_and_empty_queries(spark, tables, rows):
     postings, words, pages = tables
-    assert {p["page_id"] for p in search.search("reserch", postings, words, pages, NOW, stemmed=True)["pages"]} == {1, 2}
-    assert search.search("!!!", postings, words, pages, NOW)["pages"] == []
+    assert {p["page_id"] for p in search.search("reserch", postings, words, pages, NOW, stemmed=True, config=PATIENT)["pages"]} == {1, 2}
+    assert search.search("!!!", postings, words, pages, NOW, config=PATIENT)["pages"] == []
     q = spark.createDataFrame([(1, "reserch", None, None, None), (2, "research", None, None, None), (3, None, 1, 10, ""), (4, " ", 1, 10, ""), (5, "x" * 201, 1, 10, ""), (6, "in", 0, 10, ""), (7, "in", 1, 51, "")], "query_id long, q string, page int, size int, major string")
     assert rows(search.suggest(q, words, stemmed=True)) == [(1, "reserch", ["research"])]
     assert sorted(r[0] for r in search.valid_queries(q).select("query_id").collect()) == [1, 2]
