@@ -14,11 +14,6 @@ def terms(text: Column) -> Column:
     return fields(F.lower(text))
 
 
-def share_in(query_terms: Column, words: Column) -> Column:
-    """The share of query terms that are among the words."""
-    return F.size(F.filter(query_terms, lambda t: F.array_contains(words, t))) / F.size(query_terms)
-
-
 def words_of(text: Column) -> Column:
     """The terms of a text, none for null."""
     return terms(F.coalesce(text, F.lit("")))
@@ -29,10 +24,10 @@ def words_of_all(texts: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.coalesce(texts, F.array().cast("array<string>")), words_of)))
 
 
-def field_match(query_terms: Column, title: Column, tags: Column, organization: Column) -> Column:
-    """Raw query terms found among the terms of title, tags and organization (arrays), weighted .6, .25 and .15; 0 without terms."""
-    score = 0.6 * share_in(query_terms, title) + 0.25 * share_in(query_terms, tags) + 0.15 * share_in(query_terms, organization)
-    return F.when(F.size(query_terms) == 0, 0.0).otherwise(F.least(F.lit(1.0), score))
+def field_match(terms: Column, title: Column, tags: Column, organization: Column) -> Column:
+    """Raw query terms (how many there are) found in title, tags and organization (how many are in each), weighted .6, .25 and .15; 0 without terms."""
+    score = 0.6 * (title / terms) + 0.25 * (tags / terms) + 0.15 * (organization / terms)
+    return F.when(terms == 0, 0.0).otherwise(F.least(F.lit(1.0), score))
 
 
 def field_of_study(major_terms: Column, studies: Column, study_terms: Column) -> Column:
@@ -80,10 +75,21 @@ def raw_relevance(hits: Column, score: Column) -> Column:
     return 100 * hits + score
 
 
+def scaled(value: Column, lo: Column, hi: Column) -> Column:
+    """A value scaled to [0, 1] between two ends; 1 where they are equal."""
+    return F.when(hi == lo, 1.0).otherwise((value - lo) / (hi - lo))
+
+
 def min_max(df: DataFrame, by: list[str], value: str, to: str) -> DataFrame:
     """`df` with `value` scaled to [0, 1] within each group; 1 where all are equal. Only minima and maxima are shuffled by group."""
     ends = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    return df.join(ends, by).withColumn(to, F.when(F.col("_hi") == F.col("_lo"), 1.0).otherwise((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).drop("_lo", "_hi")
+    return df.join(ends, by).withColumn(to, scaled(F.col(value), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """A double that is not negative, rounded half up to some digits: by arithmetic, as SQL does it, and not by decimals, which cost more than all else of a score."""
+    scale = F.lit(float(10**digits))
+    return F.floor(value * scale + 0.5) / scale
 
 
 def composite(relevance: Column, match: Column, study: Column, trusted: Column, fresh: Column, urgent: Column, config: RankerConfig = RankerConfig()) -> Column:
@@ -92,22 +98,24 @@ def composite(relevance: Column, match: Column, study: Column, trusted: Column,
     return w.relevance * relevance + w.field_match * match + w.field_of_study * study + w.trust * trusted + w.freshness * fresh + w.urgency * urgent
 
 
-def score_candidates(cands: DataFrame, now: Column, config: RankerConfig = RankerConfig()) -> DataFrame:
+def with_page_signals(pages: DataFrame, now: Column, config: RankerConfig = RankerConfig()) -> DataFrame:
+    """Pages with the signals that no query changes: trust, freshness, urgency."""
+    return pages.withColumns({
+        "trust": trust(F.coalesce("trust_tier", F.lit(config.max_trust_tier)), config.max_trust_tier),
+        "freshness": freshness(F.col("posted_at"), F.col("last_crawled_at"), now, config.half_life_hours),
+        "urgency": urgency(F.col("deadline_at"), now, config.urgency_window_hours, config.no_deadline_urgency),
+    })
+
+
+def score_candidates(cands: DataFrame, config: RankerConfig = RankerConfig()) -> DataFrame:
     """Candidates of queries with their signals and `final`.
 
-    `cands`: query_id, q, major, hits_count, hits_sum, and a listing's title, tags, organization, fields_of_study, trust_tier, posted_at,
-    last_crawled_at, deadline_at. Relevance is scaled among a query's candidates. Terms are found here unless `with_page_terms` and
-    `with_query_terms` have given them.
+    `cands`: the query's _terms and _major, as `with_query_terms` gives them; raw relevance and its ends (_lo, _hi) among the query's
+    candidates; the numbers of terms found in _title, _tags and _organization; and a page's fields_of_study, _studies, trust, freshness, urgency.
     """
-    cands = cands if "_terms" in cands.columns else with_query_terms(cands)
-    cands = cands if "_title" in cands.columns else with_page_terms(cands)
-    c = cands.withColumn("raw", raw_relevance(F.col("hits_count"), F.col("hits_sum")))
-    c = min_max(c, ["query_id"], "raw", "relevance")
-    c = c.withColumns({
-        "field_match": field_match(F.col("_terms"), F.col("_title"), F.col("_tags"), F.col("_organization")),
+    c = cands.withColumns({
+        "relevance": scaled(F.col("raw"), F.col("_lo"), F.col("_hi")),
+        "field_match": field_match(F.size("_terms"), F.col("_title"), F.col("_tags"), F.col("_organization")),
         "study": field_of_study(F.col("_major"), F.col("fields_of_study"), F.col("_studies")),
-        "trust": trust(F.coalesce("trust_tier", F.lit(config.max_trust_tier)), config.max_trust_tier),
-        "freshness": freshness(F.col("posted_at"), F.col("last_crawled_at"), now, config.half_life_hours),
-        "urgency": urgency(F.col("deadline_at"), now, config.urgency_window_hours, config.no_deadline_urgency),
-    }).drop("_terms", "_major", "_title", "_tags", "_organization", "_studies")
+    }).drop("_terms", "_major", "_lo", "_hi", "_title", "_tags", "_organization", "_studies")
     return c.withColumn("final", composite(*[F.col(x) for x in ("relevance", "field_match", "study", "trust", "freshness", "urgency")], config=config))

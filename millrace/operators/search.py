@@ -13,13 +13,19 @@ from millrace.functions.text import stems, trimmed
 from millrace.functions.text import tokens as tokens_of
 from millrace.operators import fuzzy, rank
 from millrace.operators.time_normalise import times_of
-from millrace.session import durable, within_seconds
+from millrace.session import drop, durable, within_seconds
 from millrace.sources.tables import newest
 
 
 #: Parts over which the postings of one word are spread.
 WORD_PARTS = 16
 
+#: Hits that one task merges, about: its table of queries and pages stays in memory.
+PART_HITS = 1_000_000
+
+#: Queries up to so many are sent to every task, so that hits are never shuffled; joins with more are left to Spark's size checks.
+SENT_QUERIES = 200_000
+
 
 def clean_postings(postings: DataFrame) -> DataFrame:
     """One posting for each word and page, that with the last position; rows without word, page or position are left out."""
@@ -58,19 +64,24 @@ def query_tokens(queries: DataFrame, language: str = "english", stemmed: bool =
     return queries.select("query_id", F.explode(F.array_distinct(t)).alias("token"))
 
 
-def find_hits(tokens: DataFrame, postings: DataFrame, dictionary: DataFrame, tolerance: int = 2) -> DataFrame:
-    """The hits of tokens: query_id, token, page_id, score, position. A token without postings stands for its first correction.
-
-    Tokens are brought to words first, so the postings are read once; they are joined with the queries' words, which are few beside
-    them, by a broadcast where their size allows it, else the rows of a hot word are split at run time.
-    """
+def query_words(tokens: DataFrame, dictionary: DataFrame, tolerance: int = 2) -> DataFrame:
+    """The words that tokens stand for, as a durable table: query_id, token, word. A token that is no word stands for its first correction."""
     known = dictionary.select("word")
     words = tokens.join(known, F.col("token") == F.col("word")).select("query_id", "token", "word")
     if tolerance > 0:
         missing = durable(tokens.join(known.withColumnRenamed("word", "token"), "token", "left_anti"), "missing")
         fixes = fuzzy.first_words(fuzzy.near_words(missing, dictionary, tolerance), 1).select("token", "word")
         words = words.unionByName(missing.join(fixes, "token").select("query_id", "token", "word"))
-    return durable(words, "words").join(postings, "word").select("query_id", "token", "page_id", "score", "position")
+    return durable(words, "words")
+
+
+def find_hits(tokens: DataFrame, postings: DataFrame, dictionary: DataFrame, tolerance: int = 2) -> DataFrame:
+    """The hits of tokens: query_id, token, page_id, score, position. A token without postings stands for its first correction.
+
+    Tokens are brought to words first, so the postings are read once; they are joined with the queries' words, which are few beside
+    them, by a broadcast where their size allows it, else the rows of a hot word are split at run time.
+    """
+    return query_words(tokens, dictionary, tolerance).join(postings, "word").select("query_id", "token", "page_id", "score", "position")
 
 
 def merge_hits(hits: DataFrame) -> DataFrame:
@@ -88,16 +99,68 @@ def listings(pages: DataFrame) -> DataFrame:
     times = times_of(one).groupBy("page_id").agg(stamp("posted_at"), stamp("deadline_at"))
     empty = F.array().cast("array<string>")
     tagged = one.drop("site_zone", "site_locale", "posted_at", "deadline_at").join(times, "page_id", "left").withColumn("tags", F.concat(F.coalesce("fields_of_study", empty), F.coalesce("degree_levels", empty)))
-    return rank.with_page_terms(tagged)
+    stored = durable(rank.with_page_terms(tagged), "pages")  # a batch of queries reads them again and again
+    drop(one)
+    return stored
+
+
+def wordings_of(queries: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries that look for the same words in the same terms have the same hits, so these are merged once for each such wording.
+
+    Two durable tables: the queries (with their terms, as `rank.with_query_terms` gives them) that have words, with `wording`; and the
+    words of the wordings: wording, word, _tokens (how many tokens stand for it, null for none) and _terms (how many raw terms it is).
+    """
+    own = words.groupBy("query_id").agg(F.sort_array(F.collect_list("word")).alias("_words"))
+    alike = Window.partitionBy("_words", F.sort_array("_terms"))  # the queries of one wording
+    asked = durable(queries.join(own, "query_id").withColumn("wording", F.min("query_id").over(alike)), "asked")
+    one = asked.filter("query_id = wording")
+    tokens = one.select("wording", F.explode("_words").alias("word"), F.lit(1).alias("_tokens"), F.lit(0).alias("_terms"))
+    terms = one.select("wording", F.explode("_terms").alias("word"), F.lit(None).cast("int").alias("_tokens"), F.lit(1).alias("_terms"))
+    sums = [F.sum(c).cast("int").alias(c) for c in ("_tokens", "_terms")]
+    return asked.drop("_words"), durable(tokens.unionByName(terms).groupBy("wording", "word").agg(*sums), "wordings")
+
+
+def page_words(postings: DataFrame, pages: DataFrame) -> DataFrame:
+    """What stored pages have of each word: page_id, word, _hit (its postings), their score and position, _title, _tags, _organization (whether it is among these terms)."""
+    no, own = F.lit(0), ("_title", "_tags", "_organization")
+    hits = postings.join(pages.select("page_id"), "page_id", "left_semi").select("page_id", "word", F.lit(1).alias("_hit"), "score", "position", *[no.alias(c) for c in own])
+    every = pages.select("page_id", *own, F.explode(F.array_distinct(F.concat(*own))).alias("word"))
+    null = F.lit(None)
+    terms = every.select("page_id", "word", no.alias("_hit"), null.cast(postings.schema["score"].dataType).alias("score"), null.cast(postings.schema["position"].dataType).alias("position"), *[F.array_contains(c, F.col("word")).cast("int").alias(c) for c in own])
+    sums = [F.sum(c).alias(c) for c in ("_hit", "score", "position")]  # of one posting where they are clean
+    return hits.unionByName(terms).groupBy("page_id", "word").agg(*sums, *[F.max(c).alias(c) for c in own])
+
+
+def merge_wordings(held: DataFrame, words: DataFrame) -> DataFrame:
+    """Candidates by wording and page: wording, page_id, hits_count, hits_sum, positional_distance and the terms found in title, tags and organization.
+
+    `held` is partitioned by page_id: with words that are sent to it, each task merges the hits of its own pages and shuffles none.
+    """
+    both = held.join(words, "word")
+    found = [F.sum(F.col(c) * F.col("_terms")).alias(c) for c in ("_title", "_tags", "_organization")]
+    times = lambda c, to: F.sum(F.col(c) * F.col("_tokens")).alias(to)
+    return both.groupBy("page_id", "wording").agg(times("_hit", "hits_count"), times("score", "hits_sum"), times("position", "positional_distance"), *found).filter("hits_count > 0")
 
 
 def rank_queries(queries: DataFrame, postings: DataFrame, dictionary: DataFrame, pages: DataFrame, now: Column, ranker: RankerConfig = RankerConfig(), config: SearchConfig = SearchConfig(), stemmed: bool = False) -> DataFrame:
-    """Every candidate of every valid query with its signals and final score. Pages that are not stored vanish; a query without tokens has no rows."""
-    q = valid_queries(queries, config)
-    hits = find_hits(query_tokens(q, stemmed=stemmed), postings, dictionary, config.fuzzy_tolerance)
-    merged = durable(merge_hits(hits), "merged")  # read for the extremes of relevance and for the candidates
-    cands = merged.join(pages, "page_id").join(rank.with_query_terms(q), "query_id")
-    return rank.score_candidates(cands, now, ranker)
+    """Every candidate of every valid query with its signals and final score. Pages that are not stored vanish; a query without tokens has no rows.
+
+    Candidates grow as queries times pages, beyond any store: they are neither written nor shuffled but merged from the pages' words, which
+    are partitioned by page, once for the extremes of relevance and again by whoever reads the result.
+    """
+    pages = pages if "_title" in pages.columns else rank.with_page_terms(pages)
+    q = rank.with_query_terms(valid_queries(queries, config))
+    asked, words = wordings_of(q, query_words(query_tokens(q, stemmed=stemmed), dictionary, config.fuzzy_tolerance))
+    sent = F.broadcast if asked.limit(SENT_QUERIES + 1).count() <= SENT_QUERIES else lambda df: df
+    wanted = words.groupBy("word").agg(F.count("*").alias("_wordings"))
+    held = durable(page_words(postings, pages).join(sent(wanted), "word"), "held")
+    hits = held.agg(F.coalesce(F.sum("_wordings"), F.lit(0))).first()[0]  # one number
+    parts = max(held.sparkSession.sparkContext.defaultParallelism, -(-hits // PART_HITS))
+    merged = merge_wordings(held.repartition(parts, "page_id"), sent(words)).withColumn("raw", rank.raw_relevance(F.col("hits_count"), F.col("hits_sum")))
+    ends = durable(merged.groupBy("wording").agg(F.min("raw").alias("_lo"), F.max("raw").alias("_hi")), "ends")
+    signalled = rank.with_page_signals(pages, now, ranker).drop("_title", "_tags", "_organization")
+    cands = merged.join(signalled.repartition(parts, "page_id").hint("shuffle_hash"), "page_id")
+    return rank.score_candidates(cands.join(sent(asked.join(ends, "wording")), "wording"), ranker).drop("wording")
 
 
 def last_place(queries: DataFrame) -> int:

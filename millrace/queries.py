@@ -211,9 +211,11 @@ def _search_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, D
     return search.valid_queries(table(spark, d, "queries")), *search.search_index(table(spark, d, "postings"))
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
+def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every candidate with its scores, and the pages."""
     _, post, words = _search_tables(spark, d)
-    return search.rank_queries(table(spark, d, "queries"), post, words, search.listings(table(spark, d, "web_pages")), _now()).withColumn("final", F.round("final", 9))
+    pages = search.listings(table(spark, d, "web_pages"))
+    return search.rank_queries(table(spark, d, "queries"), post, words, pages, _now()).withColumn("final", rank.rounded(F.col("final"), 9)), pages
 
 
 @query(_BASE + "SELECT query_id, token, page_id, score, position FROM tok JOIN post ON token = word")
@@ -248,7 +250,7 @@ def relevance_minmax(spark: SparkSession, d: str) -> DataFrame:
 def score_signals(spark: SparkSession, d: str) -> DataFrame:
     """The six signals and the composite score of every candidate."""
     names = ("relevance", "field_match", "study", "trust", "freshness", "urgency", "final")
-    return _ranked(spark, d).select("query_id", "page_id", *[F.round(n, 6).alias(n) for n in names])
+    return _ranked(spark, d)[0].select("query_id", "page_id", *[rank.rounded(F.col(n), 6).alias(n) for n in names])
 
 
 _PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, page_id) AS place FROM ranked) "
@@ -258,13 +260,13 @@ _PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 def search_ranked(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: every query answered with its page of results."""
     most = search.last_place(search.valid_queries(table(spark, d, "queries")))
-    return search.result_page(_ranked(spark, d), most).select("query_id", "page_id", "place", "title", "url", F.round("final", 6).alias("final"))
+    return search.result_page(_ranked(spark, d)[0], most).select("query_id", "page_id", "place", "title", "url", rank.rounded(F.col("final"), 6).alias("final"))
 
 
 @query(_BASE + f", {_PAGES}" + _SIGNALS + "SELECT query_id, count(*) AS total_results, CAST(ceil(count(*) / any_value(size)) AS BIGINT) AS pages_count FROM ranked GROUP BY query_id")
 def search_counts(spark: SparkSession, d: str) -> DataFrame:
     """The number of results and pages of every query."""
-    return search.counts(_ranked(spark, d))
+    return search.counts(_ranked(spark, d)[0])
 
 
 @query()

@@ -157,3 +157,22 @@ def test_stored_postings_answer_as_the_given_ones(spark, rows):
     post = spark.createDataFrame([("in", i, 1, i) for i in range(60)] + [("in", 3, 9, 99), ("x", 1, 2, 3), (None, 1, 1, 1), ("y", None, 1, 1)], "word string, page_id long, score int, position int")
     stored, words = search.search_index(post)
     assert rows(stored.select("word", "page_id", "score", "position")) == rows(search.clean_postings(post).select("word", "page_id", "score", "position")) and rows(words) == [("in", 60), ("x", 1)]
+
+
+def test_candidates_are_neither_stored_nor_shuffled(spark, tables, rows):
+    _, _, pages = tables
+    many = pages.filter("page_id IN (1, 3)").drop("page_id").crossJoin(spark.range(150).withColumnRenamed("id", "n")).withColumn("page_id", F.col("n") * 2 + F.col("trust_tier"))
+    postings = many.select(F.explode(F.array(F.lit("research"), F.lit("internship"))).alias("word"), "page_id").withColumns({"score": F.lit(1), "position": F.lit(2)})
+    asked = [("research internship", ""), ("Internship RESEARCH", "biology"), ("research in internship", "Computer"), ("reserch", ""), ("research research", "")]
+    q = spark.createDataFrame([(i, *asked[i % 5][:1], 1, 10, asked[i % 5][1]) for i in range(100)], "query_id long, q string, page int, size int, major string")
+    index_of, now = search.search_index(postings), F.lit(NOW).cast("timestamp_ntz")
+    before = len(session._written)
+    ranked = search.rank_queries(q, *index_of, many, now)
+    most = max(spark.read.parquet(path).count() for path in session._written[before:])
+    assert ranked.count() == 30_000 and most < 3_000
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(page_id" in plan and "hashpartitioning(query_id" not in plan and "hashpartitioning(wording" not in plan
+    cols = ["page_id", "hits_count", "hits_sum", "positional_distance", "raw", "relevance", "field_match", "study", "final"]
+    for i in (2, 3):  # what one that asks alone is answered
+        alone = search.rank_queries(q.filter(F.col("query_id") == i), *index_of, many, now)
+        assert rows(ranked.filter(F.col("query_id") == 95 + i).select(cols)) == rows(alone.select(cols))
