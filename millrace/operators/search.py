@@ -26,6 +26,9 @@ PART_HITS = 1_000_000
 #: Queries up to so many are sent to every task, so that hits are never shuffled; joins with more are left to Spark's size checks.
 SENT_QUERIES = 200_000
 
+#: One in so many pages is placed first, for the bounds of `within_reach`.
+BOUND_PARTS = 32
+
 
 def clean_postings(postings: DataFrame) -> DataFrame:
     """One posting for each word and page, that with the last position; rows without word, page or position are left out."""
@@ -181,6 +184,20 @@ def result_page(ranked: DataFrame, most: int | None = None) -> DataFrame:
     return placed.filter((F.col("place") > (F.col("page") - 1) * F.col("size")) & (F.col("place") <= F.col("page") * F.col("size")))
 
 
+def within_reach(ranked: DataFrame, most: int) -> DataFrame:
+    """The rows of `ranked` that may be on their query's page: all that are on it and not many more, so that few are sorted and shuffled.
+
+    The candidates among one page in BOUND_PARTS are placed first. What comes after the last place asked for of these, comes after that
+    place of all candidates too. `most` is the last place that any query asks for.
+    """
+    some = ranked.filter(F.pmod(F.xxhash64("page_id"), F.lit(BOUND_PARTS)) == 0).select("query_id", "page_id", "page", "size", "final")
+    last = result_page(some, most).filter(F.col("place") == F.col("page") * F.col("size")).select("query_id", F.col("final").alias("_final"), F.col("page_id").alias("_page_id"))
+    last = durable(last, "bounds")
+    sent = F.broadcast(last) if last.limit(SENT_QUERIES + 1).count() <= SENT_QUERIES else last
+    ahead = (F.col("final") > F.col("_final")) | ((F.col("final") == F.col("_final")) & (F.col("page_id") <= F.col("_page_id")))
+    return ranked.join(sent, "query_id", "left").filter(F.col("_final").isNull() | ahead).drop("_final", "_page_id")
+
+
 def counts(ranked: DataFrame) -> DataFrame:
     """Results and pages of each query: query_id, total_results, pages_count."""
     return ranked.groupBy("query_id", "size").agg(F.count("*").alias("total_results")).select("query_id", "total_results", F.ceil(F.col("total_results") / F.col("size")).cast("bigint").alias("pages_count"))

@@ -260,7 +260,9 @@ _PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 def search_ranked(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: every query answered with its page of results."""
     most = search.last_place(search.valid_queries(table(spark, d, "queries")))
-    return search.result_page(_ranked(spark, d)[0], most).select("query_id", "page_id", "place", "title", "url", rank.rounded(F.col("final"), 6).alias("final"))
+    ranked, pages = _ranked(spark, d)
+    best = search.result_page(search.within_reach(ranked, most).select("query_id", "page_id", "page", "size", "final"), most)
+    return best.join(pages.select("page_id", "title", "url"), "page_id").select("query_id", "page_id", "place", "title", "url", rank.rounded(F.col("final"), 6).alias("final"))
 
 
 @query(_BASE + f", {_PAGES}" + _SIGNALS + "SELECT query_id, count(*) AS total_results, CAST(ceil(count(*) / any_value(size)) AS BIGINT) AS pages_count FROM ranked GROUP BY query_id")

@@ -176,3 +176,14 @@ def test_candidates_are_neither_stored_nor_shuffled(spark, tables, rows):
     for i in (2, 3):  # what one that asks alone is answered
         alone = search.rank_queries(q.filter(F.col("query_id") == i), *index_of, many, now)
         assert rows(ranked.filter(F.col("query_id") == 95 + i).select(cols)) == rows(alone.select(cols))
+
+
+def test_few_rows_are_within_reach_of_a_page(spark, rows):
+    asked = spark.createDataFrame([(1, 1, 3), (2, 2, 3), (3, 1, 50), (4, 1, 1), (5, 1, 2)], "query_id long, page int, size int")
+    own = F.when(F.col("query_id") == 4, 0.5).when((F.col("query_id") == 5) & (F.col("page_id") % 2 == 0), None).otherwise(F.pmod(F.xxhash64("page_id", "query_id"), F.lit(97)) / 97)  # ties and nulls too
+    ranked = asked.crossJoin(spark.range(3000).withColumnRenamed("id", "page_id")).filter("query_id <> 3 OR page_id < 90").withColumn("final", own)
+    most = search.last_place(asked)
+    some = search.within_reach(ranked, most)
+    assert rows(search.result_page(some, most)) == rows(search.result_page(ranked)) and ranked.count() == 12_090
+    left = {r["query_id"]: r["count"] for r in some.groupBy("query_id").count().collect()}
+    assert left[3] == 90 and max(left[i] for i in (1, 2, 4, 5)) < 600
